@@ -1,6 +1,6 @@
 """Removal of repeated runs by winnowing over line hashes.
 
-A physical line is cut into soft lines at sentence ends and before capitalised words, since a repeated
+A physical line is cut into soft lines at clause and sentence ends and before capitalised words, since a repeated
 passage often stands in the middle of a line. Over the hashes of soft lines every window of at least
 MIN_WORDS words (from each line, as few lines as reach it) selects its least hash; the selected lines
 are the fingerprints. Any run of MIN_WORDS words or more in whole soft lines that two places share
@@ -35,8 +35,8 @@ MIN_WORDS = 40
 #: A soft line shorter than this is chosen as a fingerprint only where there is nothing longer.
 WEIGHTY = 4
 LAST = (1 << 63) - 1
-#: A soft line: up to a sentence's end or a capitalised word.
-CUT = re.compile(r"(?<=[.!?])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])|\n")
+#: A soft line: up to a clause's or sentence's end, or a capitalised word.
+CUT = re.compile(r"(?<=[.!?,;:])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])|\n")
 
 
 def soft_lines(text: str) -> list[tuple[int, int]]:
