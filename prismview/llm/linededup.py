@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,59 +34,87 @@ MIN_WORDS = 40
 #: A soft line shorter than this is chosen as a fingerprint only where there is nothing longer.
 WEIGHTY = 4
 LAST = (1 << 63) - 1
-#: A soft line: up to a clause's or sentence's end, or a capitalised word.
-CUT = re.compile(r"(?<=[.!?,;:])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])|\n")
-
-
-def soft_lines(text: str) -> list[tuple[int, int]]:
-    """Start and end of each soft line that is not blank, without the separators."""
-    out, at = [], 0
-    for m in CUT.finditer(text):
-        if text[at : m.start()].strip():
-            out.append((at, m.start()))
-        at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text)))
-    return out
-
-
-def line_hashes(text: str, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each soft line's words, and how many there are."""
-    words = [text[a:b].encode().split() for a, b in lines]
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words)), np.fromiter(map(len, words), np.int64, len(words))
-
-
-def windows(h: np.ndarray, n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its first line, the line after its last, and a hash of its content."""
-    total = np.r_[0, np.cumsum(n)]
-    end = np.searchsorted(total, total[:-1] + min_words)
-    first = np.flatnonzero(end <= len(h))
-    end = end[first]
-    with np.errstate(over="ignore"):
-        # prefix hashes: the content of lines i..j-1 is prefix[j] - prefix[i] * BASE ** (j - i), in 64 bits
-        power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(0x9E3779B97F4A7C15))])
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(h), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))])
-        prefix = np.cumsum(np.r_[np.uint64(0), h * power[: len(h)]])
-        content = (prefix[end] - prefix[first]) * inverse[first]
-        content ^= (end - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return first, end, content
-
-
-def selected(h: np.ndarray, n: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The line that each window selects: the least hash, the rightmost of equal ones; a monotone queue."""
-    # short lines, which many texts share by chance, come last
-    rank = [(0 if w >= WEIGHTY else 1, x) for x, w in zip(h.tolist(), n.tolist(), strict=True)]
-    out, queue, head, filled = np.empty(len(first), np.int64), [], 0, 0
-    for k, (a, b) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
-        while filled < b:
-            while len(queue) > head and rank[queue[-1]] >= rank[filled]:
-                queue.pop()
-            queue.append(filled)
-            filled += 1
-        while queue[head] < a:
-            head += 1
-        out[k] = queue[head]
-    return out
+#: Bytes of normalised text that are hashed at once.
+PIECE = 1 << 20
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BASE = 0x9E3779B97F4A7C15
+UPPER = np.zeros(256, bool)
+UPPER[65:91] = True
+ENDS = np.zeros(256, bool)
+ENDS[[*b".!?,;:"]] = True
+CODES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(base))])
+
+
+POWER, INVERSE = powers(BASE, PIECE), powers(pow(BASE, -1, 1 << 64), PIECE)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def normalised(text: str) -> bytes:
+    """The words in UTF-8 with one space or, between lines, one line feed between them."""
+    return b"\n".join(filter(None, (b" ".join(line.split()) for line in text.encode().split(b"\n"))))
+
+
+def soft_lines(norm: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each soft line, and the first word of each, then the number of words.
+
+    A soft line ends at a line feed, after a word that ends a clause, and before a capitalised word (of
+    the letters below U+0100).
+    """
+    hashes, first, words, at = [], [], 0, 0
+    while at < len(norm):
+        to = len(norm)
+        if to - at > PIECE:
+            # up to the last line feed or clause end in reach, else to the next
+            to = max(norm.rfind(b"\n", at, at + PIECE), *(norm.rfind(bytes([c, 32]), at, at + PIECE) + 1 for c in b".!?,;:"))
+            if to <= at:
+                found = [x for x in (norm.find(b"\n", at + PIECE), *(norm.find(bytes([c, 32]), at + PIECE) + 1 for c in b".!?,;:")) if x > 0]
+                to = min(found, default=len(norm))
+        x = np.frombuffer(norm, np.uint8, to - at, at)
+        gap = np.flatnonzero((x == 32) | (x == 10))
+        up = UPPER[x[gap + 1]]
+        two = gap[gap + 2 < len(x)]
+        up[: len(two)] |= (x[two + 1] == 0xC3) & (x[two + 2] >= 0x80) & (x[two + 2] <= 0x9E)
+        cut = np.flatnonzero((x[gap] == 10) | ENDS[x[gap - 1]] | up)
+        start, end = np.r_[0, gap[cut] + 1], np.r_[gap[cut], len(x)]
+        power, inverse = (POWER, INVERSE) if len(x) <= PIECE else (powers(BASE, len(x)), powers(pow(BASE, -1, 1 << 64), len(x)))
+        prefix = np.r_[np.uint64(0), np.cumsum(CODES[x] * power[: len(x)])]
+        hashes.append(mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        first.append(words + np.r_[0, cut + 1])
+        words += len(gap) + 1
+        at = to + 1
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate(hashes), np.r_[np.concatenate(first), words]
+
+
+def windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of soft lines h: its first line, the line after its last, a hash of its content, its fingerprint.
+
+    first: the first word of each line, then the number of words. last: the line after the last of each line's document.
+    """
+    end = np.searchsorted(first, first[:-1] + min_words)
+    begin = np.flatnonzero(end <= last)
+    end = end[begin]
+    prefix = np.r_[np.uint64(0), np.cumsum(h * powers(BASE, len(h))[:-1])]
+    content = mixed((prefix[end] - prefix[begin]) * powers(pow(BASE, -1, 1 << 64), len(h))[begin] + (end - begin).astype(np.uint64))
+    # the least hash of each window, by minima over spans of powers of two; short lines, which many texts share by chance, come last
+    least = h >> np.uint64(1) | (np.diff(first) < WEIGHTY).astype(np.uint64) << np.uint64(63)
+    fp, size = np.zeros(len(begin), np.uint64), end - begin
+    for k in range(int(size.max(initial=1)).bit_length()):
+        at = np.flatnonzero(size >> k == 1)
+        fp[at] = np.minimum(least[begin[at]], least[end[at] - (1 << k)])
+        if len(least) > 1 << k:
+            least = np.minimum(least[: len(least) - (1 << k)], least[1 << k :])
+    return begin, end, content, fp
 
 
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,21 +123,45 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _analysed(b: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
+    """For groups of documents of about a megabyte: doc_ids, and for each window its document, first word, word after its last, content, fingerprint, and whether the document has had the content before."""
+    ids, hs, firsts, size = [], [], [], 0
+
+    def group() -> tuple:
+        lines = np.array([len(h) for h in hs])
+        bound = np.cumsum(lines)
+        words = np.array([f[-1] for f in firsts])
+        offset = np.cumsum(words) - words
+        first = np.r_[np.concatenate([f[:-1] + o for f, o in zip(firsts, offset, strict=True)]), words.sum()]
+        begin, end, content, fp = windows(np.concatenate(hs), first, np.repeat(bound, lines), min_words)
+        doc = np.searchsorted(bound, begin, "right")
+        order = np.lexsort((begin, content, doc))
+        again = np.zeros(len(begin), bool)
+        again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (content[order][1:] == content[order][:-1])
+        return np.array(ids), doc, first[begin] - offset[doc], first[end] - offset[doc], content, fp, again
+
     for doc_id, text in zip(common.column(b, "doc_id"), common.column(b, "text"), strict=True):
-        lines = soft_lines(text or "")
-        if lines:
-            h, n = line_hashes(text, lines)
-            first, end, content = windows(h, n, min_words)
-            if len(first):
-                yield doc_id, h, first, end, content, selected(h, n, first, end)
+        norm = normalised(text or "")
+        h, first = soft_lines(norm)
+        if first[-1] >= min_words:
+            ids.append(doc_id)
+            hs.append(h)
+            firsts.append(first)
+            size += len(norm)
+            if size > PIECE:
+                yield group()
+                ids, hs, firsts, size = [], [], [], 0
+    if ids:
+        yield group()
 
 
 def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fp and n: the fingerprints of each batch of documents and in how many places they stand."""
+    """fp and n: the fingerprints of groups of documents and in how many places they stand."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [h[np.unique(line)] for _, h, _, _, _, line in _analysed(b, min_words)]
+            found = []
+            for _, doc, _, _, _, fp, again in _analysed(b, min_words):
+                found.append(fp[np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]) | again[1:]]] if len(fp) else fp)
             if found:
                 fp, n = np.unique(np.concatenate(found), return_counts=True)
                 yield from common.batches({"fp": fp.view(np.int64), "n": n}, pa.schema([("fp", pa.int64()), ("n", pa.int64())]))
@@ -119,37 +170,33 @@ def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
 
 def selections(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each fingerprint of a document the windows that select it: fp, doc_id, windows (content, first, end, again), again: not the document's first such window."""
-    kind = pa.struct([("content", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("again", pa.bool_())])
+    """For each fingerprint of a document the windows that select it: fp, doc_id, and the windows' contents, first words and
+    ends (exclusive; negative if the document has had the content before)."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp, ids, sizes, parts = [], [], [], []
-            for doc_id, h, first, end, content, line in _analysed(b, min_words):
-                again = np.ones(len(content), bool)
-                again[np.unique(content, return_index=True)[1]] = False
-                start = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])  # windows go on to the right, and so do their selections
-                fp.append(h[line[start]].view(np.int64))
-                ids.append(np.full(len(start), doc_id))
-                sizes.append(np.diff(np.r_[start, len(line)]))
-                parts.append((content.view(np.int64), first, end, again))
-            if fp:
-                flat = pa.StructArray.from_arrays([pa.array(np.concatenate([p[i] for p in parts]), f.type) for i, f in enumerate(kind)], fields=[*kind])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fp)), pa.array(np.concatenate(ids)), lists], names=["fp", "doc_id", "windows"])
-
-    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, doc_id long, windows array<struct<content: long, first: int, end: int, again: boolean>>")
+            for ids, doc, first, end, content, fp, again in _analysed(b, min_words):
+                if not len(fp):
+                    continue
+                end[again] *= -1
+                start = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
+                at = pa.array(np.r_[start, len(fp)], pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((content.view(np.int64), pa.int64()), (first, pa.int32()), (end, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(fp[start].view(np.int64)), pa.array(ids[doc[start]]), *lists], names=["fp", "doc_id", "content", "first", "end"])
+
+    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, doc_id long, content array<long>, first array<int>, end array<int>")
 
 
 def repeated_windows(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and windows (first, end), in soft lines, in order: what stands earlier in the table or in the document."""
-    repeated = fingerprints(documents, min_words, id_col, text_col).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
+    """doc_id and windows (first, end), in words and in order: what stands earlier in the table or in the document."""
+    repeated = common.checkpointed(fingerprints(documents, min_words, id_col, text_col).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))
     found = selections(documents, min_words, id_col, text_col).join(repeated, "fp", "left_semi")
-    found = common.checkpointed(found.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*"))
-    first = found.groupBy("content").agg(F.min("doc_id").alias("place"), F.count("*").alias("n")).where("n > 1").select("content", "place")
-    later = found.join(first, "content").where((F.col("doc_id") != F.col("place")) | F.col("again"))
+    found = common.checkpointed(found.select("doc_id", F.explode(F.arrays_zip("content", "first", "end")).alias("w")).select("doc_id", "w.*"))
+    # kept apart from the join, so that the join can split a hot content
+    first = common.checkpointed(found.groupBy("content").agg(F.min("doc_id").alias("place"), F.count("*").alias("n")).where("n > 1").select("content", "place"))
+    later = found.join(first, "content").where((F.col("doc_id") != F.col("place")) | (F.col("end") < 0))
     # the windows of one document, at most one for each of its lines
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("windows"))
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", F.abs("end").alias("end")))).alias("windows"))
 
 
 def extended(spans: list[dict]) -> list[tuple[int, int]]:
@@ -164,24 +211,22 @@ def extended(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the runs of soft lines, and how many words went."""
-    lines = soft_lines(text)
+    """The text without the runs of words, and how many words went."""
+    spans = [m.span() for m in WORD.finditer(text)]
     out, at, words = [], 0, 0
     for first, end in runs:
-        a, b = lines[first][0], lines[end - 1][1]
-        words += len(text[a:b].encode().split())
-        left = text[at:a]
-        if first and end < len(lines) and "\n" in text[lines[first - 1][1] : a]:
-            b = lines[end][0]  # one separator is enough
-        elif end < len(lines):
-            left, b = left.rstrip(" \t"), b
-        else:
-            left, b = left.rstrip(), len(text)
-        out.append(left)
-        at = b
+        words += end - first
+        out.append(text[at : spans[first][0]])
+        at = spans[end - 1][1]
+        if end < len(spans):  # one of the separators is enough, and a line feed rather than a space
+            gap = text[at : spans[end][0]]
+            if first == 0 or "\n" not in gap:
+                at = spans[end][0]
+            else:
+                out[-1] = out[-1].rstrip(common.SPACES)
     out.append(text[at:])
     joined = "".join(out)
-    return (joined if joined.strip() else ""), words
+    return (joined if joined.strip(common.SPACES) else ""), words
 
 
 def _cut(documents: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
