@@ -130,8 +130,8 @@ ORACLES = {
     "customer_views": """WITH s AS (SELECT o_custkey, sum(o_totalprice) spend FROM orders GROUP BY 1), c AS (SELECT c_nationkey k, avg(c_acctbal) balance, sum(coalesce(spend, 0)) spend FROM customer LEFT JOIN s ON c_custkey = o_custkey GROUP BY 1),
  p AS (SELECT n_name id, n_nationkey pos, n_regionkey region, spend FROM c JOIN nation ON k = n_nationkey),
  q AS (SELECT CASE WHEN a.region = b.region THEN 0.5 ELSE 1.0 END::DOUBLE d1, floor(abs(ln(1 + a.spend) - ln(1 + b.spend)) * 1e6 + 0.5) / 1e6 d2 FROM p a, p b WHERE a.pos <> b.pos)
- SELECT 'place' AS view, count(*) n, round(sum(d1), 9) total, round(max(d1), 9) greatest FROM q UNION ALL SELECT 'spend', count(*), round(sum(d2), 9), round(max(d2), 9) FROM q""",
-    "align_inner": f"WITH {PAIRS}, k AS (SELECT id FROM pts WHERE pos % 7 <> 0 AND pos % 11 <> 0) SELECT view, count(*) n, round(sum(d), 9) total, round(max(d), 9) greatest, (SELECT count(*) FROM k) points FROM pairs WHERE i IN (FROM k) AND j IN (FROM k) GROUP BY view",
+ SELECT 'place' AS view, count(*) n, round(sum(d1), 4) total, round(max(d1), 9) greatest FROM q UNION ALL SELECT 'spend', count(*), round(sum(d2), 4), round(max(d2), 9) FROM q""",
+    "align_inner": f"WITH {PAIRS}, k AS (SELECT id FROM pts WHERE pos % 7 <> 0 AND pos % 11 <> 0) SELECT view, count(*) n, round(sum(d), 4) total, round(max(d), 9) greatest, (SELECT count(*) FROM k) points FROM pairs WHERE i IN (FROM k) AND j IN (FROM k) GROUP BY view",
     "missing_ids": f"WITH {PTS} SELECT id FROM pts WHERE pos % 7 = 0",
     "matrix_problems": "SELECT 0::BIGINT missing_cells, 0::BIGINT duplicate_cells, 0::BIGINT bad_cells",
     "norm_robust": f"WITH {NORM} SELECT view, pi, round(sum(d), 9) total, count(*) FILTER (d = 1) at_one, count(*) FILTER (d = 0) at_zero FROM norm GROUP BY view, pi",
@@ -238,7 +238,7 @@ ORACLES = {
     "top_runs": f"WITH {FOLDACC}, z AS (SELECT config_key, fold, round(ba, 9) b FROM fa) SELECT config_key, fold FROM z WHERE b >= (SELECT quantile_cont(b, 0.75) FROM z)",
     "cluster_cores": f"""WITH {WEIGHTS}, z AS (SELECT *, round(sqrt((w_v1 - 1 / 3.0::DOUBLE) ** 2 + (w_v2 - 1 / 3.0::DOUBLE) ** 2 + (w_v3 - 1 / 3.0::DOUBLE) ** 2), 9) dist FROM wx WHERE label IS NULL OR label = 0),
  y AS (SELECT *, row_number() OVER (PARTITION BY dominant ORDER BY dist, config_key, fold) r, count(*) OVER (PARTITION BY dominant) n FROM z), x AS (SELECT dominant "cluster", max(n) size, avg(w_v1) v1, avg(w_v2) v2, avg(w_v3) v3 FROM y WHERE r <= greatest(floor(n * 0.2), 1) GROUP BY 1)
- SELECT "cluster", size, round(v1, 6) v1, round(v2, 9) v2, round(v3, 9) v3, CASE WHEN v1 >= v2 AND v1 >= v3 THEN 'v1' WHEN v2 >= v3 THEN 'v2' ELSE 'v3' END dominant FROM x""",
+ SELECT "cluster", size, round(v1, 9) v1, round(v2, 9) v2, round(v3, 9) v3, CASE WHEN v1 >= v2 AND v1 >= v3 THEN 'v1' WHEN v2 >= v3 THEN 'v2' ELSE 'v3' END dominant FROM x""",
     "paired_delta": f"WITH {FOLDACC}, c AS (SELECT model, fold, eta, avg(ba) b FROM fa GROUP BY ALL), z AS (SELECT x.model, y.b - x.b d FROM c x JOIN c y ON x.model = y.model AND x.fold = y.fold WHERE x.eta = 0.01 AND y.eta = 0.05) SELECT model, round(avg(d), 9) + 0.0 mean, round(stddev_samp(d), 9) std, count(*) n FROM z GROUP BY model",
 }
 

@@ -79,7 +79,7 @@ def customer_pairs(s, d):
 
 
 def view_counts(p):
-    return p.groupBy("view").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.max("d").alias("greatest"))
+    return p.groupBy("view").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("total"), F.max("d").alias("greatest"))
 
 
 def align_inner(s, d):
