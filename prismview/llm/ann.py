@@ -2,9 +2,10 @@
 
 Vectors are rotated by one random orthogonal matrix and lie in lists around centres, which are fitted on a
 bounded sample. A list is kept in blocks of columns. For a query the partial inner products of the list's
-vectors grow block by block; since the rotation spreads what is left evenly over the remaining dimensions, it
-is near normal with a known deviation, and a candidate whose partial product plus EPSILON deviations cannot
-reach the query's threshold is abandoned. Survivors are scored on the original vectors in double precision, the
+vectors grow block by block. With the norms they give the squared distance so far, and since the rotation is random, the
+share of a squared distance that lies in the first dimensions has a known mean and deviation (a beta distribution),
+whatever the vectors. A candidate whose distance so far is EPSILON deviations beyond what the query's threshold
+allows is abandoned. Survivors are scored on the original vectors in double precision, the
 terms added in the order of dimensions, so equal vectors have equal scores.
 
 A query probes the lists nearest to it, as many as the sample needs for the wanted recall. Lists beyond CHUNK
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that the centres are fitted on and the probes measured with, and sample queries; chosen by a hash of the id.
+#: Vectors that the centres are fitted on and the probes measured with, and sample queries; chosen by a hash of the id (about so many).
 SAMPLE, SAMPLE_QUERIES = 20_000, 300
 CHUNK = 4096
 #: Dimensions of a column block.
 BLOCK = 16
-#: Deviations that a candidate may lack before it is abandoned.
+#: Deviations beyond which a candidate is abandoned.
 EPSILON = 3.0
 #: Share of the sample's neighbours that the probed lists must hold.
 TARGET = 0.97
@@ -67,11 +68,12 @@ def fit_centres(x: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np.nda
 
 
 def probes_needed(x: np.ndarray, c: np.ndarray, k: int, target: float) -> int:
-    """How many of the nearest lists hold the target share of the neighbours of the sample's first vectors."""
+    """How many of the nearest lists hold the target share of the neighbours of some of the sample's vectors."""
     a = np.argmax((x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T, axis=1)
-    q = x[:SAMPLE_QUERIES]
+    own = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
+    q = x[own]
     s = q @ x.T
-    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    s[np.arange(len(q)), own] = -np.inf
     k = min(k, len(x) - 1)
     if k < 1:
         return len(c)
@@ -90,28 +92,27 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], rest: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk: their places and scores. rest[b]: the length of each vector's part after block b."""
-    dims = len(q)
-    n = len(ids)
+def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], tail: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a chunk: their places and scores. tail[b]: each vector's squared length from block b on."""
+    dims, n = len(q), len(ids)
     start = min(n, max(4 * k, 64))
-    # the threshold: the k-th best of the first vectors, by their full products
-    first = np.zeros(start)
-    at = 0
+    # the threshold: the k-th best of the first vectors, by their whole products
+    first, at = np.zeros(start), 0
     for b in blocks:
         first += q_rot[at : at + len(b)] @ b[:, :start]
         at += len(b)
     first[ids[:start] == own] = -np.inf
     least = np.partition(first, start - k)[start - k] if start > k else -np.inf
+    allowed = q_rot @ q_rot + tail[0] - 2 * least  # squared distance at which a vector is just as good
     live, part, at = np.arange(n), np.zeros(n), 0
     for i, b in enumerate(blocks):
         part = part + q_rot[at : at + len(b)] @ (b if len(live) == n else b[:, live])
         at += len(b)
-        if i + 1 == len(blocks) or not np.isfinite(least):
+        if at == dims or not np.isfinite(least):
             continue
-        left = dims - at
-        bound = part + EPSILON * np.linalg.norm(q_rot[at:]) * rest[i][live] / np.sqrt(left)
-        keep = bound >= least
+        so_far = q_rot[:at] @ q_rot[:at] + (tail[0] - tail[i + 1])[live] - 2 * part
+        share = at / dims + EPSILON * np.sqrt(2 * at * (dims - at) / (dims * dims * (dims + 2)))
+        keep = so_far <= np.maximum(allowed[live], 0) * min(share, 1.0) + 1e-9 * (1 + tail[0][live])
         if not keep.all():
             live, part = live[keep], part[keep]
             if len(live) <= 4 * k:
@@ -136,7 +137,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     dims, n = lengths["d"], lengths["count"]
     rows = rows.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    # about SAMPLE rows, told by their ids alone; the limit only holds back an id that repeats without end
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / n))
+    sample = rows.where(share).limit(2 * SAMPLE).toPandas().sort_values("vec_id", kind="stable")
     x = np.stack(sample["v"].to_numpy()).astype(float)
     centres = fit_centres(x, int(min(max(8, np.sqrt(n) / 8), 4096, max(1, len(x) // 16))))
     probes = probes_needed(x, centres, k, target)
@@ -190,10 +193,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
                     rot = np.ascontiguousarray((m @ turn.T).T)
                     blocks = [np.ascontiguousarray(rot[a : a + BLOCK]) for a in range(0, dims, BLOCK)]
                     square = np.cumsum((rot**2)[::-1], axis=0)[::-1]
-                    rest = [np.sqrt(square[a]) if a < dims else np.zeros(len(m)) for a in range(BLOCK, dims + BLOCK, BLOCK)]
-                    built = m, blocks, rest, np.array(ids)
-                m, blocks, rest, own_ids = built
-                place, s = scan(v[i], turn @ v[i], blocks, rest, m, own_ids, vec[i], k)
+                    tail = [square[a] for a in range(0, dims, BLOCK)]
+                    built = m, blocks, tail, np.array(ids)
+                m, blocks, tail, own_ids = built
+                place, s = scan(v[i], turn @ v[i], blocks, tail, m, own_ids, vec[i], k)
                 out += zip([int(vec[i])] * len(s), own_ids[place].tolist(), s.tolist(), strict=True)
             if out:
                 q, w, s = zip(*out, strict=True)
