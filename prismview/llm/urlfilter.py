@@ -126,7 +126,12 @@ def unigrams(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
         return Counter({(0, w): n for w, n in out.items()})
 
     counts = counted(pages.select(pages[html_col].cast("string").alias("html")), tokens, "word")
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+    return {r["word"]: r["n"] for r in most_frequent(counts, F.col("n")).collect()}
+
+
+def most_frequent(counts: DataFrame, n: Column) -> DataFrame:
+    """The first VOCABULARY words. The sorted table is written first, so that only its first parts are read for the driver, not a part of each."""
+    return common.checkpointed(counts.orderBy(n.desc(), "word")).limit(VOCABULARY)
 
 
 class Bayes:
@@ -171,7 +176,7 @@ def fit(pages: DataFrame) -> tuple[Segmenter, Bayes]:
     by_word = common.checkpointed(counts.groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("allow"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("block")))
     words = by_word.where("word <> ''")
     pages_of = by_word.where("word = ''").first()
-    kept = {r["word"]: (r["allow"], r["block"]) for r in words.orderBy(F.desc(F.col("allow") + F.col("block")), "word").limit(VOCABULARY).collect()}
+    kept = {r["word"]: (r["allow"], r["block"]) for r in most_frequent(words, F.col("allow") + F.col("block")).collect()}
     total = words.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     rest = tuple((total[k] or 0) - sum(c[i] for c in kept.values()) for i, k in enumerate(("allow", "block")))
     return segmenter, Bayes(kept | {UNKNOWN: rest}, (pages_of["allow"], pages_of["block"]) if pages_of else (0, 0))
