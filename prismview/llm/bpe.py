@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-NONE = np.int64(1) << 62
+NONE = np.int32(2**31 - 1)
 #: Words beyond so many symbols are merged one by one with a heap: rounds would cost a pass over the word each.
 LONG_WORD = 512
 #: Words kept by a worker, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 600_000, 64
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 #: The pre-tokenizer of byte-level vocabularies. Fixed value of the file format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,13 +52,14 @@ class Merger:
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = max([*vocab.values(), *self.added.values()]) + 1
-        self.byte = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + self.suffix] for c in chars], np.int64)
+        self.byte = np.array([vocab[c] for c in chars], np.int32)
+        self.last = np.array([vocab[c + self.suffix] for c in chars], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.key_type = np.uint32 if self.size**2 <= 1 << 32 else np.uint64
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], self.key_type)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         back = {c: b for b, c in enumerate(chars)}
         self.text = [b""] * self.size
         for token, i in vocab.items():
@@ -67,7 +68,7 @@ class Merger:
             self.text[i] = token.encode()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(self.key_type) * self.key_type(self.size) + right.astype(self.key_type)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
@@ -89,8 +90,8 @@ class Merger:
         sym = self.byte[flat]
         end = np.cumsum(length)
         sym[end - 1] = self.last[flat[end - 1]]
-        word = np.repeat(np.arange(len(short)), length)
-        rank = np.full(len(sym), NONE)  # of the pair that a symbol begins
+        word = np.repeat(np.arange(len(short), dtype=np.int32), length)
+        rank = np.full(len(sym), NONE, np.int32)  # of the pair that a symbol begins
         at = np.flatnonzero(word[1:] == word[:-1])
         rank[at] = self.rank(sym[at], sym[at + 1])
         ids, owner = [], []
@@ -144,7 +145,7 @@ class Merger:
         def look(i: int, j: int) -> None:
             pair = (live[i], live[j])
             if pair not in known:
-                known[pair] = int(self.rank(np.array([pair[0]]), np.array([pair[1]]))[0])
+                known[pair] = int(self.rank(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
             if known[pair] != NONE:
                 heapq.heappush(heap, (known[pair], i, *pair))
 
@@ -160,26 +161,30 @@ class Merger:
                 look(i, after[i])
             if before[i] >= 0:
                 look(before[i], i)
-        return np.array([x for x in live if x >= 0], np.int64)
+        return np.array([x for x in live if x >= 0], np.int32)
 
 
-class Words(dict):
+class Words:
     """word (str) -> ids as little-endian unsigned 32-bit integers; misses of a batch are merged together."""
 
     def __init__(self, merger: Merger):
-        super().__init__()
+        self.ids: dict[str, bytes] = {}  # a plain dict: sets are compared with no other as fast
         self.merger = merger
 
         self.long: list[str] = []
 
-    def learn(self, words: set[str]) -> None:
-        for w in self.long:
-            self.pop(w, None)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        self.update(zip(new, self.merger.merge([w.encode() for w in new]), strict=True))
-        self.long = [w for w in new if len(w) > CACHE_LENGTH]
+    def learn(self, new: set[str], used: list[list[str]]) -> None:
+        """Adds the new words of a batch; used: all its words, of which none may be lost."""
+        gone = self.long
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        for w in gone:
+            self.ids.pop(w, None)
+        if gone or not self.ids:
+            new = set().union(*filter(None, used)).difference(self.ids)
+        words = [*new]
+        self.ids.update(zip(words, self.merger.merge([w.encode() for w in words]), strict=True))
+        self.long = [w for w in words if len(w) > CACHE_LENGTH]
 
 
 class Codec:
@@ -214,9 +219,10 @@ class Codec:
             for t in texts[at : at + 128]:
                 parts = self.special.split(t) if self.special and any(s in t for s in self.merger.added) else [t]
                 cut.append([([p] if k % 2 else self.split(p)) for k, p in enumerate(parts)])
-            self.words.learn({w for parts in cut for words in parts[::2] for w in words})
+            used = [words for parts in cut for words in parts[::2]]
+            self.words.learn(set().union(*used).difference(self.words.ids), used)
             for parts in cut:
-                yield b"".join(b"".join(map(self.words.__getitem__, x)) if k % 2 == 0 else self.merger.added[x[0]].to_bytes(4, "little") for k, x in enumerate(parts))
+                yield b"".join(b"".join(map(self.words.ids.__getitem__, x)) if k % 2 == 0 else self.merger.added[x[0]].to_bytes(4, "little") for k, x in enumerate(parts))
 
     def decode(self, ids: bytes) -> str:
         text = self.merger.text

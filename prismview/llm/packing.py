@@ -31,6 +31,8 @@ from .bpe import Merger, Words
 
 #: Cost of a cut at a sentence's end, in tokens of padding.
 SENTENCE_CUT = 16
+#: A sentence's end so close behind another place is no place of its own.
+SPACING = 24
 #: Tokens of which the cuts are chosen together.
 BLOCK = 1 << 17
 
@@ -58,8 +60,8 @@ class WordTokenizer:
         low = [chr(c) for c in range(0x20, 0x250)] + [*space]
         letters = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "L")
         digits = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "N")
-        self.plain = re.compile(f"[\\t-\\r\x20-{chr(0x24F)}]*")
-        self.odd = re.compile("[İıſ]")
+        # without the three letters below U+0250 whose lower case is another's or longer
+        self.plain = re.compile("[\\t-\\r\x20-\u012f\u0132-\u017e\u0180-\u024f]*")
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}{re.escape(space)}]+")
         ends = [i for w, i in self.library.get_vocab().items() if re.fullmatch(r"[^\w]*[.!?][^\w]*</w>", w)]
         self.is_end = np.zeros(self.merger.size, bool)
@@ -74,12 +76,15 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 128):
             cut: list = []
+            new: set[str] = set()
             for t in texts[at : at + 128]:
-                fast = self.plain.fullmatch(t) and not self.odd.search(t) and not any(s in t for s in self.merger.added)
+                fast = self.plain.fullmatch(t) and not ("<|" in t and any(s in t for s in self.merger.added))
                 cut.append(self.pattern.findall(t.lower()) if fast else None)
-            self.words.learn({w for words in cut if words for w in words})
+                if fast:
+                    new |= set(cut[-1]).difference(self.words.ids)
+            self.words.learn(new, cut)
             for t, words in zip(texts[at : at + 128], cut, strict=True):
-                yield b"".join(map(self.words.__getitem__, words)) if words is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                yield b"".join(map(self.words.ids.__getitem__, words)) if words is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def choose_cuts(place: list[int], cost: list[float], length: int) -> list[int]:
@@ -143,7 +148,9 @@ class Packer:
         place, cost, at = [0], [0.0], 0
         for _, ids, _, _ in self.docs:
             ends = np.flatnonzero(self.tokenizer.is_end[ids[:-1]]) + 1
-            for p in [*(at + ends[ends < len(ids)]).tolist(), at + len(ids)]:
+            for p in [*(at + ends).tolist(), at + len(ids)]:
+                if p - place[-1] < SPACING and p < at + len(ids):
+                    continue
                 while p - place[-1] > self.length:
                     place.append(place[-1] + self.length)
                     cost.append(float(SENTENCE_CUT))
