@@ -124,32 +124,32 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _analysed(b: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
     """For groups of documents of about a megabyte: doc_ids, and for each window its document, first word, word after its last, content, fingerprint, and whether the document has had the content before."""
-    ids, hs, firsts, size = [], [], [], 0
+    ids, norms, counts, size = [], [], [], 0
 
     def group() -> tuple:
-        lines = np.array([len(h) for h in hs])
-        bound = np.cumsum(lines)
-        words = np.array([f[-1] for f in firsts])
-        offset = np.cumsum(words) - words
-        first = np.r_[np.concatenate([f[:-1] + o for f, o in zip(firsts, offset, strict=True)]), words.sum()]
-        begin, end, content, fp = windows(np.concatenate(hs), first, np.repeat(bound, lines), min_words)
+        h, first = soft_lines(b"\n".join(norms))  # a line feed ends a soft line, so none spans documents
+        total = np.cumsum(counts)
+        bound = np.searchsorted(first, total)
+        begin, end, content, fp = windows(h, first, np.repeat(bound, np.diff(np.r_[0, bound])), min_words)
         doc = np.searchsorted(bound, begin, "right")
-        order = np.lexsort((begin, content, doc))
+        key = content + mixed(doc.astype(np.uint64))
+        order = np.argsort(key, kind="stable")
         again = np.zeros(len(begin), bool)
-        again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (content[order][1:] == content[order][:-1])
+        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        offset = total - counts
         return np.array(ids), doc, first[begin] - offset[doc], first[end] - offset[doc], content, fp, again
 
     for doc_id, text in zip(common.column(b, "doc_id"), common.column(b, "text"), strict=True):
         norm = normalised(text or "")
-        h, first = soft_lines(norm)
-        if first[-1] >= min_words:
+        n = norm.count(b" ") + norm.count(b"\n") + 1
+        if norm and n >= min_words:
             ids.append(doc_id)
-            hs.append(h)
-            firsts.append(first)
+            norms.append(norm)
+            counts.append(n)
             size += len(norm)
             if size > PIECE:
                 yield group()
-                ids, hs, firsts, size = [], [], [], 0
+                ids, norms, counts, size = [], [], [], 0
     if ids:
         yield group()
 
