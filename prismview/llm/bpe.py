@@ -59,6 +59,9 @@ class Merger:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], self.key_type)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
+        # what the search finds for pairs of bytes, of which the second may end a word
+        left, right = np.repeat(self.byte, 512), np.tile(np.r_[self.byte, self.last], 256)
+        self.byte_rank = self.rank(left, right)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         back = {c: b for b, c in enumerate(chars)}
         self.text = [b""] * self.size
@@ -93,7 +96,9 @@ class Merger:
         word = np.repeat(np.arange(len(short), dtype=np.int32), length)
         rank = np.full(len(sym), NONE, np.int32)  # of the pair that a symbol begins
         at = np.flatnonzero(word[1:] == word[:-1])
-        rank[at] = self.rank(sym[at], sym[at + 1])
+        code = flat.astype(np.int32)
+        code[end - 1] += 256
+        rank[at] = self.byte_rank[code[at] * 512 + code[at + 1]]
         ids, owner = [], []
         while True:
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -197,7 +202,7 @@ class Codec:
         self.words = Words(self.merger)
         self.pattern = regex.compile(BYTE_LEVEL)
         # in ASCII both engines agree, and the standard one is faster
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+")
+        self.ascii = re.compile(r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merger.added, key=len, reverse=True))) + ")") if self.merger.added else None
 
     @classmethod

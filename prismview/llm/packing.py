@@ -62,7 +62,7 @@ class WordTokenizer:
         digits = "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == "N")
         # without the three letters below U+0250 whose lower case is another's or longer
         self.plain = re.compile("[\\t-\\r\x20-\u012f\u0132-\u017e\u0180-\u024f]*")
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}{re.escape(space)}]+")
+        self.pattern = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{letters}{digits}{re.escape(space)}]+")
         ends = [i for w, i in self.library.get_vocab().items() if re.fullmatch(r"[^\w]*[.!?][^\w]*</w>", w)]
         self.is_end = np.zeros(self.merger.size, bool)
         self.is_end[ends] = True
