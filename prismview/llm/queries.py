@@ -64,5 +64,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe)}
 
 
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') h, sha1(coalesce(html, '')) x FROM pages),
+ q AS (SELECT *, max(page_id) OVER (PARTITION BY h) target, count(*) OVER (PARTITION BY h) copies, regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1) host, regexp_extract(url, '^[^:/?#]*://[^/?#]*([^#]*)', 1) path FROM p)
+SELECT page_id, octet_length(encode(h))::BIGINT payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 1 + 10 * (j // 8), 10))::BIGINT >> (35 - 5 * (j % 8))) & 31) + 1)::BIGINT, 1) for j in range(0, 32)], '') payload_digest,
+ CASE WHEN copies > 1 AND page_id IS DISTINCT FROM target AND target IS NOT NULL THEN 'revisit' ELSE 'response' END record_type,
+ CASE WHEN copies > 1 AND page_id IS DISTINCT FROM target THEN target END refers_to,
+ CASE WHEN regexp_matches(url, '^[^:/?#]*://') THEN array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || coalesce(nullif(path, ''), '/') ELSE url END url_key,
+ strftime(make_timestamp((1704067200 + coalesce(page_id, 0) % 2147483648) * 1000000), '%Y-%m-%dT%H:%M:%SZ') captured_at
+FROM q"""
+
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(k)),
+ e AS (SELECT *, regexp_replace(replace(replace(r, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') er, regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g') et FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) turns_sha256,
+ sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END)::BIGINT loss_chars,
+ sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
+ sum(length(er) + length(et) + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries whose results do not depend on a trained model, a tokenizer or a hash that SQL lacks."""
+    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL}
