@@ -49,7 +49,10 @@ def distances(a: str, b: str) -> list[Column]:
 def wide_pairs(points: DataFrame) -> DataFrame:
     """i, j, pi, pj, yi, yj and d, an array with one distance per view. One nested loop over the broadcast points."""
     d = F.array(*distances("a", "b"))
-    joined = points.alias("a").join(points.alias("b"), F.col("a.pos") != F.col("b.pos"))
+    spark = points.sparkSession
+    # a small file is one partition, and the loop would be one task
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    joined = points.repartition(n, "pos").alias("a").join(points.alias("b"), F.col("a.pos") != F.col("b.pos"))
     return joined.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.pos").alias("pi"), F.col("b.pos").alias("pj"), F.col("a.y").alias("yi"), F.col("b.y").alias("yj"), d.alias("d"))
 
 
