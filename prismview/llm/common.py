@@ -47,6 +47,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def row_key(doc_id: F.Column, text: F.Column) -> F.Column:
+    """A number for each row that differs for rows of one doc_id with different texts, in the order of doc_id, null last."""
+    number = "decimal(19,0)"
+    key = F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).cast(number) * F.lit(1 << 60).cast(number)
+    return (key + F.xxhash64(text.cast("string")).bitwiseAND(F.lit((1 << 60) - 1)).cast(number)).cast("decimal(38,0)")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

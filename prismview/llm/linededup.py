@@ -1,20 +1,18 @@
-"""Removal of repeated runs by winnowing over line hashes.
+"""Removal of repeated runs by winnowing over hashes of words.
 
-A physical line is cut into soft lines at clause and sentence ends and before capitalised words, since a repeated
-passage often stands in the middle of a line. Over the hashes of soft lines every window of at least
-MIN_WORDS words (from each line, as few lines as reach it) selects its least hash; the selected lines
-are the fingerprints. Any run of MIN_WORDS words or more in whole soft lines that two places share
-holds a whole window, so both places select the same fingerprint: no such run is missed.
+A word goes if some window of MIN_WORDS words around it, at whatever word it starts, stands earlier: in a document
+before, by doc_id, or before in the same document. So runs are found wherever they start and end, in the middle of lines too,
+and to their last word, and no line feeds or punctuation matter. The first place keeps its text.
 
-Fingerprints seen once are dropped. The positions of the others are joined by the content of the
-windows that select them, the windows that match an earlier place are merged, which extends each match
-both ways as far as the text agrees, and the later runs are deleted. The first place, by doc_id and
-then position, keeps its text. Groups are only counted and minimised before a shuffle, never
-gathered, and the joins are such as can split a hot fingerprint.
+Every window selects a seed: of all SEED words in a row within it those with the least hash. Equal windows
+select equal seeds, and windows that select one seed stand next to each other; their zone is all they hold. Seeds whose
+content is seen once are dropped. Zones that repeat are later as a whole except for the first, and only
+where one seed's content has several zones its windows are compared one by one, each zone's first alone.
+Groups are only counted and minimised before a shuffle, never gathered, and the joins are such as can split a hot zone.
 
 Runs shorter than MIN_WORDS stay, so a common sentence does no harm. Null text: stays null. Empty text: stays.
-Null doc_id: counts as last. Rows with the same doc_id count as one place, so of them neither repeats
-the other. A document whose whole text repeats earlier ones is left with empty text.
+Null doc_id: counts as last. Rows of one doc_id with different texts are rows of their own, in the order of a hash; with the same
+text they count as one place, so neither repeats the other. A document whose whole text repeats earlier ones is left with empty text.
 """
 
 from __future__ import annotations
@@ -33,7 +31,8 @@ from . import common
 MIN_WORDS = 40
 #: A soft line shorter than this is chosen as a fingerprint only where there is nothing longer.
 WEIGHTY = 4
-LAST = (1 << 63) - 1
+#: Words of a seed, of MIN_WORDS: fewer make fewer seeds, but more of them repeat by chance.
+SEED = 20
 #: Bytes of normalised text that are hashed at once.
 PIECE = 1 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +57,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+# normalised(), soft_lines() and windows() cut by lines; only the tests compare with them
+
+
 def normalised(text: str) -> bytes:
     """The words in UTF-8 with one space or, between lines, one line feed between them."""
     return b"\n".join(filter(None, (b" ".join(line.split()) for line in text.encode().split(b"\n"))))
@@ -117,51 +119,116 @@ def windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int)
     return begin, end, content, fp
 
 
+def words_of(text: str) -> bytes:
+    """The words in UTF-8 with one space between them, whatever the lines."""
+    return b" ".join(text.encode().split())
+
+
+def word_hashes(norm: bytes) -> np.ndarray:
+    """A hash of each word; words are separated by one space."""
+    out, at = [], 0
+    while at < len(norm):
+        to = len(norm)
+        if to - at > PIECE:
+            to = norm.rfind(b" ", at, at + PIECE)
+            if to <= at:
+                to = norm.find(b" ", at + PIECE)
+                to = len(norm) if to < 0 else to
+        x = np.frombuffer(norm, np.uint8, to - at, at)
+        gap = np.flatnonzero(x == 32)
+        start, end = np.r_[0, gap + 1], np.r_[gap, len(x)]
+        power, inverse = _powers(len(x))
+        prefix = np.r_[np.uint64(0), np.cumsum(CODES[x] * power[: len(x)])]
+        out.append(mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        at = to + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (POWER, INVERSE) if n <= PIECE else (powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n))
+
+
+def spans_hash(prefix: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from begin up to end, by sums of the words' hashes times powers."""
+    return mixed((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
+def least_places(c: np.ndarray, width: int) -> np.ndarray:
+    """For each width values in a row the place of the least, the leftmost of equal ones."""
+    at, span = np.arange(len(c)), 1
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(c[b] < c[a], b, a)
+
+    while 2 * span <= width:
+        at = lesser(at[:-span], at[span:])
+        span *= 2
+    return lesser(at[: len(at) - (width - span)], at[width - span :]) if span < width else at
+
+
+def seeds(h: np.ndarray, bound: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """The seeds of documents with words h, of which each ends before its bound and has min_words or more.
+
+    For each seed: its document, the first of the windows of min_words words that select it, how many they are (they
+    start one word apart), the seed's content and a hash of all that its windows hold. Then a hash of every
+    window in the order of the seeds, and whether the document has had the window before.
+    """
+    length = max(1, min_words * SEED // MIN_WORDS)
+    power, inverse = _powers(len(h))
+    prefix = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)])]
+    place = np.arange(len(h) - length + 1)
+    content = spans_hash(prefix, inverse, place, place + length)
+    start = np.arange(len(h) - min_words + 1)
+    doc = np.searchsorted(bound, start, "right")
+    inside = start + min_words <= bound[doc]
+    chosen = least_places(content, min_words - length + 1)[inside]
+    start, doc = start[inside], doc[inside]
+    window = spans_hash(prefix, inverse, start, start + min_words)
+    key = window + mixed(doc.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(start), bool)
+    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    at = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+    n = np.diff(np.r_[at, len(chosen)])
+    zone = spans_hash(prefix, inverse, start[at], start[at] + n - 1 + min_words)
+    return doc[at], start[at], n, content[chosen[at]], zone, window, again
+
+
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     common.small_batches(documents.sparkSession)
-    return documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(LAST)).alias("doc_id"), documents[text_col].cast("string").alias("text"))
+    return documents.select(common.row_key(documents[id_col], documents[text_col]).alias("place"), documents[text_col].cast("string").alias("text"))
 
 
 def _analysed(b: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
-    """For groups of documents of about a megabyte: doc_ids, and for each window its document, first word, word after its last, content, fingerprint, and whether the document has had the content before."""
-    ids, norms, counts, size = [], [], [], 0
+    """For groups of documents of about a megabyte: the rows in the batch, then what seeds() gives, with first words counted from the document's."""
+    rows, norms, counts, size = [], [], [], 0
 
     def group() -> tuple:
-        h, first = soft_lines(b"\n".join(norms))  # a line feed ends a soft line, so none spans documents
         total = np.cumsum(counts)
-        bound = np.searchsorted(first, total)
-        begin, end, content, fp = windows(h, first, np.repeat(bound, np.diff(np.r_[0, bound])), min_words)
-        doc = np.searchsorted(bound, begin, "right")
-        key = content + mixed(doc.astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(begin), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
-        offset = total - counts
-        return np.array(ids), doc, first[begin] - offset[doc], first[end] - offset[doc], content, fp, again
-
-    for doc_id, text in zip(common.column(b, "doc_id"), common.column(b, "text"), strict=True):
-        norm = normalised(text or "")
-        n = norm.count(b" ") + norm.count(b"\n") + 1
+        doc, first, *rest = seeds(word_hashes(b" ".join(norms)), total, min_words)
+        return np.array(rows)[doc], first - (total - counts)[doc], *rest
+
+    for row, text in enumerate(common.column(b, "text")):
+        norm = words_of(text or "")
+        n = norm.count(b" ") + 1
         if norm and n >= min_words:
-            ids.append(doc_id)
+            rows.append(row)
             norms.append(norm)
             counts.append(n)
             size += len(norm)
             if size > PIECE:
                 yield group()
-                ids, norms, counts, size = [], [], [], 0
-    if ids:
+                rows, norms, counts, size = [], [], [], 0
+    if rows:
         yield group()
 
 
 def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fp and n: the fingerprints of groups of documents and in how many places they stand."""
+    """fp and n: the contents of the seeds of groups of documents and in how many places they stand."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = []
-            for _, doc, _, _, _, fp, again in _analysed(b, min_words):
-                found.append(fp[np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]) | again[1:]]] if len(fp) else fp)
+            found = [x[3] for x in _analysed(b, min_words)]
             if found:
                 fp, n = np.unique(np.concatenate(found), return_counts=True)
                 yield from common.batches({"fp": fp.view(np.int64), "n": n}, pa.schema([("fp", pa.int64()), ("n", pa.int64())]))
@@ -170,33 +237,57 @@ def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
 
 def selections(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each fingerprint of a document the windows that select it: fp, doc_id, and the windows' contents, first words and
-    ends (exclusive; negative if the document has had the content before)."""
+    """For each seed: fp, its content; zone, a hash of all that its windows hold; its row's place; the first word of its first
+    window; how many windows; and whether the document has had all of them before."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            place = b.column(b.schema.get_field_index("place"))
+            for row, first, n, content, zone, _, again in _analysed(b, min_words):
+                had = np.logical_and.reduceat(again, np.cumsum(n) - n)
+                rows = pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(zone.view(np.int64)), place.take(pa.array(row)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(had)], names=["fp", "zone", "place", "first", "n", "had"])
+                for k in range(0, len(first), 20_000):
+                    yield rows.slice(k, 20_000)
+
+    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, zone long, place decimal(38,0), first int, n int, had boolean")
+
+
+def single_windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """The windows of the seeds whose first words are in firsts, for rows (place, text, firsts): place, first, window (a hash), and whether the document has had it before."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for ids, doc, first, end, content, fp, again in _analysed(b, min_words):
-                if not len(fp):
-                    continue
-                end[again] *= -1
-                start = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
-                at = pa.array(np.r_[start, len(fp)], pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((content.view(np.int64), pa.int64()), (first, pa.int32()), (end, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[start].view(np.int64)), pa.array(ids[doc[start]]), *lists], names=["fp", "doc_id", "content", "first", "end"])
+            place, firsts = b.column(b.schema.get_field_index("place")), b.column(b.schema.get_field_index("firsts"))
+            wanted = firsts.flatten().to_numpy() | np.repeat(np.arange(len(firsts)), firsts.value_lengths().to_numpy()) << 32
+            for row, first, n, _, _, window, again in _analysed(b, min_words):
+                take = np.isin(first | row.astype(np.int64) << 32, wanted)
+                each, at = np.repeat(take, n), np.cumsum(n) - n
+                first = np.repeat(first - at, n) + np.arange(len(window))
+                out = pa.RecordBatch.from_arrays([place.take(pa.array(np.repeat(row, n)[each])), pa.array(first[each], pa.int32()), pa.array(window[each].view(np.int64)), pa.array(again[each])], names=["place", "first", "window", "had"])
+                for k in range(0, len(out), 20_000):
+                    yield out.slice(k, 20_000)
 
-    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, doc_id long, content array<long>, first array<int>, end array<int>")
+    return rows.mapInArrow(work, "place decimal(38,0), first int, window long, had boolean")
 
 
 def repeated_windows(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and windows (first, end), in words and in order: what stands earlier in the table or in the document."""
+    """place and windows (first, end), in words and in order: what stands earlier in the table or in the document."""
     repeated = common.checkpointed(fingerprints(documents, min_words, id_col, text_col).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))
-    found = selections(documents, min_words, id_col, text_col).join(repeated, "fp", "left_semi")
-    found = common.checkpointed(found.select("doc_id", F.explode(F.arrays_zip("content", "first", "end")).alias("w")).select("doc_id", "w.*"))
-    # kept apart from the join, so that the join can split a hot content
-    first = common.checkpointed(found.groupBy("content").agg(F.min("doc_id").alias("place"), F.count("*").alias("n")).where("n > 1").select("content", "place"))
-    later = found.join(first, "content").where((F.col("doc_id") != F.col("place")) | (F.col("end") < 0))
-    # the windows of one document, at most one for each of its lines
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", F.abs("end").alias("end")))).alias("windows"))
+    found = common.checkpointed(selections(documents, min_words, id_col, text_col).join(repeated, "fp", "left_semi"))
+    # kept apart from the join, so that the join can split a hot zone
+    zones = common.checkpointed(found.groupBy("fp", "zone").agg(F.min("place").alias("least"), F.count("*").alias("n")))
+    several = zones.groupBy("fp").count().where("count > 1").select("fp", F.lit(True).alias("several"))
+    zones = zones.withColumnRenamed("n", "places").join(several, "fp", "left").where("places > 1 or several").select("zone", "least", F.coalesce("several", F.lit(False)).alias("several"))
+    later = (F.col("place") != F.col("least")) | F.col("had")
+    found = common.checkpointed(found.select("zone", "place", "first", "n", "had").join(zones, "zone").where(later | F.col("several")).select("place", "first", "n", later.alias("later")))
+    whole = found.where("later").select("place", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end"))
+    # where what surrounds a seed differs, window by window; of zones that are alike the first stands for all
+    open_ = found.where("not later").groupBy("place").agg(F.collect_set(F.col("first").cast("long")).alias("firsts"))
+    rest = common.checkpointed(single_windows(_rows(documents, id_col, text_col).join(open_, "place"), min_words))
+    first = rest.groupBy("window").agg(F.min("place").alias("least"), F.count("*").alias("places")).where("places > 1").select("window", "least")
+    single = rest.join(first, "window").where((F.col("place") != F.col("least")) | F.col("had")).select("place", "first", (F.col("first") + min_words).alias("end"))
+    # the windows of one document, at most one for each of its words
+    return whole.unionByName(single).groupBy("place").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("windows"))
 
 
 def extended(spans: list[dict]) -> list[tuple[int, int]]:
@@ -231,8 +322,8 @@ def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
 
 def _cut(documents: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """documents with their repeated windows in _windows."""
-    runs = repeated_windows(documents, min_words, id_col, text_col).select(F.col("doc_id").alias("_doc"), F.col("windows").alias("_windows"))
-    return documents.join(runs, F.coalesce(documents[id_col].cast("long"), F.lit(LAST)) == F.col("_doc"), "left").drop("_doc")
+    runs = repeated_windows(documents, min_words, id_col, text_col).select(F.col("place").alias("_place"), F.col("windows").alias("_windows"))
+    return documents.join(runs, common.row_key(documents[id_col], documents[text_col]) == F.col("_place"), "left").drop("_place")
 
 
 def dedup(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -138,6 +138,15 @@ def test_fingerprints_are_window_minima():
         assert first[b] - first[a] >= 40 > first[b - 1] - first[a] and int(f) == min(key[a:b])
 
 
+def test_copies_become_empty(spark):
+    # soft lines of so many words
+    for seed, sizes in enumerate([(20, 20, 3), (41, 39), (39, 1, 39), (7,) * 13, (200, 1)]):
+        text = "\n".join(" ".join(f"w{seed}x{i}x{k}" for k in range(n)) + "." for i, n in enumerate(sizes))
+        docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text, "en", "s", 1)], DOCS)
+        got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs).collect()}
+        assert got == {1: text, 2: ""}
+
+
 # 3: packing
 
 
