@@ -138,6 +138,34 @@ def test_fingerprints_are_window_minima():
         assert first[b] - first[a] >= 40 > first[b - 1] - first[a] and int(f) == min(key[a:b])
 
 
+def covered_brute(texts, least):
+    """By document the words in a window of least words, at any word, that stands earlier."""
+    seen, gone = {}, {}
+    for d, t in texts:
+        words = t.split()
+        for a in range(len(words) - least + 1):
+            if seen.setdefault(tuple(words[a : a + least]), (d, a)) != (d, a):
+                gone.setdefault(d, set()).update(range(a, a + least))
+    return gone
+
+
+def test_runs_at_any_word_go(spark):
+    rng = random.Random(4)
+    lower = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for i in range(60):
+        at, n = rng.randrange(300), rng.choice([39, 40, 41, 51, 90])
+        own = [f"x{i}y{k}" for k in range(60)]
+        texts.append((i, " ".join(own[:30] + lower[at : at + n] + own[30:])))
+    texts += [(60, "a b c " * 60), (61, "a b c " * 30), (62, " ".join(lower[:100] + ["z"] + lower[:100]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS).repartition(5)
+    want = covered_brute(texts, linededup.MIN_WORDS)
+    got = {r["doc_id"]: r for r in linededup.dedup(docs).collect()}
+    for i, t in texts:
+        assert got[i]["text"].split() == [w for k, w in enumerate(t.split()) if k not in want.get(i, ())]
+        assert got[i]["n_removed_words"] == len(want.get(i, ()))
+
+
 def test_copies_become_empty(spark):
     # soft lines of so many words
     for seed, sizes in enumerate([(20, 20, 3), (41, 39), (39, 1, 39), (7,) * 13, (200, 1)]):
