@@ -59,17 +59,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(documents: DataFrame, k: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(documents: DataFrame, k: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", key_type: str = "long") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for every row."""
     common.small_batches(documents.sparkSession)
-    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
+    rows = documents.select(documents[id_col].cast(key_type).alias("doc_id"), documents[text_col].cast("string").alias("text"))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = [signed(fingerprint((t or "").encode(), k, seed)) for t in common.column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(work, f"doc_id {key_type}, fp long")
 
 
 def co_occurrence(fps: DataFrame) -> np.ndarray:
@@ -280,9 +280,9 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(documents: DataFrame, radius: int = 3, k: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, radius: int = 3, k: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", key_type: str = "long") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id that links reach, for every row."""
-    docs = common.checkpointed(fingerprints(documents, k, seed, id_col, text_col))
+    docs = common.checkpointed(fingerprints(documents, k, seed, id_col, text_col, key_type))
     named = common.checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = common.checkpointed(components(near_links(named.select("fp"), radius)))
     grouped = named.join(roots, named.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -292,7 +292,8 @@ def near_duplicates(documents: DataFrame, radius: int = 3, k: int = 3, seed: int
 
 
 def keep_one(documents: DataFrame, radius: int = 3, k: int = 3, seed: int = 42) -> DataFrame:
-    """The documents that name their component; of rows with one doc_id a single one stays."""
-    kept = near_duplicates(documents, radius, k, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """One document of each component: the least doc_id, null last, of rows with that id one text; of equal rows a single one stays."""
+    key = common.row_key(documents["doc_id"], documents["text"])
+    kept = near_duplicates(documents.withColumn("_key", key), radius, k, seed, "_key", key_type="decimal(38,0)").where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = documents.withColumn("_key", key).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
+    return first.dropDuplicates(["_key"]).drop("_key")

@@ -175,6 +175,20 @@ def test_copies_become_empty(spark):
         assert got == {1: text, 2: ""}
 
 
+def test_rows_with_one_id_are_their_own(spark):
+    a, b, shared = (passage(60, i) for i in (21, 22, 23))
+    texts = [(None, f"{shared} {a}"), (None, b[:40]), (None, f"{b} {shared}"), (7, "x y"), (7, f"{a[:90]} {shared}"), (1, shared)]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    got = {r["text"].strip() for r in linededup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {a, b[:40].strip(), b, "x y", a[:90].strip(), shared}
+
+
+def test_unrelated_documents_without_id_stay(spark):
+    rows = [(None, passage(60, 30), "en", "s", 1), (None, passage(60, 31), "en", "s", 1), (4, passage(60, 32), "en", "s", 1), (4, passage(60, 33), "en", "s", 1), (None, passage(60, 30), "en", "s", 1)]
+    got = sorted(r["text"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted(passage(60, i) for i in (30, 31, 32, 33))
+
+
 # 3: packing
 
 
