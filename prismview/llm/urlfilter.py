@@ -2,8 +2,8 @@
 
 Concatenated host names are split into words by a Viterbi search under a unigram model, whose counts come from the
 words of all pages. The multinomial model is trained on all pages: a page whose host holds a seed word is an example
-of what to block, the others of what to allow. Both models keep the VOCABULARY most frequent words; rarer
-ones count together as unknown, which bounds what is sent to every worker.
+of what to block, the others of what to allow. Both models keep all words as distributed tables, to which the
+substrings of host names and the words of URLs are joined, so no worker holds a model.
 
 Null url or one without "://": host and path are empty, no rule fits, and the method allows it. Null html: no words.
 Null page_id: stays. Repeated rows: one result each. Empty table: no rows.
@@ -22,14 +22,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that a model keeps.
-VOCABULARY = 50_000
 LONGEST_WORD = 20
 #: Fixed value: words of host names that mark what to block.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "xxx")
 #: The rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-UNKNOWN = "\x00"
 
 
 def host_of(url: Column) -> Column:
@@ -53,9 +50,10 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """The most likely split of a name into words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        seen = max(counts.values(), default=1)
+    def __init__(self, counts: dict[str, int], total: int | None = None, seen: int | None = None):
+        """total and seen: the sum and the greatest of all counts, where counts are a part of them."""
+        total = (sum(counts.values()) if total is None else total) + 1
+        seen = max(counts.values(), default=1) if seen is None else seen
         # seed words may be rare in running text; they count as common words
         self.cost = {w: -log(c / total) for w, c in (counts | {s: max(counts.get(s, 0), seen // 20 + 1) for s in SEEDS}).items()}
         self.base = log(total)
@@ -83,15 +81,14 @@ class Segmenter:
             end = back[end]
         return tuple(reversed(out))
 
-    def host(self, host: str) -> list[str]:
-        pieces = [piece for label in host.split(".")[:-1] for piece in re.findall("[a-z]{1,256}", label)]
-        return [w for piece in pieces for w in self.split(piece)]
 
-    def path(self, path: str) -> list[str]:
-        return ["#" if t[0].isdigit() else "/" + t for t in re.findall(r"[a-z]+|[0-9]+", path.lower())]
+def pieces_of(host: Column) -> Column:
+    """The runs of letters in a host's labels, without the last label."""
+    return F.regexp_extract_all(F.regexp_replace(host, r"[^.]*\z", ""), F.lit("([a-z]{1,256})"), F.lit(1))
 
-    def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        return self.host(host), self.path(path)
+
+def path_words(path: str) -> list[str]:
+    return ["#" if t[0].isdigit() else "/" + t for t in re.findall(r"[a-z]+|[0-9]+", path.lower())]
 
 
 def counted(rows: DataFrame, tokens, keys: str) -> DataFrame:
@@ -115,8 +112,8 @@ def counted(rows: DataFrame, tokens, keys: str) -> DataFrame:
     return rows.mapInArrow(work, "label int, word string, n long").groupBy(*keys.split()).agg(F.sum("n").alias("n"))
 
 
-def unigrams(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
-    """The most frequent words of the pages' text, and how often they stand there."""
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """word and n: all words of the pages' text, and how often they stand there."""
     tag, word = re.compile(r"<[^<>]*>"), re.compile(r"[a-z]{1,20}(?![a-z])")
 
     def tokens(b: pa.RecordBatch) -> Counter:
@@ -125,31 +122,39 @@ def unigrams(pages: DataFrame, html_col: str = "html") -> dict[str, int]:
             out.update(word.findall(tag.sub(" ", (t or "").lower())))
         return Counter({(0, w): n for w, n in out.items()})
 
-    counts = counted(pages.select(pages[html_col].cast("string").alias("html")), tokens, "word")
-    return {r["word"]: r["n"] for r in most_frequent(counts, F.col("n")).collect()}
-
-
-def most_frequent(counts: DataFrame, n: Column) -> DataFrame:
-    """The first VOCABULARY words. The sorted table is written first, so that only its first parts are read for the driver, not a part of each."""
-    return common.checkpointed(counts.orderBy(n.desc(), "word")).limit(VOCABULARY)
+    return common.checkpointed(counted(pages.select(pages[html_col].cast("string").alias("html")), tokens, "word"))
 
 
-class Bayes:
-    """Multinomial naive Bayes: log odds of block against allow."""
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host and words, for the distinct hosts: their pieces split under the unigram model counts(word, n)."""
+    total, seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    parts = hosts.select("host", F.posexplode(pieces_of(F.col("host"))).alias("at", "piece"))
+    pieces = parts.select("piece").distinct()
 
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int], smoothing: float = 0.5):
-        size = len(counts) + 1
-        total = [sum(c[i] for c in counts.values()) for i in (0, 1)]
-        self.prior = log((pages[1] + 1) / (pages[0] + 1))
+    def substrings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out: dict[str, list] = {"piece": [], "word": []}
+            for piece in common.column(b, "piece"):
+                subs = {piece[i:j] for i in range(len(piece)) for j in range(i + 1, min(len(piece), i + LONGEST_WORD) + 1)}
+                out["piece"] += [piece] * len(subs)
+                out["word"] += subs
+            yield from common.batches(out, pa.schema([("piece", pa.string()), ("word", pa.string())]))
+
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            known = common.column(b, "known")
+            model = Segmenter({x["word"]: x["n"] for xs in known for x in xs or ()}, total, seen)
+            piece = common.column(b, "piece")
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array([list(model.best(x)) for x in piece], pa.list_(pa.string()))], names=["piece", "words"])
 
-        def odds(c: tuple[int, int]) -> float:
-            return log((c[1] + smoothing) / (total[1] + smoothing * size)) - log((c[0] + smoothing) / (total[0] + smoothing * size))
+    # of a piece at most LONGEST_WORD words for each of its 256 letters
+    known = pieces.mapInArrow(substrings, "piece string, word string").join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    words = pieces.join(known, "piece", "left").mapInArrow(split, "piece string, words array<string>")
+    by_host = parts.join(words, "piece").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    return hosts.join(by_host, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
-        self.odds = {w: odds(c) for w, c in counts.items()}
 
-    def score(self, words: list[str]) -> float:
-        unknown = self.odds.get(UNKNOWN, 0.0)
-        return self.prior + sum(self.odds.get(w, unknown) for w in words)
+SMOOTHING = 0.5
 
 
 def located(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -159,44 +164,43 @@ def located(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") ->
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
 
-def fit(pages: DataFrame) -> tuple[Segmenter, Bayes]:
-    segmenter = Segmenter(unigrams(pages))
+def scores(urls: DataFrame) -> DataFrame:
+    """host, path and score, the log odds of block against allow by multinomial naive Bayes, for urls(host, path, words, n)."""
 
-    def tokens(b: pa.RecordBatch) -> Counter:
-        out: Counter = Counter()
-        for host, path in zip(common.column(b, "host"), common.column(b, "path"), strict=True):
-            words, more = segmenter.tokens(host, path)
-            label = int(any(w in SEEDS for w in words))
-            out[label, ""] += 1
-            for w in words + more:
-                out[label, w] += 1
-        return out
-
-    counts = counted(located(pages).select("host", "path"), tokens, "label word")
-    by_word = common.checkpointed(counts.groupBy("word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("allow"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("block")))
-    words = by_word.where("word <> ''")
-    pages_of = by_word.where("word = ''").first()
-    kept = {r["word"]: (r["allow"], r["block"]) for r in most_frequent(words, F.col("allow") + F.col("block")).collect()}
-    total = words.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    rest = tuple((total[k] or 0) - sum(c[i] for c in kept.values()) for i, k in enumerate(("allow", "block")))
-    return segmenter, Bayes(kept | {UNKNOWN: rest}, (pages_of["allow"], pages_of["block"]) if pages_of else (0, 0))
+    def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            path = common.column(b, "path")
+            words = [[*w, *path_words(p)] for w, p in zip(common.column(b, "words"), path, strict=True)]
+            label = [int(any(w in SEEDS for w in ws)) for ws in common.column(b, "words")]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("host")), pa.array(path, pa.string()), b.column(b.schema.get_field_index("n")), pa.array(label, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["host", "path", "n", "label", "words"])
+
+    rows = common.checkpointed(urls.mapInArrow(tokens, "host string, path string, n long, label int, words array<string>"))
+    pages = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    each = rows.select("n", "label", F.explode("words").alias("word"))
+    allow, block = (F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)) for k in (0, 1))
+    by_word = common.checkpointed(each.groupBy("word").agg(allow.alias("allow"), block.alias("block")))
+    size, *total = by_word.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+
+    def share(n: str, k: int) -> Column:
+        return F.log((F.col(n) + SMOOTHING) / F.lit(total[k] + SMOOTHING * (size + 2)))
+
+    odds = by_word.select("word", (share("block", 1) - share("allow", 0)).alias("odds"))
+    prior = log((pages.get(1, 0) + 1) / (pages.get(0, 0) + 1))
+    # summed in the order of the words, so that the result is the same for any partitioning
+    found = rows.select("host", "path", F.posexplode("words").alias("at", "word")).join(odds, "word")
+    found = found.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("at", "odds"))).alias("odds"))
+    found = found.select("host", "path", F.aggregate("odds", F.lit(0.0), lambda s, x: s + x["odds"]).alias("odds"))
+    return rows.select("host", "path").join(found, ["host", "path"], "left").select("host", "path", (F.lit(prior) + F.coalesce("odds", F.lit(0.0))).alias("score"))
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block, where no rule fits) and host_words, for every row."""
     common.small_batches(pages.sparkSession)
-    segmenter, bayes = fit(pages)
-    schema = "page_id long, host string, path string, rule string, verdict string, score double, host_words string"
-
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            verdicts, scores, split = [], [], []
-            for host, path, ruled in zip(common.column(b, "host"), common.column(b, "path"), common.column(b, "ruled"), strict=True):
-                words, more = segmenter.tokens(host, path)
-                score = bayes.score(words + more) if host or path else float("-inf")
-                verdicts.append(ruled or ("block" if score > 0 else "allow"))
-                scores.append(None if ruled or score == float("-inf") else score)
-                split.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), pa.array(split, pa.string())], names=[x.split()[0] for x in schema.split(", ")])
-
-    return located(pages).mapInArrow(work, schema)
+    rows = located(pages)
+    urls = common.checkpointed(rows.groupBy("host", "path").agg(F.count("*").alias("n")))
+    words = common.checkpointed(host_words(urls.select("host").distinct(), unigrams(pages)))
+    urls = urls.join(words, "host")
+    found = scores(urls).join(words, "host").select(F.col("host").alias("h"), F.col("path").alias("p"), "score", F.array_join("words", " ").alias("host_words"))
+    score = F.when(F.col("rule").isNull() & ((F.col("host") != "") | (F.col("path") != "")), F.col("score"))
+    rows = rows.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("score"), "host_words")

@@ -470,6 +470,15 @@ def test_rules_and_segments(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_no_word_is_too_rare(spark):
+    # 60,000 words that stand twice, and two that stand once and share no start with them
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:05d}") + "k" for i in range(60_000)]
+    html = [" ".join(words[i::10] * 2) for i in range(10)] + ["zorvu qimpa"]
+    rows = [(i, f"http://zorvuqimpa.example.net/p/{i}", h) for i, h in enumerate(html)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r["host_words"].split(" ")[0:2] == ["zorvu", "qimpa"] for r in got} == {True}
+
+
 def test_viterbi_splits_names():
     s = urlfilter.Segmenter({"cheap": 50, "flights": 40, "a": 500, "che": 2})
     assert s.split("cheapflights") == ("cheap", "flights") and s.split("") == ()
