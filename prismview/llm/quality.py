@@ -45,6 +45,8 @@ class Limits:
     min_chars: int = 150
     max_word: float = 0.45
     min_words: int = 40
+    #: least share of common words in a text, as a part of the language's usual share
+    min_common: float = 0.5
 
 
 def class_table() -> bytes:
@@ -225,31 +227,36 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     return out
 
 
-def distances(raw: bytes, words: list[bytes], ref: Reference) -> tuple[float, float]:
-    """Of the character classes and of the common words, with all other words as one."""
+def distances(raw: bytes, words: list[bytes], ref: Reference) -> tuple[float, float, float]:
+    """Of the character classes and of the common words, with all other words as one; and the share of common words."""
     own = np.zeros(len(ref.words) + 1)
     known = ref.position
     low = lowered(words)
     for w, n in Counter(w for w in low if w in known).items():
         own[known[w]] = n
-    own[-1] = len(words) - own.sum()
-    return js_distance(char_histogram(raw).astype(float), ref.chars), js_distance(own, ref.shares)
+    common_words = own.sum()
+    own[-1] = len(words) - common_words
+    return js_distance(char_histogram(raw).astype(float), ref.chars), js_distance(own, ref.shares), float(common_words / len(words))
 
 
 def judge(text: str | None, lang: str | None, refs: dict[str | None, Reference], limits: Limits) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance (null where not compared)."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, common_share (null where not compared)."""
     counts, words, raw = base(text or "")
     failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-    char = word = None
+    char = word = share = None
+    lacking = False
     if (ref := refs.get(lang)) and words:
-        c, w = distances(raw, words, ref)
+        c, w, common_share = distances(raw, words, ref)
         char = c if counts[1] >= limits.min_chars else None
-        word = w if counts[0] >= limits.min_words else None
-    kept = not failed and not (char is not None and char > limits.max_char) and not (word is not None and word > limits.max_word)
-    return (*counts, failed, kept, char, word)
+        if counts[0] >= limits.min_words:
+            # the distance alone cannot tell a text without any common word, as all other words are one bin
+            word, share = w, common_share
+            lacking = share < limits.min_common * (1 - ref.shares[-1])
+    kept = not failed and not lacking and not (char is not None and char > limits.max_char) and not (word is not None and word > limits.max_word)
+    return (*counts, failed, bool(kept), char, word, share)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double, common_share double"
 
 
 def score(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -258,7 +265,7 @@ def score(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id
     rows = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[lang_col].cast("string").alias("lang"), documents[text_col].cast("string").alias("text"))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in it:
             got = [judge(t, lang, refs, limits) for lang, t in zip(common.column(b, "lang"), common.column(b, "text"), strict=True)]

@@ -78,6 +78,18 @@ def test_quality_counts_and_references(spark):
     assert sum(not kept for good, kept in judged if not good) >= 0.8 * sum(not good for good, _ in judged)
 
 
+def test_texts_without_common_words_go(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    other = [r["text"] for r in docs.where("lang = 'de'").collect() if r["doc_id"] in good and len(r["text"].split()) >= 60][:3]
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) + ("." if k % 9 == 8 else "") for k in range(120)).capitalize() for _ in range(3)]
+    more = spark.createDataFrame([(10**6 + i, t, "en") for i, t in enumerate(other + noise)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.score(docs.unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert len(got) == 6 and not any(r["kept"] or r["base_failed"] for r in got.values())
+    assert all(r["char_distance"] < 0.17 and r["word_distance"] < 0.45 for r in got.values())
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 2.0])) == pytest.approx(1)
     assert quality.js_distance(np.array([3.0, 1]), np.array([6, 2.0])) == 0
