@@ -8,8 +8,8 @@ Common words are the ones in most documents of the language, found exactly: Misr
 with known error give candidates that are sure to hold them, and a second pass counts those.
 
 Null text: no words, so base_failed. Null lang: a language of its own. A language with less than
-MIN_SHARE of the documents has no reference, and only the base rules judge its documents; this
-also bounds what is sent to every worker. Repeated rows: one result each. Empty table: no rows.
+MIN_SHARE of the documents, or MIN_DOCS, has no reference of its own, which bounds what is sent to every worker; the
+character classes of its documents are compared with those of all documents, whatever the size of the table. Repeated rows: one result each. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ N_COMMON = 48
 #: Counters of a summary; a word in more than one of so many distinct words of documents is sure to be found.
 COUNTERS = 4096
 MIN_SHARE, MIN_DOCS = 1 / 2000, 20
+#: Stands for the language of all documents; their reference has character classes only.
+ANY = "\x00any"
 #: Steps in which a share of a histogram is counted.
 BINS = 1000
 
@@ -167,14 +169,14 @@ def _summaries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str | None, Reference]:
-    """By language; at most 1 / MIN_SHARE languages, of N_COMMON words each."""
+    """By language; at most 1 / MIN_SHARE languages, of N_COMMON words each. And by ANY what all documents have in common."""
     spark = documents.sparkSession
     common.small_batches(spark)
     rows = documents.select(documents[lang_col].cast("string").alias("lang"), documents[text_col].cast("string").alias("text"))
     found = common.checkpointed(rows.mapInArrow(_summaries, "lang string, word binary, n long, error long, docs long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.sum("docs").alias("docs")))
     total = found.agg(F.sum("docs")).first()[0] or 0
     langs = {r["lang"]: r for r in found.where(F.col("word").isNull() & (F.col("docs") >= max(MIN_DOCS, total * MIN_SHARE))).collect()}
-    if not langs:
+    if total < MIN_DOCS:
         return {}
     # a word's true count is at most its counter plus the error, so whoever may be among the first N_COMMON is a candidate
     known = spark.createDataFrame([(lang, r["error"]) for lang, r in langs.items()], "l string, lost long")
@@ -184,7 +186,7 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     candidates: dict[str | None, list[bytes]] = {lang: [] for lang in langs}
     for r in words.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("n") + F.col("lost") >= F.col("least")).select("lang", "word").collect():
         candidates[r["lang"]].append(bytes(r["word"]))
-    candidates = {lang: sorted(ws) for lang, ws in candidates.items()}
+    candidates = {lang: sorted(ws) for lang, ws in candidates.items()} | {ANY: []}
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {lang: {w: i for i, w in enumerate(ws)} for lang, ws in candidates.items()}
@@ -192,17 +194,19 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
         seen = {lang: np.zeros((len(CLASSES) + len(ws), BINS + 1), np.int64) for lang, ws in candidates.items()}
         for b in it:
             for lang, text in zip(common.column(b, "lang"), common.column(b, "text"), strict=True):
-                if lang not in place:
-                    continue
                 raw = (text or "").encode()
-                words = raw.lower().split()
-                if not words:
+                if not raw.strip():
+                    continue
+                h = char_histogram(raw)
+                share = (h * BINS + h.sum() // 2) // h.sum()
+                seen[ANY][np.arange(len(share)), share] += 1
+                if lang not in place or lang == ANY:
                     continue
-                h, known = char_histogram(raw), place[lang]
+                words, known = raw.lower().split(), place[lang]
                 own = np.zeros(len(known), np.int64)
                 for w, n in Counter(w for w in words if w in known).items():
                     own[known[w]] = n
-                share = np.r_[(h * BINS + h.sum() // 2) // h.sum(), -(-own * BINS // len(words))]
+                share = np.r_[share, -(-own * BINS // len(words))]
                 seen[lang][np.arange(len(share)), share] += 1
         out: dict[str, list] = {"lang": [], "feature": [], "bin": [], "n": []}
         for lang, x in seen.items():
@@ -245,10 +249,10 @@ def judge(text: str | None, lang: str | None, refs: dict[str | None, Reference],
     failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
     char = word = share = None
     lacking = False
-    if (ref := refs.get(lang)) and words:
+    if (ref := refs.get(lang) or refs.get(ANY)) and words:
         c, w, common_share = distances(raw, words, ref)
         char = c if counts[1] >= limits.min_chars else None
-        if counts[0] >= limits.min_words:
+        if ref.words and counts[0] >= limits.min_words:
             # the distance alone cannot tell a text without any common word, as all other words are one bin
             word, share = w, common_share
             lacking = share < limits.min_common * (1 - ref.shares[-1])

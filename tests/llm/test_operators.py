@@ -90,6 +90,17 @@ def test_texts_without_common_words_go(spark):
     assert all(r["char_distance"] < 0.17 and r["word_distance"] < 0.45 for r in got.values())
 
 
+def test_small_languages_are_judged(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    fine = next(r["text"] for r in docs.where("lang = 'en'").collect() if r["doc_id"] in good and len(r["text"].split()) >= 60)
+    rng = random.Random(5)
+    junk = " ".join("".join(rng.choice("{}[]=/@~^+_ab") for _ in range(7)) for _ in range(80))
+    more = spark.createDataFrame([(10**6, fine, "xx"), (10**6 + 1, junk, "xx"), (10**6 + 2, junk, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"] - 10**6: (r["base_failed"], r["kept"]) for r in quality.score(docs.unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert got == {0: (False, True), 1: (False, False), 2: (False, False)}
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 2.0])) == pytest.approx(1)
     assert quality.js_distance(np.array([3.0, 1]), np.array([6, 2.0])) == 0
