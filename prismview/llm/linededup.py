@@ -5,19 +5,22 @@ before, by doc_id, or before in the same document. So runs are found wherever th
 and to their last word, and no line feeds or punctuation matter. The first place keeps its text.
 
 Every window selects a seed: of all SEED words in a row within it those with the least hash. Equal windows
-select equal seeds, and windows that select one seed stand next to each other; their zone is all they hold. Seeds whose
-content is seen once are dropped. Zones that repeat are later as a whole except for the first, and only
-where one seed's content has several zones its windows are compared one by one, each zone's first alone.
-Groups are only counted and minimised before a shuffle, never gathered, and the joins are such as can split a hot zone.
+select equal seeds, and windows that select one seed stand next to each other; their zone is all they hold. A zone that
+stands earlier as a whole is cut as a whole. Where zones around one seed differ, matches are extended both ways: the windows of
+each zone's first place are compared one by one.
+
+Places travel as arrays in blobs: a task sends of each content its first place only and cuts its own later ones,
+so a passage that a third of all documents hold gives one place for each task. The texts are shuffled once, by
+row, and the three passes over them share that shuffle.
 
 Runs shorter than MIN_WORDS stay, so a common sentence does no harm. Null text: stays null. Empty text: stays.
 Null doc_id: counts as last. Rows of one doc_id with different texts are rows of their own, in the order of a hash; with the same
 text they count as one place, so neither repeats the other. A document whose whole text repeats earlier ones is left with empty text.
+Extra columns keep their names, whatever those are. Empty table: no rows. Of equal windows (ties) the one with the least doc_id, then the least word, stays.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,337 +32,426 @@ from . import common
 
 #: Words in a window; a repeated run of so many is deleted.
 MIN_WORDS = 40
-#: A soft line shorter than this is chosen as a fingerprint only where there is nothing longer.
-WEIGHTY = 4
 #: Words of a seed, of MIN_WORDS: fewer make fewer seeds, but more of them repeat by chance.
-SEED = 20
-#: Bytes of normalised text that are hashed at once.
-PIECE = 1 << 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SEED = 12
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 19
+#: Places that a task holds before it sends them.
+HELD = 1 << 19
+LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
-UPPER = np.zeros(256, bool)
-UPPER[65:91] = True
-ENDS = np.zeros(256, bool)
-ENDS[[*b".!?,;:"]] = True
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[*common.SPACES.encode()]] = True
 CODES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
+U = np.uint64
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(base))])
+    return np.cumprod(np.r_[U(1), np.full(n, U(base))])
 
 
 POWER, INVERSE = powers(BASE, PIECE), powers(pow(BASE, -1, 1 << 64), PIECE)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (POWER, INVERSE) if n <= PIECE else (powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-# normalised(), soft_lines() and windows() cut by lines; only the tests compare with them
-
-
-def normalised(text: str) -> bytes:
-    """The words in UTF-8 with one space or, between lines, one line feed between them."""
-    return b"\n".join(filter(None, (b" ".join(line.split()) for line in text.encode().split(b"\n"))))
-
-
-def soft_lines(norm: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each soft line, and the first word of each, then the number of words.
-
-    A soft line ends at a line feed, after a word that ends a clause, and before a capitalised word (of
-    the letters below U+0100).
-    """
-    hashes, first, words, at = [], [], 0, 0
-    while at < len(norm):
-        to = len(norm)
-        if to - at > PIECE:
-            # up to the last line feed or clause end in reach, else to the next
-            to = max(norm.rfind(b"\n", at, at + PIECE), *(norm.rfind(bytes([c, 32]), at, at + PIECE) + 1 for c in b".!?,;:"))
-            if to <= at:
-                found = [x for x in (norm.find(b"\n", at + PIECE), *(norm.find(bytes([c, 32]), at + PIECE) + 1 for c in b".!?,;:")) if x > 0]
-                to = min(found, default=len(norm))
-        x = np.frombuffer(norm, np.uint8, to - at, at)
-        gap = np.flatnonzero((x == 32) | (x == 10))
-        up = UPPER[x[gap + 1]]
-        two = gap[gap + 2 < len(x)]
-        up[: len(two)] |= (x[two + 1] == 0xC3) & (x[two + 2] >= 0x80) & (x[two + 2] <= 0x9E)
-        cut = np.flatnonzero((x[gap] == 10) | ENDS[x[gap - 1]] | up)
-        start, end = np.r_[0, gap[cut] + 1], np.r_[gap[cut], len(x)]
-        power, inverse = (POWER, INVERSE) if len(x) <= PIECE else (powers(BASE, len(x)), powers(pow(BASE, -1, 1 << 64), len(x)))
-        prefix = np.r_[np.uint64(0), np.cumsum(CODES[x] * power[: len(x)])]
-        hashes.append(mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
-        first.append(words + np.r_[0, cut + 1])
-        words += len(gap) + 1
-        at = to + 1
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    return np.concatenate(hashes), np.r_[np.concatenate(first), words]
-
-
-def windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of soft lines h: its first line, the line after its last, a hash of its content, its fingerprint.
-
-    first: the first word of each line, then the number of words. last: the line after the last of each line's document.
-    """
-    end = np.searchsorted(first, first[:-1] + min_words)
-    begin = np.flatnonzero(end <= last)
-    end = end[begin]
-    prefix = np.r_[np.uint64(0), np.cumsum(h * powers(BASE, len(h))[:-1])]
-    content = mixed((prefix[end] - prefix[begin]) * powers(pow(BASE, -1, 1 << 64), len(h))[begin] + (end - begin).astype(np.uint64))
-    # the least hash of each window, by minima over spans of powers of two; short lines, which many texts share by chance, come last
-    least = h >> np.uint64(1) | (np.diff(first) < WEIGHTY).astype(np.uint64) << np.uint64(63)
-    fp, size = np.zeros(len(begin), np.uint64), end - begin
-    for k in range(int(size.max(initial=1)).bit_length()):
-        at = np.flatnonzero(size >> k == 1)
-        fp[at] = np.minimum(least[begin[at]], least[end[at] - (1 << k)])
-        if len(least) > 1 << k:
-            least = np.minimum(least[: len(least) - (1 << k)], least[1 << k :])
-    return begin, end, content, fp
-
-
-def words_of(text: str) -> bytes:
-    """The words in UTF-8 with one space between them, whatever the lines."""
-    return b" ".join(text.encode().split())
-
-
-def word_hashes(norm: bytes) -> np.ndarray:
-    """A hash of each word; words are separated by one space."""
-    out, at = [], 0
-    while at < len(norm):
-        to = len(norm)
-        if to - at > PIECE:
-            to = norm.rfind(b" ", at, at + PIECE)
-            if to <= at:
-                to = norm.find(b" ", at + PIECE)
-                to = len(norm) if to < 0 else to
-        x = np.frombuffer(norm, np.uint8, to - at, at)
-        gap = np.flatnonzero(x == 32)
-        start, end = np.r_[0, gap + 1], np.r_[gap, len(x)]
-        power, inverse = _powers(len(x))
-        prefix = np.r_[np.uint64(0), np.cumsum(CODES[x] * power[: len(x)])]
-        out.append(mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
-        at = to + 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    h = (h ^ h >> U(31)) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> U(27)) * U(0x94D049BB133111EB)
+    return h ^ h >> U(31)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return (POWER, INVERSE) if n <= PIECE else (powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n))
+def prefix_sums(codes: np.ndarray, power: np.ndarray) -> np.ndarray:
+    out = np.empty(len(codes) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum(codes * power[: len(codes)], out=out[1:])
+    return out
 
 
 def spans_hash(prefix: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words from begin up to end, by sums of the words' hashes times powers."""
+    """Hashes of what lies from begin up to end, by sums of hashes times powers."""
     return mixed((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
-def least_places(c: np.ndarray, width: int) -> np.ndarray:
-    """For each width values in a row the place of the least, the leftmost of equal ones."""
-    at, span = np.arange(len(c)), 1
-
-    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(c[b] < c[a], b, a)
-
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width values in a row."""
+    span = 1
     while 2 * span <= width:
-        at = lesser(at[:-span], at[span:])
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
-    return lesser(at[: len(at) - (width - span)], at[width - span :]) if span < width else at
-
-
-def seeds(h: np.ndarray, bound: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """The seeds of documents with words h, of which each ends before its bound and has min_words or more.
-
-    For each seed: its document, the first of the windows of min_words words that select it, how many they are (they
-    start one word apart), the seed's content and a hash of all that its windows hold. Then a hash of every
-    window in the order of the seeds, and whether the document has had the window before.
-    """
-    length = max(1, min_words * SEED // MIN_WORDS)
-    power, inverse = _powers(len(h))
-    prefix = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)])]
-    place = np.arange(len(h) - length + 1)
-    content = spans_hash(prefix, inverse, place, place + length)
-    start = np.arange(len(h) - min_words + 1)
-    doc = np.searchsorted(bound, start, "right")
-    inside = start + min_words <= bound[doc]
-    chosen = least_places(content, min_words - length + 1)[inside]
-    start, doc = start[inside], doc[inside]
-    window = spans_hash(prefix, inverse, start, start + min_words)
-    key = window + mixed(doc.astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(start), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
-    at = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    n = np.diff(np.r_[at, len(chosen)])
-    zone = spans_hash(prefix, inverse, start[at], start[at] + n - 1 + min_words)
-    return doc[at], start[at], n, content[chosen[at]], zone, window, again
-
-
-def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    common.small_batches(documents.sparkSession)
-    return documents.select(common.row_key(documents[id_col], documents[text_col]).alias("place"), documents[text_col].cast("string").alias("text"))
-
-
-def _analysed(b: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
-    """For groups of documents of about a megabyte: the rows in the batch, then what seeds() gives, with first words counted from the document's."""
-    rows, norms, counts, size = [], [], [], 0
-
-    def group() -> tuple:
-        total = np.cumsum(counts)
-        doc, first, *rest = seeds(word_hashes(b" ".join(norms)), total, min_words)
-        return np.array(rows)[doc], first - (total - counts)[doc], *rest
-
-    for row, text in enumerate(common.column(b, "text")):
-        norm = words_of(text or "")
-        n = norm.count(b" ") + 1
-        if norm and n >= min_words:
-            rows.append(row)
-            norms.append(norm)
-            counts.append(n)
-            size += len(norm)
-            if size > PIECE:
-                yield group()
-                rows, norms, counts, size = [], [], [], 0
-    if rows:
-        yield group()
-
-
-def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fp and n: the contents of the seeds of groups of documents and in how many places they stand."""
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+def word_spans(x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes x of texts one after another, which begin at bound[:-1]."""
+    inside = np.zeros(len(x) + 1, bool)
+    np.logical_not(SEPARATOR[x], out=inside[:-1])
+    edge = np.empty(len(x) + 1, bool)
+    edge[0] = inside[0]
+    np.not_equal(inside[1:], inside[:-1], out=edge[1:])
+    at = np.flatnonzero(edge)
+    begin, end = at[::2], at[1::2]
+    # a text's last word and the next text's first one may touch
+    cut = bound[(bound > 0) & (bound < len(x))]
+    cut = np.unique(cut[inside[cut] & inside[cut - 1]])
+    if len(cut):
+        begin, end = np.sort(np.r_[begin, cut]), np.sort(np.r_[end, cut])
+    return begin, end
+
+
+class Texts:
+    """The words of some texts, hashed."""
+
+    def __init__(self, x: np.ndarray, bound: np.ndarray):
+        begin, end = word_spans(x, bound)
+        power, inverse = _powers(len(x))
+        h = spans_hash(prefix_sums(CODES[x], power), inverse, begin, end)
+        #: the first word of each text, then the number of words
+        self.first = np.searchsorted(begin, bound)
+        self.power, self.inverse = _powers(len(h))
+        self.prefix = prefix_sums(h, self.power)
+
+    def seeds(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of min_words words, wherever it starts, the least hash of a seed; and where windows begin a zone.
+
+        A zone ends where the least hash changes, or where the window begins with its seed, which the next one
+        lacks. Windows across texts are of no zone; they are told by their start.
+        """
+        length = max(1, min_words * SEED // MIN_WORDS)
+        n = len(self.prefix) - 1
+        place = np.arange(max(0, n - length + 1))
+        content = spans_hash(self.prefix, self.inverse, place, place + length)
+        least = sliding_min(content, min_words - length + 1) if n >= min_words else np.zeros(0, np.uint64)
+        starts = np.ones(len(least), bool)
+        if len(least):
+            np.logical_or(least[1:] != least[:-1], content[: len(least) - 1] == least[:-1], out=starts[1:])
+            starts[self.first[:-1][self.first[:-1] < len(least)]] = True
+        return least, starts
+
+    def inside(self, min_words: int) -> np.ndarray:
+        """Which windows lie within one text."""
+        out = np.ones(max(0, len(self.prefix) - min_words), bool)
+        stop = self.first[1:]
+        for k in range(1, min_words):
+            at = stop - k
+            out[at[(at >= 0) & (at < len(out))]] = False
+        return out
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column and where each begins, then their number; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces(bound: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts from one up to another that together have about PIECE bytes."""
+    at = 0
+    while at < len(bound) - 1:
+        to = max(at + 1, int(np.searchsorted(bound, bound[at] + PIECE, "right")) - 1)
+        yield at, to
+        at = to
+
+
+#: How a place is sent: two hashes of what stands there, its row, its first window's first word, how many windows.
+PLACE = [("seed", np.uint64), ("zone", np.uint64), ("hi", np.int64), ("lo", np.int64), ("first", np.int32), ("n", np.int32)]
+#: What is known of a place: its row, its first window's first word, how many windows, and whether they are to be compared one by one.
+FOUND = [("hi", np.int64), ("lo", np.int64), ("first", np.int32), ("n", np.int32), ("open", np.uint8)]
+Columns = dict[str, np.ndarray]
+
+
+def packed(cols: Columns, kinds: list) -> bytes:
+    return b"".join(cols[name].astype(kind, copy=False).tobytes() for name, kind in kinds)
+
+
+def unpacked(blobs: list[bytes], kinds: list) -> Columns:
+    """The columns of several blobs, joined."""
+    size = sum(np.dtype(kind).itemsize for _, kind in kinds)
+    parts: dict[str, list] = {name: [np.zeros(0, kind)] for name, kind in kinds}
+    for blob in blobs:
+        n, at = len(blob) // size, 0
+        for name, kind in kinds:
+            parts[name].append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {name: np.concatenate(x) for name, x in parts.items()}
+
+
+def taken(cols: Columns, at: np.ndarray) -> Columns:
+    return {name: x[at] for name, x in cols.items()}
+
+
+def changes(*cols: np.ndarray) -> np.ndarray:
+    """Where rows in order differ from the one before."""
+    out = np.zeros(len(cols[0]), bool)
+    out[:1] = True
+    for x in cols:
+        out[1:] |= x[1:] != x[:-1]
+    return out
 
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [x[3] for x in _analysed(b, min_words)]
-            if found:
-                fp, n = np.unique(np.concatenate(found), return_counts=True)
-                yield from common.batches({"fp": fp.view(np.int64), "n": n}, pa.schema([("fp", pa.int64()), ("n", pa.int64())]))
 
-    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, n long")
+def dealt(cols: Columns, key: np.ndarray, kinds: list, n: int, held: int) -> Iterator[tuple[int, int, bytes]]:
+    """(partition, kind, blob) of the rows, dealt by key to n partitions."""
+    part = (mixed(key) % U(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cols, part = taken(cols, order), part[order]
+    at = np.r_[np.flatnonzero(changes(part)), len(part)].tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(part[a]), held, packed({k: x[a:b] for k, x in cols.items()}, kinds)
+
+
+def row_hash(cols: Columns) -> np.ndarray:
+    return cols["lo"].view(np.uint64) ^ mixed(cols["hi"].view(np.uint64))
+
+
+BLOBS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+BLOB_TYPES = "part int, kind int, blob binary"
+
+
+def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > 1 << 22 or len(held) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), BLOBS, strict=True)], schema=BLOBS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), BLOBS, strict=True)], schema=BLOBS)
+
+
+def first_places(cols: Columns, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """The first place of each content, dealt by seed, as kind 0; the later ones, dealt by row, as kind 1."""
+    order = np.lexsort((cols["first"], cols["lo"], cols["hi"], cols["zone"], cols["seed"]))
+    cols = taken(cols, order)
+    new = changes(cols["seed"], cols["zone"])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = ~new & ((cols["hi"] != cols["hi"][lead]) | (cols["lo"] != cols["lo"][lead]) | (cols["first"] != cols["first"][lead]))
+    yield from dealt(sent := taken(cols, new), sent["seed"], PLACE, n, 0)
+    gone = taken(cols, later)
+    gone["open"] = np.zeros(len(gone["n"]), np.uint8)
+    yield from dealt(gone, row_hash(gone), FOUND, n, 1)
+
+
+def places(rows: DataFrame, min_words: int, n: int, single: bool) -> DataFrame:
+    """Blobs of the places in rows (hi, lo, text): of all zones or, where single, of the windows of the zones in opened."""
+
+    def found(b: pa.RecordBatch) -> Iterator[Columns]:
+        col = lambda name: b.column(b.schema.get_field_index(name))
+        x, bound = texts_of(col("text"))
+        hi, lo = col("hi").to_numpy(), col("lo").to_numpy()
+        opened = col("opened") if single else None
+        for a, z in pieces(bound):
+            t = Texts(x[bound[a] : bound[z]], bound[a : z + 1] - bound[a])
+            least, starts = t.seeds(min_words)
+            if single:
+                # pairs of a zone's first window and its number of windows
+                zones = [np.frombuffer(o.as_buffer(), np.int32).reshape(-1, 2) for o in opened[a:z]]
+                row = np.repeat(np.arange(z - a), list(map(len, zones)))
+                first, windows = np.concatenate([np.zeros((0, 2), np.int32), *zones]).astype(np.int64).T
+                row, at = np.repeat(row, windows), np.cumsum(windows) - windows
+                first = np.repeat(first - at, windows) + np.arange(len(row))
+                start = t.first[row] + first
+                count, end = np.ones(len(row), np.int32), start + min_words
+            else:
+                starts &= (inside := t.inside(min_words))
+                start = np.flatnonzero(starts)
+                stop = starts.copy()
+                stop |= ~inside
+                edge = np.r_[np.flatnonzero(stop), len(stop)]
+                count = edge[np.searchsorted(edge, start) + 1] - start
+                end = start + count - 1 + min_words
+                row = np.searchsorted(t.first, start, "right") - 1
+                first = start - t.first[row]
+            zone = spans_hash(t.prefix, t.inverse, start, end)
+            yield {"seed": least[start], "zone": zone, "hi": hi[a:z][row], "lo": lo[a:z][row], "first": first.astype(np.int32), "n": count.astype(np.int32)}
 
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Columns] = []
 
-def selections(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each seed: fp, its content; zone, a hash of all that its windows hold; its row's place; the first word of its first
-    window; how many windows; and whether the document has had all of them before."""
+        def give() -> Iterator[pa.RecordBatch]:
+            yield from _batches(first_places({name: np.concatenate([x[name] for x in held]) for name, _ in PLACE}, n))
+            held.clear()
 
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            place = b.column(b.schema.get_field_index("place"))
-            for row, first, n, content, zone, _, again in _analysed(b, min_words):
-                had = np.logical_and.reduceat(again, np.cumsum(n) - n)
-                rows = pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(zone.view(np.int64)), place.take(pa.array(row)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(had)], names=["fp", "zone", "place", "first", "n", "had"])
-                for k in range(0, len(first), 20_000):
-                    yield rows.slice(k, 20_000)
+            for cols in found(b):
+                held.append(cols)
+                if sum(len(x["n"]) for x in held) > HELD:
+                    yield from give()
+        if held:
+            yield from give()
+
+    return rows.mapInArrow(work, BLOB_TYPES)
+
+
+def compared(blobs: DataFrame, n: int) -> DataFrame:
+    """Blobs of what is known of places, dealt by row: whatever has its content earlier; and the first places around a seed that has several contents, as open."""
+
+    def judged(cols: Columns) -> Columns:
+        order = np.argsort(cols["seed"], kind="stable")
+        seed = cols["seed"][order]
+        new = np.r_[changes(seed), True]
+        cols = taken(cols, order[~(new[1:] & new[:-1])])  # what stands more than once
+        order = np.lexsort((cols["first"], cols["lo"], cols["hi"], cols["zone"], cols["seed"]))
+        cols = taken(cols, order)
+        seed, zone = changes(cols["seed"]), changes(cols["seed"], cols["zone"])
+        lead = np.flatnonzero(zone)[np.cumsum(zone) - 1]
+        later = (cols["hi"] != cols["hi"][lead]) | (cols["lo"] != cols["lo"][lead]) | (cols["first"] != cols["first"][lead])
+        group = np.cumsum(seed) - 1
+        several = np.bincount(group[zone], minlength=len(group[-1:]) and group[-1] + 1) > 1
+        open_ = zone & several[group]
+        out = taken(cols, later | open_)
+        out["open"] = open_[later | open_].astype(np.uint8)
+        return out
 
-    return _rows(documents, id_col, text_col).mapInArrow(work, "fp long, zone long, place decimal(38,0), first int, n int, had boolean")
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in it:
+            rows = [*zip(*(common.column(b, c) for c in BLOBS.names), strict=True)]
+            held += [blob for _, kind, blob in rows if kind == 0]
+            # places that a task has found to be later itself are dealt by row already
+            yield from _batches((part, 0, blob) for part, kind, blob in rows if kind)
+        if held:
+            out = judged(unpacked(held, PLACE))
+            yield from _batches(dealt(out, row_hash(out), FOUND, n, 0))
 
+    return blobs.repartitionById(n, "part").mapInArrow(work, BLOB_TYPES)
 
-def single_windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """The windows of the seeds whose first words are in firsts, for rows (place, text, firsts): place, first, window (a hash), and whether the document has had it before."""
 
-    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            place, firsts = b.column(b.schema.get_field_index("place")), b.column(b.schema.get_field_index("firsts"))
-            wanted = firsts.flatten().to_numpy() | np.repeat(np.arange(len(firsts)), firsts.value_lengths().to_numpy()) << 32
-            for row, first, n, _, _, window, again in _analysed(b, min_words):
-                take = np.isin(first | row.astype(np.int64) << 32, wanted)
-                each, at = np.repeat(take, n), np.cumsum(n) - n
-                first = np.repeat(first - at, n) + np.arange(len(window))
-                out = pa.RecordBatch.from_arrays([place.take(pa.array(np.repeat(row, n)[each])), pa.array(first[each], pa.int32()), pa.array(window[each].view(np.int64)), pa.array(again[each])], names=["place", "first", "window", "had"])
-                for k in range(0, len(out), 20_000):
-                    yield out.slice(k, 20_000)
-
-    return rows.mapInArrow(work, "place decimal(38,0), first int, window long, had boolean")
-
-
-def repeated_windows(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """place and windows (first, end), in words and in order: what stands earlier in the table or in the document."""
-    repeated = common.checkpointed(fingerprints(documents, min_words, id_col, text_col).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))
-    found = common.checkpointed(selections(documents, min_words, id_col, text_col).join(repeated, "fp", "left_semi"))
-    # kept apart from the join, so that the join can split a hot zone
-    zones = common.checkpointed(found.groupBy("fp", "zone").agg(F.min("place").alias("least"), F.count("*").alias("n")))
-    several = zones.groupBy("fp").count().where("count > 1").select("fp", F.lit(True).alias("several"))
-    zones = zones.withColumnRenamed("n", "places").join(several, "fp", "left").where("places > 1 or several").select("zone", "least", F.coalesce("several", F.lit(False)).alias("several"))
-    later = (F.col("place") != F.col("least")) | F.col("had")
-    found = common.checkpointed(found.select("zone", "place", "first", "n", "had").join(zones, "zone").where(later | F.col("several")).select("place", "first", "n", later.alias("later")))
-    whole = found.where("later").select("place", "first", (F.col("first") + F.col("n") - 1 + min_words).alias("end"))
-    # where what surrounds a seed differs, window by window; of zones that are alike the first stands for all
-    open_ = found.where("not later").groupBy("place").agg(F.collect_set(F.col("first").cast("long")).alias("firsts"))
-    rest = common.checkpointed(single_windows(_rows(documents, id_col, text_col).join(open_, "place"), min_words))
-    first = rest.groupBy("window").agg(F.min("place").alias("least"), F.count("*").alias("places")).where("places > 1").select("window", "least")
-    single = rest.join(first, "window").where((F.col("place") != F.col("least")) | F.col("had")).select("place", "first", (F.col("first") + min_words).alias("end"))
-    # the windows of one document, at most one for each of its words
-    return whole.unionByName(single).groupBy("place").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("windows"))
-
-
-def extended(spans: list[dict]) -> list[tuple[int, int]]:
-    """The runs that windows in order make where they meet or overlap."""
-    out: list[tuple[int, int]] = []
-    for w in spans:
-        if out and w["first"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], w["end"]))
-        else:
-            out.append((w["first"], w["end"]))
-    return out
+def by_row(blobs: DataFrame, n: int, min_words: int) -> DataFrame:
+    """For each row of which something is known: row_hi, row_lo, runs (what is later, from word to word) and opened (first windows and numbers of windows)."""
+    schema = pa.schema([("row_hi", pa.int64()), ("row_lo", pa.int64()), ("runs", pa.binary()), ("opened", pa.binary())])
 
+    def gathered(pairs: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
+        offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=rows))] * 8
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(pairs, np.int32))])
 
-def cut_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the runs of words, and how many words went."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    out, at, words = [], 0, 0
-    for first, end in runs:
-        words += end - first
-        out.append(text[at : spans[first][0]])
-        at = spans[end - 1][1]
-        if end < len(spans):  # one of the separators is enough, and a line feed rather than a space
-            gap = text[at : spans[end][0]]
-            if first == 0 or "\n" not in gap:
-                at = spans[end][0]
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for b in it for x in common.column(b, "blob")]
+        if not held:
+            return
+        cols = unpacked(held, FOUND)
+        cols = taken(cols, np.lexsort((cols["open"], cols["first"], cols["lo"], cols["hi"])))
+        row = changes(cols["hi"], cols["lo"])
+        owner = np.cumsum(row) - 1
+        rows = int(row.sum())
+        is_open = cols["open"] == 1
+        opened = np.stack([cols["first"], cols["n"]], axis=1)[is_open]
+        first, who = cols["first"][~is_open].astype(np.int64), owner[~is_open]
+        end = first + cols["n"][~is_open] - 1 + min_words
+        # zones that begin later end later, so a run ends where the next zone begins beyond the last end
+        new = changes(who)
+        new[1:] |= first[1:] > end[:-1]
+        last = np.flatnonzero(np.r_[new[1:], True][: len(new)])
+        runs = np.stack([first[new], end[last]], axis=1)
+        out = pa.RecordBatch.from_arrays([pa.array(cols["hi"][row]), pa.array(cols["lo"][row]), gathered(runs, who[new], rows).cast(pa.binary()), gathered(opened, owner[is_open], rows).cast(pa.binary())], schema=schema)
+        for at in range(0, rows, 20_000):
+            yield out.slice(at, 20_000)
+
+    return blobs.repartitionById(n, "part").mapInArrow(work, "row_hi long, row_lo long, runs binary, opened binary")
+
+
+def keyed(documents: DataFrame, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """hi, lo (the place of a row in order: its doc_id, null last, then a hash of its text), text and rest, the other columns; dealt by hi and lo."""
+    text = documents[text_col].cast("string")
+    hi = F.coalesce(documents[id_col].cast("long"), F.lit(LAST))
+    # one more field, of a name that no other has, for tables without other columns
+    others = F.struct(F.lit(0).alias("_" * (1 + max(map(len, rest), default=0))), *(documents[c] for c in rest))
+    return documents.select(hi.alias("hi"), F.xxhash64(text).alias("lo"), text.alias("text"), others.alias("rest")).repartition(common.partitions(documents.sparkSession), "hi", "lo")
+
+
+def _cut(documents: DataFrame, min_words: int, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """keyed(), with what stands earlier in the table or in the document: runs, and more, which may overlap them."""
+    spark = documents.sparkSession
+    common.small_batches(spark)
+    n = common.partitions(spark)
+    rows = keyed(documents, id_col, text_col, rest)
+    known = by_row(compared(places(rows, min_words, n, False), n), n, min_words)
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        # the right side has one row at most for each of the left's, and is small against its text
+        return left.join(right.hint("shuffle_hash"), (F.col("hi") == F.col("row_hi")) & (F.col("lo") == F.col("row_lo")), how).drop("row_hi", "row_lo")
+
+    asked = joined(rows, known.where(F.octet_length("opened") > 0), "inner")
+    more = by_row(compared(places(asked, min_words, n, True), n), n, min_words)
+    out = joined(rows, known.drop("opened"), "left")
+    return joined(out, more.select("row_hi", "row_lo", F.col("runs").alias("more")), "left")
+
+
+def union(a: bytes | None, b: bytes | None) -> np.ndarray:
+    """The runs of both, joined where they meet or overlap."""
+    runs = np.frombuffer((a or b"") + (b or b""), np.int32).reshape(-1, 2)
+    if not (a and b):
+        return runs
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    end = np.maximum.accumulate(runs[:, 1])
+    new = np.r_[True, runs[1:, 0] > end[:-1]]
+    return np.stack([runs[new, 0], end[np.r_[new[1:], True]]], axis=1)
+
+
+def cut_runs(text: bytes, begin: np.ndarray, end: np.ndarray, runs: np.ndarray) -> bytes:
+    """The text without the runs of words; words lie from begin up to end."""
+    out, at = [], 0
+    for first, stop in runs.tolist():
+        out.append(text[at : begin[first]])
+        at = int(end[stop - 1])
+        if stop < len(begin):  # one of the separators is enough, and a line feed rather than a space
+            if first == 0 or b"\n" not in text[at : begin[stop]]:
+                at = int(begin[stop])
             else:
-                out[-1] = out[-1].rstrip(common.SPACES)
+                out[-1] = out[-1].rstrip(common.SPACES.encode())
     out.append(text[at:])
-    joined = "".join(out)
-    return (joined if joined.strip(common.SPACES) else ""), words
-
-
-def _cut(documents: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """documents with their repeated windows in _windows."""
-    runs = repeated_windows(documents, min_words, id_col, text_col).select(F.col("place").alias("_place"), F.col("windows").alias("_windows"))
-    return documents.join(runs, common.row_key(documents[id_col], documents[text_col]) == F.col("_place"), "left").drop("_place")
+    joined = b"".join(out)
+    return joined if joined.strip(common.SPACES.encode()) else b""
+
+
+def _remaining(b: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray]:
+    """Of each row the text that is left (null: as it was), how many runs went and how many words."""
+    runs, more = common.column(b, "runs"), common.column(b, "more")
+    text = b.column(b.schema.get_field_index("text"))
+    n, words, out = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64), []
+    for i, (r, m) in enumerate(zip(runs, more, strict=True)):
+        spans = union(r, m)
+        if not len(spans):
+            out.append(text[i].as_py())
+            continue
+        raw = text[i].as_buffer().to_pybytes()
+        begin, end = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        n[i], words[i] = len(spans), int((spans[:, 1] - spans[:, 0]).sum())
+        out.append(cut_runs(raw, begin, end, spans).decode())
+    return out, n, words
 
 
 def dedup(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without later repeated runs, n_runs and n_removed_words, for every row."""
-    rows = _cut(documents, min_words, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "_windows")
+    rows = _cut(documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].alias("text")), min_words, "doc_id", "text", ["doc_id"])
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts, n, gone = [], [], []
-            for text, runs in zip(common.column(b, "text"), common.column(b, "_windows"), strict=True):
-                runs = extended(runs or [])
-                text, words = cut_runs(text, runs) if runs and text else (text, 0)
-                texts.append(text)
-                n.append(len(runs))
-                gone.append(words)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_runs", "n_removed_words"])
+            texts, n, gone = _remaining(b)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rest")).field("doc_id"), pa.array(texts, pa.string()), pa.array(n), pa.array(gone)], names=["doc_id", "text", "n_runs", "n_removed_words"])
 
     return rows.mapInArrow(work, "doc_id long, text string, n_runs long, n_removed_words long")
 
 
 def without_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents, with all columns, less the later repeated runs; documents of which nothing is left go."""
-    rows = _cut(documents, min_words, "doc_id", "text")
+    names = documents.columns
+    rows = _cut(documents, min_words, "doc_id", "text", [c for c in names if c != "text"])
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            at = b.schema.get_field_index("text")
-            texts, keep = [], []
-            for text, runs in zip(common.column(b, "text"), common.column(b, "_windows"), strict=True):
-                if runs and text:
-                    text = cut_runs(text, extended(runs))[0]
-                    keep.append(bool(text))
-                else:
-                    keep.append(True)
-                texts.append(text)
-            cols = [pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_())).drop_columns(["_windows"])
+            texts, n, _ = _remaining(b)
+            rest = b.column(b.schema.get_field_index("rest"))
+            kept = pa.array([not k or bool(t) for t, k in zip(texts, n.tolist(), strict=True)], pa.bool_())
+            others = dict(zip([f.name for f in rest.type], rest.flatten(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else others[c] for c in names], names=names).filter(kept)
 
     return rows.mapInArrow(work, documents.schema)

@@ -118,21 +118,6 @@ def passage(n, seed):
     return " ".join(words)
 
 
-def windows_brute(texts, least):
-    """Documents with a window of whole soft lines that stands earlier, by trying every window."""
-    seen, hit = {}, set()
-    for d, t in texts:
-        _, first = linededup.soft_lines(linededup.normalised(t))
-        words = t.encode().split()
-        for a in range(len(first) - 1):
-            b = next((b for b in range(a + 1, len(first)) if first[b] - first[a] >= least), None)
-            if b:
-                key = tuple(words[first[a] : first[b]])
-                if seen.setdefault(key, (d, a)) != (d, a):
-                    hit.add(d)
-    return hit
-
-
 def test_runs_in_the_middle_of_lines_go(spark):
     shared = passage(60, 1)
     texts = [(i, f"{passage(30, 100 + i)} the end {shared} {passage(20, 200 + i)}") for i in range(6)] + [(9, passage(80, 9)), (10, passage(30, 5)), (11, passage(30, 5))]
@@ -144,34 +129,72 @@ def test_runs_in_the_middle_of_lines_go(spark):
     assert [got[i]["text"] for i in (9, 10, 11)] == [t for i, t in texts if i >= 9]
 
 
-def test_winnowing_finds_every_repeated_window(spark):
-    docs = documents(spark)
-    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    got = {r["doc_id"] for r in linededup.dedup(docs).where("n_runs > 0").collect()}
-    assert got == windows_brute(texts, linededup.MIN_WORDS)
-
-
-def test_fingerprints_are_window_minima():
-    rng = np.random.default_rng(2)
-    h, n = rng.integers(0, 1 << 63, 200).astype(np.uint64), rng.integers(1, 12, 200)
-    first = np.r_[0, np.cumsum(n)]
-    begin, end, _, fp = linededup.windows(h, first, np.full(200, 200), 40)
-    key = [(int(x) >> 1) | (int(w < linededup.WEIGHTY) << 63) for x, w in zip(h, n, strict=True)]
-    for a, b, f in zip(begin, end, fp, strict=True):
-        assert first[b] - first[a] >= 40 > first[b - 1] - first[a] and int(f) == min(key[a:b])
-
-
 def covered_brute(texts, least):
     """By document the words in a window of least words, at any word, that stands earlier."""
     seen, gone = {}, {}
     for d, t in texts:
-        words = t.split()
+        words = ascii_words(t)
         for a in range(len(words) - least + 1):
             if seen.setdefault(tuple(words[a : a + least]), (d, a)) != (d, a):
                 gone.setdefault(d, set()).update(range(a, a + least))
     return gone
 
 
+def left_brute(texts, least):
+    """The words that stay, by doc_id."""
+    gone = covered_brute(texts, least)
+    return {d: [w for k, w in enumerate(ascii_words(t)) if k not in gone.get(d, ())] for d, t in texts}
+
+
+def ascii_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
+def test_what_stays_of_the_documents(spark):
+    docs = documents(spark)
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs).collect()}
+    assert {d: ascii_words(t) for d, t in got.items()} == left_brute(texts, linededup.MIN_WORDS)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=90), st.lists(st.integers(1, 30), min_size=1, max_size=4))
+def test_seeds_are_window_minima(words, cuts):
+    # texts of words w0 to w3, so that seeds tie; some texts are shorter than a window
+    bound = sorted({0, len(words), *(c for c in cuts if c < len(words))})
+    raw = [" ".join(f"w{x}" for x in words[a:b]).encode() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+    t = linededup.Texts(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    assert t.first.tolist() == bound
+    least, starts = t.seeds(8)
+    length = 8 * linededup.SEED // linededup.MIN_WORDS
+    content = [linededup.spans_hash(t.prefix, t.inverse, np.array([k]), np.array([k + length]))[0] for k in range(len(words) - length + 1)]
+    chosen = [min(range(i, i + 8 - length + 1), key=lambda k: (content[k], k)) for i in range(len(words) - 7)]
+    assert least.tolist() == [content[k] for k in chosen]
+    assert starts.tolist() == [i == 0 or i in bound or chosen[i] != chosen[i - 1] for i in range(len(chosen))]
+    assert t.inside(8).tolist() == [not any(i < b < i + 8 for b in bound) for i in range(len(chosen))]
+
+
+def test_texts_beyond_a_piece(spark):
+    rng = random.Random(8)
+    long = " ".join(f"k{rng.randrange(10**9)}" + ("\n" if i % 50 == 0 else "") for i in range(150_000))
+    words = long.split()
+    texts = [(0, long), (1, "x " + " ".join(words[70_000:70_045]) + " y"), (2, " ".join(words[-60:])), (3, "q" * 2_000_000), (4, " ".join(words[:39]))]
+    assert len(long) > 2 * linededup.PIECE
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert {d: t.split() for d, t in got.items()} == left_brute(texts, linededup.MIN_WORDS)
+
+
+def test_line_dedup_keeps_columns(spark):
+    names = ["hi", "lo", "rest", "runs", "opened", "more", "row_hi", "_", "_windows"]
+    a = passage(60, 40)
+    rows = [(i, f"{a} tail{i}", *range(len(names))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.without_repeats(df)
+    assert out.columns == df.columns
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(0, f"{a} tail0", *range(len(names)))] + [(i, f"tail{i}", *range(len(names))) for i in (1, 2)]
+
+
 def test_runs_at_any_word_go(spark):
     rng = random.Random(4)
     lower = [f"w{rng.randrange(10**6)}" for _ in range(400)]
