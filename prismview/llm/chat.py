@@ -6,9 +6,10 @@ prefix does not begin with that for the shorter one rewrites history. Where the
 found by rendering the turn with other texts and comparing. The spans of assistant texts are the loss mask.
 
 Rendering every prefix costs a square of the turns, so a conversation longer than WINDOW turns is rendered in
-windows that overlap in one turn; the overlap must render alike, or the template depends on more than that and
-is reported. Conversations stream through a task turn by turn; what is kept of one is a window and its digests,
-also if one conversation has most rows.
+windows that overlap in OVERLAP turns, if the last of them renders in the new window as it did in the old one; what stands before a
+window's first turn, such as a header, is shown once. A template for which it doesn't (one that numbers the turns, say) is
+rendered by whole prefixes however long the conversation is. Conversations stream through a task turn by turn; with a template that
+windows suit, what is kept of one is a window and its digests, also if one conversation has most rows.
 
 The template of this module marks turns as <|im_start|>role, line feed, text, <|im_end|>, line feed. A backslash goes into
 every <|, <\\|, ... of a role or text, and one comes out when it is read back, so no text can forge a mark. Roles also
@@ -33,7 +34,8 @@ from . import common
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 START, END = "<|im_start|>", "<|im_end|>"
-WINDOW = 32
+#: Turns of a window, and of the old one's that the next one begins with.
+WINDOW, OVERLAP = 32, 4
 
 
 def escape(text: str) -> str:
@@ -87,18 +89,21 @@ class Conversation:
     """Renders turns as they come. Each yields (rendered characters, start and end of its text within them)."""
 
     def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
+        self.template, self.window = template, max(window, OVERLAP)
         self.turns: list[Turn] = []
-        self.shown = ""
+        self.shown = self.span = ""
+        self.whole = True  # turns are all that came
         self.frames: dict[tuple[str, bool], tuple[str, str]] = {}
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         if len(self.turns) >= self.window:
-            last = self.turns[-1]
-            alone, together = self.template([last]), self.template([*self.turns[-2:]])
-            if not together.endswith(alone):
+            before, shown = self.template(self.turns[-OVERLAP:-1]), self.template(self.turns[-OVERLAP:])
+            if shown.startswith(before) and shown[len(before) :] == self.span:
+                self.turns, self.shown, self.whole = self.turns[-OVERLAP:], shown, False
+            elif not self.whole:
                 raise Rewrites("a turn depends on more than a window of turns before it")
-            self.turns, self.shown = [last], alone
+            else:
+                self.window = float("inf")
         whole = self.template([*self.turns, (role, text)])
         if not whole.startswith(self.shown):
             raise Rewrites(f"turn {len(self.turns)} changes what stands before it")
@@ -114,7 +119,7 @@ class Conversation:
             if len(self.frames) < 64:
                 self.frames[key] = (span[:a], span[b:])
         self.turns.append((role, text))
-        self.shown = whole
+        self.shown, self.span = whole, span
         return span, a, b
 
 
