@@ -4,12 +4,12 @@ References are medians over all documents of a language, so neither long documen
 of junk below a half can bend them. A document is compared by Jensen-Shannon distance
 (base 2, so between 0 and 1), and only where it is long enough for its histogram to mean something.
 
-Common words are the ones in most documents of the language, found exactly: Misra-Gries summaries
-with known error give candidates that are sure to hold them, and a second pass counts those.
+Common words are the ones in most documents of the language, by exact counts over all documents.
 
-Null text: no words, so base_failed. Null lang: a language of its own. A language with less than
-MIN_SHARE of the documents, or MIN_DOCS, has no reference of its own, which bounds what is sent to every worker; the
-character classes of its documents are compared with those of all documents, whatever the size of the table. Repeated rows: one result each. Empty table: no rows.
+Null text: no words, so base_failed. Null lang: a language of its own. What is sent to every worker is bounded by MAX_LANGS references; the
+character classes of documents of further languages, and of those with less than MIN_DOCS documents, are compared with those of all documents.
+Repeated rows: one result each. Ties: of words that equally many documents hold the lesser one, by bytes. Very long texts: counted whole, in pieces.
+Empty table: no rows; tables of less than MIN_DOCS documents: base rules only. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Character classes of bytes in UTF-8. Digits and letters beyond ASCII count with the lower-case letters: a number or
-#: an address, or a quotation in another language, is no sign of junk. Continuation bytes count for nothing.
-CLASSES = ("lower", "upper", "space", "sentence", "symbol", "control")
+#: Character classes of bytes in UTF-8. Letters beyond ASCII count with the lower-case letters: a quotation in another language is
+#: no sign of junk. Continuation bytes count for nothing.
+CLASSES = ("lower", "upper", "space", "sentence", "symbol", "control", "digit")
 SENTENCE = b".,;:!?'\"-()"
 N_COMMON = 48
-#: Counters of a summary; a word in more than one of so many distinct words of documents is sure to be found.
-COUNTERS = 4096
-MIN_SHARE, MIN_DOCS = 1 / 2000, 20
+#: Languages that may have a reference of their own, those with the most documents, and the documents that one needs.
+MAX_LANGS, MIN_DOCS = 2000, 20
+#: Different words, or shares, that a task counts before it sends them on.
+HELD = 200_000
 #: Stands for the language of all documents; their reference has character classes only.
 ANY = "\x00any"
 #: Steps in which a share of a histogram is counted.
@@ -44,6 +45,8 @@ class Limits:
     """Distances beyond which a document is rejected, and the lengths from which they are applied."""
 
     max_char: float = 0.17
+    #: the same with digits as a class of their own; in max_char they count as letters, since a number or an address is no sign of junk
+    max_digit: float = 0.4
     min_chars: int = 150
     max_word: float = 0.45
     min_words: int = 40
@@ -55,7 +58,7 @@ def class_table() -> bytes:
     out = bytearray(256)
     for b in range(256):
         c = bytes([b])
-        out[b] = 0 if c.islower() or c.isdigit() or b >= 0xC0 else 1 if c.isupper() else 2 if c in b" \t\n\x0b\x0c\r" else 3 if c in SENTENCE else 5 if b < 32 or b == 127 else 4 if b < 128 else 6
+        out[b] = 0 if c.islower() or b >= 0xC0 else 6 if c.isdigit() else 1 if c.isupper() else 2 if c in b" \t\n\x0b\x0c\r" else 3 if c in SENTENCE else 5 if b < 32 or b == 127 else 4 if b < 128 else 7
     return bytes(out)
 
 
@@ -134,105 +137,94 @@ def lowered(words: list[bytes]) -> list[bytes]:
     return b" ".join(words).lower().split(b" ") if words else []
 
 
-def _summaries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, word, count, error, docs): Misra-Gries summaries of how many documents hold a word."""
-    found: dict[str | None, Counter] = {}
-    lost: Counter = Counter()
-    docs: Counter = Counter()
-
-    def shrink(lang) -> None:
-        c = found[lang]
-        if len(c) > COUNTERS:
-            cut = sorted(c.values(), reverse=True)[COUNTERS]
-            lost[lang] += cut
-            found[lang] = Counter({w: n - cut for w, n in c.items() if n > cut})
+def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, word, n): how many documents hold a word, combined over about HELD different words. Word null: how many documents there are."""
+    held: dict[str | None, Counter] = {}
 
     def give() -> Iterator[pa.RecordBatch]:
-        for lang in list(found):
-            shrink(lang)
-            c = found[lang]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(c) + 1), pa.string()), pa.array([None, *c], pa.binary()), pa.array([0, *c.values()], pa.int64()), pa.array([lost[lang]] + [0] * len(c), pa.int64()), pa.array([docs[lang]] + [0] * len(c), pa.int64())], names=["lang", "word", "n", "error", "docs"])
-        found.clear()
-        lost.clear()
-        docs.clear()
+        lang, word, n = zip(*((lang, w, n) for lang, c in held.items() for w, n in c.items()), strict=True)
+        yield from common.batches({"lang": lang, "word": word, "n": n}, pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
+        held.clear()
 
     for b in it:
         for lang, text in zip(common.column(b, "lang"), common.column(b, "text"), strict=True):
-            c = found.setdefault(lang, Counter())
-            c.update(set((text or "").encode().lower().split()))
-            docs[lang] += 1
-            if len(c) > 8 * COUNTERS:
-                shrink(lang)
-        if len(found) > 256:  # a column that hardly names languages
+            held.setdefault(lang, Counter()).update({*(text or "").encode().lower().split(), None})
+        if sum(map(len, held.values())) > HELD:
             yield from give()
-    yield from give()
+    if held:
+        yield from give()
 
 
 def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str | None, Reference]:
-    """By language; at most 1 / MIN_SHARE languages, of N_COMMON words each. And by ANY what all documents have in common."""
+    """By language, for at most MAX_LANGS of N_COMMON words each. And by ANY what all documents have in common."""
     spark = documents.sparkSession
     common.small_batches(spark)
     rows = documents.select(documents[lang_col].cast("string").alias("lang"), documents[text_col].cast("string").alias("text"))
-    found = common.checkpointed(rows.mapInArrow(_summaries, "lang string, word binary, n long, error long, docs long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), F.sum("docs").alias("docs")))
-    total = found.agg(F.sum("docs")).first()[0] or 0
-    langs = {r["lang"]: r for r in found.where(F.col("word").isNull() & (F.col("docs") >= max(MIN_DOCS, total * MIN_SHARE))).collect()}
-    if total < MIN_DOCS:
+    counts = common.checkpointed(rows.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    known = counts.where("word IS NULL").select("lang", "n")
+    if (known.agg(F.sum("n")).first()[0] or 0) < MIN_DOCS:
         return {}
-    # a word's true count is at most its counter plus the error, so whoever may be among the first N_COMMON is a candidate
-    known = spark.createDataFrame([(lang, r["error"]) for lang, r in langs.items()], "l string, lost long")
-    words = found.where(F.col("word").isNotNull()).join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "word", "n", "lost")
+    langs = {r["lang"] for r in known.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    chosen = spark.createDataFrame([(lang,) for lang in langs], "l string")
+    # exact: each language's words stand once here, and a task keeps N_COMMON of each before they meet
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    least = words.withColumn("place", place).where(F.col("place") <= N_COMMON).groupBy(F.col("lang").alias("l")).agg(F.min("n").alias("least"))
-    candidates: dict[str | None, list[bytes]] = {lang: [] for lang in langs}
-    for r in words.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("n") + F.col("lost") >= F.col("least")).select("lang", "word").collect():
-        candidates[r["lang"]].append(bytes(r["word"]))
-    candidates = {lang: sorted(ws) for lang, ws in candidates.items()} | {ANY: []}
+    words = counts.where("word IS NOT NULL").join(F.broadcast(chosen), F.col("lang").eqNullSafe(F.col("l"))).withColumn("place", place).where(F.col("place") <= N_COMMON)
+    common_words: dict[str | None, list[bytes]] = {lang: [] for lang in langs} | {ANY: []}
+    for r in words.select("lang", "word", "place").orderBy("place").collect():
+        common_words[r["lang"]].append(bytes(r["word"]))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {lang: {w: i for i, w in enumerate(ws)} for lang, ws in candidates.items()}
-        # how many documents have a share: of each class, then of each word
-        seen = {lang: np.zeros((len(CLASSES) + len(ws), BINS + 1), np.int64) for lang, ws in candidates.items()}
+        place = {lang: {w: i for i, w in enumerate(ws, len(CLASSES))} for lang, ws in common_words.items()}
+        # how many documents have a share: of each class, then of each word that they hold
+        held: Counter = Counter()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            lang, feature, at = zip(*held, strict=True)
+            yield from common.batches({"lang": lang, "feature": feature, "bin": at, "n": [*held.values()]}, pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
+            held.clear()
+
         for b in it:
             for lang, text in zip(common.column(b, "lang"), common.column(b, "text"), strict=True):
                 raw = (text or "").encode()
                 if not raw.strip():
                     continue
                 h = char_histogram(raw)
-                share = (h * BINS + h.sum() // 2) // h.sum()
-                seen[ANY][np.arange(len(share)), share] += 1
-                if lang not in place or lang == ANY:
-                    continue
-                words, known = raw.lower().split(), place[lang]
-                own = np.zeros(len(known), np.int64)
-                for w, n in Counter(w for w in words if w in known).items():
-                    own[known[w]] = n
-                share = np.r_[share, -(-own * BINS // len(words))]
-                seen[lang][np.arange(len(share)), share] += 1
-        out: dict[str, list] = {"lang": [], "feature": [], "bin": [], "n": []}
-        for lang, x in seen.items():
-            f, at = np.nonzero(x)
-            out["lang"] += [lang] * len(f)
-            out["feature"] += f.tolist()
-            out["bin"] += at.tolist()
-            out["n"] += x[f, at].tolist()
-        yield from common.batches(out, pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
-
-    seen = {lang: np.zeros((len(CLASSES) + len(ws), BINS + 1), np.int64) for lang, ws in candidates.items()}
-    for r in rows.mapInArrow(work, "lang string, feature int, bin int, n long").groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n")).collect():
-        seen[r["lang"]][r["feature"], r["bin"]] = r["n"]
+                share = [*enumerate(((h * BINS + h.sum() // 2) // h.sum()).tolist())]
+                held.update((ANY, *x) for x in share)
+                if lang in place and lang != ANY:
+                    words, known = raw.lower().split(), place[lang]
+                    share += [(known[w], -(-n * BINS // len(words))) for w, n in Counter(w for w in words if w in known).items()]
+                    held.update((lang, *x) for x in share)
+            if len(held) > HELD:
+                yield from give()
+        if held:
+            yield from give()
+
+    shares = rows.mapInArrow(work, "lang string, feature int, bin int, n long").groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))
+    # a feature has at most BINS + 1 rows now; the median is the bin that holds the middle document, those without a word at zero
+    shares = common.checkpointed(shares)
+    totals = shares.where("feature = 0").groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("documents"))
+    by_feature = shares.groupBy("lang", "feature").agg(F.sort_array(F.collect_list(F.struct((-F.col("bin")).alias("less"), "n"))).alias("bins"))
+    by_feature = by_feature.join(totals, F.col("lang").eqNullSafe(F.col("l")))
+    # from the greatest share down until half of the documents have as much
+    middle = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("bin")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(s["n"] * 2 <= F.col("documents"), -x["less"]).otherwise(s["bin"]).alias("bin")))
+    found: dict[str | None, dict[int, float]] = {}
+    for r in by_feature.select("lang", "feature", "documents", middle.alias("m")).collect():
+        found.setdefault(r["lang"], {})[r["feature"]] = r["m"]["bin"] / BINS if r["m"]["n"] * 2 > r["documents"] else 0.0
     out = {}
-    for lang, x in seen.items():
-        if n := int(x[0].sum()):
-            median = (np.cumsum(x, axis=1) * 2 >= n).argmax(axis=1) / BINS
-            held = n - x[len(CLASSES) :, 0]
-            best = sorted(range(len(held)), key=lambda i: (-held[i], candidates[lang][i]))[:N_COMMON]
-            share = median[len(CLASSES) :][best]
-            out[lang] = Reference(median[: len(CLASSES)], [candidates[lang][i] for i in best], np.r_[share, max(0.0, 1 - share.sum())])
+    for lang, x in found.items():
+        ws = common_words[lang]
+        share = np.array([x.get(i, 0.0) for i in range(len(CLASSES), len(CLASSES) + len(ws))])
+        out[lang] = Reference(np.array([x.get(i, 0.0) for i in range(len(CLASSES))]), ws, np.r_[share, max(0.0, 1 - share.sum())])
     return out
 
 
-def distances(raw: bytes, words: list[bytes], ref: Reference) -> tuple[float, float, float]:
-    """Of the character classes and of the common words, with all other words as one; and the share of common words."""
+def with_digits_as_letters(h: np.ndarray) -> np.ndarray:
+    return np.r_[h[0] + h[6], h[1:6]]
+
+
+def distances(raw: bytes, words: list[bytes], ref: Reference) -> tuple[float, float, float, float]:
+    """Of the character classes, with digits as letters and as digits, and of the common words, with all other words as one; and the share of common words."""
     own = np.zeros(len(ref.words) + 1)
     known = ref.position
     low = lowered(words)
@@ -240,27 +232,29 @@ def distances(raw: bytes, words: list[bytes], ref: Reference) -> tuple[float, fl
         own[known[w]] = n
     common_words = own.sum()
     own[-1] = len(words) - common_words
-    return js_distance(char_histogram(raw).astype(float), ref.chars), js_distance(own, ref.shares), float(common_words / len(words))
+    chars = char_histogram(raw).astype(float)
+    return js_distance(with_digits_as_letters(chars), with_digits_as_letters(ref.chars)), js_distance(chars, ref.chars), js_distance(own, ref.shares), float(common_words / len(words))
 
 
 def judge(text: str | None, lang: str | None, refs: dict[str | None, Reference], limits: Limits) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance, common_share (null where not compared)."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, digit_distance, word_distance, common_share (null where not compared)."""
     counts, words, raw = base(text or "")
     failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-    char = word = share = None
+    char = digit = word = share = None
     lacking = False
     if (ref := refs.get(lang) or refs.get(ANY)) and words:
-        c, w, common_share = distances(raw, words, ref)
-        char = c if counts[1] >= limits.min_chars else None
+        c, d, w, common_share = distances(raw, words, ref)
+        if counts[1] >= limits.min_chars:
+            char, digit = c, d
         if ref.words and counts[0] >= limits.min_words:
             # the distance alone cannot tell a text without any common word, as all other words are one bin
             word, share = w, common_share
             lacking = share < limits.min_common * (1 - ref.shares[-1])
-    kept = not failed and not lacking and not (char is not None and char > limits.max_char) and not (word is not None and word > limits.max_word)
-    return (*counts, failed, bool(kept), char, word, share)
+    kept = not failed and not lacking and not (char is not None and (char > limits.max_char or digit > limits.max_digit)) and not (word is not None and word > limits.max_word)
+    return (*counts, failed, bool(kept), char, digit, word, share)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double, common_share double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, digit_distance double, word_distance double, common_share double"
 
 
 def score(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -269,7 +263,7 @@ def score(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id
     rows = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[lang_col].cast("string").alias("lang"), documents[text_col].cast("string").alias("text"))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in it:
             got = [judge(t, lang, refs, limits) for lang, t in zip(common.column(b, "lang"), common.column(b, "text"), strict=True)]
