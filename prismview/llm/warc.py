@@ -4,24 +4,24 @@ Pages are written as WARC records by Spark's text writer: a record ends with the
 separate lines here, so each gzipped part is an archive. Equal payloads of at least min_bytes are kept
 once, in the record with the largest page_id; the others are revisits that name it.
 
-Reading parses whole archives of bounded size by their content lengths. Each yields a run of captures
-sorted by URL key and time; runs are dealt out by ranges of (key, time, page_id), and each range merges
-its k runs with a loser tree, beyond a bound through sorted files in the task's own folder.
+An archive holds at most ARCHIVE_BYTES of records, or one record. Reading inflates it piece by piece and parses record after record by their
+content lengths. Each archive yields a run of captures sorted by URL key and time; runs are dealt out by ranges of (key, time, page_id),
+as many as bound what one holds, and each range merges its k runs with a loser tree. Nothing is kept in local files.
 
 Null html: an empty payload. Null or odd url: kept as it is; its key is its text. Null page_id: takes part as a
 copy, never as the one that others refer to if any has an id. Repeated rows: rows with the largest page_id are
-all responses. Empty table: no archives, no rows.
+all responses; equal captures are told apart by where they stand, so ranges split them too. Ties of key, time and page_id: any order. Very long html: a record
+of its own archive. Extra columns, whatever their names, are not read. Empty table: no archives, no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import pickle
 import re
-import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from . import common
 
 CRLF = "\r\n"
-#: Records of one archive at most; a reading task holds one archive.
-ARCHIVE_RECORDS = 500
-#: Captures that a merging task holds before it writes a sorted file.
-HELD = 100_000
+#: Records of one archive at most, and bytes of their payloads.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 500, 64 << 20
+#: Bytes of gzipped archives for each range of the index: a merging task holds their captures.
+RANGE_BYTES = 32 << 20
+#: Bytes that are inflated at once.
+PIECE = 1 << 20
 EPOCH = 1_704_067_200
 
 
@@ -81,26 +83,58 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes the archives, gzipped, to a folder that all executors share."""
-    out = records(with_targets(pages, min_bytes))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).mode("overwrite").text(path)
-
-
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode().split(CRLF)
+    """Writes the archives, gzipped, to a folder that all executors share: ordinary pages by the hundred, longer ones in archives of fewer records."""
+    rows = with_targets(pages, min_bytes)
+    longest = rows.agg(F.max(F.when(F.col("refers_to").isNull(), F.col("n")))).first()[0] or 0
+    usual = ARCHIVE_BYTES // ARCHIVE_RECORDS
+    low, mode = -1, "overwrite"
+    for records_of_one in (ARCHIVE_RECORDS, ARCHIVE_RECORDS // 25, 1):
+        high = ARCHIVE_BYTES // records_of_one if records_of_one > 1 else max(longest, usual)
+        part = rows.where(F.col("n").between(low + 1, high)) if longest > usual else rows
+        records(part).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_of_one).mode(mode).text(path)
+        low, mode = high, "append"
+        if longest <= high:
+            break
+
+
+def inflated(archive: bytes) -> Iterator[bytes]:
+    """The bytes of a gzipped archive, piece by piece."""
+    while archive:
+        d = zlib.decompressobj(31)
+        data = d.decompress(archive, PIECE)
+        while data:
+            yield data
+            data = d.decompress(d.unconsumed_tail, PIECE)
+        archive = d.unused_data
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record of an archive that comes in pieces; one record is held at a time."""
+    held, at = bytearray(), 0
+
+    def more(n: int) -> bool:
+        """Whether n bytes are there now."""
+        while len(held) < n and (piece := next(pieces, None)):
+            held.extend(piece)
+        return len(held) >= n
+
+    while more(1):
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+            looked = len(held)
+            if not more(looked + 1):
+                raise ValueError(f"the record at byte {at} has no end of its header")
+        lines = held[:end].decode().split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         head = dict(x.split(": ", 1) for x in lines[1:])
         start = end + 4
         stop = start + int(head["Content-Length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
+        if not more(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield head, archive[start:stop]
-        at = stop + 4
+        yield head, bytes(held[start:stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def url_key(url: str) -> str:
@@ -110,11 +144,11 @@ def url_key(url: str) -> str:
 
 
 def captures(archive: bytes) -> list[tuple]:
-    """Of each record: key, time, page_id, payload bytes, digest, type, page_id referred to; sorted."""
+    """Of each record of a gzipped archive: key, time, page_id, payload bytes, digest, type, page_id referred to; sorted."""
     from urllib.parse import unquote_plus
 
     out = []
-    for head, block in parse(archive):
+    for head, block in parse(inflated(archive)):
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         kind = head["WARC-Type"]
@@ -166,37 +200,29 @@ class LoserTree:
             self.tree[0] = w
 
 
-def merged(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """All rows in order, from rows that come as sorted runs, one after another.
+def merged(batches: Iterator[pa.RecordBatch], width: int = 3, at_once: int = 500) -> Iterator[tuple]:
+    """All rows in order, from batches whose rows come as sorted runs, one after another; the first width columns give the order.
 
-    Runs are told by where the order breaks. Beyond HELD rows those held are merged into a sorted file
-    of the task's own, which goes when the task ends; the files are merged at the end.
+    Runs are told by where the order breaks. They are held as Arrow batches, and of each run at_once rows are read at a time.
     """
-    runs: list[list[tuple]] = []
-    files = []
-    held = 0
-    for row in rows:
-        if not runs or order(row) < order(runs[-1][-1]):
-            runs.append([])
-        runs[-1].append(row)
-        held += 1
-        if held >= HELD:
-            f = tempfile.TemporaryFile()
-            for x in LoserTree(list(map(iter, runs))):
-                pickle.dump(x, f, -1)
-            files.append(f)
-            runs, held = [], 0
-
-    def read(f) -> Iterator[tuple]:
-        f.seek(0)
-        while True:
-            try:
-                yield pickle.load(f)
-            except EOFError:
-                f.close()
-                return
-
-    yield from LoserTree([*map(read, files), *map(iter, runs)])
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
+    for b in batches:
+        keys = [*zip(*(c.to_pylist() for c in b.columns[:width]), strict=True)]
+        cut = [k for k in range(len(keys)) if (keys[k - 1] if k else last) is None or keys[k] < (keys[k - 1] if k else last)]
+        if keys:
+            last = keys[-1]
+        if keys and (not cut or cut[0] > 0):
+            runs[-1].append(b.slice(0, cut[0] if cut else len(keys)))
+        for k, to in pairwise([*cut, len(keys)]):
+            runs.append([b.slice(k, to - k)])
+
+    def read(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in run:
+            for at in range(0, len(b), at_once):
+                yield from zip(*(c.to_pylist() for c in b.slice(at, at_once).columns), strict=True)
+
+    yield from LoserTree(list(map(read, runs)))
 
 
 COLUMNS = [("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("no_id", pa.bool_())]
@@ -216,20 +242,22 @@ def _batches(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The captures of a folder's archives, in the order of URL key, time and page_id over all partitions."""
-    common.small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    common.small_batches(spark, 64)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    # the files' lengths are known without reading them
+    ranges = max(common.partitions(spark), -(-(files.agg(F.sum("length")).first()[0] or 0) // RANGE_BYTES))
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for content in b.column(0):
-                yield from _batches(captures(zlib.decompress(content.as_py(), 31)))
+                yield from _batches(captures(content.as_py()))
 
-    runs = files.mapInArrow(read, TYPES + ", no_id boolean")
-    dealt = runs.repartitionByRange(common.partitions(spark), "url_key", "captured_at", "page_id")
+    runs = files.select("content").mapInArrow(read, TYPES + ", no_id boolean")
+    # equal captures may lie in any range
+    dealt = runs.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(ranges, "url_key", "captured_at", "page_id", "salt").drop("salt")
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in it for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        yield from _batches(merged(rows))
+        yield from _batches(merged(it))
 
     out = dealt.mapInArrow(merge, TYPES + ", no_id boolean")
     return out.withColumn("page_id", F.when(~F.col("no_id"), F.col("page_id"))).drop("no_id")
