@@ -10,11 +10,13 @@ terms added in the order of dimensions, so equal vectors have equal scores.
 
 A query probes the lists nearest to it, as many as the sample needs for the wanted recall. Lists beyond CHUNK
 vectors are cut into chunks, which tasks take apart; a query meets each chunk of a probed list, and each gives
-at most k rows. Every vector is indexed.
+at most k rows. A query's threshold is tightened after each first block of columns, and what it has found so far is handed on to the next
+chunk of its task. A query that finds less than k in its lists probes all of them. Every vector is indexed.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
-part. Ties: the smaller vec_id first. Null vec_id: takes no part. Repeated rows: each is a candidate; a query that
-stands there more than once is answered once. Fewer candidates than k: all that are found. Empty table: no rows.
+part. Ties: the smaller vec_id first. Null vec_id: takes no part. Repeated rows: each is a candidate of other ids; a query whose id
+stands there more than once is answered once, for the least of its vectors. Fewer candidates than k: all of them. Empty table: no rows.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,19 +32,22 @@ from . import common
 
 #: Vectors that the centres are fitted on and the probes measured with, and sample queries; chosen by a hash of the id (about so many).
 SAMPLE, SAMPLE_QUERIES = 20_000, 300
-CHUNK = 4096
+CHUNK = 16_384
 #: Dimensions of a column block.
 BLOCK = 16
 #: Deviations beyond which a candidate is abandoned.
 EPSILON = 3.0
 #: Share of the sample's neighbours that the probed lists must hold.
 TARGET = 0.97
+#: Queries whose thresholds a task remembers between chunks.
+REMEMBERED = 1 << 18
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v (doubles) of the rows that take part."""
+    """vec_id and v (doubles, or floats if they are such) of the rows that take part."""
     v = F.col("v")
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull())
+    kind = vectors.select(vectors[vector_col].alias("v")).schema["v"].dataType.simpleString()
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>" if kind == "array<float>" else "array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull())
     big = 1.7976931348623157e308
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= big)) & F.exists(v, lambda x: x != 0)
     return rows.where(F.coalesce(ok, F.lit(False)))
@@ -92,27 +97,43 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], tail: np.ndarray, v: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk: their places and scores. tail[b]: each vector's squared length from block b on."""
+def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], tail: list[np.ndarray], v: np.ndarray, ids: np.ndarray, own: int, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a chunk: their places and scores. tail[b]: each vector's squared length from block b on. known: a score that k vectors elsewhere reach."""
     dims, n = len(q), len(ids)
-    start = min(n, max(4 * k, 64))
-    # the threshold: the k-th best of the first vectors, by their whole products
-    first, at = np.zeros(start), 0
-    for b in blocks:
-        first += q_rot[at : at + len(b)] @ b[:, :start]
-        at += len(b)
-    first[ids[:start] == own] = -np.inf
-    least = np.partition(first, start - k)[start - k] if start > k else -np.inf
-    allowed = q_rot @ q_rot + tail[0] - 2 * least  # squared distance at which a vector is just as good
+
+    def products(at: np.ndarray) -> np.ndarray:
+        out, d = np.zeros(len(at)), 0
+        for b in blocks:
+            out += q_rot[d : d + len(b)] @ b[:, at]
+            d += len(b)
+        out[ids[at] == own] = -np.inf
+        return out
+
+    # the threshold: the k-th best of some vectors, by their whole products
+    start = np.arange(min(n, max(4 * k, 64)))
+    whole = products(start)
+    best = np.argsort(-whole, kind="stable")[:k]
+    sure, reached = start[best], whole[best]
     live, part, at = np.arange(n), np.zeros(n), 0
+    length = q_rot @ q_rot
     for i, b in enumerate(blocks):
         part = part + q_rot[at : at + len(b)] @ (b if len(live) == n else b[:, live])
         at += len(b)
-        if at == dims or not np.isfinite(least):
+        if at == dims:
             continue
         so_far = q_rot[:at] @ q_rot[:at] + (tail[0] - tail[i + 1])[live] - 2 * part
+        if i == 0 and n > 8 * len(start):  # those that look nearest so far tighten it
+            more = live[np.argpartition(so_far, 2 * k)[: 2 * k]]
+            more = np.setdiff1d(more, sure)
+            both, score = np.r_[sure, more], np.r_[reached, products(more)]
+            best = np.argsort(-score, kind="stable")[:k]
+            sure, reached = both[best], score[best]
+        least = max(known, reached[k - 1] if len(reached) == k else -np.inf)
+        if not np.isfinite(least):
+            continue
+        allowed = length + tail[0][live] - 2 * least  # squared distance at which a vector is just as good
         share = at / dims + EPSILON * np.sqrt(2 * at * (dims - at) / (dims * dims * (dims + 2)))
-        keep = so_far <= np.maximum(allowed[live], 0) * min(share, 1.0) + 1e-9 * (1 + tail[0][live])
+        keep = so_far <= np.maximum(allowed, 0) * min(share, 1.0) + 1e-9 * (1 + tail[0][live])
         if not keep.all():
             live, part = live[keep], part[keep]
             if len(live) <= 4 * k:
@@ -122,6 +143,7 @@ def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], tail: np.nd
     if at == dims and len(live) > k:  # part is the whole product, but for rounding
         cut = np.partition(part, len(part) - k)[len(part) - k]
         live = live[part >= cut - 1e-9 * (1 + abs(cut))]
+    live = np.union1d(live, sure[np.isfinite(reached)])
     s = scores(q, v[live])
     best = np.lexsort((ids[live], -s))[:k]
     return live[best], s[best]
@@ -152,28 +174,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.argmax(unit @ centres.T, axis=1), pa.int32())], names=["vec_id", "v", "list"])
 
     common.small_batches(spark, 2000)
-    listed = common.checkpointed(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
+    kind = rows.schema["v"].dataType.simpleString()
+    listed = common.checkpointed(rows.mapInArrow(assign, f"vec_id long, v {kind}, list int"))
     # at most as many lists as centres; a list's chunks grow with it
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     chunks = {i: -(-s // CHUNK) for i, s in sizes.items()}
     count_of = F.create_map(*(F.lit(z) for i, c in sorted(chunks.items()) for z in (i, c)))
     members = listed.select("list", F.pmod(F.xxhash64("vec_id"), count_of[F.col("list")]).cast("int").alias("chunk"), F.lit(False).alias("asks"), "vec_id", "v")
 
-    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if not b.num_rows:
-                continue
-            v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
+    def probe(lists: int):
+        def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                if not b.num_rows:
+                    continue
+                v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :lists]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
 
-    asking = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(probe, "vec_id long, v array<double>, lists array<int>")
-    asking = asking.select("vec_id", "v", F.explode("lists").alias("list")).where(count_of[F.col("list")].isNotNull())
-    asking = asking.select("list", F.explode(F.sequence(F.lit(0), count_of[F.col("list")] - 1)).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "v")
-    both = members.unionByName(asking).repartition(common.partitions(spark), "list", "chunk").sortWithinPartitions("list", "chunk", "asks", "vec_id")
+        return work
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vs, built = None, [], [], None
+        known: dict[int, float] = {}
         for b in it:
             keys = list(zip(common.column(b, "list"), common.column(b, "chunk"), common.column(b, "asks"), strict=True))
             vec = np.array(common.column(b, "vec_id"), np.int64)
@@ -196,13 +218,34 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
                     tail = [square[a] for a in range(0, dims, BLOCK)]
                     built = m, blocks, tail, np.array(ids)
                 m, blocks, tail, own_ids = built
-                place, s = scan(v[i], turn @ v[i], blocks, tail, m, own_ids, vec[i], k)
-                out += zip([int(vec[i])] * len(s), own_ids[place].tolist(), s.tolist(), strict=True)
+                asker = int(vec[i])
+                place, s = scan(v[i], turn @ v[i], blocks, tail, m, own_ids, asker, k, known.get(asker, -np.inf))
+                if len(s) == k:  # no vector below this is among the k best of all
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known[asker] = max(known.get(asker, -np.inf), float(s[-1]))
+                out += zip([asker] * len(s), own_ids[place].tolist(), s.tolist(), strict=True)
             if out:
                 q, w, s = zip(*out, strict=True)
                 yield from common.batches({"query_id": q, "vec_id": w, "score": s}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    found = both.mapInArrow(answer, "query_id long, vec_id long, score double")
-    # at most k rows of each chunk; the window keeps k of each query before the shuffle too
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def found(askers: DataFrame, lists: int) -> DataFrame:
+        asking = askers.mapInArrow(probe(lists), f"vec_id long, v {kind}, lists array<int>")
+        asking = asking.select("vec_id", "v", F.explode("lists").alias("list")).where(count_of[F.col("list")].isNotNull())
+        asking = asking.select("list", F.explode(F.sequence(F.lit(0), count_of[F.col("list")] - 1)).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "v")
+        both = members.unionByName(asking).repartition(common.partitions(spark), "list", "chunk").sortWithinPartitions("list", "chunk", "asks", "vec_id")
+        # at most k rows of each chunk; the window keeps k of each query before the shuffle too
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        rows = both.mapInArrow(answer, "query_id long, vec_id long, score double")
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    askers = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    near = found(askers, probes)
+    if probes == len(centres):
+        return near
+    near = common.checkpointed(near)
+    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = common.checkpointed(askers.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return near
+    return near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, len(centres)))
