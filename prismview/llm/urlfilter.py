@@ -5,8 +5,12 @@ words of all pages. The multinomial model is trained on all pages: a page whose
 of what to block, the others of what to allow. Both models keep all words as distributed tables, to which the
 substrings of host names and the words of URLs are joined, so no worker holds a model.
 
+Words are runs of letters of any script. A word of a host name has at most LONGEST_WORD letters, which is what a label of a host name can hold; numbers
+count as one word. A host without a dot is split as it is, of others the last label is left out.
+
 Null url or one without "://": host and path are empty, no rule fits, and the method allows it. Null html: no words.
-Null page_id: stays. Repeated rows: one result each. Empty table: no rows.
+Null page_id: stays. Repeated rows: one result each. Ties: of equally likely splits the one with the longer last word; a score of zero allows.
+Very long hosts: split whole. Extra columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LONGEST_WORD = 20
+#: Letters of a word in a host name: the most that a label can have.
+LONGEST_WORD = 63
 #: Fixed value: words of host names that mark what to block.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "track", "tracker", "viagra", "xxx")
 #: The rules (verdict, host, path).
@@ -67,6 +72,8 @@ class Segmenter:
         return self.memo[name]
 
     def best(self, name: str) -> tuple[str, ...]:
+        if name[:1].isnumeric():
+            return ("#",)
         best, back = [0.0] + [float("inf")] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
             for start in range(max(0, end - LONGEST_WORD), end):
@@ -83,12 +90,12 @@ class Segmenter:
 
 
 def pieces_of(host: Column) -> Column:
-    """The runs of letters in a host's labels, without the last label."""
-    return F.regexp_extract_all(F.regexp_replace(host, r"[^.]*\z", ""), F.lit("([a-z]{1,256})"), F.lit(1))
+    """The runs of letters, and of digits, in a host's labels, without the last label if there are several."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(host), r"\.[^.]*\z", ""), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
 
 
 def path_words(path: str) -> list[str]:
-    return ["#" if t[0].isdigit() else "/" + t for t in re.findall(r"[a-z]+|[0-9]+", path.lower())]
+    return ["#" if t[0].isnumeric() else "/" + t for t in re.findall(r"[^\W\d_]+|\d+", path.lower())]
 
 
 def counted(rows: DataFrame, tokens, keys: str) -> DataFrame:
@@ -114,7 +121,7 @@ def counted(rows: DataFrame, tokens, keys: str) -> DataFrame:
 
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """word and n: all words of the pages' text, and how often they stand there."""
-    tag, word = re.compile(r"<[^<>]*>"), re.compile(r"[a-z]{1,20}(?![a-z])")
+    tag, word = re.compile(r"<[^<>]*>"), re.compile(r"[^\W\d_]+")
 
     def tokens(b: pa.RecordBatch) -> Counter:
         out: Counter = Counter()
@@ -135,9 +142,14 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
         for b in it:
             out: dict[str, list] = {"piece": [], "word": []}
             for piece in common.column(b, "piece"):
+                if piece[0].isnumeric():
+                    continue
                 subs = {piece[i:j] for i in range(len(piece)) for j in range(i + 1, min(len(piece), i + LONGEST_WORD) + 1)}
                 out["piece"] += [piece] * len(subs)
                 out["word"] += subs
+                if len(out["word"]) > 100_000:
+                    yield from common.batches(out, pa.schema([("piece", pa.string()), ("word", pa.string())]))
+                    out = {"piece": [], "word": []}
             yield from common.batches(out, pa.schema([("piece", pa.string()), ("word", pa.string())]))
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +159,7 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             piece = common.column(b, "piece")
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.string()), pa.array([list(model.best(x)) for x in piece], pa.list_(pa.string()))], names=["piece", "words"])
 
-    # of a piece at most LONGEST_WORD words for each of its 256 letters
+    # of a piece at most LONGEST_WORD words for each of its letters
     known = pieces.mapInArrow(substrings, "piece string, word string").join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     words = pieces.join(known, "piece", "left").mapInArrow(split, "piece string, words array<string>")
     by_host = parts.join(words, "piece").groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
