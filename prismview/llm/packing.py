@@ -4,12 +4,13 @@ Documents are dealt into ranges of doc_id, tokenised, and laid end to end. A dyn
 over the places where a cut may fall (ends of documents, ends of sentences) minimises padding plus
 a penalty for each cut inside a document; the cheapest predecessor within the window of one
 sequence comes from a monotone queue, so a place costs constant time. A sequence whose length is a
-power of two needs no padding, which gives each place a few further predecessors. The rest at the
-end of a range is cut into powers of two.
+power of two needs no padding, which gives each place a few further predecessors. In the last sequences of a
+range every token is a place, at the price of a cut inside a sentence, so that little padding is left there too.
 
-A run of tokens without any such place longer than a sequence is cut at the sequence's length.
+A run of tokens without any place longer than a sequence is cut at the sequence's length, at that price.
 Null text: encoded as the empty text, so the end token alone. Null doc_id: sorts first. Repeated
-rows: each is packed. Empty table: no pieces.
+rows: each is packed, and ranges may part them. Ties: the nearest cut that costs least. Very long texts: cut like any other. Extra columns, whatever
+their names, are not read. Empty table: no pieces.
 """
 
 from __future__ import annotations
@@ -29,10 +30,8 @@ from pyspark.sql import types as T
 from . import common
 from .bpe import Merger, Words
 
-#: Cost of a cut at a sentence's end, in tokens of padding.
-SENTENCE_CUT = 16
-#: A sentence's end so close behind another place is no place of its own.
-SPACING = 24
+#: Cost of a cut at a sentence's end, and of one inside a sentence, in tokens of padding.
+SENTENCE_CUT, INNER_CUT = 16.0, 64.0
 #: Tokens of which the cuts are chosen together.
 BLOCK = 1 << 17
 
@@ -93,38 +92,67 @@ def choose_cuts(place: list[int], cost: list[float], length: int) -> list[int]:
     place: increasing token positions; cost[k]: the penalty of a cut at place[k]. Steps longer than length
     must not be needed. A step costs length minus its own length, or nothing if that is a power of two.
     """
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
-    best, back = [0.0] * len(place), [0] * len(place)
-    at = {place[0]: 0}
-    queue: deque[tuple[float, int]] = deque([(0.0 + place[0], 0)])
+    positions = np.asarray(place)
+    # of each place the earlier ones at a distance of a power of two
+    target, source = [], []
+    for w in (1 << k for k in range(length.bit_length()) if 1 << k <= length):
+        at = np.searchsorted(positions, positions - w)
+        hit = np.flatnonzero(positions[at] == positions - w)
+        target.append(hit)
+        source.append(at[hit])
+    target, source = np.concatenate(target), np.concatenate(source)
+    order = np.argsort(target, kind="stable")
+    target, source = [*target[order].tolist(), len(place)], source[order].tolist()
+    best, back, value, nearest = [0.0] * len(place), [0] * len(place), 0.0, 0
+    queue: deque[tuple[float, int, int]] = deque([(0.0 + place[0], place[0], 0)])
+    pop, append, popleft = queue.pop, queue.append, queue.popleft
+    i, due = 0, target[0]
     for k in range(1, len(place)):
         p = place[k]
-        while place[queue[0][1]] < p - length:
-            queue.popleft()
-        value, source = queue[0][0] + length - p, queue[0][1]
-        for w in powers:
-            j = at.get(p - w)
-            if j is not None and best[j] < value:
-                value, source = best[j], j
-        best[k], back[k] = value + cost[k], source
-        at[p] = k
-        v = best[k] + p
-        while queue and queue[-1][0] >= v:
-            queue.pop()
-        queue.append((v, k))
+        low = p - length
+        while queue[0][1] < low:
+            popleft()
+        value, _, nearest = queue[0]
+        value -= low
+        while due == k:
+            j = source[i]
+            if best[j] < value:
+                value, nearest = best[j], j
+            i += 1
+            due = target[i]
+        value += cost[k]
+        best[k], back[k] = value, nearest
+        value += p
+        while queue and queue[-1][0] >= value:
+            pop()
+        append((value, p, k))
     out = [len(place) - 1]
     while out[-1]:
         out.append(back[out[-1]])
     return [place[k] for k in reversed(out)]
 
 
-def powers_of_two(start: int, end: int) -> list[int]:
-    """start, then cuts that leave steps of powers of two up to end."""
-    out = [start]
-    for k in reversed(range((end - start).bit_length())):
-        if (end - start) >> k & 1:
-            out.append(out[-1] + (1 << k))
-    return out
+def places(lengths: list[int], ends: list[np.ndarray], length: int, every_from: int) -> tuple[list[int], list[float]]:
+    """Where a cut may fall, from 0 to the end of all documents, and what it costs there.
+
+    lengths: the documents' tokens; ends: places of sentence ends within each. From every_from on each token is a place.
+    """
+    bound = np.cumsum([0, *lengths])
+    inner = np.concatenate([np.zeros(0, np.int64), *(e + at for e, at in zip(ends, bound[:-1], strict=True))])
+    tail = np.arange(max(0, every_from), bound[-1])
+    place = np.r_[bound, inner, tail]
+    cost = np.r_[np.zeros(len(bound)), np.full(len(inner), SENTENCE_CUT), np.full(len(tail), INNER_CUT)]
+    order = np.lexsort((cost, place))
+    place, cost = place[order], cost[order]
+    first = np.r_[True, place[1:] != place[:-1]]
+    place, cost = place[first], cost[first]
+    gap = np.diff(place)
+    if (wide := np.flatnonzero(gap > length)).size:
+        forced = np.concatenate([np.arange(place[k] + length, place[k + 1], length) for k in wide])
+        place, cost = np.r_[place, forced], np.r_[cost, np.full(len(forced), INNER_CUT)]
+        order = np.argsort(place, kind="stable")
+        place, cost = place[order], cost[order]
+    return place.tolist(), cost.tolist()
 
 
 class Packer:
@@ -145,27 +173,12 @@ class Packer:
     def flush(self, last: bool) -> Iterator[tuple]:
         if not self.open:
             return
-        place, cost, at = [0], [0.0], 0
-        for _, ids, _, _ in self.docs:
-            ends = np.flatnonzero(self.tokenizer.is_end[ids[:-1]]) + 1
-            for p in [*(at + ends).tolist(), at + len(ids)]:
-                if p - place[-1] < SPACING and p < at + len(ids):
-                    continue
-                while p - place[-1] > self.length:
-                    place.append(place[-1] + self.length)
-                    cost.append(float(SENTENCE_CUT))
-                place.append(p)
-                cost.append(float(SENTENCE_CUT))
-            cost[-1] = 0.0
-            at += len(ids)
-        if last and at < self.length:
-            cuts = powers_of_two(0, at)
-        else:
-            cuts = choose_cuts(place, cost, self.length)
-            if last and cuts[-1] - cuts[-2] < self.length:
-                cuts = cuts[:-2] + powers_of_two(cuts[-2], cuts[-1])
-            elif not last and len(cuts) > 2:
-                cuts = cuts[:-1]  # what follows may fill the last sequence
+        lengths = [len(d[1]) for d in self.docs]
+        ends = [np.flatnonzero(self.tokenizer.is_end[d[1][:-1]]) + 1 for d in self.docs]
+        place, cost = places(lengths, ends, self.length, self.open - 2 * self.length if last else self.open)
+        cuts = choose_cuts(place, cost, self.length)
+        if not last and len(cuts) > 2:
+            cuts = cuts[:-1]  # what follows may fill the last sequence
         yield from self.emit(cuts)
 
     def emit(self, cuts: list[int]) -> Iterator[tuple]:
@@ -195,9 +208,9 @@ def pack(documents: DataFrame, path: str, length: int = 4096, end_id: int = 2, i
     spark = documents.sparkSession
     common.small_batches(spark, 256)
     rows = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    # the hash spreads repeated ids over ranges without leaving the order of ids
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    # the hash and the row's number spread repeated ids, and repeated rows, over ranges without leaving the order of ids
+    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").drop("h", "n")
     schema = T.StructType([*SCHEMA, *([T.StructField("ids", T.ArrayType(T.LongType(), False))] if with_ids else [])])
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
 

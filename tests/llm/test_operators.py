@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -395,11 +396,29 @@ def test_loser_tree(runs):
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
-def test_merge_spills(monkeypatch):
-    monkeypatch.setattr(warc, "HELD", 7)
+def test_merge_of_runs():
     rng = random.Random(1)
-    rows = [(rng.randint(0, 20), "", i) for i in range(100)]
-    assert list(warc.merged(iter(rows))) == sorted(rows)
+    rows = [(rng.randint(0, 20), "", i) for i in range(1000)]
+    runs = [sorted(rows[a : a + 70]) for a in range(0, 1000, 70)]
+    flat = [x for r in runs for x in r]
+    # batches begin and end anywhere within runs
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat[a : a + 33])], names=["a", "b", "c"]) for a in range(0, 1000, 33)]
+    assert list(warc.merged(iter(batches), at_once=7)) == sorted(rows)
+    assert list(warc.merged(iter([]))) == []
+
+
+def test_long_pages_and_equal_captures(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500_000)
+    monkeypatch.setattr(warc, "PIECE", 1000)
+    rng = random.Random(2)
+    html = ["x" * 10, "".join(rng.choice("abcdefgh ") for _ in range(5_000)), "\r\n\r\n" * 20_000, "ü" * 400_000]
+    rows = [(i, "http://a.com/", html[i % 4] + str(i // 8)) for i in range(24)] + [(None, "http://a.com/", "same")] * 40
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r["page_id"] is None, r["page_id"], r["payload_bytes"]) for r in got if r["page_id"] is not None) == sorted((False, i, len(h.encode())) for i, _, h in rows if i is not None)
+    assert sum(r["page_id"] is None for r in got) == 40
+    for i, _, h in rows[:24]:
+        (r,) = [r for r in got if r["page_id"] == i]
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
 
 
 # 6: nearest neighbours
@@ -433,6 +452,41 @@ def test_recall_and_ties(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.35, 0.6])
+def test_recall_where_few_lists_are_probed(spark, monkeypatch, spread):
+    rng = np.random.default_rng(6)
+    n, dims = 50_000, 32
+    x = (rng.standard_normal((400, dims))[rng.integers(0, 400, n)] + spread * rng.standard_normal((n, dims))).astype(np.float32)
+    seen = []
+    needed = ann.probes_needed
+    monkeypatch.setattr(ann, "probes_needed", lambda *a: seen.append((needed(*a), len(a[1]))) or seen[-1][0])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}).to_pandas())
+    got = defaultdict(list)
+    for r in ann.search(df, every=100).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    (probed, lists), = seen
+    assert probed <= lists / 2
+    hit, v = 0, x.astype(float)
+    for q in range(0, n, 100):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len({i for _, i, _ in got[q]} & set(np.argsort(-s)[:20].tolist()))
+        assert sorted(r for r, _, _ in got[q]) == list(range(1, 21))
+    assert hit / (20 * n / 100) >= 0.9
+
+
+def test_queries_with_few_in_their_lists_probe_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "probes_needed", lambda *a: 1)
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.eye(40)[i % 40] * 9 + rng.standard_normal(40) / 9).tolist()) for i in range(200)]
+    got = Counter(r["query_id"] for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {q: 20 for q in range(0, 200, 20)}
+    # ids that repeat with other vectors: one answer
+    again = rows + [(0, [1.0] * 40), (0, [1.0] * 40)]
+    got = Counter(r["query_id"] for r in ann.search(spark.createDataFrame(again, "vec_id long, embedding array<double>")).collect())
+    assert got == {q: 20 for q in range(0, 200, 20)}
+
+
 # 7: chat formatting
 
 
@@ -569,6 +623,25 @@ def test_no_word_is_too_rare(spark):
     assert {r["host_words"].split(" ")[0:2] == ["zorvu", "qimpa"] for r in got} == {True}
 
 
+def test_words_of_other_scripts_and_hosts_without_dots(spark):
+    html = ["cafés naïve größe " * 30 + "donaudampfschifffahrtsgesellschaft " * 3] * 2
+    urls = ["http://cafésnaïve.example.net/", "http://größecafés/x", "http://donaudampfschifffahrtsgesellschaft.example.net/", "http://cafés24.example.net/"]
+    got = {r["page_id"]: r["host_words"] for r in urlfilter.judge(spark.createDataFrame([(i, u, html[0]) for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()}
+    assert [got[i].split(" ")[:2] for i in (0, 1, 3)] == [["cafés", "naïve"], ["größe", "cafés"], ["cafés", "#"]]
+    assert got[2].startswith("donaudampfschifffahrtsgesellschaft ")
+    counts = {r["word"]: r["n"] for r in urlfilter.unigrams(spark.createDataFrame([(1, html[0])], "page_id long, html string")).collect()}
+    assert counts == {"cafés": 30, "naïve": 30, "größe": 30, "donaudampfschifffahrtsgesellschaft": 3}
+
+
+def test_bayes_blocks_hosts_without_seed_words(spark):
+    words = "casino win bonus jackpot garden news river stone weather " * 40
+    urls = [f"http://casinowin{'abc'[i % 3]}.example.net/bonus/jackpot/{i}" for i in range(20)] + [f"http://gardennews{'abc'[i % 3]}.example.net/river/stone/{i}" for i in range(40)]
+    asked = ["http://weather.example.net/bonus/jackpot/1", "http://weather.example.net/river/stone/1"]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame([(i, u, words) for i, u in enumerate(urls + asked)], "page_id long, url string, html string")).collect()}
+    assert [got[60 + k]["verdict"] for k in range(2)] == ["block", "allow"]
+    assert not any(w in urlfilter.SEEDS for k in range(2) for w in got[60 + k]["host_words"].split(" "))
+
+
 def test_viterbi_splits_names():
     s = urlfilter.Segmenter({"cheap": 50, "flights": 40, "a": 500, "che": 2})
     assert s.split("cheapflights") == ("cheap", "flights") and s.split("") == ()
