@@ -74,16 +74,29 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 128):
-            cut: list = []
+            # of each text the ids of its words, with holes where words are new; nothing where the library has to encode it
+            known: list[tuple[list[str], list, list[int]] | None] = []
             new: set[str] = set()
+            look = self.words.ids.get
             for t in texts[at : at + 128]:
-                fast = self.plain.fullmatch(t) and not ("<|" in t and any(s in t for s in self.merger.added))
-                cut.append(self.pattern.findall(t.lower()) if fast else None)
-                if fast:
-                    new |= set(cut[-1]).difference(self.words.ids)
-            self.words.learn(new, cut)
-            for t, words in zip(texts[at : at + 128], cut, strict=True):
-                yield b"".join(map(self.words.ids.__getitem__, words)) if words is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                if not self.plain.fullmatch(t) or ("<|" in t and any(s in t for s in self.merger.added)):
+                    known.append(None)
+                    continue
+                words = self.pattern.findall(t.lower())
+                ids = [*map(look, words)]
+                holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+                new.update(words[i] for i in holes)
+                known.append((words, ids, holes))
+            if new:
+                self.words.learn(new, [[*new]])
+            for t, x in zip(texts[at : at + 128], known, strict=True):
+                if x is None:
+                    yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                    continue
+                words, ids, holes = x
+                for i in holes:
+                    ids[i] = self.words.ids[words[i]]
+                yield b"".join(ids)
 
 
 def choose_cuts(place: list[int], cost: list[float], length: int) -> list[int]:
