@@ -21,7 +21,8 @@ Extra columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ BLOCK = 16
 EPSILON = 3.0
 #: Share of the sample's neighbours that the probed lists must hold.
 TARGET = 0.97
+#: Queries of a chunk that are answered together.
+TOGETHER = 64
 #: Queries whose thresholds a task remembers between chunks.
 REMEMBERED = 1 << 18
 
@@ -97,56 +100,87 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(q: np.ndarray, q_rot: np.ndarray, blocks: list[np.ndarray], tail: list[np.ndarray], v: np.ndarray, ids: np.ndarray, own: int, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a chunk: their places and scores. tail[b]: each vector's squared length from block b on. known: a score that k vectors elsewhere reach."""
-    dims, n = len(q), len(ids)
-
-    def products(at: np.ndarray) -> np.ndarray:
-        out, d = np.zeros(len(at)), 0
-        for b in blocks:
-            out += q_rot[d : d + len(b)] @ b[:, at]
-            d += len(b)
-        out[ids[at] == own] = -np.inf
-        return out
-
-    # the threshold: the k-th best of some vectors, by their whole products
-    start = np.arange(min(n, max(4 * k, 64)))
-    whole = products(start)
-    best = np.argsort(-whole, kind="stable")[:k]
-    sure, reached = start[best], whole[best]
-    live, part, at = np.arange(n), np.zeros(n), 0
-    length = q_rot @ q_rot
-    for i, b in enumerate(blocks):
-        part = part + q_rot[at : at + len(b)] @ (b if len(live) == n else b[:, live])
-        at += len(b)
-        if at == dims:
-            continue
-        so_far = q_rot[:at] @ q_rot[:at] + (tail[0] - tail[i + 1])[live] - 2 * part
-        if i == 0 and n > 8 * len(start):  # those that look nearest so far tighten it
-            more = live[np.argpartition(so_far, 2 * k)[: 2 * k]]
-            more = np.setdiff1d(more, sure)
-            both, score = np.r_[sure, more], np.r_[reached, products(more)]
-            best = np.argsort(-score, kind="stable")[:k]
-            sure, reached = both[best], score[best]
-        least = max(known, reached[k - 1] if len(reached) == k else -np.inf)
-        if not np.isfinite(least):
-            continue
-        allowed = length + tail[0][live] - 2 * least  # squared distance at which a vector is just as good
-        share = at / dims + EPSILON * np.sqrt(2 * at * (dims - at) / (dims * dims * (dims + 2)))
-        keep = so_far <= np.maximum(allowed, 0) * min(share, 1.0) + 1e-9 * (1 + tail[0][live])
-        if not keep.all():
-            live, part = live[keep], part[keep]
-            if len(live) <= 4 * k:
+class Chunk:
+    """Vectors of a list, rotated, in blocks of columns."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, turn: np.ndarray):
+        self.ids, self.v, dims = ids, v, v.shape[1]
+        rotated = np.ascontiguousarray((v @ turn.T).T)
+        self.bounds = [*range(0, dims, BLOCK), dims]
+        self.blocks = [rotated[a:b] for a, b in pairwise(self.bounds)]
+        square = np.cumsum((rotated**2)[::-1], axis=0)[::-1]
+        #: of each vector the squared length from each block on
+        self.tail = [square[a] for a in self.bounds[:-1]]
+
+    def answers(self, asking: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, known: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query what scan() gives. The first products of all queries come from one matrix product for each block, made when a query needs it."""
+        rotated = queries @ turn.T
+        made: list[np.ndarray] = []
+
+        def products(block: int) -> np.ndarray:
+            while len(made) <= block:
+                i = len(made)
+                own = rotated[:, self.bounds[i] : self.bounds[i + 1]] @ self.blocks[i]
+                made.append(own + made[-1] if made else own)
+            return made[block]
+
+        for n, (asker, q) in enumerate(zip(asking.tolist(), queries, strict=True)):
+            yield self.scan(q, rotated[n], lambda block, n=n: products(block)[n], asker, k, known[n])
+
+    def scan(self, q: np.ndarray, q_rot: np.ndarray, products: Callable[[int], np.ndarray], asker: int, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best: their places and scores. products: of the dimensions up to a block's end with all vectors. known: a score that k vectors elsewhere reach."""
+        dims, n, ids = len(q), len(self.ids), self.ids
+
+        def whole(at: np.ndarray | slice) -> np.ndarray:
+            return np.where(ids[at] == asker, -np.inf, self.v[at] @ q)
+
+        # the threshold: the k-th best of some vectors, by their whole products
+        sure = np.arange(min(n, max(4 * k, 64)))
+        reached = whole(slice(len(sure)))
+        few = n <= 8 * len(sure)
+        best = np.argsort(-reached, kind="stable")[:k]
+        sure, reached = sure[best], reached[best]
+        live, length = None, q_rot @ q_rot
+        for i, at in enumerate(self.bounds[1:-1]):
+            if live is None:
+                part = products(i)
+                tail, rest = self.tail[0], self.tail[i + 1]
+            else:
+                part = part + q_rot[self.bounds[i] : at] @ self.blocks[i][:, live]
+                tail, rest = self.tail[0][live], self.tail[i + 1][live]
+            so_far = q_rot[:at] @ q_rot[:at] + (tail - rest) - 2 * part
+            if i == 0 and not few:  # those that look nearest so far tighten it
+                more = np.setdiff1d(np.argpartition(so_far, 2 * k)[: 2 * k], sure)
+                sure, reached = np.r_[sure, more], np.r_[reached, whole(more)]
+                best = np.argsort(-reached, kind="stable")[:k]
+                sure, reached = sure[best], reached[best]
+            least = max(known, reached[k - 1] if len(reached) == k else -np.inf)
+            if not np.isfinite(least):
+                continue
+            allowed = length + tail - 2 * least  # squared distance at which a vector is just as good
+            share = at / dims + EPSILON * np.sqrt(2 * at * (dims - at) / (dims * dims * (dims + 2)))
+            keep = so_far <= np.maximum(allowed, 0) * min(share, 1.0) + 1e-9 * (1 + tail)
+            left = np.count_nonzero(keep)
+            if live is not None:
+                live, part = live[keep], part[keep]
+            elif left < n // 4:  # few enough to gather their columns; else those of all come from the matrix product
+                live, part = np.flatnonzero(keep), part[keep]
+            if live is not None and len(live) <= 4 * k:
                 break
-    others = ids[live] != own
-    live, part = live[others], part[others]
-    if at == dims and len(live) > k:  # part is the whole product, but for rounding
-        cut = np.partition(part, len(part) - k)[len(part) - k]
-        live = live[part >= cut - 1e-9 * (1 + abs(cut))]
-    live = np.union1d(live, sure[np.isfinite(reached)])
-    s = scores(q, v[live])
-    best = np.lexsort((ids[live], -s))[:k]
-    return live[best], s[best]
+        else:
+            if live is None:
+                live, part = np.arange(n), products(len(self.blocks) - 1)
+            else:
+                part = part + q_rot[self.bounds[-2] :] @ self.blocks[-1][:, live]
+            others = ids[live] != asker
+            live, part = live[others], part[others]
+            if len(live) > k:  # part is the whole product, but for rounding
+                cut = np.partition(part, len(part) - k)[len(part) - k]
+                live = live[part >= cut - 1e-9 * (1 + abs(cut))]
+        live = np.union1d(live[ids[live] != asker], sure[np.isfinite(reached)])
+        s = scores(q, self.v[live])
+        best = np.lexsort((ids[live], -s))[:k]
+        return live[best], s[best]
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET) -> DataFrame:
@@ -194,37 +228,36 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         return work
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vs, built = None, [], [], None
+        now, ids, vs, chunk = None, [], [], None
         known: dict[int, float] = {}
         for b in it:
-            keys = list(zip(common.column(b, "list"), common.column(b, "chunk"), common.column(b, "asks"), strict=True))
-            vec = np.array(common.column(b, "vec_id"), np.int64)
+            key = np.stack([b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("list", "chunk")])
+            asks = b.column(b.schema.get_field_index("asks")).to_numpy(zero_copy_only=False)
+            vec = b.column(b.schema.get_field_index("vec_id")).to_numpy()
             v = np.stack(b.column(b.schema.get_field_index("v")).to_numpy(zero_copy_only=False)).astype(float)
             out: list[tuple] = []
-            for i, (lst, chunk, asks) in enumerate(keys):
-                if (lst, chunk) != now:
-                    now, ids, vs, built = (lst, chunk), [], [], None
-                if not asks:
-                    ids.append(vec[i])
-                    vs.append(v[i])
+            # rows that are alike in list, chunk and in whether they ask stand together
+            edge = np.r_[0, np.flatnonzero((np.diff(key) != 0).any(axis=0) | (asks[1:] != asks[:-1])) + 1, len(vec)]
+            for a, z in pairwise(edge.tolist()):
+                if (here := tuple(key[:, a].tolist())) != now:
+                    now, ids, vs, chunk = here, [], [], None
+                if not asks[a]:
+                    ids.append(vec[a:z])
+                    vs.append(v[a:z])
                     continue
                 if not ids:
                     continue
-                if built is None:
-                    m = np.stack(vs)
-                    rot = np.ascontiguousarray((m @ turn.T).T)
-                    blocks = [np.ascontiguousarray(rot[a : a + BLOCK]) for a in range(0, dims, BLOCK)]
-                    square = np.cumsum((rot**2)[::-1], axis=0)[::-1]
-                    tail = [square[a] for a in range(0, dims, BLOCK)]
-                    built = m, blocks, tail, np.array(ids)
-                m, blocks, tail, own_ids = built
-                asker = int(vec[i])
-                place, s = scan(v[i], turn @ v[i], blocks, tail, m, own_ids, asker, k, known.get(asker, -np.inf))
-                if len(s) == k:  # no vector below this is among the k best of all
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[asker] = max(known.get(asker, -np.inf), float(s[-1]))
-                out += zip([asker] * len(s), own_ids[place].tolist(), s.tolist(), strict=True)
+                if chunk is None:
+                    chunk = Chunk(np.concatenate(ids), np.concatenate(vs), turn)
+                for at in range(a, z, TOGETHER):
+                    asking = vec[at : min(z, at + TOGETHER)]
+                    told = chunk.answers(asking, v[at : at + len(asking)], turn, k, [known.get(x, -np.inf) for x in asking.tolist()])
+                    for asker, (place, s) in zip(asking.tolist(), told, strict=True):
+                        if len(s) == k:  # no vector below this is among the k best of all
+                            if len(known) > REMEMBERED:
+                                known.clear()
+                            known[asker] = max(known.get(asker, -np.inf), float(s[-1]))
+                        out += zip([asker] * len(s), chunk.ids[place].tolist(), s.tolist(), strict=True)
             if out:
                 q, w, s = zip(*out, strict=True)
                 yield from common.batches({"query_id": q, "vec_id": w, "score": s}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
