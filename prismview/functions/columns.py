@@ -30,27 +30,34 @@ def is_close(a: Column, b: float, rtol: float = 1e-5, atol: float = 1e-8) -> Col
     return F.abs(a - F.lit(b)) <= F.lit(atol + rtol * abs(b))
 
 
+def against(a: Column, constant: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(x, constant) for each element x. A lambda would compute the constant for each of them; here it is computed once."""
+    return F.zip_with(a, F.array_repeat(constant, F.size(a)), f)
+
+
 def l2_normalised(a: Column) -> Column:
     """a / |a|; uniform where the norm vanishes."""
     norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm < 1e-12, F.transform(a, lambda _: F.lit(1.0) / F.sqrt(F.size(a).cast("double")))).otherwise(F.transform(a, lambda x: x / norm))
+    return against(a, F.struct(norm.alias("n"), (F.lit(1.0) / F.sqrt(F.size(a).cast("double"))).alias("u")), lambda x, c: F.when(c["n"] < 1e-12, c["u"]).otherwise(x / c["n"]))
 
 
 def mixture(a: Column) -> Column:
     """Non-negative parts that add up to 1; uniform where nothing is positive."""
-    kept = F.transform(a, lambda x: F.greatest(x, F.lit(0.0)))
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(kept, lambda x: x / total)).otherwise(F.transform(a, lambda _: F.lit(1.0) / F.size(a)))
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0)))
+    return against(a, F.struct(total.alias("t"), (F.lit(1.0) / F.size(a)).alias("u")), lambda x, c: F.when(c["t"] > 0, F.greatest(x, F.lit(0.0)) / c["t"]).otherwise(c["u"]))
 
 
 def simplex_projection(a: Column) -> Column:
     """The nearest point of the probability simplex: subtract the threshold of the sorted prefix that stays positive."""
     down = F.reverse(F.array_sort(a))
-    # for each prefix of the sorted values the shift that would make it add up to 1
-    shift = F.transform(F.sequence(F.lit(1), F.size(a)), lambda k: (F.aggregate(F.slice(down, F.lit(1), k), F.lit(0.0), lambda s, x: s + x) - 1) / k)
-    active = F.filter(F.arrays_zip(down.alias("u"), shift.alias("t")), lambda z: z["u"] > z["t"])
-    theta = F.element_at(active, -1)["t"]
-    return F.transform(a, lambda x: F.greatest(x - theta, F.lit(0.0)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"), F.lit(0.0).alias("theta"))
+
+    def longer(z: Column, x: Column) -> Column:
+        # the shift that would make a prefix of the sorted values add up to 1
+        shift = (z["sum"] + x - 1) / (z["k"] + 1)
+        return F.struct((z["sum"] + x).alias("sum"), (z["k"] + 1).alias("k"), F.when(x > shift, shift).otherwise(z["theta"]).alias("theta"))
+
+    return against(a, F.aggregate(down, start, longer)["theta"], lambda x, theta: F.greatest(x - theta, F.lit(0.0)))
 
 
 def entropy(a: Column) -> Column:

@@ -60,7 +60,7 @@ def upper(pairs: DataFrame) -> DataFrame:
 def fold_blocks(pairs: DataFrame, folds: DataFrame) -> DataFrame:
     """Pairs with a fold and a part: train (neither point in the fold) or valid (i in it, j not). folds: id, fold."""
     a, b = folds.select(F.col("id").alias("i"), F.col("fold").alias("fi")), folds.select(F.col("id").alias("j"), F.col("fold").alias("fj"))
-    joined = pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    joined = pairs.join(a, "i").join(b, "j")
     every = folds.select("fold").distinct()
     out = joined.join(F.broadcast(every), F.col("fj") != F.col("fold"))
     return out.withColumn("part", F.when(F.col("fi") == F.col("fold"), "valid").otherwise("train")).drop("fi", "fj")

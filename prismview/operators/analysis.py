@@ -58,8 +58,13 @@ def dominance_groups(w: DataFrame, views: tuple[str, ...]) -> DataFrame:
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-def structure_alignment(w: DataFrame, views: tuple[str, ...], measure: str = "knn_purity", smallest: bool = False) -> DataFrame:
-    """By the structurally best view (the first of equals): how many points, and how often that view was right."""
+#: Measures of which the least value is the best.
+SMALLEST = frozenset({"mu", "knn_mean", "d_plus"})
+
+
+def structure_alignment(w: DataFrame, views: tuple[str, ...], measure: str = "knn_purity", smallest: bool | None = None) -> DataFrame:
+    """By the structurally best view (the first of equals): how many points, and how often that view was right. smallest: whether the least value is the best, which the measure tells."""
+    smallest = measure in SMALLEST if smallest is None else smallest
     best = first_best([(v, F.col(f"{measure}_{v}").cast("double")) for v in sorted(views)], smallest)
     right = F.lit(None).cast("int")
     for v in views:
@@ -133,3 +138,13 @@ def five_numbers(joined: DataFrame, measure: str) -> DataFrame:
 
 def share_at(c: Column, value: float) -> Column:
     return F.avg(is_close(c, value).cast("double"))
+
+
+def purity_ranking(summary: DataFrame, measure: str = "purity_mean") -> DataFrame:
+    """The views, the purest first: view, the measure and its rank."""
+    return summary.select("view", measure, F.row_number().over(Window.orderBy(F.desc(measure), "view")).alias("rank"))
+
+
+def as_table(rows: DataFrame, value: str, views: tuple[str, ...], a: str = "a", b: str = "b") -> DataFrame:
+    """A measure of pairs of views as a table: one row and one column for each view, null where there is no value."""
+    return rows.groupBy(a).pivot(b, list(views)).agg(F.first(value)).orderBy(a)

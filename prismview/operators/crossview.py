@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .alignment import upper
 from .structure import nearest
 
@@ -24,13 +25,11 @@ def pearson(wide: DataFrame, views: tuple[str, ...]) -> DataFrame:
 def average_ranks(pairs: DataFrame) -> DataFrame:
     """Long unordered pairs with d replaced by its rank in the view, ties getting their mean rank.
 
-    Ranks come from counts of distinct values, so the window runs over values, not over pairs.
+    Ranks come from counts of distinct values, dealt into ranges of values.
     """
     u = upper(pairs)
-    counts = u.groupBy("view", "d").agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.partitionBy("view").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("view", "d", (below + (F.col("c") + 1) / 2).alias("r"))
-    return u.join(ranks, ["view", "d"]).withColumn("d", F.col("r")).drop("r")
+    counts = ranks.value_counts(u, "view", "d").select("view", "d", (F.col("before") + (F.col("c") + 1) / 2).alias("r"))
+    return u.join(counts, ["view", "d"]).withColumn("d", F.col("r")).drop("r")
 
 
 def spearman(pairs: DataFrame, views: tuple[str, ...]) -> DataFrame:
@@ -64,7 +63,7 @@ def thresholds(pairs: DataFrame, q: float = 0.10) -> DataFrame:
     """view, t: below it two points count as similar."""
     if not 0 < q < 1:
         raise ValueError("a quantile lies between 0 and 1")
-    return upper(pairs).groupBy("view").agg(F.percentile("d", F.lit(q)).alias("t"))
+    return ranks.percentiles(ranks.value_counts(upper(pairs), "view", "d"), "view", "d", (q,)).select("view", F.col("q")[0].alias("t"))
 
 
 def agreement(wide: DataFrame, pairs: DataFrame, views: tuple[str, ...], q: float = 0.10) -> DataFrame:

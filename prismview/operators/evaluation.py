@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from . import ranks
 
 
 def stratified_folds(points: DataFrame, n_splits: int, seed: int = 42) -> DataFrame:
     """points with fold 1..n_splits: each class dealt out in the order of a hash of the id."""
-    w = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", "id", F.lit(str(seed)))), "id")
-    return points.withColumn("fold", ((F.row_number().over(w) - 1) % n_splits + 1).cast("int"))
+    out = ranks.row_numbers(points, "y", F.md5(F.concat_ws("|", "id", F.lit(str(seed)))), "id")
+    return out.withColumn("fold", ((F.col("n") - 1) % n_splits + 1).cast("int")).drop("n")
 
 
 def confusion(predictions: DataFrame, *by: str) -> DataFrame:

@@ -44,8 +44,15 @@ def medoids(wide: DataFrame, a_sq: Column, per_class: int) -> DataFrame:
     return chosen.select((F.row_number().over(Window.orderBy("y", "n")) - 1).cast("int").alias("k"), "id", "y")
 
 
+def hashed_start(points: DataFrame, per_class: int, seed: str = "start") -> DataFrame:
+    """Prototypes k, id, y: the first points of each class in the order of a hash; a start that needs no distances."""
+    w = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", "id", F.lit(seed))), "pos")
+    first = points.select("id", "pos", "y").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class)
+    return first.select((F.row_number().over(Window.orderBy("y", "n")) - 1).cast("int").alias("k"), "id", "y")
+
+
 def to_prototypes(cells: DataFrame, protos: DataFrame) -> DataFrame:
-    """Distances from every point to every prototype: i, pi, yi, k, yk, d. cells: wide with its diagonal."""
+    """Distances from every point to every prototype: i, pi, yi, k, yk, d. cells: wide with its diagonal, or only what ends at prototypes."""
     p = F.broadcast(protos.select("k", F.col("id").alias("j"), F.col("y").alias("yk")))
     return cells.join(p, "j").select("i", "pi", "yi", "k", "yk", "d")
 
@@ -94,18 +101,24 @@ def priorities(assignment: DataFrame, protos: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "k")))
 
 
-def swap_scan(cells: DataFrame, protos: DataFrame, a_sq: Column, k: int) -> DataFrame:
+def receptive_field(assignment: DataFrame, protos: DataFrame, k: int) -> DataFrame:
+    """The points that prototype k wins, less its own: j and y_k, its label."""
+    label = protos.where(F.col("k") == k).select(F.col("y").alias("y_k"), F.col("id").alias("id_k"))
+    return assignment.where(F.col("k_plus") == k).join(F.broadcast(label), F.col("i") != F.col("id_k")).select(F.col("i").alias("j"), "y_k")
+
+
+def swap_scan(cells: DataFrame, protos: DataFrame, a_sq: Column, k: int, candidates: DataFrame | None = None) -> DataFrame:
     """The change of loss for moving prototype k to each other point of its receptive field: candidate, pc, delta.
 
     Without prototype k every point has a nearest own and other prototype; a candidate takes k's place in that minimum.
+    cells must hold all that ends at prototypes; candidates (else cells) all that ends at the points of the receptive field.
     """
     a = assigned(cells, protos, a_sq)
-    label = protos.where(F.col("k") == k).select(F.col("y").alias("y_k"), F.col("id").alias("id_k"))
-    field = a.where(F.col("k_plus") == k).join(F.broadcast(label), F.col("i") != F.col("id_k")).select(F.col("i").alias("j"), "y_k")
+    field = receptive_field(a, protos, k)
     d = to_prototypes(cells, protos).where(F.col("k") != k).withColumn("dc", dot(a_sq, F.col("d")))
     own = F.col("yi") == F.col("yk")
     without = d.groupBy("i", F.col("yi").alias("y")).agg(F.min(F.when(own, F.col("dc"))).alias("p"), F.min(F.when(~own, F.col("dc"))).alias("m"))
-    moved = cells.join(F.broadcast(field), "j").select("i", F.col("j").alias("candidate"), F.col("pj").alias("pc"), "y_k", dot(a_sq, F.col("d")).alias("dc"))
+    moved = (cells if candidates is None else candidates).join(field, "j").select("i", F.col("j").alias("candidate"), F.col("pj").alias("pc"), "y_k", dot(a_sq, F.col("d")).alias("dc"))
     both = moved.join(without, "i").select("candidate", "pc", F.when(F.col("y") == F.col("y_k"), F.least("p", "dc")).otherwise(F.col("p")).alias("p"), F.when(F.col("y") == F.col("y_k"), F.col("m")).otherwise(F.least("m", "dc")).alias("m"))
     total = both.groupBy("candidate", "pc").agg(F.sum(margin(F.col("p"), F.col("m"), EPS_LEARNER)).alias("l"))
     return total.join(F.broadcast(loss(a).select("loss"))).select("candidate", "pc", (F.col("l") - F.col("loss")).alias("delta"))

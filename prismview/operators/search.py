@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from ..sources import store
 from . import evaluation, trainer
 
 
 def config_key(version: str = "1") -> F.Column:
     """Key of a job frame's row; holds the weights it starts from and a version of the mathematics."""
-    start = F.coalesce(F.concat_ws(",", F.transform("v_init", lambda x: x.cast("string"))), F.lit("-"))
+    start = F.when(F.col("v_init").isNull(), "-").otherwise(F.concat_ws(",", F.transform("v_init", lambda x: x.cast("string"))))
     return F.concat_ws("|", "model", "k0", "k1", F.col("eta").cast("string"), start, F.lit(version))
 
 
@@ -28,6 +30,16 @@ def profile_jobs(spark: SparkSession, profiles: dict[str, list[float]], k0: int,
     return out.withColumn("config_key", config_key())
 
 
+def with_prefix(rows: DataFrame, prefix: str, column: str = "model") -> DataFrame:
+    """The rows whose name begins with prefix."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
+def derived_seed(base: F.Column, view: F.Column, label: F.Column) -> F.Column:
+    """A seed below 2 ** 32 from the SHA-256 digest of base, view and label."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", base.cast("string"), view, label.cast("string")), 256), 1, 8), 16, 10).cast("long")
+
+
 def top_per_model(results: DataFrame, n: int, metric: str = "bal_acc") -> DataFrame:
     return evaluation.ranked(results.where(F.col(metric).isNotNull()), "model", metric).where(F.col("rank") <= n)
 
@@ -48,22 +60,40 @@ def refined(winners: DataFrame, etas: list[float], k_radius: int = 1, eta_radius
     return near.select("model", around("k0").alias("k0"), "k1", "eta").select("model", "k0", around("k1").alias("k1"), "eta").distinct()
 
 
-def evaluate(spark: SparkSession, jobs: DataFrame, views, y, folds, rounds: int) -> DataFrame:
-    """Pooled metrics of each job whose folds all went well."""
+def trained(spark: SparkSession, jobs: DataFrame, views, y, folds, rounds: int, path: str | None = None) -> DataFrame:
+    """Fold results of all jobs. With a path they are appended to the store there, and only jobs that it lacks are fitted, so a run can be resumed."""
+    jobs = trainer.with_folds(jobs, int(folds.max()))
+    if path is None:
+        return checkpointed(trainer.train(spark, jobs, views, y, folds, rounds))
+    wanted = jobs.select("config_key", "fold")
+    todo = store.pending(jobs, store.load(spark, path)) if store.exists(spark, path) else jobs
+    todo = checkpointed(todo)
+    if not todo.isEmpty():
+        store.append(trainer.train(spark, todo, views, y, folds, rounds).withColumn("version", F.lit(1)), path)
+    return store.load(spark, path).join(wanted, ["config_key", "fold"], "left_semi").drop("version")
+
+
+def evaluate(spark: SparkSession, jobs: DataFrame, views, y, folds, rounds: int, path: str | None = None) -> DataFrame:
+    """Pooled metrics of each job whose folds all went well, and the seconds of its fits. path: a store to resume from; results of other rounds need another one."""
     n_splits = int(folds.max())
-    results = trainer.train(spark, trainer.with_folds(jobs, n_splits), views, y, folds, rounds).persist()
+    results = trained(spark, jobs, views, y, folds, rounds, path)
     good = evaluation.config_status(results, n_splits).where("status = 'ok'").select("config_key")
     pooled = evaluation.pooled_metrics(results, "config_key", "model", "k0", "k1", "eta")
-    return pooled.join(good, "config_key", "left_semi")
+    seconds = results.groupBy("config_key").agg(F.sum("seconds").alias("seconds"))
+    return pooled.join(good, "config_key", "left_semi").join(seconds, "config_key")
+
+
+def staged(spark: SparkSession, views, y, folds, k_pairs: list[tuple[int, int]], etas: list[float], rounds: tuple[int, int, int], top: int = 2, path: str | None = None) -> DataFrame:
+    """Coarse grid, then the winners' neighbourhood, then the finalists with all rounds: config_key, stage and metrics. path: a folder with a store for each stage, to resume from."""
 
+    def at(stage: int) -> str | None:
+        return path and f"{path.rstrip('/')}/stage{stage}"
 
-def staged(spark: SparkSession, views, y, folds, k_pairs: list[tuple[int, int]], etas: list[float], rounds: tuple[int, int, int], top: int = 2) -> DataFrame:
-    """Coarse grid, then the winners' neighbourhood, then the finalists with all rounds: config_key, stage and metrics."""
-    first = evaluate(spark, grid(spark, k_pairs, etas), views, y, folds, rounds[0])
+    first = evaluate(spark, grid(spark, k_pairs, etas), views, y, folds, rounds[0], at(1))
     near = refined(top_per_model(first, top), etas, k_min=min(min(p) for p in k_pairs)).withColumn("v_init", F.lit(None).cast("array<double>"))
-    second = evaluate(spark, near.withColumn("config_key", config_key()), views, y, folds, rounds[1])
+    second = evaluate(spark, near.withColumn("config_key", config_key()), views, y, folds, rounds[1], at(2))
     last = top_per_model(second, top).select("model", "k0", "k1", "eta").withColumn("v_init", F.lit(None).cast("array<double>"))
-    third = evaluate(spark, last.withColumn("config_key", config_key()), views, y, folds, rounds[2])
+    third = evaluate(spark, last.withColumn("config_key", config_key()), views, y, folds, rounds[2], at(3))
     parts = [r.withColumn("stage", F.lit(n)) for n, r in enumerate((first, second, third), 1)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

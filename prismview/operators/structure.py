@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import describe, margin, ratio
+from . import ranks
 from .alignment import upper
 
 QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -24,10 +25,17 @@ def basic_checks(pairs: DataFrame) -> DataFrame:
     return sums.join(mirrored, "view").select("view", "n", "sym_max_abs_diff", F.least("lo", F.lit(0.0)).alias("d_min"), F.greatest("hi", F.lit(0.0)).alias("d_max"), mean.alias("d_mean"), F.sqrt(F.greatest(F.col("ss") / cells - mean * mean, F.lit(0.0))).alias("d_std"))
 
 
+def moments(counts: DataFrame) -> DataFrame:
+    """view, mean and population deviation (std) of values d that stand c times; deviations are taken from the mean, so nothing cancels."""
+    mean = counts.groupBy("view").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean"))
+    gap = F.col("d") - F.col("mean")
+    return counts.join(F.broadcast(mean), "view").groupBy("view").agg(F.max("mean").alias("mean"), F.sqrt(F.sum(F.col("c") * gap * gap) / F.sum("c")).alias("std"))
+
+
 def distribution(pairs: DataFrame) -> DataFrame:
     """Quantiles, mean, population deviation and their ratio, over unordered pairs."""
-    q = F.percentile("d", F.array(*map(F.lit, QUANTILES)))
-    out = upper(pairs).groupBy("view").agg(q.alias("q"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"))
+    counts = ranks.value_counts(upper(pairs), "view", "d")
+    out = moments(counts).join(ranks.percentiles(counts, "view", "d", QUANTILES), "view")
     return out.select("view", *(F.col("q")[k].alias(f"q{round(x * 100):02d}") for k, x in enumerate(QUANTILES)), "mean", "std", ratio(F.col("std"), F.col("mean")).alias("cv"))
 
 
@@ -112,10 +120,8 @@ def permuted_labels(points: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
     """perm, id, y: labels dealt anew. The order of a hash of id and permutation says whose label a point gets."""
     perms = points.sparkSession.range(n_perm).select(F.col("id").cast("int").alias("perm"))
     spread = points.select("id", "pos", "y").join(F.broadcast(perms))
-    by_hash = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", "id", "perm", F.lit(str(seed)))), "pos")
-    by_place = Window.partitionBy("perm").orderBy("pos")
-    takes = spread.select("perm", "id", F.row_number().over(by_hash).alias("r"))
-    gives = spread.select("perm", "y", F.row_number().over(by_place).alias("r"))
+    takes = ranks.row_numbers(spread, "perm", F.md5(F.concat_ws("|", "id", "perm", F.lit(str(seed)))), "pos").select("perm", "id", F.col("n").alias("r"))
+    gives = ranks.row_numbers(spread.select("perm", "pos", "y"), "perm", "pos").select("perm", "y", F.col("n").alias("r"))
     return takes.join(gives, ["perm", "r"]).select("perm", "id", "y")
 
 
@@ -140,13 +146,12 @@ def zero_distances(pairs: DataFrame) -> DataFrame:
 
 
 def distinct_values(pairs: DataFrame, show: int = 30) -> DataFrame:
-    """How many distinct distances there are, and the first and last of them."""
-    v = upper(pairs).select("view", "d").distinct()
-    up, down = Window.partitionBy("view").orderBy("d"), Window.partitionBy("view").orderBy(F.desc("d"))
-    counts = v.groupBy("view").agg(F.count("*").alias("n_unique"))
-    ends = v.withColumn("a", F.row_number().over(up)).withColumn("b", F.row_number().over(down)).where((F.col("a") <= show) | (F.col("b") <= show))
-    shown = ends.groupBy("view").agg(F.sum(F.when(F.col("a") <= show, F.col("d"))).alias("head_sum"), F.sum(F.when(F.col("b") <= show, F.col("d"))).alias("tail_sum"), F.min("d").alias("least"), F.max("d").alias("greatest"))
-    return counts.join(shown, "view")
+    """The first and the last distinct distances: view, n_unique, side (head or tail), place (from 1, from that end) and d."""
+    v = ranks.row_numbers(upper(pairs).where("d is not null").select("view", "d").distinct(), "view", "d")
+    n = v.groupBy("view").agg(F.count("*").alias("n_unique"))
+    v = v.join(F.broadcast(n), "view").withColumn("back", F.col("n_unique") - F.col("n") + 1)
+    ends = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("n").alias("place")), F.struct(F.lit("tail").alias("side"), F.col("back").alias("place")))).alias("e")
+    return v.where((F.col("n") <= show) | (F.col("back") <= show)).select("view", "n_unique", ends, "d").where(F.col("e.place") <= show).select("view", "n_unique", "e.side", "e.place", "d")
 
 
 def point_table(pairs: DataFrame, k: int) -> DataFrame:
@@ -155,17 +160,35 @@ def point_table(pairs: DataFrame, k: int) -> DataFrame:
     return m.join(knn_purity(pairs, k), ["view", "i"]).join(knn_means(pairs, k), ["view", "i"]).select("view", F.col("i").alias("id"), "y", "mu", "d_plus", "d_minus", "knn_purity", "knn_mean")
 
 
+def purity_summary(pairs: DataFrame, k: int) -> DataFrame:
+    return knn_purity(pairs, k).groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"), F.stddev_pop("knn_purity").alias("purity_std"))
+
+
+def class_balance(pairs: DataFrame) -> DataFrame:
+    """Points of each class by view."""
+    own = pairs.select("view", "i", "yi").distinct()
+    return own.groupBy("view").agg(F.sum((F.col("yi") == 0).cast("long")).alias("n_class0"), F.sum((F.col("yi") == 1).cast("long")).alias("n_class1"))
+
+
 def structural_summary(pairs: DataFrame, k: int) -> DataFrame:
-    """One row per view: the characteristics that reports show."""
+    """One row per view with all characteristics: checks, distribution, rows, neighbourhoods, classes, margins (plain and robust), zeros and distinct values.
+
+    pairs are read once for each part, so they should be stored.
+    """
+    robust = margin_summary(pairs, True)
     parts = [
-        basic_checks(pairs).select("view", "n", "d_mean", "d_std"),
-        distribution(pairs).select("view", F.col("q50").alias("median"), "cv"),
+        basic_checks(pairs),
+        distribution(pairs),
+        row_mean_summary(pairs),
         knn_mean_summary(pairs, k),
-        intrinsic_dimension(pairs).select("view", "intrinsic_dim"),
-        intra_inter(pairs).select("view", "intra_mean", "inter_mean", "separation"),
-        margin_summary(pairs).select("view", "mu_mean", "frac_negative"),
-        knn_purity(pairs, k).groupBy("view").agg(F.avg("knn_purity").alias("purity_mean")),
-        zero_distances(pairs).select("view", "zero_rate", "frac_any"),
+        intrinsic_dimension(pairs),
+        class_balance(pairs),
+        intra_inter(pairs),
+        margin_summary(pairs),
+        robust.select("view", *(F.col(c).alias(f"robust_{c}") for c in robust.columns if c != "view")),
+        purity_summary(pairs, k),
+        zero_distances(pairs),
+        upper(pairs).groupBy("view").agg(F.count_distinct("d").alias("n_unique")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -175,7 +198,8 @@ def structural_summary(pairs: DataFrame, k: int) -> DataFrame:
 
 def distribution_report(pairs: DataFrame) -> DataFrame:
     """Mean, population deviation, median, outer deciles and the share of distances at 1, of normalised views."""
-    at_one = (F.abs(F.col("d") - 1) <= 1e-12 + 1e-5).cast("double")
-    q = F.percentile("d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = upper(pairs).groupBy("view").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), q.alias("q"), F.avg(at_one).alias("share_one"))
+    counts = ranks.value_counts(upper(pairs), "view", "d")
+    at_one = F.when(F.abs(F.col("d") - 1) <= 1e-12 + 1e-5, F.col("c")).otherwise(0)
+    share = counts.groupBy("view").agg((F.sum(at_one) / F.sum("c")).alias("share_one"))
+    out = moments(counts).join(ranks.percentiles(counts, "view", "d", (0.1, 0.5, 0.9)), "view").join(share, "view")
     return out.select("view", "mean", "std", F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90"), "share_one")

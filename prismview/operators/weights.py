@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import entropy, first_best, mixture
+from ..functions.columns import dot, entropy, first_best, mixture
 
 
 def weights_long(fold_results: DataFrame, views: tuple[str, ...]) -> DataFrame:
@@ -129,6 +129,26 @@ def drift(snapshots: DataFrame, *run: str) -> DataFrame:
     return snapshots.select(*run, "checkpoint", "loss", entropy(F.col("a_sq")[0]).alias("entropy"), gap.alias("weight_drift"), F.when(protos.isNotNull(), turnover).alias("proto_drift"))
 
 
+def scopes(snapshots: DataFrame, *run: str) -> DataFrame:
+    """The mixture of each scope (global, or one for each label) at each checkpoint: run, checkpoint, scope, weights, entropy."""
+    each = snapshots.select(*run, "checkpoint", F.size("a_sq").alias("_n"), F.posexplode("a_sq").alias("_s", "w"))
+    name = F.when(F.col("_n") == 1, "global").otherwise(F.concat(F.lit("label"), F.col("_s").cast("string")))
+    return each.select(*run, "checkpoint", name.alias("scope"), mixture(F.col("w")).alias("weights"), entropy(F.col("w")).alias("entropy"))
+
+
+def replayed(snapshots: DataFrame, wide: DataFrame, points: DataFrame, *run: str) -> DataFrame:
+    """What the states of snapshots (run, checkpoint, protos by position, a_sq) predict for every point: run, checkpoint, i, y, y_pred.
+
+    A prototype is measured with its own label's weights, where there are several; ties go to the first prototype. wide has the distances to the prototypes.
+    """
+    protos = snapshots.select(*run, "checkpoint", "a_sq", F.posexplode("protos").alias("k", "pj"))
+    labels = points.select(F.col("pos").alias("pj"), F.col("y").alias("yk"))
+    protos = protos.join(labels, "pj").withColumn("w", F.col("a_sq")[F.when(F.size("a_sq") > 1, F.col("yk")).otherwise(0)]).drop("a_sq")
+    far = wide.select("i", "pi", "yi", "pj", "d").join(F.broadcast(protos), "pj").withColumn("dc", dot(F.col("w"), F.col("d")))
+    best = far.groupBy(*run, "checkpoint", "i", "pi", F.col("yi").alias("y")).agg(F.min(F.struct("dc", "k", "yk")).alias("b"))
+    return best.select(*run, "checkpoint", "i", "y", F.col("b.yk").alias("y_pred"))
+
+
 def at_checkpoints(snapshots: DataFrame, checkpoints: list[int], *run: str) -> DataFrame:
     """The snapshot each checkpoint falls on; beyond the last one, the last."""
     last = snapshots.groupBy(*run).agg(F.max("snapshot").alias("_last"))

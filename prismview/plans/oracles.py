@@ -104,15 +104,31 @@ def protos(n: int) -> str:
     return OWN + "".join(further(k) for k in range(1, n)) + ", pr AS (SELECT CAST(row_number() OVER (ORDER BY y, n) - 1 AS INTEGER) k, i id, y FROM (" + " UNION ALL ".join(f"SELECT y, i, {k} n FROM p{k}" for k in range(n)) + "))"
 
 
-ASSIGN = f"""{protos(2)}, cells AS (SELECT * FROM w UNION ALL SELECT id, id, pos, pos, y, y, 0.0, 0.0, 0.0 FROM pts),
- dp AS (SELECT c.i, c.pi, c.yi, pr.k, pr.y yk, d1, d2, d3, {DC} dc FROM cells c JOIN pr ON c.j = pr.id),
+HASHED = WIDE + ", pr AS (SELECT CAST(row_number() OVER (ORDER BY y, n) - 1 AS INTEGER) k, id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(id || '|start'), pos) n FROM pts) WHERE n <= 2)"
+
+
+def assign(dc: str) -> str:
+    return f"""{HASHED}, cells AS (SELECT * FROM w UNION ALL SELECT id, id, pos, pos, y, y, 0.0, 0.0, 0.0 FROM pts),
+ dp AS (SELECT c.i, c.pi, c.yi, pr.k, pr.y yk, d1, d2, d3, {dc} dc FROM cells c JOIN pr ON c.j = pr.id),
  a AS (SELECT p.i, p.pi, p.yi y, p.k k_plus, p.dc d_plus, p.d1 p1, p.d2 p2, p.d3 p3, q.k k_minus, q.dc d_minus, q.d1 q1, q.d2 q2, q.d3 q3
   FROM (SELECT * FROM dp WHERE yi = yk QUALIFY row_number() OVER (PARTITION BY i ORDER BY dc, k) = 1) p
   JOIN (SELECT * FROM dp WHERE yi <> yk QUALIFY row_number() OVER (PARTITION BY i ORDER BY dc, k) = 1) q USING (i))"""
+
+
+ASSIGN = assign(DC)
 MU5 = "(d_plus - d_minus) / (d_plus + d_minus + 1e-5)"
 AV = (0.6, 0.64, 0.48)
 
 
+def swap(dc: str) -> str:
+    return f"""WITH {assign(dc)}, k0 AS (SELECT id, y FROM pr WHERE k = 0), ca AS (SELECT a.i j FROM a, k0 WHERE k_plus = 0 AND a.i <> k0.id),
+ wo AS (SELECT i, yi, min(dc) FILTER (yi = yk) p, min(dc) FILTER (yi <> yk) m FROM dp WHERE k <> 0 GROUP BY i, yi),
+ cd AS (SELECT i, j, pj, {dc} dc FROM cells),
+ mv AS (SELECT c.j, c.pj, CASE WHEN wo.yi = k0.y THEN least(p, c.dc) ELSE p END d_plus, CASE WHEN wo.yi = k0.y THEN m ELSE least(m, c.dc) END d_minus FROM cd c JOIN ca USING (j) JOIN wo ON c.i = wo.i, k0)
+ SELECT j candidate, pj pc, round(sum({MU5}) - (SELECT sum({MU5}) FROM a), 9) + 0.0 delta FROM mv GROUP BY j, pj"""
+
+
+
 def grads(by: str) -> str:
     key = f"{by}, " if by else ""
     g = ", ".join(f"sum(4 * {AV[v]}::DOUBLE * (p{v + 1} * d_minus - q{v + 1} * d_plus) / (d_plus + d_minus + 1e-5) ** 2) g{v}" for v in range(3))
@@ -127,10 +143,11 @@ SIMPLEX = """u AS (SELECT id, k, x, row_number() OVER (PARTITION BY id ORDER BY
 ORACLES = {
     "dist_distribution": f"WITH {NORM} SELECT view, round(avg(d), 9) mean, round(stddev_pop(d), 9) std, round(quantile_cont(d, 0.1), 9) q10, round(quantile_cont(d, 0.5), 9) median, round(quantile_cont(d, 0.9), 9) q90, round(avg(CASE WHEN abs(d - 1) <= 1e-12 + 1e-5 THEN 1.0 ELSE 0.0 END), 9) share_one FROM norm WHERE pi < pj GROUP BY view",
     "pair_distance": f"WITH {PAIRS} SELECT view, pi, round(sum(d), 9) total, round(min(d), 9) least FROM pairs GROUP BY view, pi",
-    "customer_views": """WITH s AS (SELECT o_custkey, sum(o_totalprice) spend FROM orders GROUP BY 1), c AS (SELECT c_nationkey k, avg(c_acctbal) balance, sum(coalesce(spend, 0)) spend FROM customer LEFT JOIN s ON c_custkey = o_custkey GROUP BY 1),
- p AS (SELECT n_name id, n_nationkey pos, n_regionkey region, spend FROM c JOIN nation ON k = n_nationkey),
- q AS (SELECT CASE WHEN a.region = b.region THEN 0.5 ELSE 1.0 END::DOUBLE d1, floor(abs(ln(1 + a.spend) - ln(1 + b.spend)) * 1e6 + 0.5) / 1e6 d2 FROM p a, p b WHERE a.pos <> b.pos)
- SELECT 'place' AS view, count(*) n, round(sum(d1), 4) total, round(max(d1), 9) greatest FROM q UNION ALL SELECT 'spend', count(*), round(sum(d2), 4), round(max(d2), 9) FROM q""",
+    "customer_views": """WITH s AS (SELECT o_custkey, sum(o_totalprice) spend FROM orders GROUP BY 1), k AS (SELECT o_custkey, list(DISTINCT p_brand || '|' || p_type) products FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+ p AS (SELECT c_custkey pos, c_nationkey nation, n_regionkey region, coalesce(spend, 0) spend, coalesce(products, []) products FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON c_custkey = s.o_custkey LEFT JOIN k ON c_custkey = k.o_custkey),
+ e AS (SELECT pos, unnest(products) kind FROM p), x AS (SELECT a.pos pi, b.pos pj, count(*) n FROM e a JOIN e b USING (kind) GROUP BY ALL),
+ q AS (SELECT CASE WHEN a.nation = b.nation THEN 0.0 WHEN a.region = b.region THEN 0.5 ELSE 1.0 END::DOUBLE d1, CASE WHEN len(a.products) + len(b.products) = 0 THEN 0.0 ELSE 1 - coalesce(n, 0)::DOUBLE / (len(a.products) + len(b.products) - coalesce(n, 0)) END d2, floor(abs(ln(1 + a.spend) - ln(1 + b.spend)) * 1e6 + 0.5) / 1e6 d3 FROM p a JOIN p b ON a.pos <> b.pos LEFT JOIN x ON a.pos = x.pi AND b.pos = x.pj)
+ SELECT 'place' AS view, count(*) n, round(sum(d1), 4) total, round(max(d1), 9) greatest FROM q UNION ALL SELECT 'products', count(*), round(sum(d2), 4), round(max(d2), 9) FROM q UNION ALL SELECT 'spend', count(*), round(sum(d3), 4), round(max(d3), 9) FROM q""",
     "align_inner": f"WITH {PAIRS}, k AS (SELECT id FROM pts WHERE pos % 7 <> 0 AND pos % 11 <> 0) SELECT view, count(*) n, round(sum(d), 4) total, round(max(d), 9) greatest, (SELECT count(*) FROM k) points FROM pairs WHERE i IN (FROM k) AND j IN (FROM k) GROUP BY view",
     "missing_ids": f"WITH {PTS} SELECT id FROM pts WHERE pos % 7 = 0",
     "matrix_problems": "SELECT 0::BIGINT missing_cells, 0::BIGINT duplicate_cells, 0::BIGINT bad_cells",
@@ -148,21 +165,13 @@ ORACLES = {
     "knn_purity_tiesafe": f"WITH {PAIRS}, {GROUPS} SELECT view, i, round(knn_purity, 9) knn_purity FROM purity",
     "knn_weights_rowsum": f"WITH {PAIRS}, {GROUPS} SELECT view, i, round(sum(c * wt), 9) total, sum(c)::BIGINT n FROM g WHERE wt > 0 GROUP BY view, i",
     "purity_permutation": f"""WITH {PAIRS}, {GROUPS}, nw AS (SELECT p.view, p.i, p.j, wt FROM pairs p JOIN g USING (view, i, d) WHERE wt > 0),
- tk AS (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '|' || perm || '|0'), pos) r FROM pts, range(5) t(perm)), gv AS (SELECT y, row_number() OVER (ORDER BY pos) r FROM pts), lb AS (SELECT perm, id, y FROM tk JOIN gv USING (r)),
+ tk AS (SELECT perm, id, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '|' || perm || '|0'), pos) r FROM pts, range(50) t(perm)), gv AS (SELECT y, row_number() OVER (ORDER BY pos) r FROM pts), lb AS (SELECT perm, id, y FROM tk JOIN gv USING (r)),
  ru AS (SELECT view, a.perm, sum(CASE WHEN a.y = b.y THEN wt ELSE 0 END) / (10.0 * (SELECT count(*) FROM pts)) p FROM nw JOIN lb a ON nw.i = a.id JOIN lb b ON nw.j = b.id AND a.perm = b.perm GROUP BY ALL),
  bs AS (SELECT view, avg(p) bm, stddev_pop(p) sd FROM ru GROUP BY view), pm AS (SELECT view, avg(knn_purity) x FROM purity GROUP BY view)
  SELECT view, round(x, 9) purity_mean, round(bm, 9) baseline_mean, round(sd, 9) baseline_std, round((x - bm) / (sd + 1e-12), 9) z FROM pm JOIN bs USING (view)""",
     "zero_stats": f"WITH {UP}, r AS (SELECT view, avg((d = 0)::INT) zero_rate FROM up GROUP BY view), z AS (SELECT view, i, sum((d = 0)::INT)::BIGINT zeros FROM pairs GROUP BY view, i) SELECT view, round(any_value(zero_rate), 9) zero_rate, round(avg(zeros), 9) zeros_mean, max(zeros) zeros_max, round(avg((zeros >= 1)::INT), 9) frac_any, round(avg((zeros >= 10)::INT), 9) frac_ten FROM z JOIN r USING (view) GROUP BY view",
-    "unique_values": f"WITH {UP}, v AS (SELECT DISTINCT view, d FROM up), n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY d) a, row_number() OVER (PARTITION BY view ORDER BY d DESC) b FROM v) SELECT view, count(*) n_unique, round(sum(d) FILTER (a <= 30), 9) head_sum, round(sum(d) FILTER (b <= 30), 9) tail_sum, round(min(d), 9) least, round(max(d), 9) greatest FROM n GROUP BY view",
+    "unique_values": f"WITH {UP}, v AS (SELECT DISTINCT view, d FROM up), n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY d) a, row_number() OVER (PARTITION BY view ORDER BY d DESC) b, count(*) OVER (PARTITION BY view) n_unique FROM v) SELECT view, n_unique, 'head' side, a place, round(d, 9) d FROM n WHERE a <= 30 UNION ALL SELECT view, n_unique, 'tail', b, round(d, 9) FROM n WHERE b <= 30",
     "point_table": f"WITH {POINTS} SELECT view, id, y, round(mu, 9) + 0.0 mu, round(d_plus, 9) d_plus, round(d_minus, 9) d_minus, round(knn_purity, 9) knn_purity, round(knn_mean, 9) knn_mean FROM pt",
-    "structural_summary": f"""WITH {POINTS}, up AS (SELECT * FROM pairs WHERE pi < pj), n AS (SELECT count(*)::BIGINT n FROM pts),
- b AS (SELECT view, sum(d) / (any_value(n) * any_value(n)) dm, sum(d * d) / (any_value(n) * any_value(n)) ds FROM pairs, n GROUP BY view),
- q AS (SELECT view, quantile_cont(d, 0.5) median, stddev_pop(d) / avg(d) cv, avg(d) FILTER (yi = yj) ia, avg(d) FILTER (yi <> yj) ir, avg((d = 0)::INT) zr FROM up GROUP BY view),
- t AS (SELECT view, i, max(CASE WHEN rank = 1 THEN d END) r1, max(CASE WHEN rank = 2 THEN d END) r2 FROM near GROUP BY view, i), idm AS (SELECT view, 1 / avg(ln(r2 / r1)) x FROM t WHERE r1 > 1e-12 AND r2 > r1 GROUP BY view),
- z AS (SELECT view, avg((zeros >= 1)::INT) fa FROM (SELECT view, i, sum((d = 0)::INT) zeros FROM pairs GROUP BY view, i) GROUP BY view),
- p AS (SELECT view, avg(knn_mean) km, stddev_pop(knn_mean) ks, avg(mu) mm, avg((mu < 0)::INT) fn, avg(knn_purity) pu FROM pt GROUP BY view)
- SELECT b.view, n, round(dm, 9) d_mean, round(sqrt(greatest(ds - dm * dm, 0)), 9) d_std, round(median, 9) median, round(cv, 9) cv, round(km, 9) knn_mean, round(ks, 9) knn_std, round(x, 9) intrinsic_dim, round(ia, 9) intra_mean, round(ir, 9) inter_mean, round(ir / ia, 9) separation, round(mm, 9) + 0.0 mu_mean, round(fn, 9) frac_negative, round(pu, 9) purity_mean, round(zr, 9) zero_rate, round(fa, 9) frac_any
- FROM b JOIN q USING (view) LEFT JOIN idm USING (view) JOIN z USING (view) JOIN p USING (view), n""",
     "corr_pearson": f"WITH {WIDE}, c AS (SELECT corr(d1, d2) a, corr(d1, d3) b, corr(d2, d3) c FROM w WHERE pi < pj) SELECT x.column1 a, x.column2 b, round(x.column3, 9) r FROM c, LATERAL (VALUES ('v1', 'v1', 1.0::DOUBLE), ('v2', 'v2', 1.0), ('v3', 'v3', 1.0), ('v1', 'v2', c.a), ('v2', 'v1', c.a), ('v1', 'v3', c.b), ('v3', 'v1', c.b), ('v2', 'v3', c.c), ('v3', 'v2', c.c)) x(column1, column2, column3)",
     "corr_spearman": f"WITH {WIDE}, rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY d{k}) + (count(*) OVER (PARTITION BY d{k}) - 1) / 2.0::DOUBLE r{k}" for k in (1, 2, 3)) + " FROM w WHERE pi < pj), c AS (SELECT corr(r1, r2) a, corr(r1, r3) b, corr(r2, r3) c FROM rk) SELECT x.column1 a, x.column2 b, round(x.column3, 9) r FROM c, LATERAL (VALUES ('v1', 'v1', 1.0::DOUBLE), ('v2', 'v2', 1.0), ('v3', 'v3', 1.0), ('v1', 'v2', c.a), ('v2', 'v1', c.a), ('v1', 'v3', c.b), ('v3', 'v1', c.b), ('v2', 'v3', c.c), ('v3', 'v2', c.c)) x(column1, column2, column3)",
     "corr_summary": f"WITH {WIDE}, c AS (SELECT abs(corr(d1, d2)) a, abs(corr(d1, d3)) b, abs(corr(d2, d3)) c FROM w WHERE pi < pj) SELECT 'v1' AS view, round((a + b) / 2, 9) mean_abs, round(greatest(a, b), 9) max_abs FROM c UNION ALL SELECT 'v2', round((a + c) / 2, 9), round(greatest(a, c), 9) FROM c UNION ALL SELECT 'v3', round((b + c) / 2, 9), round(greatest(b, c), 9) FROM c",
@@ -181,10 +190,9 @@ ORACLES = {
     "predict_label": f"WITH {ASSIGN}, dl AS (SELECT i, yi, yk, CASE WHEN yk = 1 THEN dc ELSE 0.0 + 0.2::DOUBLE * d1 + 0.3::DOUBLE * d2 + 0.5::DOUBLE * d3 END dd FROM dp) SELECT i, yi y, yk y_pred FROM dl QUALIFY row_number() OVER (PARTITION BY i ORDER BY dd, yk) = 1",
     "glvq_loss": f"WITH {ASSIGN} SELECT round(sum({MU5}), 9) loss, count(*) n FROM a",
     "proto_priority": f"WITH {ASSIGN}, z AS (SELECT k, coalesce((SELECT sum(d_plus) FROM a WHERE k_plus = k), 0) - coalesce((SELECT sum(d_minus) FROM a WHERE k_minus = k), 0) p FROM pr) SELECT k, round(p, 9) priority, CAST(row_number() OVER (ORDER BY p DESC, k) AS INTEGER) rank FROM z",
-    "swap_scan": f"""WITH {ASSIGN}, k0 AS (SELECT id, y FROM pr WHERE k = 0), ca AS (SELECT a.i j FROM a, k0 WHERE k_plus = 0 AND a.i <> k0.id),
- wo AS (SELECT i, yi, min(dc) FILTER (yi = yk) p, min(dc) FILTER (yi <> yk) m FROM dp WHERE k <> 0 GROUP BY i, yi),
- mv AS (SELECT c.j, c.pj, CASE WHEN wo.yi = k0.y THEN least(p, {DC}) ELSE p END d_plus, CASE WHEN wo.yi = k0.y THEN m ELSE least(m, {DC}) END d_minus FROM cells c JOIN ca USING (j) JOIN wo ON c.i = wo.i, k0)
- SELECT j candidate, pj pc, round(sum({MU5}) - (SELECT sum({MU5}) FROM a), 9) + 0.0 delta FROM mv GROUP BY j, pj""",
+    "swap_scan": swap(DC),
+    "swap_scan_label": swap(f"CASE WHEN yi = 1 THEN {DC} ELSE 0.0 + 0.2::DOUBLE * d1 + 0.3::DOUBLE * d2 + 0.5::DOUBLE * d3 END"),
+    "swap_scan_single": swap("0.0 + d3"),
     "weight_step_global": grads(""),
     "weight_step_label": grads("y"),
     "weight_step_linear": f"WITH {ASSIGN}, g AS (SELECT "
@@ -192,9 +200,9 @@ ORACLES = {
     + " FROM a), x AS ("
     + " UNION ALL ".join(f"SELECT 0 id, {v - 1} k, {a}::DOUBLE - 0.1::DOUBLE * g{v} / (abs(g1) + abs(g2) + abs(g3) + 1e-12) x FROM g" for v, a in ((1, 0.5), (2, 0.3), (3, 0.2)))
     + f"), {SIMPLEX} SELECT CAST(k AS INTEGER) v, round(greatest(x - theta, 0), 9) w FROM x JOIN t USING (id)",
-    "simplex_project": f"WITH x AS (SELECT vec_id id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 5) t(k)), {SIMPLEX} SELECT id vec_id, CAST(k AS INTEGER) k, round(greatest(x - theta, 0), 9) x FROM x JOIN t USING (id)",
-    "normalise_vectors": "WITH x AS (SELECT vec_id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 5) t(k)), s AS (SELECT vec_id, sqrt(sum(x * x)) n, sum(greatest(x, 0)) p FROM x GROUP BY 1) SELECT vec_id, CAST(k AS INTEGER) k, round(CASE WHEN n < 1e-12 THEN 0.5 ELSE x / n END, 9) + 0.0 unit, round(CASE WHEN p > 0 THEN greatest(x, 0) / p ELSE 0.25 END, 9) mixture FROM x JOIN s USING (vec_id)",
-    "grid_jobs": f"WITH {CFG} SELECT config_key, model, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta FROM cfg",
+    "simplex_project": f"WITH x AS (SELECT vec_id id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 65) t(k)), {SIMPLEX} SELECT id vec_id, CAST(k AS INTEGER) k, round(greatest(x - theta, 0), 9) x FROM x JOIN t USING (id)",
+    "normalise_vectors": "WITH x AS (SELECT vec_id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 65) t(k)), s AS (SELECT vec_id, sqrt(sum(x * x)) n, sum(greatest(x, 0)) p FROM x GROUP BY 1) SELECT vec_id, CAST(k AS INTEGER) k, round(CASE WHEN n < 1e-12 THEN 0.125 ELSE x / n END, 9) + 0.0 unit, round(CASE WHEN p > 0 THEN greatest(x, 0) / p ELSE 1 / 64.0::DOUBLE END, 9) mixture FROM x JOIN s USING (vec_id)",
+    "grid_jobs": f"WITH {CFG} SELECT config_key || '|-|1' config_key, model, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta FROM cfg",
     "top_per_model": f"WITH {POOLED} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) AS INTEGER) rank, config_key, round(bal_acc, 9) bal_acc FROM pm QUALIFY rank <= 3",
     "best_config": f"WITH {POOLED} SELECT model, config_key, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta, round(bal_acc, 9) bal_acc FROM pm QUALIFY row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) = 1",
     "refine_grid": f"""WITH {POOLED}, b AS (SELECT * FROM pm QUALIFY row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) = 1), e(n, x) AS (VALUES (0, 0.005::DOUBLE), (1, 0.01), (2, 0.02), (3, 0.05), (4, 0.1)),
@@ -206,6 +214,7 @@ ORACLES = {
     "error_by_quantile": f"WITH {JOINED}, e AS (SELECT view, list_distinct(quantile_cont(mu, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) edges FROM jn GROUP BY view HAVING count(DISTINCT mu) >= 3) SELECT view, CAST(greatest(len([x for x in edges if x < mu]), 1) AS INTEGER) bin, count(*) n, round(avg(1 - correct), 9) error FROM jn JOIN e USING (view) GROUP BY ALL",
     "dominance_groups": f"WITH {WIDEPT}, d AS (SELECT CASE WHEN correct_v1 + correct_v2 + correct_v3 = 0 THEN 'none' ELSE concat_ws('+', CASE WHEN correct_v1 = 1 THEN 'v1' END, CASE WHEN correct_v2 = 1 THEN 'v2' END, CASE WHEN correct_v3 = 1 THEN 'v3' END) END dominance, correct_v1 + correct_v2 + correct_v3 r FROM wp) SELECT dominance, count(*) n, round(avg(r), 9) mean_correct, round(count(*)::DOUBLE / (SELECT count(*) FROM d), 9) share FROM d GROUP BY dominance",
     "alignment_best_view": f"WITH {WIDEPT}, b AS (SELECT *, CASE WHEN knn_purity_v1 >= knn_purity_v2 AND knn_purity_v1 >= knn_purity_v3 THEN 'v1' WHEN knn_purity_v2 >= knn_purity_v3 THEN 'v2' ELSE 'v3' END best FROM wp) SELECT best, count(*) n, round(avg(CASE best WHEN 'v1' THEN correct_v1 WHEN 'v2' THEN correct_v2 ELSE correct_v3 END), 9) best_correct FROM b GROUP BY best",
+    "alignment_least_mu": f"WITH {WIDEPT}, b AS (SELECT *, CASE WHEN mu_v1 <= mu_v2 AND mu_v1 <= mu_v3 THEN 'v1' WHEN mu_v2 <= mu_v3 THEN 'v2' ELSE 'v3' END best FROM wp) SELECT best, count(*) n, round(avg(CASE best WHEN 'v1' THEN correct_v1 WHEN 'v2' THEN correct_v2 ELSE correct_v3 END), 9) best_correct FROM b GROUP BY best",
     "complementarity": f"WITH {PTS}, {SINGLE}, z AS (SELECT a.view a, b.view b, sum(a.correct * b.correct)::BIGINT \"both\", sum(a.correct * (1 - b.correct))::BIGINT only_a, sum((1 - a.correct) * b.correct)::BIGINT only_b, sum((1 - a.correct) * (1 - b.correct))::BIGINT neither FROM sc a JOIN sc b ON a.id = b.id AND a.view < b.view GROUP BY ALL) SELECT *, round(\"both\"::DOUBLE / (\"both\" + only_a + only_b), 9) jaccard FROM z",
     "perf_comparison": f"""WITH {POOLED}, {SINGLE}, {FIXED}, s0 AS (SELECT view, {COUNTS} FROM sc GROUP BY view), bl AS (
  SELECT 'single' block, view AS name, {METRICS["balanced_accuracy"]} ba, {METRICS["recall"]} rc FROM s0
@@ -252,6 +261,21 @@ ORACLES["entropy_drift"] = f"""WITH {FOLDS}, {WEIGHTS}, fw AS (SELECT config_key
  fv AS (SELECT fold, list(pos ORDER BY pos)[1:5] s FROM f GROUP BY fold), z AS (SELECT config_key, fold, entropy, a, s, lag(a) OVER (PARTITION BY config_key ORDER BY fold) pa, lag(s) OVER (PARTITION BY config_key ORDER BY fold) ps FROM fw JOIN fv USING (fold))
  SELECT config_key, fold checkpoint, round(entropy, 9) entropy, round(CASE WHEN pa IS NOT NULL THEN list_distance(a, pa) END, 9) weight_drift, round(CASE WHEN ps IS NOT NULL THEN 1 - len(list_intersect(s, ps))::DOUBLE / len(list_distinct(list_concat(s, ps))) END, 9) proto_drift FROM z"""
 
+ORACLES["purity_ranking"] = f"WITH {PAIRS}, {GROUPS}, z AS (SELECT view, avg(knn_purity) p FROM purity GROUP BY view) SELECT view, round(p, 9) purity_mean, CAST(row_number() OVER (ORDER BY p DESC, view) AS INTEGER) rank FROM z"
+PIVOTED = ", ".join(f"max({{0}}) FILTER (b = '{v}') {v}" for v in VIEWS)
+ORACLES["pearson_table"] = f"WITH z AS ({ORACLES['corr_pearson']}) SELECT a, {PIVOTED.format('r')} FROM z GROUP BY a"
+ORACLES["overlap_table"] = f"WITH z AS ({ORACLES['knn_overlap']}) SELECT a, {PIVOTED.format('overlap')} FROM z GROUP BY a"
+ORACLES["models_by_prefix"] = f"WITH {STORED} SELECT model, config_key, count(*) n FROM fr WHERE model LIKE 'lab%' GROUP BY ALL"
+ORACLES["derived_seeds"] = f"WITH {PTS} SELECT id, ('0x' || substr(sha256(pos || '|v1|' || y), 1, 8))::BIGINT seed FROM pts"
+ROBUST = "view, " + ", ".join(f"{c} robust_{c}" for c in ("mu_count", "mu_mean", "mu_std", "mu_min", "mu_q25", "mu_q50", "mu_q75", "mu_max", "frac_negative", "frac_zero"))
+SUMMARY = [ORACLES[n] for n in ("basic_checks", "quantile_dist", "row_mean_describe", "knn_mean", "intrinsic_dim_2nn", "intra_inter", "margin_summary", "zero_stats")] + [
+    f"SELECT {ROBUST} FROM ({ORACLES['robust_margin']})",
+    f"WITH {PAIRS}, z AS (SELECT DISTINCT view, i, yi FROM pairs) SELECT view, count(*) FILTER (yi = 0) n_class0, count(*) FILTER (yi = 1) n_class1 FROM z GROUP BY view",
+    f"WITH {PAIRS}, {GROUPS} SELECT view, round(avg(knn_purity), 9) purity_mean, round(stddev_pop(knn_purity), 9) purity_std FROM purity GROUP BY view",
+    f"WITH {UP} SELECT view, count(DISTINCT d) n_unique FROM up GROUP BY view",
+]
+ORACLES["structural_summary"] = f"SELECT * FROM ({SUMMARY[0]}) " + " ".join(f"LEFT JOIN ({x}) USING (view)" for x in SUMMARY[1:])
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

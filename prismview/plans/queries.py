@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import entropy, l2_normalised, mixture, simplex_projection
 from ..operators import alignment, analysis, crossview, evaluation, normalize, prototypes, search, structure, trainer, weights
+from ..session import checkpointed
 from ..sources import runs, store
-from ..sources.fixtures import VIEWS, customer_points, embedding_pairs, embedding_points, long_pairs, table, wide_pairs
+from ..sources.fixtures import VIEWS, cells_to, customer_pairs, customer_points, embedding_pairs, embedding_points, long_pairs, table, wide_pairs
 
 K = 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,15 +34,15 @@ def wide(s, d):
     return wide_pairs(embedding_points(s, d))
 
 
-def cells(s, d):
-    points = embedding_points(s, d)
-    return prototypes.with_diagonal(wide_pairs(points), points, len(VIEWS))
+def protos(s, d):
+    """Two prototypes per class, in the order of a hash: four rows."""
+    return prototypes.hashed_start(embedding_points(s, d), 2)
 
 
-def protos(s, d):
-    """Two prototypes per class, computed once: four rows."""
-    rows = prototypes.medoids(wide(s, d), prototypes.weights_literal(A_SQ), 2).collect()
-    return s.createDataFrame([(r["k"], r["id"], r["y"]) for r in rows], "k int, id string, y int")
+def cells(s, d):
+    """Distances to the prototypes only: no pairs of points."""
+    points = embedding_points(s, d)
+    return cells_to(points, points.join(F.broadcast(protos(s, d).select("id")), "id"))
 
 
 def assignment(s, d):
@@ -68,16 +69,6 @@ def weights_of(s, d):
     return weights.weights_wide(results(s, d), VIEWS)
 
 
-def customer_pairs(s, d):
-    p = customer_points(s, d)
-    a, b = p.alias("a"), p.alias("b")
-    place = F.when(F.col("a.region") == F.col("b.region"), 0.5).otherwise(1.0)
-    spend = F.floor(F.abs(F.log1p("a.spend") - F.log1p("b.spend")) * 1e6 + 0.5) / 1e6
-    j = a.join(b, F.col("a.pos") != F.col("b.pos"))
-    d_ = F.explode(F.array(F.struct(F.lit("place").alias("view"), place.alias("d")), F.struct(F.lit("spend").alias("view"), spend.alias("d")))).alias("z")
-    return j.select(d_, F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.pos").alias("pi"), F.col("b.pos").alias("pj"), F.col("a.y").alias("yi"), F.col("b.y").alias("yj")).select("z.view", "i", "j", "pi", "pj", "yi", "yj", "z.d")
-
-
 def view_counts(p):
     return p.groupBy("view").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("total"), F.max("d").alias("greatest"))
 
@@ -101,7 +92,7 @@ def missing_by_view(s, d):
 
 
 def permutation(s, d):
-    return structure.purity_baseline(pairs(s, d), embedding_points(s, d).select("id", "pos", "y"), K, 5)
+    return structure.purity_baseline(pairs(s, d), embedding_points(s, d).select("id", "pos", "y"), K, 50)
 
 
 def folds_of(s, d):
@@ -118,6 +109,14 @@ def medoid_table(s, d):
     return prototypes.medoids(wide(s, d), prototypes.weights_literal(A_SQ), 3)
 
 
+def swap(s, d, weights_=None):
+    """Distances to the prototypes, and to the points of one receptive field: the candidates, for which the scan is made. weights_ may differ by the label of a point (yi)."""
+    points, weights_ = embedding_points(s, d), prototypes.weights_literal(A_SQ) if weights_ is None else weights_
+    field = prototypes.receptive_field(prototypes.assigned(cells(s, d), protos(s, d), weights_), protos(s, d), 0)
+    candidates = cells_to(points, points.join(field.select(F.col("j").alias("id")), "id"))
+    return prototypes.swap_scan(cells(s, d), protos(s, d), weights_, 0, candidates)
+
+
 def step_global(s, d):
     return prototypes.weight_step(assignment(s, d), A, ETA).select(F.posexplode("a").alias("v", "a"))
 
@@ -131,8 +130,7 @@ def step_linear(s, d):
 
 
 def vectors(s, d):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
-    return table(s, d, "embeddings").select("vec_id", e.alias("a"))
+    return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
 
 
 def simplex(s, d):
@@ -269,7 +267,7 @@ def weight_tail(s, d):
 QUERIES: dict[str, Query] = {
     "dist_distribution": lambda s, d: structure.distribution_report(normalize.robust(pairs(s, d))),
     "pair_distance": lambda s, d: pairs(s, d).groupBy("view", "pi").agg(F.sum("d").alias("total"), F.min("d").alias("least")),
-    "customer_views": lambda s, d: view_counts(customer_pairs(s, d)),
+    "customer_views": lambda s, d: view_counts(customer_pairs(customer_points(s, d))),
     "align_inner": align_inner,
     "missing_ids": missing_by_view,
     "matrix_problems": lambda s, d: alignment.problems(pairs(s, d).where("view = 'v3'")),
@@ -290,7 +288,14 @@ QUERIES: dict[str, Query] = {
     "zero_stats": lambda s, d: structure.zero_distances(pairs(s, d)),
     "unique_values": lambda s, d: structure.distinct_values(pairs(s, d)),
     "point_table": points_of,
-    "structural_summary": lambda s, d: structure.structural_summary(pairs(s, d), K),
+    "structural_summary": lambda s, d: structure.structural_summary(checkpointed(pairs(s, d)), K),
+    "purity_ranking": lambda s, d: analysis.purity_ranking(structure.purity_summary(pairs(s, d), K)),
+    "pearson_table": lambda s, d: analysis.as_table(crossview.pearson(wide(s, d), VIEWS), "r", VIEWS),
+    "overlap_table": lambda s, d: analysis.as_table(crossview.overlap_means(pairs(s, d), K), "overlap", VIEWS),
+    "models_by_prefix": lambda s, d: search.with_prefix(results(s, d), "lab").groupBy("model", "config_key").agg(F.count("*").alias("n")),
+    "derived_seeds": lambda s, d: embedding_points(s, d).select("id", search.derived_seed(F.col("pos"), F.lit("v1"), F.col("y")).alias("seed")),
+    "swap_scan_label": lambda s, d: swap(s, d, prototypes.label_weights({0: [0.2, 0.3, 0.5], 1: A_SQ}, F.col("yi"))),
+    "swap_scan_single": lambda s, d: swap(s, d, prototypes.weights_literal([0.0, 0.0, 1.0])),
     "corr_pearson": lambda s, d: crossview.pearson(wide(s, d), VIEWS),
     "corr_spearman": lambda s, d: crossview.spearman(pairs(s, d), VIEWS),
     "corr_summary": lambda s, d: crossview.correlation_summary(crossview.pearson(wide(s, d), VIEWS)),
@@ -313,13 +318,13 @@ QUERIES: dict[str, Query] = {
     "predict_label": lambda s, d: prototypes.predict_label(cells(s, d), protos(s, d), {0: [0.2, 0.3, 0.5], 1: A_SQ}),
     "glvq_loss": lambda s, d: prototypes.loss(assignment(s, d)),
     "proto_priority": lambda s, d: prototypes.priorities(assignment(s, d), protos(s, d)),
-    "swap_scan": lambda s, d: prototypes.swap_scan(cells(s, d), protos(s, d), prototypes.weights_literal(A_SQ), 0),
+    "swap_scan": swap,
     "weight_step_global": step_global,
     "weight_step_label": step_label,
     "weight_step_linear": step_linear,
     "simplex_project": simplex,
     "normalise_vectors": normalised_vectors,
-    "grid_jobs": lambda s, d: runs.configurations(s),
+    "grid_jobs": lambda s, d: search.grid(s, [(a, b) for a in (2, 3) for b in (2, 3)], [0.01, 0.02, 0.05]).select("config_key", "model", "k0", "k1", "eta"),
     "top_per_model": lambda s, d: search.top_per_model(evaluation.pooled_metrics(results(s, d), "config_key", "model"), 3).select("model", "rank", "config_key", "bal_acc"),
     "best_config": lambda s, d: winners(s, d).select("model", "config_key", "k0", "k1", "eta", "bal_acc"),
     "refine_grid": refine_grid,
@@ -330,6 +335,7 @@ QUERIES: dict[str, Query] = {
     "error_by_quantile": lambda s, d: analysis.error_by_quantile(joined(s, d), "mu"),
     "dominance_groups": lambda s, d: analysis.dominance_groups(wide_points(s, d), VIEWS),
     "alignment_best_view": lambda s, d: analysis.structure_alignment(wide_points(s, d), VIEWS),
+    "alignment_least_mu": lambda s, d: analysis.structure_alignment(wide_points(s, d), VIEWS, "mu"),
     "complementarity": lambda s, d: analysis.complementarity(wide_points(s, d), VIEWS),
     "perf_comparison": performance,
     "gain_loss": lambda s, d: analysis.gain_loss(runs.fixed_profile_predictions(s, d), wide_points(s, d), VIEWS, "v3"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, crossview, evaluation, normalize, search, structure, trainer
+from ..operators import analysis, crossview, evaluation, normalize, ranks, search, structure, trainer
 
 
 def written(spark: SparkSession, folder: str, tables: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
@@ -93,6 +93,56 @@ def repeated(spark: SparkSession, winners: DataFrame, points: DataFrame, views:
     return search.correct_rates(out)
 
 
+def repeated_and_linked(spark: SparkSession, winners: DataFrame, points: DataFrame, structure_points: DataFrame, views: np.ndarray, y: np.ndarray, seeds: list[int], n_splits: int, rounds: int, folder: str) -> dict[str, DataFrame]:
+    """repeated(), written, and linked to the structure of each point."""
+    rates = written(spark, folder, {"correct_rates": lambda: repeated(spark, winners, points, views, y, seeds, n_splits, rounds)})["correct_rates"]
+    # positions among the points trained on, in the order of pos
+    place = ranks.row_numbers(points.withColumn("_all", F.lit(0)), "_all", "pos").select("id", (F.col("n") - 1).cast("int").alias("va_idx"))
+    linked = structure_points.join(place.join(rates, "va_idx"), "id")
+    return written(spark, folder, {"linked_rates": lambda: linked}) | {"correct_rates": rates}
+
+
+def single_view_run(spark: SparkSession, views: np.ndarray, y: np.ndarray, folds: np.ndarray, names: tuple[str, ...], k_pairs: list[tuple[int, int]], rounds: int, folder: str) -> dict[str, DataFrame]:
+    """The best numbers of prototypes of each view and its out-of-fold predictions: a table for each view, of which a resumed run makes those that are lacking."""
+    tables: dict[str, Callable[[], DataFrame]] = {}
+    for n, name in enumerate(names):
+        corner = {name: [float(n == m) for m in range(len(names))]}
+
+        def best(corner=corner) -> DataFrame:
+            jobs = [search.profile_jobs(spark, corner, *k) for k in k_pairs]
+            all_jobs = jobs[0]
+            for j in jobs[1:]:
+                all_jobs = all_jobs.unionByName(j)
+            return search.best_per_model(search.evaluate(spark, all_jobs.drop("profile"), views, y, folds, rounds), "balanced_accuracy")
+
+        def oof(corner=corner, name=name) -> DataFrame:
+            k = spark.read.parquet(f"{folder.rstrip('/')}/best_{name}").first()
+            return fixed_profiles(spark, corner, views, y, folds, k["k0"], k["k1"], rounds)
+
+        tables |= {f"best_{name}": best, f"oof_{name}": oof}
+    return written(spark, folder, tables)
+
+
+def performance(spark: SparkSession, fold_results: DataFrame, single: DataFrame, fixed: DataFrame, folder: str, n_splits: int) -> dict[str, DataFrame]:
+    """How well single views (view, balanced_accuracy, ...), the searched models and fixed weights (profile, y_true, y_pred) predict: the pooled metrics of all
+    configurations without failed folds, the best of each model, and all blocks together."""
+
+    def pooled() -> DataFrame:
+        good = evaluation.config_status(fold_results, n_splits).where("status = 'ok'").select("config_key")
+        return evaluation.pooled_metrics(fold_results, "config_key", "model", "k0", "k1", "eta").join(good, "config_key", "left_semi")
+
+    tables = written(spark, folder, {"pooled": pooled})
+
+    def blocks() -> DataFrame:
+        def block(rows: DataFrame, kind: str, name: str) -> DataFrame:
+            return rows.select(F.lit(kind).alias("block"), F.col(name).alias("name"), "balanced_accuracy", "recall")
+
+        multi = search.best_per_model(tables["pooled"])
+        return analysis.performance(block(single, "single", "view"), block(multi, "multi", "model"), block(evaluation.metrics(evaluation.confusion(fixed, "profile")), "fixed", "profile"))
+
+    return tables | written(spark, folder, {"performance": blocks})
+
+
 def with_sidecar(oof: DataFrame, sidecar: DataFrame, run: str, *columns: str) -> DataFrame:
     """Out-of-fold rows with a run's attributes, which its sidecar repeats on every fold's row."""
     first = sidecar.groupBy(run).agg(*(F.min_by(c, "fold").alias(c) for c in columns))

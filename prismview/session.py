@@ -1,6 +1,9 @@
-"""Session defaults for local runs; a cluster's own settings stay."""
+"""Session defaults for local runs, and what is kept in the shared folder; a cluster's own settings stay."""
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -16,3 +19,14 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share. Only a local session may lack that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints", "prismview"))
+    return df.checkpoint(eager=True)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VIEWS = ("v1", "v2", "v3")
+#: Points of which all pairs are made; beyond, take sources.matrices.subsample first. So many points are broadcast to the nested loop at most.
+MOST_POINTS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +48,24 @@ def distances(a: str, b: str) -> list[Column]:
     ]
 
 
-def wide_pairs(points: DataFrame) -> DataFrame:
-    """i, j, pi, pj, yi, yj and d, an array with one distance per view. One nested loop over the broadcast points."""
+def wide_pairs(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
+    """i, j, pi, pj, yi, yj and d, an array with one distance per view. One nested loop over the broadcast points, of which there may be most."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"all pairs of more than {most} points; take a sample first")
+    return _distances(points, F.broadcast(points), F.col("a.pos") != F.col("b.pos"))
+
+
+def cells_to(points: DataFrame, chosen: DataFrame) -> DataFrame:
+    """As wide_pairs, from every point to the chosen ones (a few, broadcast), themselves included."""
+    return _distances(points, F.broadcast(chosen), F.lit(True))
+
+
+def _distances(points: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
     d = F.array(*distances("a", "b"))
     spark = points.sparkSession
     # a small file is one partition, and the loop would be one task
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    joined = points.repartition(n, "pos").alias("a").join(points.alias("b"), F.col("a.pos") != F.col("b.pos"))
+    joined = points.repartition(n, "pos").alias("a").join(others.alias("b"), condition)
     return joined.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.pos").alias("pi"), F.col("b.pos").alias("pj"), F.col("a.y").alias("yi"), F.col("b.y").alias("yj"), d.alias("d"))
 
 
@@ -66,10 +79,30 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by nation: one entity per nation, with account balance and turnover; y: balance above the median."""
-    customer, orders, nation = (table(spark, sf_dir, n) for n in ("customer", "orders", "nation"))
+    """Customers: id, pos, y (balance above the median), nation, region, spend (the total of their orders, 0 without any) and products (kinds of brand and type bought, as numbers)."""
+    customer, orders, nation, lineitem, part = (table(spark, sf_dir, n) for n in ("customer", "orders", "nation", "lineitem", "part"))
     spend = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spend"))
-    rows = customer.join(spend, customer.c_custkey == spend.o_custkey, "left").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("balance"), F.sum(F.coalesce("spend", F.lit(0.0))).alias("spend"))
-    rows = rows.join(F.broadcast(nation), rows.c_nationkey == nation.n_nationkey).select(F.col("n_name").alias("id"), F.col("n_nationkey").cast("long").alias("pos"), F.col("n_regionkey").alias("region"), "balance", "spend")
-    middle = rows.agg(F.percentile("balance", F.lit(0.5)).alias("middle"))
-    return rows.join(F.broadcast(middle)).withColumn("y", (F.col("balance") > F.col("middle")).cast("int")).drop("middle")
+    kinds = part.groupBy("p_brand", "p_type").agg(F.xxhash64("p_brand", "p_type").alias("kind"))  # equal kinds, equal numbers
+    bought = orders.join(lineitem, orders.o_orderkey == lineitem.l_orderkey).select("o_custkey", "l_partkey").distinct()
+    bought = bought.join(part, bought.l_partkey == part.p_partkey).join(F.broadcast(kinds), ["p_brand", "p_type"])
+    products = bought.groupBy(F.col("o_custkey").alias("key")).agg(F.collect_set("kind").alias("products"))  # as many as there are kinds, at most
+    rows = customer.join(spend, customer.c_custkey == spend.o_custkey, "left").join(products, customer.c_custkey == products.key, "left").join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    middle = customer.agg(F.percentile("c_acctbal", F.lit(0.5)).alias("middle"))
+    rows = rows.join(F.broadcast(middle))
+    return rows.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("long").alias("pos"), (F.col("c_acctbal") > F.col("middle")).cast("int").alias("y"), F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.coalesce("spend", F.lit(0.0)).alias("spend"), F.coalesce("products", F.array().cast("array<bigint>")).alias("products"))
+
+
+def customer_pairs(points: DataFrame, most: int = MOST_POINTS) -> DataFrame:
+    """Long pairs of customers in the views place (0 one nation, 0.5 one region, else 1), products (Jaccard distance) and spend (of logarithms)."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"all pairs of more than {most} points; take a sample first")
+    spark = points.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    j = points.repartition(n, "pos").alias("a").join(F.broadcast(points).alias("b"), F.col("a.pos") != F.col("b.pos"))
+    place = F.when(F.col("a.nation") == F.col("b.nation"), 0.0).when(F.col("a.region") == F.col("b.region"), 0.5).otherwise(1.0)
+    both = F.size(F.array_intersect("a.products", "b.products"))
+    either = F.size("a.products") + F.size("b.products") - both
+    products = F.when(either == 0, 0.0).otherwise(1 - both / either)
+    spend = F.floor(F.abs(F.log1p("a.spend") - F.log1p("b.spend")) * 1e6 + 0.5) / 1e6
+    wide = j.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.pos").alias("pi"), F.col("b.pos").alias("pj"), F.col("a.y").alias("yi"), F.col("b.y").alias("yj"), F.array(place, products, spend).alias("d"))
+    return long_pairs(wide, ("place", "products", "spend"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, normalize
+from ..operators import alignment, normalize, ranks
 
 
 @dataclass
@@ -28,14 +28,53 @@ def read_views(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).select(F.col("view").cast("string").alias("view"), F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), F.col("d").cast("double").alias("d"))
 
 
+def view_paths(spark: SparkSession, folder: str, names: tuple[str, ...], prefix: str = "dissimilarity_") -> dict[str, str]:
+    """The path of each view: the entry of the folder that begins with prefix and holds the view's name. None or several for a name is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = [str(e.getPath()) for e in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    found = {n: [e for e in entries if e.rsplit("/", 1)[-1].startswith(prefix) and n in e.rsplit("/", 1)[-1].removeprefix(prefix)] for n in names}
+    if wrong := {n: len(e) for n, e in found.items() if len(e) != 1}:
+        raise ValueError(f"each view needs one entry {prefix}...; found: {wrong}")
+    if len({e[0] for e in found.values()}) < len(names):
+        raise ValueError("one entry holds the names of several views")
+    return {n: e[0] for n, e in found.items()}
+
+
+def load_aligned(spark: SparkSession, folder: str, names: tuple[str, ...], target: str, id_col: str, label_col: str) -> Bundle:
+    """Views and target of a folder, checked, cut to common ids and normalised."""
+    views = [read_view(spark, path, name) for name, path in view_paths(spark, folder, names).items()]
+    for v in views:
+        alignment.check(v.where("i <> j"))
+    return bundle(views, read_target(spark, target, id_col, label_col), names)
+
+
+def read_by_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Result tables in sub-folders of any name, which becomes the column view."""
+    rows = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
+    inner = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1)
+    return rows.select("*", F.url_decode(inner).alias("view"))
+
+
+def read_preferred(spark: SparkSession, whole: str, parts: list[str]) -> DataFrame:
+    """The whole table if it is there, else its parts together; columns that a part lacks are null."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.parquet(whole)
+    out = spark.read.parquet(parts[0])
+    for p in parts[1:]:
+        out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    return out
+
+
 def read_target(spark: SparkSession, path: str, id_col: str, label_col: str) -> DataFrame:
-    """id, pos and y; exactly the named columns, unique ids."""
+    """id, pos (the order of ids) and y; exactly the named columns, unique ids."""
     rows = spark.read.parquet(path)
     if missing := {id_col, label_col} - set(rows.columns):
         raise ValueError(f"the target lacks {sorted(missing)}")
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.monotonically_increasing_id().alias("pos"), F.col(label_col).cast("int").alias("y"))
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y"))
     alignment.check_target(rows)
-    return rows
+    numbered = ranks.row_numbers(rows.withColumn("_all", F.lit(0)), "_all", "id")
+    return numbered.select("id", (F.col("n") - 1).alias("pos"), "y")
 
 
 def with_points(pairs: DataFrame, points: DataFrame) -> DataFrame:

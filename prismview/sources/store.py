@@ -15,8 +15,8 @@ def append(results: DataFrame, path: str) -> None:
 
 
 def latest(stored: DataFrame, version: str = "version") -> DataFrame:
-    """The last version of each configuration and fold."""
-    w = Window.partitionBy("config_key", "fold").orderBy(F.desc(version))
+    """The last version of each configuration and fold; of rows of one version always the same one."""
+    w = Window.partitionBy("config_key", "fold").orderBy(F.desc(version), F.xxhash64(*(c for c in stored.columns if c != version)))
     return stored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -53,9 +53,33 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], RESCUE)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends lines of JSON in the form of RESCUE."""
+    rows.select(*RESCUE.names).write.mode("append").json(path)
+
+
+PART = ("model", "k0", "k1", "eta")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def unwritten(jobs: DataFrame, path: str) -> DataFrame:
+    """Jobs whose configuration has no part yet: what a resumed run has to do."""
+    spark = jobs.sparkSession
+    if not exists(spark, path):
+        return jobs
+    # eta comes back from the names of folders
+    done = read_parts(spark, path).select(*PART).distinct()
+    done = done.select("model", F.col("k0").cast("int").alias("k0"), F.col("k1").cast("int").alias("k1"), F.col("eta").cast("double").alias("eta"))
+    return jobs.join(done, [*PART], "left_anti")
+
+
 def write_part(rows: DataFrame, path: str) -> None:
-    """Trajectories and tails: a folder per configuration, which a resumed run leaves alone."""
-    rows.write.mode("append").partitionBy("model", "k0", "k1", "eta").parquet(path)
+    """Trajectories and tails: a folder per configuration; configurations that are there already stay as they are."""
+    unwritten(rows, path).write.mode("append").partitionBy(*PART).parquet(path)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:

@@ -112,3 +112,71 @@ def test_empty_tables(spark):
     assert normalize.robust(empty).count() == 0
     assert crossview.overlap_means(empty, 3).count() == 0
     assert weights.shares(spark.createDataFrame([], "a int, b int"), ["a"], "b").count() == 0
+
+
+def test_folder_of_views(spark, tmp_path):
+    cells = [(str(i), str(j), float(i + j)) for i in range(12) for j in range(12) if i != j]
+    for name in ("place", "spend"):
+        spark.createDataFrame(cells, "i string, j string, d double").write.parquet(str(tmp_path / "v" / f"dissimilarity_{name}_1.parquet"))
+    spark.createDataFrame([(str(i), i % 2, "x") for i in range(11, -1, -1)], "code string, churn int, more string").write.parquet(str(tmp_path / "target"))
+    b = matrices.load_aligned(spark, str(tmp_path / "v"), ("place", "spend"), str(tmp_path / "target"), "code", "churn")
+    assert {r["view"]: r["count"] for r in b.raw.groupBy("view").count().collect()} == {"place": 132, "spend": 132}
+    assert [r["id"] for r in b.points.orderBy("pos").collect()] == sorted(map(str, range(12)))
+    with pytest.raises(ValueError):
+        matrices.view_paths(spark, str(tmp_path / "v"), ("place", "products"))
+    spark.createDataFrame(cells, "i string, j string, d double").write.parquet(str(tmp_path / "v" / "dissimilarity_place_2.parquet"))
+    with pytest.raises(ValueError):
+        matrices.view_paths(spark, str(tmp_path / "v"), ("place", "spend"))
+
+
+def test_folders_of_results(spark, tmp_path):
+    for name, extra in (("a b", ""), ("c", ", 1 as more")):
+        spark.sql(f"select 1 as x{extra}").write.parquet(str(tmp_path / "r" / name))
+    assert {(r["view"], r["more"]) for r in matrices.read_by_view(spark, str(tmp_path / "r")).collect()} == {("a b", None), ("c", 1)}
+    parts = [str(tmp_path / "r" / n) for n in ("a b", "c")]
+    assert matrices.read_preferred(spark, str(tmp_path / "whole"), parts).count() == 2
+    spark.range(5).write.parquet(str(tmp_path / "whole"))
+    assert matrices.read_preferred(spark, str(tmp_path / "whole"), parts).count() == 5
+
+
+def test_parts_are_written_once(spark, tmp_path):
+    schema = "model string, k0 int, k1 int, eta double, x int"
+    path = str(tmp_path / "parts")
+    store.write_part(spark.createDataFrame([("g", 2, 2, 0.02, 1)], schema), path)
+    store.write_part(spark.createDataFrame([("g", 2, 2, 0.02, 9), ("g", 2, 2, 0.05, 2)], schema), path)
+    assert sorted((r["eta"], r["x"]) for r in store.read_parts(spark, path).collect()) == [(0.02, 1), (0.05, 2)]
+    log = str(tmp_path / "log")
+    for n in range(2):
+        store.append_log(spark.createDataFrame([("0", "v", n, 1, True, 2, 7)], store.RESCUE), log)
+    assert sorted(r["k"] for r in store.read_log(spark, log).collect()) == [0, 1]
+    tie = spark.createDataFrame([("c", 1, 1, "a"), ("c", 1, 1, "b")], "config_key string, fold int, version int, status string")
+    assert store.latest(tie).collect() == store.latest(tie.orderBy(F.desc("status")).repartition(3)).collect()
+
+
+def test_ranks_and_percentiles(spark):
+    import numpy as np
+
+    from prismview.operators import ranks
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 9, 400)] + [("b", float(x)) for x in rng.standard_normal(301)] + [("c", 4.0), ("a", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = (0.0, 0.05, 0.33, 0.5, 0.95, 1.0)
+    got = {r["g"]: r["q"] for r in ranks.percentiles(ranks.value_counts(df, "g", "x"), "g", "x", shares).collect()}
+    for g in ("a", "b", "c", None):
+        assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g and x is not None], shares).tolist())
+    numbered = [r["n"] for r in ranks.row_numbers(df.where("g = 'b'"), "g", F.col("x")).orderBy("x").collect()]
+    assert numbered == list(range(1, 302))
+    assert ranks.percentiles(ranks.value_counts(df.limit(0), "g", "x"), "g", "x", shares).count() == 0
+
+
+def test_too_many_points_are_refused(spark):
+    from prismview.sources import fixtures
+
+    with pytest.raises(ValueError):
+        fixtures.wide_pairs(spark.range(5).withColumnRenamed("id", "pos"), 4)
+
+
+def test_alignment_takes_the_least_margin(spark):
+    w = spark.createDataFrame([("1", -0.5, 0.1, 1, 0), ("2", 0.2, -0.1, 1, 0)], "id string, mu_a double, mu_b double, correct_a int, correct_b int")
+    assert {r["best"]: r["best_correct"] for r in analysis.structure_alignment(w, ("a", "b"), "mu").collect()} == {"a": 1.0, "b": 0.0}
