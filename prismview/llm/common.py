@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set, in a local session."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "checkpoints", "prismview")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder)
@@ -70,6 +72,10 @@ def batches(rows: dict[str, list], schema: pa.Schema, size: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([c.slice(at, size) for c in cols], schema=schema)
 
 
-def null_safe(col: str) -> F.Column:
-    """A key that joins null with null."""
-    return F.coalesce(F.col(col).cast("string"), F.lit("\x00null"))
+def unused(rows: DataFrame, stem: str) -> str:
+    """A name that no column of rows has, in any case of letters."""
+    taken = {c.lower() for c in rows.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name

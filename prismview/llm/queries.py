@@ -60,8 +60,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+# the parts of the operators' results that SQL can express, so that engines can be compared on them
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, quality_base, pii_counts, url_rules)}
 
 
 WARC_SQL = """WITH p AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') h, sha1(coalesce(html, '')) x FROM pages),
@@ -84,6 +99,29 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
 FROM e GROUP BY conv_id"""
 
 
+QUALITY_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () r, coalesce(text, '') t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws FROM d),
+ l AS (SELECT r, count(*) - count(DISTINCT x) dup FROM (SELECT r, unnest(string_split(t, chr(10))) x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+ g AS (SELECT r, k, list_aggregate(ws[k:k + 7], 'string_agg', ' ') s FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) k) z),
+ m AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+ p AS (SELECT r, count(DISTINCT k + j) n FROM m, range(0, 8) x(j) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT n_words, length(list_aggregate(ws || [''], 'string_agg', ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+ coalesce(dup, 0)::BIGINT n_dup_lines, coalesce(n, 0)::BIGINT n_repeat_words, len(ws) < 20 OR 100 * coalesce(n, 0) > 30 * len(ws) base_failed
+FROM w LEFT JOIN l USING (r) LEFT JOIN p USING (r)"""
+
+PII_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+ f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') i,
+  [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] c, [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')] p FROM d)
+SELECT doc_id, len(e)::BIGINT n_email, len([x for x in i if list_max([length(ltrim(y, '0')) for y in string_split(x, '.')]) <= 3 AND list_max([('0' || right(y, 3))::INT for y in string_split(x, '.')]) <= 255])::BIGINT n_ip,
+ len([x for x in c if length(x) BETWEEN 16 AND 19 AND list_sum([CASE WHEN (length(x) - k) % 2 = 0 THEN x[k]::INT WHEN x[k]::INT > 4 THEN 2 * x[k]::INT - 9 ELSE 2 * x[k]::INT END for k in range(1, length(x) + 1)]) % 10 = 0])::BIGINT n_card,
+ len([x for x in p if length(x) BETWEEN 8 AND 15])::BIGINT n_phone FROM f"""
+
+URL_SQL = r"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, row_number() OVER () r FROM pages),
+ q(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path, h || p AS rule, verdict AS ruled FROM u LEFT JOIN q ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries whose results do not depend on a trained model, a tokenizer or a hash that SQL lacks."""
-    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL}
+    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "quality_base": QUALITY_SQL, "pii_counts": PII_SQL, "url_rules": URL_SQL}

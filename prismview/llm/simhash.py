@@ -292,8 +292,9 @@ def near_duplicates(documents: DataFrame, radius: int = 3, k: int = 3, seed: int
 
 
 def keep_one(documents: DataFrame, radius: int = 3, k: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each component: the least doc_id, null last, of rows with that id one text; of equal rows a single one stays."""
-    key = common.row_key(documents["doc_id"], documents["text"])
-    kept = near_duplicates(documents.withColumn("_key", key), radius, k, seed, "_key", key_type="decimal(38,0)").where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = documents.withColumn("_key", key).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    return first.dropDuplicates(["_key"]).drop("_key")
+    """One document of each component, with all columns: the least doc_id, null last, of rows with that id the text of least hash; of rows equal in id and text a single one stays."""
+    key, kept_key = common.unused(documents, "key"), common.unused(documents, "kept")
+    keyed = documents.withColumn(key, common.row_key(documents["doc_id"], documents["text"]))
+    kept = near_duplicates(keyed.select(key, "text"), radius, k, seed, key, key_type="decimal(38,0)").where("doc_id = component_id").select(F.col("doc_id").alias(kept_key)).distinct()
+    first = keyed.join(kept, F.col(key) == F.col(kept_key), "left_semi")
+    return first.dropDuplicates([key]).drop(key)
