@@ -104,7 +104,8 @@ def cluster_profiles(wide: DataFrame, views: tuple[str, ...], k: int = 3, seed:
 def cluster_cores(clustered: DataFrame, views: tuple[str, ...], fraction: float = 0.2) -> DataFrame:
     """Of each cluster the closest share (one at least): its mean weights, size and dominant view, largest first."""
     w = Window.partitionBy("cluster")
-    near = clustered.withColumn("r", F.row_number().over(w.orderBy("distance", "config_key", "fold"))).withColumn("n", F.count("*").over(w))
+    order = [c for c in ("distance", "config_key", "fold", "label") if c in clustered.columns]
+    near = clustered.withColumn("r", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
     core = near.where(F.col("r") <= F.greatest(F.floor(F.col("n") * fraction), F.lit(1)))
     out = core.groupBy("cluster").agg(F.max("n").alias("size"), *(F.avg(f"w_{v}").alias(v) for v in views))
     return out.withColumn("dominant", first_best([(v, F.col(v)) for v in views])).orderBy(F.desc("size"), "cluster")

@@ -245,8 +245,8 @@ ORACLES = {
     "value_percent": f"WITH {WEIGHTS} SELECT dominant, count(*) n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM wx), 9) percent FROM wx GROUP BY dominant",
     "fold_accuracy": f"WITH {FOLDACC} SELECT config_key, fold, round(ba, 9) balanced_accuracy FROM fa",
     "top_runs": f"WITH {FOLDACC}, z AS (SELECT config_key, fold, round(ba, 9) b FROM fa) SELECT config_key, fold FROM z WHERE b >= (SELECT quantile_cont(b, 0.75) FROM z)",
-    "cluster_cores": f"""WITH {WEIGHTS}, z AS (SELECT *, round(sqrt((w_v1 - 1 / 3.0::DOUBLE) ** 2 + (w_v2 - 1 / 3.0::DOUBLE) ** 2 + (w_v3 - 1 / 3.0::DOUBLE) ** 2), 9) dist FROM wx WHERE label IS NULL OR label = 0),
- y AS (SELECT *, row_number() OVER (PARTITION BY dominant ORDER BY dist, config_key, fold) r, count(*) OVER (PARTITION BY dominant) n FROM z), x AS (SELECT dominant "cluster", max(n) size, avg(w_v1) v1, avg(w_v2) v2, avg(w_v3) v3 FROM y WHERE r <= greatest(floor(n * 0.2), 1) GROUP BY 1)
+    "cluster_cores": f"""WITH {WEIGHTS}, z AS (SELECT *, round(sqrt((w_v1 - 1 / 3.0::DOUBLE) ** 2 + (w_v2 - 1 / 3.0::DOUBLE) ** 2 + (w_v3 - 1 / 3.0::DOUBLE) ** 2), 9) dist FROM wx),
+ y AS (SELECT *, row_number() OVER (PARTITION BY dominant ORDER BY dist, config_key, fold, label NULLS FIRST) r, count(*) OVER (PARTITION BY dominant) n FROM z), x AS (SELECT dominant "cluster", max(n) size, avg(w_v1) v1, avg(w_v2) v2, avg(w_v3) v3 FROM y WHERE r <= greatest(floor(n * 0.2), 1) GROUP BY 1)
  SELECT "cluster", size, round(v1, 9) v1, round(v2, 9) v2, round(v3, 9) v3, CASE WHEN v1 >= v2 AND v1 >= v3 THEN 'v1' WHEN v2 >= v3 THEN 'v2' ELSE 'v3' END dominant FROM x""",
     "paired_delta": f"WITH {FOLDACC}, c AS (SELECT model, fold, eta, avg(ba) b FROM fa GROUP BY ALL), z AS (SELECT x.model, y.b - x.b d FROM c x JOIN c y ON x.model = y.model AND x.fold = y.fold WHERE x.eta = 0.01 AND y.eta = 0.05) SELECT model, round(avg(d), 9) + 0.0 mean, round(stddev_samp(d), 9) std, count(*) n FROM z GROUP BY model",
 }
@@ -258,7 +258,7 @@ AGREE = f"{UP}, th AS (SELECT view, quantile_cont(d, 0.1) t FROM up GROUP BY vie
 ORACLES["agreement"] = f"WITH {AGREE} SELECT a, b, subset, round(p, 9) agree_similar, round(q, 9) agree_dissimilar, round(r, 9) a_only, round(u, 9) b_only, n n_pairs FROM ag"
 ORACLES["disagreement"] = f"WITH {AGREE} SELECT a, b, round(r + u, 9) disagreement FROM ag WHERE subset = 'all'"
 ORACLES["entropy_drift"] = f"""WITH {FOLDS}, {WEIGHTS}, fw AS (SELECT config_key, fold, max(entropy) FILTER (coalesce(label, 0) = 0) entropy, list(w ORDER BY label, v) a FROM (SELECT config_key, fold, coalesce(label, 0) AS label, entropy, unnest([w_v1, w_v2, w_v3]) w, unnest([1, 2, 3]) v FROM wx) GROUP BY ALL),
- fv AS (SELECT fold, list(pos ORDER BY pos)[1:5] s FROM f GROUP BY fold), z AS (SELECT config_key, fold, entropy, a, s, lag(a) OVER (PARTITION BY config_key ORDER BY fold) pa, lag(s) OVER (PARTITION BY config_key ORDER BY fold) ps FROM fw JOIN fv USING (fold))
+ fv AS (SELECT fold, list(pos ORDER BY pos) s FROM f GROUP BY fold), z AS (SELECT config_key, fold, entropy, a, s, lag(a) OVER (PARTITION BY config_key ORDER BY fold) pa, lag(s) OVER (PARTITION BY config_key ORDER BY fold) ps FROM fw JOIN fv USING (fold))
  SELECT config_key, fold checkpoint, round(entropy, 9) entropy, round(CASE WHEN pa IS NOT NULL THEN list_distance(a, pa) END, 9) weight_drift, round(CASE WHEN ps IS NOT NULL THEN 1 - len(list_intersect(s, ps))::DOUBLE / len(list_distinct(list_concat(s, ps))) END, 9) proto_drift FROM z"""
 
 ORACLES["purity_ranking"] = f"WITH {PAIRS}, {GROUPS}, z AS (SELECT view, avg(knn_purity) p FROM purity GROUP BY view) SELECT view, round(p, 9) purity_mean, CAST(row_number() OVER (ORDER BY p DESC, view) AS INTEGER) rank FROM z"

@@ -177,7 +177,7 @@ def fold_changes(s, d):
 
 def entropy_drift(s, d):
     """Weights of one configuration's folds in order, as if they were checkpoints."""
-    snaps = results(s, d).where("status = 'ok'").select("config_key", F.col("fold").alias("checkpoint"), F.lit(0.0).alias("loss"), F.slice("va_idx", 1, 5).alias("protos"), "a_sq")
+    snaps = results(s, d).where("status = 'ok'").select("config_key", F.col("fold").alias("checkpoint"), F.lit(0.0).alias("loss"), F.col("va_idx").alias("protos"), "a_sq")
     return weights.drift(snaps, "config_key").drop("loss")
 
 
@@ -195,10 +195,14 @@ def cores(s, d):
     """Cores of given clusters: the dominant view and the distance to the uniform mixture stand for k-means."""
     w = weights_of(s, d)
     gap = sum(((F.col(f"w_{v}") - 1 / 3) * (F.col(f"w_{v}") - 1 / 3) for v in VIEWS), F.lit(0.0))
-    w = w.withColumn("cluster", F.col("dominant")).withColumn("distance", F.round(F.sqrt(gap), 9)).where("label is null or label = 0")
+    w = w.withColumn("cluster", F.col("dominant")).withColumn("distance", F.round(F.sqrt(gap), 9))
     return weights.cluster_cores(w, VIEWS)
 
 
+#: Rounds of a fit at most; it stops where no swap helps any more.
+ROUNDS = 150
+
+
 def _training(s, d, n_splits=3):
     """The normalised tensor of all points, their labels and folds."""
     points = embedding_points(s, d)
@@ -213,7 +217,7 @@ def _fits(model):
     def query(s, d):
         views, y, folds = _training(s, d)
         jobs = search.grid(s, [(2, 2), (3, 3)], [0.02], (model,))
-        return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, 30)
+        return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, ROUNDS)
 
     return query
 
@@ -222,17 +226,17 @@ def fit_single(s, d):
     """One view alone: its corner of the weights, held."""
     views, y, folds = _training(s, d)
     jobs = search.profile_jobs(s, {v: [float(v == u) for u in VIEWS] for v in VIEWS}, 2, 2).drop("profile")
-    return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, 30)
+    return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, ROUNDS)
 
 
 def search_full(s, d):
     views, y, folds = _training(s, d)
-    return search.best_per_model(search.evaluate(s, search.grid(s, [(2, 2), (2, 3)], [0.01, 0.05]), views, y, folds, 15))
+    return search.best_per_model(search.evaluate(s, search.grid(s, [(2, 2), (2, 3)], [0.01, 0.05]), views, y, folds, ROUNDS))
 
 
 def search_staged(s, d):
     views, y, folds = _training(s, d)
-    return search.staged(s, views, y, folds, [(2, 2), (3, 3)], [0.01, 0.02, 0.05], (5, 10, 20), 1)
+    return search.staged(s, views, y, folds, [(2, 2), (3, 3)], [0.01, 0.02, 0.05], (100, 100, ROUNDS), 1)
 
 
 def repeated_oof(s, d):
@@ -242,25 +246,24 @@ def repeated_oof(s, d):
 
     for seed in (1, 2):  # each repeat deals the folds anew
         folds = np.array([r["fold"] for r in evaluation.stratified_folds(points, 3, seed).orderBy("pos").select("fold").collect()])
-        part = trainer.train(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02], ("global",)), 3), views, y, folds, 15)
+        part = trainer.train(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02], ("global",)), 3), views, y, folds, ROUNDS)
         out = part if out is None else out.unionByName(part)
     return search.correct_rates(out)
 
 
 def kmeans_profiles(s, d):
-    w = weights_of(s, d).where("label is null or label = 0")
-    return weights.cluster_cores(weights.cluster_profiles(w, VIEWS, 3, inits=3), VIEWS)
+    return weights.cluster_cores(weights.cluster_profiles(weights_of(s, d), VIEWS, 3), VIEWS)
 
 
 def trajectory(s, d):
     views, y, folds = _training(s, d)
-    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 20)
-    return weights.drift(weights.at_checkpoints(snaps, [0, 5, 10, 40], "config_key", "fold"), "config_key", "fold")
+    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 500)
+    return weights.drift(weights.at_checkpoints(snaps, [0, 5, 10, 40, 150], "config_key", "fold"), "config_key", "fold")
 
 
 def weight_tail(s, d):
     views, y, folds = _training(s, d)
-    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 10, tail=20)
+    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 500, tail=200)
     return snaps.where("step = 'tail'").groupBy("config_key", "epoch").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 
