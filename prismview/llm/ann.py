@@ -108,9 +108,15 @@ class Chunk:
         rotated = np.ascontiguousarray((v @ turn.T).T)
         self.bounds = [*range(0, dims, BLOCK), dims]
         self.blocks = [rotated[a:b] for a, b in pairwise(self.bounds)]
-        square = np.cumsum((rotated**2)[::-1], axis=0)[::-1]
-        #: of each vector the squared length from each block on
-        self.tail = [square[a] for a in self.bounds[:-1]]
+        length = (v * v).sum(axis=1)
+        head = np.zeros(len(v))
+        #: for each block's end the share of a squared distance that may lie before it, and the vectors' own part of what their products must reach there
+        self.shares, self.least = [], []
+        for a, b in pairwise(self.bounds[:-1]):
+            head = head + (rotated[a:b] ** 2).sum(axis=0)
+            share = min(1.0, b / dims + EPSILON * np.sqrt(2 * b * (dims - b) / (dims * dims * (dims + 2))))
+            self.shares.append(share)
+            self.least.append((head - share * length - 1e-9 * (1 + length)) / 2)
 
     def answers(self, asking: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, known: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query what scan() gives. The first products of all queries come from one matrix product for each block, made when a query needs it."""
@@ -143,23 +149,22 @@ class Chunk:
         live, length = None, q_rot @ q_rot
         for i, at in enumerate(self.bounds[1:-1]):
             if live is None:
-                part = products(i)
-                tail, rest = self.tail[0], self.tail[i + 1]
+                part, bound = products(i), self.least[i]
             else:
-                part = part + q_rot[self.bounds[i] : at] @ self.blocks[i][:, live]
-                tail, rest = self.tail[0][live], self.tail[i + 1][live]
-            so_far = q_rot[:at] @ q_rot[:at] + (tail - rest) - 2 * part
-            if i == 0 and not few:  # those that look nearest so far tighten it
-                more = np.setdiff1d(np.argpartition(so_far, 2 * k)[: 2 * k], sure)
+                part, bound = part + q_rot[self.bounds[i] : at] @ self.blocks[i][:, live], self.least[i][live]
+            if i == 0 and not few:  # some that look near so far tighten it
+                looks = part[:1024]
+                more = np.flatnonzero(part >= np.partition(looks, len(looks) - 16)[len(looks) - 16])[: 4 * k]
+                more = np.setdiff1d(more, sure)
                 sure, reached = np.r_[sure, more], np.r_[reached, whole(more)]
                 best = np.argsort(-reached, kind="stable")[:k]
                 sure, reached = sure[best], reached[best]
             least = max(known, reached[k - 1] if len(reached) == k else -np.inf)
             if not np.isfinite(least):
                 continue
-            allowed = length + tail - 2 * least  # squared distance at which a vector is just as good
-            share = at / dims + EPSILON * np.sqrt(2 * at * (dims - at) / (dims * dims * (dims + 2)))
-            keep = so_far <= np.maximum(allowed, 0) * min(share, 1.0) + 1e-9 * (1 + tail)
+            # the squared distance so far, q.q + head - 2 part, against its share of that at which a vector is just as good, length + x.x - 2 least
+            own = q_rot[:at] @ q_rot[:at]
+            keep = part - bound >= (own - self.shares[i] * (length - 2 * least)) / 2
             left = np.count_nonzero(keep)
             if live is not None:
                 live, part = live[keep], part[keep]
@@ -169,7 +174,10 @@ class Chunk:
                 break
         else:
             if live is None:
-                live, part = np.arange(n), products(len(self.blocks) - 1)
+                part = products(len(self.blocks) - 1)
+                least = max(known, reached[k - 1] if len(reached) == k else -np.inf)
+                live = np.flatnonzero(part >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else np.arange(n)
+                part = part[live]
             else:
                 part = part + q_rot[self.bounds[-2] :] @ self.blocks[-1][:, live]
             others = ids[live] != asker
