@@ -4,7 +4,8 @@ The words of a batch lie in one flat array of symbols. A round finds the rank of
 pair by binary search over the sorted pair keys, takes each word's lowest rank and merges all its
 occurrences; words without a mergeable pair leave the array. Results equal the library's.
 
-Null text: encoded as the empty text. Empty text: no ids. Repeated rows: one result each.
+Null text: encoded as the empty text. Empty text: no ids. Repeated rows: one result each. Ties: of overlapping occurrences of a pair the left one is merged.
+Very long texts: encoded whole. Extra columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from . import common
 
 NONE = np.int32(2**31 - 1)
-#: Words beyond so many symbols are merged one by one with a heap: rounds would cost a pass over the word each.
-LONG_WORD = 512
+#: Words beyond so many bytes are merged one by one with a heap: each round is a pass over the word, and there are as many as it has different merges.
+LONG_WORD = 1 << 17
 #: Words kept by a worker, and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 64
 #: The pre-tokenizer of byte-level vocabularies. Fixed value of the file format.

@@ -665,8 +665,11 @@ def bpe_library(cache={}):
 
 
 @pytest.mark.parametrize("text", ["a" * 3000, "<|endoftext|>", " <|endoftext|>a", "ab" * 400, " " * 900, "".join(random.Random(1).choice("abcdef") for _ in range(2000))])
-def test_long_words(text):
-    (raw,) = bpe.Codec.of(BYTES).encode([text])
+@pytest.mark.parametrize("limit", [64, bpe.LONG_WORD])
+def test_long_words(text, limit, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_WORD", limit)
+    codec = bpe.Codec(BYTES)
+    (raw,) = codec.encode([text])
     assert np.frombuffer(raw, "<u4").tolist() == bpe_library().encode(text, add_special_tokens=False).ids
 
 
