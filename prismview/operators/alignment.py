@@ -28,6 +28,14 @@ def missing_ids(view: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("id").join(view.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
 
 
+def labels_of(ids: DataFrame, points: DataFrame) -> DataFrame:
+    """ids (id) with their labels y; an id without a label is an error."""
+    known = points.where(F.col("y").isNotNull()).select("id", F.col("y").cast("int").alias("y"))
+    if lacking := [r["id"] for r in ids.select("id").join(known, "id", "left_anti").limit(5).collect()]:
+        raise ValueError(f"no label for {lacking}")
+    return ids.join(known, "id")
+
+
 def problems(view: DataFrame) -> DataFrame:
     """One row of counts that are all zero for a square matrix with unique, finite cells (diagonal left out)."""
     n = F.count_distinct("i")

@@ -75,3 +75,8 @@ def config_status(fold_results: DataFrame, n_splits: int) -> DataFrame:
 def ranked(frame: DataFrame, by: str, metric: str, key: str = "config_key") -> DataFrame:
     """frame with rank 1.. within by, best metric first, ties by key."""
     return frame.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(metric), key)))
+
+
+def with_metric(table: DataFrame, pooled: DataFrame, metric: str = "recall") -> DataFrame:
+    """A table of configurations with one more of their pooled metrics; null where a configuration has none."""
+    return table.join(pooled.select("config_key", metric), "config_key", "left")

@@ -30,6 +30,15 @@ def profile_jobs(spark: SparkSession, profiles: dict[str, list[float]], k0: int,
     return out.withColumn("config_key", config_key())
 
 
+def single_grid(spark: SparkSession, names: tuple[str, ...], k_pairs: list[tuple[int, int]]) -> DataFrame:
+    """Jobs for each view alone, with all numbers of prototypes: the corner of the weights, held. profile: the view."""
+    corners = {n: [float(n == m) for m in names] for n in names}
+    out = profile_jobs(spark, corners, *k_pairs[0])
+    for k in k_pairs[1:]:
+        out = out.unionByName(profile_jobs(spark, corners, *k))
+    return out
+
+
 def with_prefix(rows: DataFrame, prefix: str, column: str = "model") -> DataFrame:
     """The rows whose name begins with prefix."""
     return rows.where(F.col(column).startswith(prefix))

@@ -17,6 +17,12 @@ def weights_long(fold_results: DataFrame, views: tuple[str, ...]) -> DataFrame:
     return rows.select("config_key", "model", "eta", "fold", "label", F.posexplode("a").alias("v", "w")).select("config_key", "model", "eta", "fold", "label", names[F.col("v")].alias("view"), "w")
 
 
+def winner_weights(fold_results: DataFrame, winners: DataFrame, views: tuple[str, ...]) -> DataFrame:
+    """The mean weight of each view and label over the folds of the winners (config_key): model, label, view, w."""
+    rows = weights_long(fold_results, views).join(F.broadcast(winners.select("config_key")), "config_key", "left_semi")
+    return rows.groupBy("model", "label", "view").agg(F.avg(F.round("w", 9)).alias("w"))
+
+
 def weights_wide(fold_results: DataFrame, views: tuple[str, ...]) -> DataFrame:
     """One row per vector: w_<view>, dominant (the first of equals), max_weight, entropy of its maximum."""
     ok = fold_results.where((F.col("status") == "ok") & F.col("a_sq").isNotNull())

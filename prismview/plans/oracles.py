@@ -237,6 +237,8 @@ ORACLES = {
     "weights_long": f"WITH {WEIGHTS} " + " UNION ALL ".join(f"SELECT config_key, model, eta, fold, label, '{v}' AS view, round(w_{v}, 9) w FROM ww" for v in VIEWS),
     "weights_wide": f"WITH {WEIGHTS} SELECT config_key, model, eta, fold, label, " + ", ".join(f"round(w_{v}, 9) w_{v}" for v in VIEWS) + ", round(entropy, 9) entropy, round(max_weight, 9) max_weight, dominant FROM wx",
     "weight_means": f"WITH {WEIGHTS} SELECT model, eta, " + ", ".join(f"round(avg(w_{v}), 9) mean_{v}" for v in VIEWS) + ", " + ", ".join(f"count(*) FILTER (dominant = '{v}') dominant_{v}" for v in VIEWS) + ", round(avg(entropy), 9) entropy FROM wx GROUP BY model, eta",
+    "weight_means_config": f"WITH {WEIGHTS} SELECT config_key, " + ", ".join(f"round(avg(w_{v}), 9) mean_{v}" for v in VIEWS) + ", " + ", ".join(f"count(*) FILTER (dominant = '{v}') dominant_{v}" for v in VIEWS) + ", round(avg(entropy), 9) entropy FROM wx GROUP BY config_key",
+    "weight_means_label": f"WITH {WEIGHTS} SELECT model, label, " + ", ".join(f"round(avg(w_{v}), 9) mean_{v}" for v in VIEWS) + ", " + ", ".join(f"count(*) FILTER (dominant = '{v}') dominant_{v}" for v in VIEWS) + ", round(avg(entropy), 9) entropy FROM wx GROUP BY model, label",
     "weight_groups": f"WITH {WEIGHTS} SELECT config_key, fold, label, weight_class FROM wc",
     "label_distance": f"WITH {LABELS} SELECT config_key, eta, fold, round(label_distance, 9) label_distance FROM ld",
     "share_by_group": f"WITH {WEIGHTS}, z AS (SELECT eta, coalesce(label, -1) AS label, weight_class, count(*) n FROM wc GROUP BY ALL) SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY eta, label), 9) share FROM z",
@@ -261,6 +263,8 @@ ORACLES["entropy_drift"] = f"""WITH {FOLDS}, {WEIGHTS}, fw AS (SELECT config_key
  fv AS (SELECT fold, list(pos ORDER BY pos) s FROM f GROUP BY fold), z AS (SELECT config_key, fold, entropy, a, s, lag(a) OVER (PARTITION BY config_key ORDER BY fold) pa, lag(s) OVER (PARTITION BY config_key ORDER BY fold) ps FROM fw JOIN fv USING (fold))
  SELECT config_key, fold checkpoint, round(entropy, 9) entropy, round(CASE WHEN pa IS NOT NULL THEN list_distance(a, pa) END, 9) weight_drift, round(CASE WHEN ps IS NOT NULL THEN 1 - len(list_intersect(s, ps))::DOUBLE / len(list_distinct(list_concat(s, ps))) END, 9) proto_drift FROM z"""
 
+ORACLES["winner_weights"] = f"SELECT l.model, l.label, l.view, round(avg(l.w), 9) w FROM ({ORACLES['weights_long']}) l JOIN ({ORACLES['best_config']}) b ON l.config_key = b.config_key GROUP BY ALL"
+ORACLES["recall_by_config"] = f"SELECT config_key, s.status, recall FROM ({ORACLES['config_status']}) s LEFT JOIN ({ORACLES['pooled_metrics']}) p USING (config_key)"
 ORACLES["purity_ranking"] = f"WITH {PAIRS}, {GROUPS}, z AS (SELECT view, avg(knn_purity) p FROM purity GROUP BY view) SELECT view, round(p, 9) purity_mean, CAST(row_number() OVER (ORDER BY p DESC, view) AS INTEGER) rank FROM z"
 PIVOTED = ", ".join(f"max({{0}}) FILTER (b = '{v}') {v}" for v in VIEWS)
 ORACLES["pearson_table"] = f"WITH z AS ({ORACLES['corr_pearson']}) SELECT a, {PIVOTED.format('r')} FROM z GROUP BY a"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import entropy, l2_normalised, mixture, simplex_projection
+from ..functions.columns import l2_normalised, mixture, simplex_projection
 from ..operators import alignment, analysis, crossview, evaluation, normalize, prototypes, search, structure, trainer, weights
 from ..session import checkpointed
 from ..sources import runs, store
@@ -348,6 +348,10 @@ QUERIES: dict[str, Query] = {
     "weights_long": lambda s, d: weights.weights_long(results(s, d), VIEWS),
     "weights_wide": weights_of,
     "weight_means": lambda s, d: weights.weight_means(weights_of(s, d), VIEWS, "model", "eta"),
+    "weight_means_config": lambda s, d: weights.weight_means(weights_of(s, d), VIEWS, "config_key"),
+    "weight_means_label": lambda s, d: weights.weight_means(weights_of(s, d), VIEWS, "model", "label"),
+    "winner_weights": lambda s, d: weights.winner_weights(results(s, d), winners(s, d), VIEWS),
+    "recall_by_config": lambda s, d: evaluation.with_metric(evaluation.config_status(results(s, d), runs.N_SPLITS).select("config_key", "status"), pooled(s, d)),
     "weight_groups": lambda s, d: weights.weight_class(weights_of(s, d), VIEWS).select("config_key", "fold", "label", "weight_class"),
     "label_distance": lambda s, d: weights.label_distance(weights_of(s, d), VIEWS),
     "share_by_group": weight_shares,

@@ -65,10 +65,7 @@ def pointwise(structure_points: DataFrame, predictions: DataFrame, views: tuple[
 
 def single_views(spark: SparkSession, views: np.ndarray, y: np.ndarray, folds: np.ndarray, names: tuple[str, ...], k_pairs: list[tuple[int, int]], rounds: int) -> DataFrame:
     """The best numbers of prototypes for each view alone: view, k0, k1 and metrics. Each view is a corner of the weights, held."""
-    jobs = None
-    for k0, k1 in k_pairs:
-        part = search.profile_jobs(spark, {n: [float(n == m) for m in names] for n in names}, k0, k1)
-        jobs = part if jobs is None else jobs.unionByName(part)
+    jobs = search.single_grid(spark, names, k_pairs)
     scored = search.evaluate(spark, jobs.drop("profile"), views, y, folds, rounds).join(F.broadcast(jobs.select("config_key", F.col("profile").alias("view"))), "config_key")
     return evaluation.ranked(scored, "view", "balanced_accuracy").where("rank = 1").drop("rank")
 

@@ -180,3 +180,18 @@ def test_too_many_points_are_refused(spark):
 def test_alignment_takes_the_least_margin(spark):
     w = spark.createDataFrame([("1", -0.5, 0.1, 1, 0), ("2", 0.2, -0.1, 1, 0)], "id string, mu_a double, mu_b double, correct_a int, correct_b int")
     assert {r["best"]: r["best_correct"] for r in analysis.structure_alignment(w, ("a", "b"), "mu").collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_labels_and_grids(spark):
+    from pyspark.sql import Row
+
+    from prismview.operators import search
+
+    points = spark.createDataFrame([("a", 1), ("b", None)], "id string, y int")
+    ids = spark.createDataFrame([("a",)], "id string")
+    assert alignment.labels_of(ids, points).collect() == [Row(id="a", y=1)]
+    with pytest.raises(ValueError):
+        alignment.labels_of(points.select("id"), points)
+    grid = search.single_grid(spark, ("a", "b"), [(1, 1), (2, 3)]).collect()
+    assert {(r["profile"], r["k0"], r["k1"], tuple(r["v_init"])) for r in grid} == {(v, *k, w) for v, w in (("a", (1.0, 0.0)), ("b", (0.0, 1.0))) for k in ((1, 1), (2, 3))}
+    assert len({r["config_key"] for r in grid}) == 4
