@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from prismview.llm import linededup, packing, quality
 
-from .test_operators import ODD, SF, WORDS, ascii_words, base_brute, covered_brute, fingerprint_brute, passage, roots_brute
+from .test_operators import ODD, SF, WORDS, ascii_words, base_brute, covered_brute, fingerprint_brute, roots_brute
 
 
 def test_stages(spark, tmp_path):
