@@ -16,7 +16,7 @@ every <|, <\\|, ... of a role or text, and one comes out when it is read back, s
 escape line feeds and backslashes.
 
 Null text or role: as empty. Null turn: first. Ties of a turn: by role, then text. Null conv_id: a conversation
-of its own. Repeated rows: turns of their own. Empty table: no rows.
+of its own. Repeated rows: turns of their own. Very long texts: rendered whole, one turn at a time. Extra columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ back, so nothing is shuffled that grows with the texts. Every pattern runs in ti
 also on one long run of digits or letters: repetitions that cannot help by giving back are possessive.
 
 Null text: as empty. Empty text or table: no spans. Positions are code points, ends exclusive. Repeated rows: one
-result each. Within one kind spans do not overlap.
+result each. Within one kind spans do not overlap. Ties: even odds don't add a span. Very long texts: searched whole. Extra columns, whatever their
+names, are not read; mask() keeps them.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the pigeonhole principle, until it fits or hardly any bits are left; no pair is
 only links that join further fingerprints to a component are given, not all pairs.
 
 Null or empty text: fingerprint zero, linked like any other. Null doc_id: takes part, but never
-names a component that has other ids. Repeated rows: one result each. Empty table: no rows.
+names a component that has other ids. Repeated rows: one result each. Ties: a bit that half the shingles set is 0. Very long texts: all their shingles count.
+Extra columns, whatever their names, are not read; keep_one() keeps them. Empty table: no rows.
 """
 
 from __future__ import annotations

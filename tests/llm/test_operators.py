@@ -358,6 +358,19 @@ def test_secrets_are_added_and_masked(spark):
     assert masked[1] == 'of the token = "<SECRET>" and page 1 version 1.2' and masked[105] == docs[35][1]
 
 
+def test_precision_and_recall_of_added_spans(spark):
+    # the planted secrets are 40 hexadecimal digits and keys that begin with AKIA
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], m.start(), m.end()) for r in docs.collect() for m in re.finditer(r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|AKIA[A-Z0-9]{16})(?![0-9A-Za-z])", r["text"] or "")}
+    base = {(r["doc_id"], k, a, b) for r in docs.collect() for k, a, b in base_brute(r["text"] or "")}
+    found = {(r["doc_id"], k, int(a), int(b)) for r in pii.digest(docs).collect() for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)}
+    added = found - base
+    secrets = {(d, a, b) for d, k, a, b in added if k == "secret"}
+    assert len(planted) >= 10 and base <= found
+    assert len(planted & secrets) >= 0.95 * len(planted)
+    assert len(planted & {(d, a, b) for d, _, a, b in added}) >= 0.9 * len(added)
+
+
 def test_reliabilities_find_the_good_labeler(spark):
     rows = [(0, [1, 1, 1], 90), (0, [-1, -1, -1], 90), (0, [1, 1, -1], 30), (0, [-1, -1, 1], 30)]
     got = pii.reliabilities(spark.createDataFrame(rows, "kind int, votes array<int>, n long")).collect()
