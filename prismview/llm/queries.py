@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, packing, pii, quality, simhash, urlfilter, warc
+from . import ann, bpe, chat, exactdedup, linededup, packing, pii, quality, simhash, urlfilter, warc
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 # the parts of the operators' results that SQL can express, so that engines can be compared on them
 
 
@@ -75,8 +79,14 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
 
 
+REGISTERED = (
+    *(op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, op11_exact_dedup),
+    *(quality_base, pii_counts, url_rules),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, quality_base, pii_counts, url_rules)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 WARC_SQL = """WITH p AS (SELECT page_id, coalesce(url, '') url, coalesce(html, '') h, sha1(coalesce(html, '')) x FROM pages),
@@ -121,7 +131,10 @@ URL_SQL = r"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url,
 SELECT page_id, host, path, h || p AS rule, verdict AS ruled FROM u LEFT JOIN q ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)
 QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1"""
 
+EXACT_SQL = """WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g keep_id, count(*) OVER g group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 kept, text_sha256 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries whose results do not depend on a trained model, a tokenizer or a hash that SQL lacks."""
-    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "quality_base": QUALITY_SQL, "pii_counts": PII_SQL, "url_rules": URL_SQL}
+    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_exact_dedup": EXACT_SQL, "quality_base": QUALITY_SQL, "pii_counts": PII_SQL, "url_rules": URL_SQL}
