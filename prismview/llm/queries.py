@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exactdedup, linededup, packing, pii, quality, simhash, urlfilter, warc
+from . import ann, bpe, chat, exactdedup, linededup, packing, pii, quality, simhash, tokenalign, urlfilter, warc
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 # the parts of the operators' results that SQL can express, so that engines can be compared on them
 
 
@@ -80,7 +84,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = (
-    *(op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, op11_exact_dedup),
+    *(op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, op11_exact_dedup, op12_token_alignment),
     *(quality_base, pii_counts, url_rules),
 )
 
