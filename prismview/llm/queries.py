@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exactdedup, linededup, packing, pii, quality, simhash, tokenalign, urlfilter, warc
+from . import ann, bpe, chat, collocations, exactdedup, linededup, packing, pii, quality, simhash, tokenalign, urlfilter, warc
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenalign.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 # the parts of the operators' results that SQL can express, so that engines can be compared on them
 
 
@@ -84,7 +88,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = (
-    *(op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, op11_exact_dedup, op12_token_alignment),
+    *(op1_quality, op2_line_dedup, op3_packing, op4_pii, op5_warc, op6_ann, op7_chat, op8_simhash, op9_url_filter, op10_bpe, op11_exact_dedup, op12_token_alignment, op13_collocations),
     *(quality_base, pii_counts, url_rules),
 )
 
@@ -138,7 +142,21 @@ QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1"""
 EXACT_SQL = """WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g keep_id, count(*) OVER g group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 kept, text_sha256 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 
+COLLOCATION_SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') lang, row_number() OVER () r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+ p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece FROM d),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') ws FROM p),
+ g AS (SELECT lang, m, list_aggregate(ws[i:i + m - 1], 'string_agg', ' ') phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) i FROM w, range(1, 6) x(m))),
+ f AS (SELECT lang, phrase, m, count(*) a FROM g GROUP BY ALL HAVING count(*) >= 100 OR m = 1),
+ n AS (SELECT lang, sum(a)::HUGEINT n FROM f WHERE m = 1 GROUP BY lang),
+ c AS (SELECT lang, phrase, string_split(phrase, ' ') ws, m, a FROM f WHERE m > 1),
+ s AS (SELECT DISTINCT lang, a, list_aggregate(ws[i:i + j - 1], 'string_agg', ' ') phrase FROM (SELECT *, unnest(range(1, m - j + 2)) i FROM (SELECT *, unnest(range(2, m)) j FROM c))),
+ k AS (SELECT *, unnest(range(1, m)) k FROM c ANTI JOIN s USING (lang, phrase, a)),
+ v AS (SELECT k.lang, k.phrase, k.a, k.k, l.a l, r.a r, n.n, 1000 * k.a::HUGEINT * n.n // (l.a::HUGEINT * r.a) score FROM k JOIN n USING (lang)
+  JOIN f l ON l.lang = k.lang AND l.phrase = list_aggregate(k.ws[1:k.k], 'string_agg', ' ') JOIN f r ON r.lang = k.lang AND r.phrase = list_aggregate(k.ws[k.k + 1:], 'string_agg', ' ')),
+ b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank, phrase, a, l, r, n::BIGINT n, score::BIGINT score FROM b QUALIFY rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries whose results do not depend on a trained model, a tokenizer or a hash that SQL lacks."""
-    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_exact_dedup": EXACT_SQL, "quality_base": QUALITY_SQL, "pii_counts": PII_SQL, "url_rules": URL_SQL}
+    return {"op5_warc": WARC_SQL, "op7_chat": CHAT_SQL, "op11_exact_dedup": EXACT_SQL, "op13_collocations": COLLOCATION_SQL, "quality_base": QUALITY_SQL, "pii_counts": PII_SQL, "url_rules": URL_SQL}
