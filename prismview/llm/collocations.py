@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,10 @@ SHARE = (1000, 1 << 20)
 END = b"\xff"
 PLAIN = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 U = np.uint64
-WINDOW = "lang string, key long, depth int, " + ", ".join(f"w{i} long" for i in range(1, LONGEST + 1)) + ", n long"
+#: Occurrences travel packed: those of one task, language and bin of prefixes in a row. So many bins, or four for each partition if that is more.
+BINS = 1024
+FIELDS = {"depth": np.int32} | {f"w{i}": np.int64 for i in range(1, LONGEST + 1)} | {"n": np.int64}
+WINDOW = "bin int, lang string, " + ", ".join(f"{x} binary" for x in FIELDS)
 
 
 class Collision(ValueError):
@@ -228,8 +232,9 @@ def behind(texts: DataFrame, seed: int, bits, hot) -> DataFrame:
 
 
 def windows(texts: DataFrame, seed: int, bits, hot) -> DataFrame:
-    """The occurrences of possible phrases: their words, 0 after the last, how many such, and the hash of the prefix that they are dealt by. depth: its words;
-    prefixes of fewer are split over tasks. One more than all words where the whole occurrence is hot."""
+    """The occurrences of possible phrases, dealt into bins by their prefix. Packed are their words, 0 after the last, and how many are alike. depth: the prefix's
+    words; prefixes of fewer are split over tasks. One more than all words where the whole occurrence is hot."""
+    bins = max(BINS, 4 * common.partitions(texts.sparkSession))
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in Tokens.read(it, Words(seed)):
@@ -240,16 +245,23 @@ def windows(texts: DataFrame, seed: int, bits, hot) -> DataFrame:
             words = np.r_[t.words, np.zeros(LONGEST, U)]
             cols = [np.where(reach[at] > k, words[at + k], U(0)) for k in range(LONGEST)]
             first, n = summed([t.lang[at], *cols])
-            at, cols, long = at[first], [c[first] for c in cols], reach[at[first]].astype(np.int32)
-            key, depth = np.zeros(len(at), U), np.zeros(len(at), np.int32)
+            at = at[first]
+            long, key, depth = reach[at].astype(np.int32), np.zeros(len(at), U), np.zeros(len(at), np.int32)
             prefix = t.prefixes(LONGEST)
             for d in range(2, LONGEST + 1):
                 h = prefix[d - 1][at]
-                spread = has(hot.value[d], h) if d in hot.value else np.ones(len(at), bool)
+                spread = has(hot.value[d], h) if d in hot.value else np.full(len(at), d == LONGEST and LONGEST - 1 in hot.value)
                 here = (depth == 0) & (~spread | (long == d))
                 key[here], depth[here] = h[here], np.where(spread, d + 1, d)[here]
-            lang = pa.array(t.langs, pa.string()).take(pa.array(t.lang[at]))
-            yield pa.RecordBatch.from_arrays([lang, signed(key), pa.array(depth), *map(signed, cols), pa.array(n, pa.int64())], names=[x.split()[0] for x in WINDOW.split(", ")])
+            bin_ = (key % U(bins)).astype(np.int32)
+            order = np.argsort(bin_, kind="stable")  # by bin, language and words
+            lang, bin_ = t.lang[at][order], bin_[order]
+            edges = np.r_[0, np.flatnonzero((bin_[1:] != bin_[:-1]) | (lang[1:] != lang[:-1])) + 1, len(order)].tolist()
+            packed = [x[order].astype(kind) for x, kind in zip((depth, *[c[first].view(np.int64) for c in cols], n), FIELDS.values(), strict=True)]
+            starts = edges[:-1]
+            out = [pa.array(bin_[starts]), pa.array(t.langs, pa.string()).take(pa.array(lang[starts]))]
+            out += [pa.array([x[s:e].tobytes() for s, e in pairwise(edges)], pa.binary()) for x in packed]
+            yield from pa.table(out, names=[x.split()[0] for x in WINDOW.split(", ")]).to_batches(2000)
 
     return texts.mapInArrow(work, WINDOW)
 
@@ -295,30 +307,26 @@ def grown(occurrences: DataFrame, least: int) -> DataFrame:
     """lang, ws, f: every phrase of two words or more with least occurrences."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[dict] = []
 
-        def mine(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = Grower(np.array(rows["lang"].to_pylist(), object), rows["depth"].to_numpy(), [rows[f"w{i}"].to_numpy() for i in range(1, LONGEST + 1)], rows["n"].to_numpy(), least)
+        def mine() -> Iterator[pa.RecordBatch]:
+            cols = {x: np.frombuffer(b"".join([r[x] for r in held]), kind) for x, kind in FIELDS.items()}
+            lang = np.repeat(np.array([r["lang"] for r in held], object), [len(r["depth"]) // 4 for r in held])
+            g = Grower(lang, cols["depth"], [cols[f"w{i}"] for i in range(1, LONGEST + 1)], cols["n"], least)
             g.run()
-            lang, ws, f = zip(*g.found, strict=True) if g.found else ((), (), ())
-            yield from pa.table({"lang": pa.array(lang, pa.string()), "ws": pa.array(ws, pa.list_(pa.int64())), "f": pa.array(f, pa.int64())}).to_batches(20_000)
+            found = [*zip(*g.found, strict=True)] or [(), (), ()]
+            yield from pa.table([pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["lang", "ws", "f"]).to_batches(20_000)
 
         for b in it:
-            if not b.num_rows:
-                continue
-            held.append(pa.table(b))
-            if sum(x.num_rows for x in held) < TOKENS // 8:
-                continue
-            rows = pa.concat_tables(held)
-            key = rows["key"].to_numpy()
-            whole = int(np.searchsorted(key, key[-1]))  # the last prefix may go on
-            held = [rows.slice(whole)]
-            if whole:
-                yield from mine(rows.slice(0, whole))
+            for r in b.to_pylist():
+                if held and held[0]["bin"] != r["bin"]:
+                    yield from mine()
+                    held = []
+                held.append(r)
         if held:
-            yield from mine(pa.concat_tables(held))
+            yield from mine()
 
-    rows = occurrences.repartition(common.partitions(occurrences.sparkSession), "key").sortWithinPartitions("key")
+    rows = occurrences.repartition(common.partitions(occurrences.sparkSession), "bin").sortWithinPartitions("bin")
     return rows.mapInArrow(work, "lang string, ws array<long>, f long").groupBy("lang", "ws").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
