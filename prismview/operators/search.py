@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +72,40 @@ def refined(winners: DataFrame, etas: list[float], k_radius: int = 1, eta_radius
     return near.select("model", around("k0").alias("k0"), "k1", "eta").select("model", "k0", around("k1").alias("k1"), "eta").distinct()
 
 
-def trained(spark: SparkSession, jobs: DataFrame, views, y, folds, rounds: int, path: str | None = None) -> DataFrame:
-    """Fold results of all jobs. With a path they are appended to the store there, and only jobs that it lacks are fitted, so a run can be resumed."""
-    jobs = trainer.with_folds(jobs, int(folds.max()))
+Progress = Callable[[int, int, float, float], None]
+
+
+def rescue_log(path: str) -> str:
+    """Where the starts that needed another seed are logged, of the store in path."""
+    return f"{path.rstrip('/')}_rescues"
+
+
+def trained(spark: SparkSession, jobs: DataFrame, views, y, folds, rounds: int, path: str | None = None, wave: int | None = None, progress: Progress | None = None, n_splits: int | None = None) -> DataFrame:
+    """Fold results of all jobs. With a path they are appended to the store there, and only jobs that it lacks are fitted.
+
+    Jobs are fitted and stored in waves, by default of four jobs for each core, so a run that is killed loses one wave and goes on behind it. After each, progress is told
+    the fits done, those of the run, its seconds, and those left at that rate. Starts that needed another seed go to rescue_log(path).
+    """
+    jobs = trainer.with_folds(jobs, n_splits or int(folds.max()))
     if path is None:
         return checkpointed(trainer.train(spark, jobs, views, y, folds, rounds))
     wanted = jobs.select("config_key", "fold")
     todo = store.pending(jobs, store.load(spark, path)) if store.exists(spark, path) else jobs
-    todo = checkpointed(todo)
-    if not todo.isEmpty():
-        store.append(trainer.train(spark, todo, views, y, folds, rounds).withColumn("version", F.lit(1)), path)
+    size = wave or max(64, 4 * spark.sparkContext.defaultParallelism)
+    number = F.floor((F.row_number().over(Window.orderBy("config_key", "fold")) - 1) / size)  # jobs are few; their fits are the work
+    todo = checkpointed(todo.withColumn("_wave", number))
+    of, done, began = todo.count(), 0, time.monotonic()
+    for n in range(-(-of // size)):
+        part = todo.where(F.col("_wave") == n).drop("_wave")
+        results = checkpointed(trainer.train(spark, part, views, y, folds, rounds).withColumn("version", F.lit(1)))
+        store.append(results, path)
+        rescues = store.rescues(results)
+        if not rescues.isEmpty():
+            store.append_log(rescues, rescue_log(path))
+        done += min(size, of - done)
+        if progress:
+            seconds = time.monotonic() - began
+            progress(done, of, seconds, seconds / done * (of - done))
     return store.load(spark, path).join(wanted, ["config_key", "fold"], "left_semi").drop("version")
 
 

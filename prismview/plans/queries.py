@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import l2_normalised, mixture, simplex_projection
-from ..operators import alignment, analysis, crossview, evaluation, normalize, prototypes, search, structure, trainer, weights
-from ..session import checkpointed
+from ..operators import alignment, analysis, blocks, crossview, evaluation, normalize, prototypes, search, structure, trainer, weights
+from ..session import checkpointed, shared_path
 from ..sources import runs, store
 from ..sources.fixtures import VIEWS, cells_to, customer_pairs, customer_points, embedding_pairs, embedding_points, long_pairs, table, wide_pairs
 
@@ -213,20 +213,28 @@ def _training(s, d, n_splits=3):
     return views, y, np.array(folds)
 
 
+def _blocks(s, d, n_splits=3):
+    """The normalised columns of all points, stored, and the points' folds."""
+    points = embedding_points(s, d)
+    stored = blocks.write(normalize.stacked(normalize.robust(long_pairs(wide_pairs(points))), VIEWS), points, shared_path(s, "blocks"))
+    folds = evaluation.stratified_folds(points.select("id", "pos", "y"), n_splits).orderBy("pos").select("fold").toPandas()
+    return stored, folds["fold"].to_numpy()
+
+
 def _fits(model):
     def query(s, d):
-        views, y, folds = _training(s, d)
+        stored, folds = _blocks(s, d)
         jobs = search.grid(s, [(2, 2), (3, 3)], [0.02], (model,))
-        return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, ROUNDS)
+        return blocks.train(stored, trainer.with_folds(jobs, 3), folds, ROUNDS)
 
     return query
 
 
 def fit_single(s, d):
     """One view alone: its corner of the weights, held."""
-    views, y, folds = _training(s, d)
+    stored, folds = _blocks(s, d)
     jobs = search.profile_jobs(s, {v: [float(v == u) for u in VIEWS] for v in VIEWS}, 2, 2).drop("profile")
-    return trainer.train(s, trainer.with_folds(jobs, 3), views, y, folds, ROUNDS)
+    return blocks.train(stored, trainer.with_folds(jobs, 3), folds, ROUNDS)
 
 
 def search_full(s, d):
@@ -256,14 +264,14 @@ def kmeans_profiles(s, d):
 
 
 def trajectory(s, d):
-    views, y, folds = _training(s, d)
-    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 500)
+    stored, folds = _blocks(s, d)
+    snaps = blocks.trajectories(stored, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), folds, 500)
     return weights.drift(weights.at_checkpoints(snaps, [0, 5, 10, 40, 150], "config_key", "fold"), "config_key", "fold")
 
 
 def weight_tail(s, d):
-    views, y, folds = _training(s, d)
-    snaps = trainer.trajectories(s, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), views, y, folds, 500, tail=200)
+    stored, folds = _blocks(s, d)
+    snaps = blocks.trajectories(stored, trainer.with_folds(search.grid(s, [(2, 2)], [0.02]), 3), folds, 500, tail=200)
     return snaps.where("step = 'tail'").groupBy("config_key", "epoch").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +22,24 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share. Only a local session may lack that setting."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session may lack that setting."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or os.path.join(tempfile.gettempdir(), "checkpoints", "prismview")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints", "prismview"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

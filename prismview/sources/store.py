@@ -58,6 +58,11 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*RESCUE.names).write.mode("append").json(path)
 
 
+def rescues(results: DataFrame) -> DataFrame:
+    """The starts among fold results that needed another seed, in the form of RESCUE."""
+    return results.select(F.explode("rescues").alias("r")).select("r.*")
+
+
 PART = ("model", "k0", "k1", "eta")
 
 
