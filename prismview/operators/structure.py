@@ -125,14 +125,40 @@ def permuted_labels(points: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
     return takes.join(gives, ["perm", "r"]).select("perm", "id", "y")
 
 
+#: Permutations in one number: as many bits as stay positive.
+WORD = 63
+
+
+def label_words(points: DataFrame, n_perm: int, seed: int = 0) -> tuple[DataFrame, int]:
+    """id and words, an array of numbers: bit p % WORD of words[p // WORD * planes + b] is bit b of the number of the label that permutation p gives the point. And planes."""
+    labels = points.select("y").distinct()
+    planes = max(1, (labels.count() - 1).bit_length())
+    numbered = labels.select("y", (F.row_number().over(Window.orderBy("y")) - 1).alias("_n"))
+    rows = permuted_labels(points, n_perm, seed).join(F.broadcast(numbered), "y")
+    bit = F.expr(f"shiftleft(1L, perm % {WORD})")
+    words = [F.bit_or(F.when((F.floor(F.col("perm") / WORD) == w) & (F.shiftright("_n", b) % 2 == 1), bit).otherwise(F.lit(0).cast("long"))) for w in range(-(-n_perm // WORD)) for b in range(planes)]
+    return rows.groupBy("id").agg(F.array(*words).alias("words")), planes
+
+
 def purity_baseline(pairs: DataFrame, points: DataFrame, k: int, n_perm: int, seed: int = 0) -> DataFrame:
-    """Mean purity against that of permuted labels: mean, population deviation, and the z score."""
+    """Mean purity against that of permuted labels: mean, population deviation, and the z score.
+
+    A point carries its labels of all permutations as bits, so a weighted pair stays one row: the bits in which its two points differ say in which permutations it is a hit.
+    """
     n = points.count()
-    w = neighbour_weights(pairs, k).select("view", "i", "j", "w")
-    labels = permuted_labels(points, n_perm, seed)
-    a, b = labels.select("perm", F.col("id").alias("i"), F.col("y").alias("ya")), labels.select("perm", F.col("id").alias("j"), F.col("y").alias("yb"))
-    hit = F.sum(F.when(F.col("ya") == F.col("yb"), F.col("w")).otherwise(0.0)) / F.lit(float(k * n))
-    runs = w.join(a, "i").join(b, ["perm", "j"]).groupBy("view", "perm").agg(hit.alias("p"))
+    words, planes = label_words(points, n_perm, seed)
+    a, b = words.select(F.col("id").alias("i"), F.col("words").alias("wa")), words.select(F.col("id").alias("j"), F.col("words").alias("wb"))
+    rows = neighbour_weights(pairs, k).select("view", "i", "j", "w").join(a, "i").join(b, "j")
+
+    def differ(word: int):
+        out = F.lit(0).cast("long")
+        for plane in range(word * planes, (word + 1) * planes):
+            out = out.bitwiseOR(F.col("wa")[plane].bitwiseXOR(F.col("wb")[plane]))
+        return out
+
+    rows = rows.select("view", "w", *(differ(x).alias(f"x{x}") for x in range(-(-n_perm // WORD))))
+    hits = [F.sum(F.when(F.col(f"x{p // WORD}").bitwiseAND(F.lit(1 << p % WORD)) == 0, F.col("w")).otherwise(0.0)) / F.lit(float(k * n)) for p in range(n_perm)]
+    runs = rows.groupBy("view").agg(F.array(*hits).alias("p")).select("view", F.explode("p").alias("p"))
     base = runs.groupBy("view").agg(F.avg("p").alias("baseline_mean"), F.stddev_pop("p").alias("baseline_std"))
     own = knn_purity(pairs, k).groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"))
     return own.join(base, "view").withColumn("z", (F.col("purity_mean") - F.col("baseline_mean")) / (F.col("baseline_std") + 1e-12))
