@@ -140,7 +140,58 @@ def grads(by: str) -> str:
 SIMPLEX = """u AS (SELECT id, k, x, row_number() OVER (PARTITION BY id ORDER BY x DESC, k) r, sum(x) OVER (PARTITION BY id ORDER BY x DESC, k ROWS UNBOUNDED PRECEDING) c FROM x),
  t AS (SELECT id, arg_max((c - 1) / r, r) theta FROM u WHERE x - (c - 1) / r > 0 GROUP BY id)"""
 
+def fit_rounds(by_label: bool, rounds: int = 2, eta: float = 0.02) -> str:
+    """A fit with two prototypes for each label, unrolled: the state at the start, and after each swap and each step of the weights."""
+    group = "{}" if by_label else "0 * {}"
+
+    def state(n: int) -> str:
+        g = group.format("yi")
+        return f"""dk{n} AS MATERIALIZED (SELECT pi, yi, {g} g, k, y yk, d1, d2, d3, a1 * a1 * d1 + a2 * a2 * d2 + a3 * a3 * d3 dc FROM ww JOIN pr{n} ON pj = p JOIN aw{n} ON g = {g}),
+ ow{n} AS (SELECT * FROM dk{n} WHERE yi = yk QUALIFY row_number() OVER (PARTITION BY pi ORDER BY dc, k) = 1), ot{n} AS (SELECT * FROM dk{n} WHERE yi <> yk QUALIFY row_number() OVER (PARTITION BY pi ORDER BY dc, k) = 1),
+ as{n} AS MATERIALIZED (SELECT o.pi, o.yi, o.g, o.k kp, t.k km, o.dc dp, t.dc dm, o.d1 p1, o.d2 p2, o.d3 p3, t.d1 m1, t.d2 m2, t.d3 m3 FROM ow{n} o JOIN ot{n} t USING (pi)),
+ va{n} AS MATERIALIZED (SELECT sum((dp - dm) / (dp + dm + 1e-5)) v FROM as{n})"""
+
+    def swap(n: int) -> str:
+        g = group.format("w.yi")
+        return f"""rk{n} AS (SELECT k, row_number() OVER (ORDER BY (SELECT coalesce(sum(dp), 0) FROM as{n} WHERE kp = k) - (SELECT coalesce(sum(dm), 0) FROM as{n} WHERE km = k) DESC, k) r FROM pr{n}),
+ wo{n} AS MATERIALIZED (SELECT d.pi, x.k, min(CASE WHEN yi = yk THEN dc END) p, min(CASE WHEN yi <> yk THEN dc END) m FROM dk{n} d JOIN pr{n} x ON d.k <> x.k GROUP BY ALL),
+ fd{n} AS (SELECT a.pi c, a.kp k, x.y yk FROM as{n} a JOIN pr{n} x ON a.kp = x.k WHERE a.pi <> x.p),
+ cd{n} AS (SELECT c, f.k, CASE WHEN w.yi = yk THEN least(p, a1 * a1 * d1 + a2 * a2 * d2 + a3 * a3 * d3) ELSE p END p, CASE WHEN w.yi = yk THEN m ELSE least(m, a1 * a1 * d1 + a2 * a2 * d2 + a3 * a3 * d3) END m
+  FROM fd{n} f JOIN ww w ON w.pj = f.c JOIN wo{n} o ON o.pi = w.pi AND o.k = f.k JOIN aw{n} ON g = {g}),
+ mv{n} AS (SELECT c, k FROM (SELECT c, k, sum((p - m) / (p + m + 1e-5)) - (SELECT v FROM va{n}) delta FROM cd{n} GROUP BY ALL) JOIN rk{n} USING (k) WHERE delta < 0 ORDER BY r, delta, c LIMIT 1),
+ pr{n + 1} AS MATERIALIZED (SELECT x.k, coalesce(c, p) p, y FROM pr{n} x LEFT JOIN mv{n} USING (k)), aw{n + 1} AS (FROM aw{n})"""
+
+    def step(n: int) -> str:
+        grads = ", ".join(f"4 * any_value(a{v}) * sum((p{v} * dm - m{v} * dp) / ((dp + dm + 1e-5) * (dp + dm + 1e-5))) g{v}" for v in (1, 2, 3))
+        moved = ", ".join(f"a{v} - {eta} * g{v} / (sqrt(g1 * g1 + g2 * g2 + g3 * g3) + 1e-12) a{v}" for v in (1, 2, 3))
+        return f"""gr{n} AS (SELECT g, {grads}, any_value(a1) a1, any_value(a2) a2, any_value(a3) a3 FROM as{n} JOIN aw{n} USING (g) GROUP BY g), st{n} AS (SELECT g, {moved} FROM gr{n}),
+ aw{n + 1} AS MATERIALIZED (SELECT g, {", ".join(f"a{v} / sqrt(a1 * a1 + a2 * a2 + a3 * a3) a{v}" for v in (1, 2, 3))} FROM st{n}), pr{n + 1} AS (FROM pr{n})"""
+
+    parts = [
+        f"WITH {WIDE}",
+        "ww AS MATERIALIZED (SELECT pi, pj, yi, yj, d1, d2, d3 FROM w UNION ALL SELECT pos, pos, y, y, 0, 0, 0 FROM pts)",
+        f"aw0 AS (SELECT DISTINCT {group.format('y')} g, 1 / sqrt(3.0::DOUBLE) a1, a1 a2, a1 a3 FROM pts)",
+        f"sq AS MATERIALIZED (SELECT pi, pj, yi y, (a1 * a1 * d1 + a2 * a2 * d2 + a3 * a3 * d3) ** 2 s FROM ww JOIN aw0 ON g = {group.format('yi')} WHERE yi = yj)",
+        "md AS (SELECT y, pi p FROM (SELECT y, pi, sum(s) t FROM sq GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY y ORDER BY t, pi) = 1)",
+        "fr AS (SELECT sq.y, pi p FROM sq JOIN md ON pj = p WHERE pi <> p QUALIFY row_number() OVER (PARTITION BY sq.y ORDER BY s DESC, pi) = 1)",
+        "pr0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY y, n) - 1 k, p, y FROM (SELECT *, 0 n FROM md UNION ALL SELECT y, p, 1 FROM fr))",
+    ]
+    for n in range(2 * rounds + 1):
+        parts.append(state(n))
+        if n < 2 * rounds:
+            parts.append(step(n) if n % 2 else swap(n))
+    parts.append("ix AS (SELECT pos p, row_number() OVER (ORDER BY pos) - 1 i FROM pts)")
+    steps = ["start", *["swap", "weights"] * rounds]
+    rows = [
+        f"SELECT {(n + 1) // 2}::INT epoch, '{x}' step, (row_number() OVER (ORDER BY g) - 1)::INT part, round(v, 9) loss, (SELECT string_agg(i, ',' ORDER BY k) FROM pr{n} JOIN ix USING (p)) protos, round(a1 * a1, 9) w1, round(a2 * a2, 9) w2, round(a3 * a3, 9) w3 FROM aw{n}, va{n}"
+        for n, x in enumerate(steps)
+    ]
+    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
 ORACLES = {
+    "fit_two_rounds_global": fit_rounds(False),
+    "fit_two_rounds_label": fit_rounds(True),
     "dist_distribution": f"WITH {NORM} SELECT view, round(avg(d), 9) mean, round(stddev_pop(d), 9) std, round(quantile_cont(d, 0.1), 9) q10, round(quantile_cont(d, 0.5), 9) median, round(quantile_cont(d, 0.9), 9) q90, round(avg(CASE WHEN abs(d - 1) <= 1e-12 + 1e-5 THEN 1.0 ELSE 0.0 END), 9) share_one FROM norm WHERE pi < pj GROUP BY view",
     "pair_distance": f"WITH {PAIRS} SELECT view, pi, round(sum(d), 9) total, round(min(d), 9) least FROM pairs GROUP BY view, pi",
     "customer_views": """WITH s AS (SELECT o_custkey, sum(o_totalprice) spend FROM orders GROUP BY 1), k AS (SELECT o_custkey, list(DISTINCT p_brand || '|' || p_type) products FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),

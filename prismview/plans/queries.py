@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -230,6 +231,20 @@ def _fits(model):
     return query
 
 
+def _two_rounds(model):
+    """The first two rounds of a fit to all points, by stored columns: the state at the start and after each swap and each step of the weights."""
+
+    def query(s, d):
+        points = embedding_points(s, d)
+        stored = blocks.write(wide_pairs(points), points, shared_path(s, "blocks"))
+        jobs = trainer.with_folds(search.grid(s, [(2, 2)], [0.02], (model,)), 1)
+        snaps = blocks.trajectories(stored, jobs, numpy.full(len(stored.y), 2), 2)
+        rows = snaps.select("epoch", "step", "loss", F.array_join(F.transform("protos", lambda p: p.cast("string")), ",").alias("protos"), F.posexplode("a_sq").alias("part", "w"))
+        return rounded(rows.select("epoch", "step", "part", "loss", "protos", *(F.col("w")[v].alias(f"w{v + 1}") for v in range(3))))
+
+    return query
+
+
 def fit_single(s, d):
     """One view alone: its corner of the weights, held."""
     stored, folds = _blocks(s, d)
@@ -371,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "cluster_cores": cores,
     "entropy_drift": entropy_drift,
     "paired_delta": fold_changes,
+    "fit_two_rounds_global": _two_rounds("global"),
+    "fit_two_rounds_label": _two_rounds("label"),
     "fit_global": _fits("global"),
     "fit_label": _fits("label"),
     "fit_single": fit_single,
