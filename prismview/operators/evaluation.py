@@ -50,6 +50,21 @@ def metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def label_confusion(predictions: DataFrame, *by: str) -> DataFrame:
+    """y_true, y_pred and n: how often each label was predicted as each, for any number of labels."""
+    return predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
+
+
+def label_metrics(counts: DataFrame, *by: str) -> DataFrame:
+    """acc, bal_acc (mean recall of the labels that occur) and f1_macro (mean F1 of the labels that occur or are predicted), from label_confusion()."""
+    n, hit = F.col("n"), F.col("y_true") == F.col("y_pred")
+    sides = counts.select(*by, F.explode(F.array(F.struct(F.col("y_true").alias("label"), n.alias("own"), F.lit(0).cast("long").alias("said")), F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("own"), n.alias("said")))).alias("s"), F.when(hit, n).otherwise(0).alias("hits"))
+    labels = sides.groupBy(*by, "s.label").agg(F.sum("s.own").alias("own"), F.sum("s.said").alias("said"), (F.sum("hits") / 2).alias("hits"))
+    f1 = ratio(2 * F.col("hits"), (F.col("own") + F.col("said")).cast("double"))
+    recall = F.when(F.col("own") > 0, F.col("hits") / F.col("own"))
+    return labels.groupBy(*by).agg(ratio(F.sum("hits"), F.sum("own").cast("double")).alias("acc"), F.avg(recall).alias("bal_acc"), F.avg(f1).alias("f1_macro"))
+
+
 def exploded(fold_results: DataFrame) -> DataFrame:
     """One row per validated point of the runs that went well."""
     ok = fold_results.where(F.col("status") == "ok")

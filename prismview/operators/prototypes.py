@@ -44,13 +44,6 @@ def medoids(wide: DataFrame, a_sq: Column, per_class: int) -> DataFrame:
     return chosen.select((F.row_number().over(Window.orderBy("y", "n")) - 1).cast("int").alias("k"), "id", "y")
 
 
-def hashed_start(points: DataFrame, per_class: int, seed: str = "start") -> DataFrame:
-    """Prototypes k, id, y: the first points of each class in the order of a hash; a start that needs no distances."""
-    w = Window.partitionBy("y").orderBy(F.md5(F.concat_ws("|", "id", F.lit(seed))), "pos")
-    first = points.select("id", "pos", "y").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class)
-    return first.select((F.row_number().over(Window.orderBy("y", "n")) - 1).cast("int").alias("k"), "id", "y")
-
-
 def to_prototypes(cells: DataFrame, protos: DataFrame) -> DataFrame:
     """Distances from every point to every prototype: i, pi, yi, k, yk, d. cells: wide with its diagonal, or only what ends at prototypes."""
     p = F.broadcast(protos.select("k", F.col("id").alias("j"), F.col("y").alias("yk")))

@@ -26,6 +26,12 @@ def grid(spark: SparkSession, k_pairs: list[tuple[int, int]], etas: list[float],
     return out.withColumn("config_key", config_key()).orderBy("model", "k0", "k1", "eta")
 
 
+def feasible(jobs: DataFrame, points: DataFrame) -> DataFrame:
+    """The jobs that ask for no more prototypes than the classes 0 and 1 have points."""
+    n = points.agg(F.sum((F.col("y") == 0).cast("long")).alias("_n0"), F.sum((F.col("y") == 1).cast("long")).alias("_n1"))
+    return jobs.join(F.broadcast(n), (F.col("k0") <= F.col("_n0")) & (F.col("k1") <= F.col("_n1"))).drop("_n0", "_n1")
+
+
 def profile_jobs(spark: SparkSession, profiles: dict[str, list[float]], k0: int, k1: int) -> DataFrame:
     """Jobs with weights held: learning rate 0, starting from the root of a mixture."""
     rows = [("global", k0, k1, 0.0, [x**0.5 for x in mix], name) for name, mix in profiles.items()]

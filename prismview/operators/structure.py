@@ -12,7 +12,8 @@ from ..functions.columns import describe, margin, ratio
 from . import ranks
 from .alignment import upper
 
-QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+#: The shares at which a distribution is reported, by name in thousandths.
+QUANTILES = (0.0, 0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0)
 
 
 def basic_checks(pairs: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def distribution(pairs: DataFrame) -> DataFrame:
     """Quantiles, mean, population deviation and their ratio, over unordered pairs."""
     counts = ranks.value_counts(upper(pairs), "view", "d")
     out = moments(counts).join(ranks.percentiles(counts, "view", "d", QUANTILES), "view")
-    return out.select("view", *(F.col("q")[k].alias(f"q{round(x * 100):02d}") for k, x in enumerate(QUANTILES)), "mean", "std", ratio(F.col("std"), F.col("mean")).alias("cv"))
+    return out.select("view", *(F.col("q")[k].alias(f"q{round(x * 1000):03d}") for k, x in enumerate(QUANTILES)), "mean", "std", ratio(F.col("std"), F.col("mean")).alias("cv"))
 
 
 def row_means(pairs: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def purity_baseline(pairs: DataFrame, points: DataFrame, k: int, n_perm: int, se
 def zero_distances(pairs: DataFrame) -> DataFrame:
     rate = upper(pairs).groupBy("view").agg(F.avg((F.col("d") == 0).cast("double")).alias("zero_rate"))
     z = F.col("zeros")
-    rows = pairs.groupBy("view", "i").agg(F.sum((F.col("d") == 0).cast("long")).alias("zeros")).groupBy("view").agg(F.avg("zeros").alias("zeros_mean"), F.max("zeros").alias("zeros_max"), F.avg((z >= 1).cast("double")).alias("frac_any"), F.avg((z >= 10).cast("double")).alias("frac_ten"))
+    rows = pairs.groupBy("view", "i").agg(F.sum((F.col("d") == 0).cast("long")).alias("zeros")).groupBy("view").agg(F.avg("zeros").alias("zeros_mean"), F.stddev_samp("zeros").alias("zeros_std"), F.max("zeros").alias("zeros_max"), F.avg((z >= 1).cast("double")).alias("frac_any"), F.avg((z >= 10).cast("double")).alias("frac_ten"))
     return rate.join(rows, "view")
 
 
@@ -196,12 +197,15 @@ def class_balance(pairs: DataFrame) -> DataFrame:
     return own.groupBy("view").agg(F.sum((F.col("yi") == 0).cast("long")).alias("n_class0"), F.sum((F.col("yi") == 1).cast("long")).alias("n_class1"))
 
 
-def structural_summary(pairs: DataFrame, k: int) -> DataFrame:
-    """One row per view with all characteristics: checks, distribution, rows, neighbourhoods, classes, margins (plain and robust), zeros and distinct values.
+def structural_summary(pairs: DataFrame, k: int, n_perm: int = 50) -> DataFrame:
+    """One row per view with all characteristics: checks, distribution, rows, neighbourhoods, classes, margins (plain and robust), purity and its permutation baseline,
+    zeros and distinct values.
 
     pairs are read once for each part, so they should be stored.
     """
     robust = margin_summary(pairs, True)
+    points = pairs.select(F.col("i").alias("id"), F.col("pi").alias("pos"), F.col("yi").alias("y")).distinct()
+    baseline = purity_baseline(pairs, points, k, n_perm).select("view", F.col("baseline_mean").alias("purity_baseline_mean"), F.col("baseline_std").alias("purity_baseline_std"), F.col("z").alias("purity_z"))
     parts = [
         basic_checks(pairs),
         distribution(pairs),
@@ -213,6 +217,7 @@ def structural_summary(pairs: DataFrame, k: int) -> DataFrame:
         margin_summary(pairs),
         robust.select("view", *(F.col(c).alias(f"robust_{c}") for c in robust.columns if c != "view")),
         purity_summary(pairs, k),
+        baseline,
         zero_distances(pairs),
         upper(pairs).groupBy("view").agg(F.count_distinct("d").alias("n_unique")),
     ]

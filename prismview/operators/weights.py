@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, entropy, first_best, mixture
+from ..session import checkpointed
 
 
 def weights_long(fold_results: DataFrame, views: tuple[str, ...]) -> DataFrame:
@@ -98,7 +99,8 @@ def cluster_profiles(wide: DataFrame, views: tuple[str, ...], k: int = 3, seed:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=[f"w_{v}" for v in views], outputCol="_x").transform(wide).persist()
+    data = VectorAssembler(inputCols=[f"w_{v}" for v in views], outputCol="_x").transform(wide)
+    data = checkpointed(data)  # each start of k-means passes over it many times
     models = [KMeans(k=k, seed=seed + n, featuresCol="_x", predictionCol="cluster").fit(data) for n in range(inits)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = [c.tolist() for c in best.clusterCenters()]

@@ -104,11 +104,11 @@ def protos(n: int) -> str:
     return OWN + "".join(further(k) for k in range(1, n)) + ", pr AS (SELECT CAST(row_number() OVER (ORDER BY y, n) - 1 AS INTEGER) k, i id, y FROM (" + " UNION ALL ".join(f"SELECT y, i, {k} n FROM p{k}" for k in range(n)) + "))"
 
 
-HASHED = WIDE + ", pr AS (SELECT CAST(row_number() OVER (ORDER BY y, n) - 1 AS INTEGER) k, id, y FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5(id || '|start'), pos) n FROM pts) WHERE n <= 2)"
+STARTS = protos(2)
 
 
 def assign(dc: str) -> str:
-    return f"""{HASHED}, cells AS (SELECT * FROM w UNION ALL SELECT id, id, pos, pos, y, y, 0.0, 0.0, 0.0 FROM pts),
+    return f"""{STARTS}, cells AS (SELECT * FROM w UNION ALL SELECT id, id, pos, pos, y, y, 0.0, 0.0, 0.0 FROM pts),
  dp AS (SELECT c.i, c.pi, c.yi, pr.k, pr.y yk, d1, d2, d3, {dc} dc FROM cells c JOIN pr ON c.j = pr.id),
  a AS (SELECT p.i, p.pi, p.yi y, p.k k_plus, p.dc d_plus, p.d1 p1, p.d2 p2, p.d3 p3, q.k k_minus, q.dc d_minus, q.d1 q1, q.d2 q2, q.d3 q3
   FROM (SELECT * FROM dp WHERE yi = yk QUALIFY row_number() OVER (PARTITION BY i ORDER BY dc, k) = 1) p
@@ -192,6 +192,11 @@ def fit_rounds(by_label: bool, rounds: int = 2, eta: float = 0.02) -> str:
 ORACLES = {
     "fit_two_rounds_global": fit_rounds(False),
     "fit_two_rounds_label": fit_rounds(True),
+    "fit_two_rounds_three": fit_rounds(True).replace("label % 2", "label % 3"),
+    "label_metrics": f"""WITH {PTS.replace("label % 2", "label % 3")}, h AS (SELECT view, id, y, {h("'three'", "view", "id")} % 6 lot FROM pts, (VALUES ('v1'), ('v2'), ('v3')) t(view)),
+ p AS (SELECT view, y yt, CASE WHEN lot < 4 THEN y ELSE (y + lot - 3) % 3 END yp FROM h), l AS (SELECT DISTINCT view, unnest([yt, yp]) lab FROM p),
+ c AS (SELECT l.view, lab, count(*) FILTER (yt = lab) own, count(*) FILTER (yp = lab) said, count(*) FILTER (yt = lab AND yp = lab) hit FROM l JOIN p USING (view) GROUP BY ALL)
+ SELECT view, round(sum(hit)::DOUBLE / sum(own), 9) acc, round(avg(hit / own) FILTER (own > 0), 9) bal_acc, round(avg(2 * hit / (own + said)), 9) f1_macro FROM c GROUP BY view""",
     "dist_distribution": f"WITH {NORM} SELECT view, round(avg(d), 9) mean, round(stddev_pop(d), 9) std, round(quantile_cont(d, 0.1), 9) q10, round(quantile_cont(d, 0.5), 9) median, round(quantile_cont(d, 0.9), 9) q90, round(avg(CASE WHEN abs(d - 1) <= 1e-12 + 1e-5 THEN 1.0 ELSE 0.0 END), 9) share_one FROM norm WHERE pi < pj GROUP BY view",
     "pair_distance": f"WITH {PAIRS} SELECT view, pi, round(sum(d), 9) total, round(min(d), 9) least FROM pairs GROUP BY view, pi",
     "customer_views": """WITH s AS (SELECT o_custkey, sum(o_totalprice) spend FROM orders GROUP BY 1), k AS (SELECT o_custkey, list(DISTINCT p_brand || '|' || p_type) products FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
@@ -203,7 +208,7 @@ ORACLES = {
     "missing_ids": f"WITH {PTS} SELECT id FROM pts WHERE pos % 7 = 0",
     "matrix_problems": "SELECT 0::BIGINT missing_cells, 0::BIGINT duplicate_cells, 0::BIGINT bad_cells",
     "norm_robust": f"WITH {NORM} SELECT view, pi, round(sum(d), 9) total, count(*) FILTER (d = 1) at_one, count(*) FILTER (d = 0) at_zero FROM norm GROUP BY view, pi",
-    "quantile_dist": f"WITH {UP} SELECT view, " + ", ".join(f"round(quantile_cont(d, {q}), 9) q{round(q * 100):02d}" for q in (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)) + ", round(avg(d), 9) mean, round(stddev_pop(d), 9) std, round(stddev_pop(d) / avg(d), 9) cv FROM up GROUP BY view",
+    "quantile_dist": f"WITH {UP} SELECT view, " + ", ".join(f"round(quantile_cont(d, {q}), 9) q{round(q * 1000):03d}" for q in (0.0, 0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0)) + ", round(avg(d), 9) mean, round(stddev_pop(d), 9) std, round(stddev_pop(d) / avg(d), 9) cv FROM up GROUP BY view",
     "basic_checks": f"WITH {PAIRS}, al AS (SELECT view, d FROM pairs UNION ALL SELECT view, 0.0 FROM pts, (VALUES ('v1'), ('v2'), ('v3')) t(view)), sy AS (SELECT a.view, max(abs(a.d - b.d)) g FROM pairs a JOIN pairs b ON a.view = b.view AND a.i = b.j AND a.j = b.i GROUP BY a.view) SELECT view, (SELECT count(*) FROM pts) n, round(any_value(g), 9) sym_max_abs_diff, round(min(d), 9) d_min, round(max(d), 9) d_max, round(avg(d), 9) d_mean, round(stddev_pop(d), 9) d_std FROM al JOIN sy USING (view) GROUP BY view",
     "row_mean_describe": f"WITH {PAIRS}, rm AS (SELECT view, i, sum(d) / (count(*) + 1) x FROM pairs GROUP BY view, i) SELECT view, {described('x', 'row_mean')} FROM rm GROUP BY view",
     "knn_mean": f"WITH {NEAR}, kn AS (SELECT view, i, avg(d) x FROM near GROUP BY view, i) SELECT view, round(avg(x), 9) knn_mean, round(stddev_pop(x), 9) knn_std FROM kn GROUP BY view",
@@ -220,7 +225,7 @@ ORACLES = {
  ru AS (SELECT view, a.perm, sum(CASE WHEN a.y = b.y THEN wt ELSE 0 END) / (10.0 * (SELECT count(*) FROM pts)) p FROM nw JOIN lb a ON nw.i = a.id JOIN lb b ON nw.j = b.id AND a.perm = b.perm GROUP BY ALL),
  bs AS (SELECT view, avg(p) bm, stddev_pop(p) sd FROM ru GROUP BY view), pm AS (SELECT view, avg(knn_purity) x FROM purity GROUP BY view)
  SELECT view, round(x, 9) purity_mean, round(bm, 9) baseline_mean, round(sd, 9) baseline_std, round((x - bm) / (sd + 1e-12), 9) z FROM pm JOIN bs USING (view)""",
-    "zero_stats": f"WITH {UP}, r AS (SELECT view, avg((d = 0)::INT) zero_rate FROM up GROUP BY view), z AS (SELECT view, i, sum((d = 0)::INT)::BIGINT zeros FROM pairs GROUP BY view, i) SELECT view, round(any_value(zero_rate), 9) zero_rate, round(avg(zeros), 9) zeros_mean, max(zeros) zeros_max, round(avg((zeros >= 1)::INT), 9) frac_any, round(avg((zeros >= 10)::INT), 9) frac_ten FROM z JOIN r USING (view) GROUP BY view",
+    "zero_stats": f"WITH {UP}, r AS (SELECT view, avg((d = 0)::INT) zero_rate FROM up GROUP BY view), z AS (SELECT view, i, sum((d = 0)::INT)::BIGINT zeros FROM pairs GROUP BY view, i) SELECT view, round(any_value(zero_rate), 9) zero_rate, round(avg(zeros), 9) zeros_mean, round(stddev_samp(zeros), 9) zeros_std, max(zeros) zeros_max, round(avg((zeros >= 1)::INT), 9) frac_any, round(avg((zeros >= 10)::INT), 9) frac_ten FROM z JOIN r USING (view) GROUP BY view",
     "unique_values": f"WITH {UP}, v AS (SELECT DISTINCT view, d FROM up), n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY d) a, row_number() OVER (PARTITION BY view ORDER BY d DESC) b, count(*) OVER (PARTITION BY view) n_unique FROM v) SELECT view, n_unique, 'head' side, a place, round(d, 9) d FROM n WHERE a <= 30 UNION ALL SELECT view, n_unique, 'tail', b, round(d, 9) FROM n WHERE b <= 30",
     "point_table": f"WITH {POINTS} SELECT view, id, y, round(mu, 9) + 0.0 mu, round(d_plus, 9) d_plus, round(d_minus, 9) d_minus, round(knn_purity, 9) knn_purity, round(knn_mean, 9) knn_mean FROM pt",
     "corr_pearson": f"WITH {WIDE}, c AS (SELECT corr(d1, d2) a, corr(d1, d3) b, corr(d2, d3) c FROM w WHERE pi < pj) SELECT x.column1 a, x.column2 b, round(x.column3, 9) r FROM c, LATERAL (VALUES ('v1', 'v1', 1.0::DOUBLE), ('v2', 'v2', 1.0), ('v3', 'v3', 1.0), ('v1', 'v2', c.a), ('v2', 'v1', c.a), ('v1', 'v3', c.b), ('v3', 'v1', c.b), ('v2', 'v3', c.c), ('v3', 'v2', c.c)) x(column1, column2, column3)",
@@ -232,8 +237,8 @@ ORACLES = {
     "pooled_metrics": f"WITH {RUNS}, c AS (SELECT config_key, model, {COUNTS} FROM ok GROUP BY ALL) SELECT config_key, model, tp, fp, tn, fn, {ALL_METRICS} FROM c",
     "config_status": f"WITH {STORED} SELECT config_key, count(DISTINCT fold) n_folds, count(*) FILTER (status = 'ok') n_ok, count(*) FILTER (status <> 'ok') n_bad, CASE WHEN n_bad > 0 THEN 'failed' WHEN n_folds < 5 THEN 'incomplete' ELSE 'ok' END status FROM fr GROUP BY config_key",
     "status_counts": f"WITH {STORED} SELECT model, status, count(*) n FROM fr GROUP BY ALL",
-    "upsert_latest": f"WITH {STORED} SELECT config_key, fold, version, status FROM fr",
-    "pending_jobs": f"WITH {STORED} SELECT config_key, CAST(k AS INTEGER) fold FROM cfg, range(1, 6) t7(k) WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.config_key = cfg.config_key AND st.fold = k)",
+    "upsert_latest": f"WITH {FOLDS}, {STORED} SELECT config_key, fold, version, status, count(*)::INT n FROM fr JOIN f USING (fold) GROUP BY ALL",
+    "pending_jobs": f"WITH {FOLDS}, {STORED} SELECT config_key, k fold FROM cfg, (SELECT DISTINCT fold k FROM f) WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.config_key = cfg.config_key AND st.fold = k)",
     "combined_distance": f"WITH {WIDE} SELECT pi, round(sum({DC}), 9) total, round(min({DC}), 9) least FROM w GROUP BY pi",
     "medoid_init": f"WITH {protos(3)} SELECT k, id, y FROM pr",
     "assign_prototypes": f"WITH {ASSIGN} SELECT i, y, k_plus, round(d_plus, 9) d_plus, k_minus, round(d_minus, 9) d_minus FROM a",
@@ -253,7 +258,7 @@ ORACLES = {
     + f"), {SIMPLEX} SELECT CAST(k AS INTEGER) v, round(greatest(x - theta, 0), 9) w FROM x JOIN t USING (id)",
     "simplex_project": f"WITH x AS (SELECT vec_id id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 65) t(k)), {SIMPLEX} SELECT id vec_id, CAST(k AS INTEGER) k, round(greatest(x - theta, 0), 9) x FROM x JOIN t USING (id)",
     "normalise_vectors": "WITH x AS (SELECT vec_id, k - 1 k, embedding[k]::DOUBLE x FROM embeddings, range(1, 65) t(k)), s AS (SELECT vec_id, sqrt(sum(x * x)) n, sum(greatest(x, 0)) p FROM x GROUP BY 1) SELECT vec_id, CAST(k AS INTEGER) k, round(CASE WHEN n < 1e-12 THEN 0.125 ELSE x / n END, 9) + 0.0 unit, round(CASE WHEN p > 0 THEN greatest(x, 0) / p ELSE 1 / 64.0::DOUBLE END, 9) mixture FROM x JOIN s USING (vec_id)",
-    "grid_jobs": f"WITH {CFG} SELECT config_key || '|-|1' config_key, model, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta FROM cfg",
+    "grid_jobs": f"WITH {PTS}, {CFG.replace('(VALUES (2), (3)) t2', '(VALUES (2), (3), (30)) t2').replace('(VALUES (2), (3)) t3', '(VALUES (2), (3), (300)) t3')} SELECT config_key || '|-|1' config_key, model, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta FROM cfg WHERE k0 <= (SELECT count(*) FROM pts WHERE y = 0) AND k1 <= (SELECT count(*) FROM pts WHERE y = 1)",
     "top_per_model": f"WITH {POOLED} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) AS INTEGER) rank, config_key, round(bal_acc, 9) bal_acc FROM pm QUALIFY rank <= 3",
     "best_config": f"WITH {POOLED} SELECT model, config_key, CAST(k0 AS INTEGER) k0, CAST(k1 AS INTEGER) k1, eta, round(bal_acc, 9) bal_acc FROM pm QUALIFY row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) = 1",
     "refine_grid": f"""WITH {POOLED}, b AS (SELECT * FROM pm QUALIFY row_number() OVER (PARTITION BY model ORDER BY bal_acc DESC, config_key) = 1), e(n, x) AS (VALUES (0, 0.005::DOUBLE), (1, 0.01), (2, 0.02), (3, 0.05), (4, 0.1)),
@@ -327,6 +332,7 @@ SUMMARY = [ORACLES[n] for n in ("basic_checks", "quantile_dist", "row_mean_descr
     f"SELECT {ROBUST} FROM ({ORACLES['robust_margin']})",
     f"WITH {PAIRS}, z AS (SELECT DISTINCT view, i, yi FROM pairs) SELECT view, count(*) FILTER (yi = 0) n_class0, count(*) FILTER (yi = 1) n_class1 FROM z GROUP BY view",
     f"WITH {PAIRS}, {GROUPS} SELECT view, round(avg(knn_purity), 9) purity_mean, round(stddev_pop(knn_purity), 9) purity_std FROM purity GROUP BY view",
+    f"SELECT view, baseline_mean purity_baseline_mean, baseline_std purity_baseline_std, z purity_z FROM ({ORACLES['purity_permutation']})",
     f"WITH {UP} SELECT view, count(DISTINCT d) n_unique FROM up GROUP BY view",
 ]
 ORACLES["structural_summary"] = f"SELECT * FROM ({SUMMARY[0]}) " + " ".join(f"LEFT JOIN ({x}) USING (view)" for x in SUMMARY[1:])

@@ -8,7 +8,7 @@ import numpy
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import l2_normalised, mixture, simplex_projection
+from ..functions.columns import hash24, l2_normalised, mixture, simplex_projection
 from ..operators import alignment, analysis, blocks, crossview, evaluation, normalize, prototypes, search, structure, trainer, weights
 from ..session import checkpointed, shared_path
 from ..sources import runs, store
@@ -36,18 +36,34 @@ def wide(s, d):
 
 
 def protos(s, d):
-    """Two prototypes per class, in the order of a hash: four rows."""
-    return prototypes.hashed_start(embedding_points(s, d), 2)
+    """Two prototypes per class, the medoid and the point farthest from it, computed once for a query: four rows."""
+    return checkpointed(prototypes.medoids(wide(s, d), prototypes.weights_literal(A_SQ), 2))
 
 
-def cells(s, d):
-    """Distances to the prototypes only: no pairs of points."""
+def cells(s, d, p):
+    """Distances to the prototypes p only: no pairs of points."""
     points = embedding_points(s, d)
-    return cells_to(points, points.join(F.broadcast(protos(s, d).select("id")), "id"))
+    return cells_to(points, points.join(F.broadcast(p.select("id")), "id"))
 
 
-def assignment(s, d):
-    return prototypes.assigned(cells(s, d), protos(s, d), prototypes.weights_literal(A_SQ))
+def assignment(s, d, p=None):
+    p = protos(s, d) if p is None else p
+    return prototypes.assigned(cells(s, d, p), p, prototypes.weights_literal(A_SQ))
+
+
+def predict_global(s, d):
+    p = protos(s, d)
+    return prototypes.predict_global(cells(s, d, p), p, prototypes.weights_literal(A_SQ))
+
+
+def predict_label(s, d):
+    p = protos(s, d)
+    return prototypes.predict_label(cells(s, d, p), p, {0: [0.2, 0.3, 0.5], 1: A_SQ})
+
+
+def priorities(s, d):
+    p = protos(s, d)
+    return prototypes.priorities(assignment(s, d, p), p)
 
 
 def results(s, d):
@@ -113,9 +129,11 @@ def medoid_table(s, d):
 def swap(s, d, weights_=None):
     """Distances to the prototypes, and to the points of one receptive field: the candidates, for which the scan is made. weights_ may differ by the label of a point (yi)."""
     points, weights_ = embedding_points(s, d), prototypes.weights_literal(A_SQ) if weights_ is None else weights_
-    field = prototypes.receptive_field(prototypes.assigned(cells(s, d), protos(s, d), weights_), protos(s, d), 0)
+    p = protos(s, d)
+    near = cells(s, d, p)
+    field = prototypes.receptive_field(prototypes.assigned(near, p, weights_), p, 0)
     candidates = cells_to(points, points.join(field.select(F.col("j").alias("id")), "id"))
-    return prototypes.swap_scan(cells(s, d), protos(s, d), weights_, 0, candidates)
+    return prototypes.swap_scan(near, p, weights_, 0, candidates)
 
 
 def step_global(s, d):
@@ -151,8 +169,15 @@ def refine_grid(s, d):
 
 
 def pending_jobs(s, d):
-    jobs = runs.configurations(s).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(runs.N_SPLITS))))
-    return store.pending(jobs, runs.stored(s)).select("config_key", "fold")
+    """Configurations and the folds that the points were dealt into, less those of which results are stored."""
+    folds = folds_of(s, d).select("fold").distinct()
+    return store.pending(runs.configurations(s).join(F.broadcast(folds)), runs.fold_results(s, d)).select("config_key", "fold")
+
+
+def grid_jobs(s, d):
+    """A grid less the configurations for which a class has too few points."""
+    jobs = search.grid(s, [(a, b) for a in (2, 3, 30) for b in (2, 3, 300)], [0.01, 0.02, 0.05])
+    return search.feasible(jobs, embedding_points(s, d)).select("config_key", "model", "k0", "k1", "eta")
 
 
 def pooled(s, d):
@@ -231,13 +256,29 @@ def _fits(model):
     return query
 
 
-def _two_rounds(model):
+def three_labels(s, d):
+    """The points of the embeddings with three labels."""
+    label = table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("pos"), (F.col("label") % 3).cast("int").alias("y"))
+    return embedding_points(s, d).drop("y").join(label, "pos")
+
+
+def label_metrics(s, d):
+    """Three labels and predictions of them, right in two of three cases by a hash."""
+    points = three_labels(s, d).select("id", F.col("y").alias("y_true"), F.explode(F.array(*map(F.lit, VIEWS))).alias("view"))
+    lot = hash24(F.lit("three"), F.col("view"), F.col("id")) % 6
+    rows = points.withColumn("y_pred", F.when(lot < 4, F.col("y_true")).otherwise((F.col("y_true") + lot - 3) % 3))
+    return rounded(evaluation.label_metrics(evaluation.label_confusion(rows, "view"), "view"))
+
+
+def _two_rounds(model, points_of=embedding_points, k=None):
     """The first two rounds of a fit to all points, by stored columns: the state at the start and after each swap and each step of the weights."""
 
     def query(s, d):
-        points = embedding_points(s, d)
+        points = points_of(s, d)
         stored = blocks.write(wide_pairs(points), points, shared_path(s, "blocks"))
         jobs = trainer.with_folds(search.grid(s, [(2, 2)], [0.02], (model,)), 1)
+        if k:
+            jobs = jobs.withColumn("k", F.array(*map(F.lit, k)))
         snaps = blocks.trajectories(stored, jobs, numpy.full(len(stored.y), 2), 2)
         rows = snaps.select("epoch", "step", "loss", F.array_join(F.transform("protos", lambda p: p.cast("string")), ",").alias("protos"), F.posexplode("a_sq").alias("part", "w"))
         return rounded(rows.select("epoch", "step", "part", "loss", "protos", *(F.col("w")[v].alias(f"w{v + 1}") for v in range(3))))
@@ -335,22 +376,22 @@ QUERIES: dict[str, Query] = {
     "pooled_metrics": pooled,
     "config_status": lambda s, d: evaluation.config_status(results(s, d), runs.N_SPLITS),
     "status_counts": lambda s, d: store.status_counts(results(s, d)),
-    "upsert_latest": lambda s, d: store.latest(runs.stored(s)).select("config_key", "fold", "version", "status"),
+    "upsert_latest": lambda s, d: results(s, d).select("config_key", "fold", "version", "status", F.size("va_idx").alias("n")),
     "pending_jobs": pending_jobs,
     "combined_distance": lambda s, d: prototypes.combined(wide(s, d), prototypes.weights_literal(A_SQ)).groupBy("pi").agg(F.sum("dc").alias("total"), F.min("dc").alias("least")),
     "medoid_init": medoid_table,
     "assign_prototypes": lambda s, d: assignment(s, d).select("i", "y", "k_plus", "d_plus", "k_minus", "d_minus"),
-    "predict_global": lambda s, d: prototypes.predict_global(cells(s, d), protos(s, d), prototypes.weights_literal(A_SQ)),
-    "predict_label": lambda s, d: prototypes.predict_label(cells(s, d), protos(s, d), {0: [0.2, 0.3, 0.5], 1: A_SQ}),
+    "predict_global": predict_global,
+    "predict_label": predict_label,
     "glvq_loss": lambda s, d: prototypes.loss(assignment(s, d)),
-    "proto_priority": lambda s, d: prototypes.priorities(assignment(s, d), protos(s, d)),
+    "proto_priority": priorities,
     "swap_scan": swap,
     "weight_step_global": step_global,
     "weight_step_label": step_label,
     "weight_step_linear": step_linear,
     "simplex_project": simplex,
     "normalise_vectors": normalised_vectors,
-    "grid_jobs": lambda s, d: search.grid(s, [(a, b) for a in (2, 3) for b in (2, 3)], [0.01, 0.02, 0.05]).select("config_key", "model", "k0", "k1", "eta"),
+    "grid_jobs": grid_jobs,
     "top_per_model": lambda s, d: search.top_per_model(evaluation.pooled_metrics(results(s, d), "config_key", "model"), 3).select("model", "rank", "config_key", "bal_acc"),
     "best_config": lambda s, d: winners(s, d).select("model", "config_key", "k0", "k1", "eta", "bal_acc"),
     "refine_grid": refine_grid,
@@ -388,6 +429,8 @@ QUERIES: dict[str, Query] = {
     "paired_delta": fold_changes,
     "fit_two_rounds_global": _two_rounds("global"),
     "fit_two_rounds_label": _two_rounds("label"),
+    "fit_two_rounds_three": _two_rounds("label", three_labels, (2, 2, 2)),
+    "label_metrics": label_metrics,
     "fit_global": _fits("global"),
     "fit_label": _fits("label"),
     "fit_single": fit_single,

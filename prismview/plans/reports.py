@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, crossview, evaluation, normalize, ranks, search, structure, trainer
+from ..session import checkpointed
 
 
 def written(spark: SparkSession, folder: str, tables: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
@@ -26,6 +27,7 @@ def written(spark: SparkSession, folder: str, tables: dict[str, Callable[[], Dat
 def structural(pairs: DataFrame, points: DataFrame, views: tuple[str, ...], folder: str, k: int = 10, n_perm: int = 50, q: float = 0.10) -> dict[str, DataFrame]:
     """Structure of every view and the comparison of views, on raw distances; the distribution report on normalised ones."""
     spark = pairs.sparkSession
+    pairs = checkpointed(pairs)  # every part reads them
     wide = normalize.stacked(pairs, views)
     return written(
         spark,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismview.operators import blocks, search, trainer
+from prismview.operators import blocks, evaluation, search, trainer
 from prismview.session import shared_path
 from prismview.sources import store
 
@@ -106,3 +106,31 @@ def test_a_killed_run_keeps_its_waves(spark, tmp_path, monkeypatch):
     out = search.trained(spark, jobs, v, y, folds, 5, path, wave=3, progress=lambda done, of, seconds, left: told.append((done, of, left >= 0)))
     assert out.count() == 8 and fitted == [3, 2]
     assert told == [(3, 5, True), (5, 5, True)]
+
+
+def test_three_labels(spark):
+    v, _ = views(12, 45)
+    y = np.arange(45) % 3
+    folds = np.arange(45) // 3 % 3 + 1
+    jobs = trainer.with_folds(search.grid(spark, [(2, 2)], [0.05]), 3).withColumn("k", F.array(F.lit(2), F.lit(1), F.lit(3)))
+    got = blocks.train(stored(spark, v, y), jobs, folds, 10)
+    assert plain(got) == plain(trainer.train(spark, jobs, v, y, folds, 10))
+    assert {(r["status"], len(r["protos"])) for r in got.collect()} == {("ok", 6)}
+    wrong = jobs.withColumn("k", F.array(F.lit(2), F.lit(1)))
+    assert {r["status"] for r in blocks.train(stored(spark, v, y), wrong, folds, 10).collect()} == {"failed"}
+
+
+def test_label_metrics_with_labels_only_predicted(spark):
+    rows = [(0, 0), (0, 1), (1, 1), (1, 1), (1, 7), (2, 2)]
+    counts = evaluation.label_confusion(spark.createDataFrame(rows, "y_true int, y_pred int"))
+    assert sorted(map(tuple, counts.collect())) == [(0, 0, 1), (0, 1, 1), (1, 1, 2), (1, 7, 1), (2, 2, 1)]
+    r = evaluation.label_metrics(counts).first()
+    assert r["acc"] == pytest.approx(4 / 6) and r["bal_acc"] == pytest.approx((1 / 2 + 2 / 3 + 1) / 3)
+    assert r["f1_macro"] == pytest.approx((2 / 3 + 4 / 6 + 1 + 0) / 4)
+
+
+def test_infeasible_jobs_go(spark):
+    points = spark.createDataFrame([(i, int(i < 3)) for i in range(10)], "pos long, y int")
+    jobs = search.grid(spark, [(2, 3), (7, 3), (8, 3), (2, 4)], [0.1], ("global",))
+    assert {(r["k0"], r["k1"]) for r in search.feasible(jobs, points).collect()} == {(2, 3), (7, 3)}
+    assert search.feasible(jobs, points.where("y = 2")).count() == 0
