@@ -37,7 +37,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bits of a bitmap: 8 MB, which is what the driver gets and sends.
 BITS = 1 << 26
 #: Tokens that a task looks at together, and words whose hashes or counts it holds.
-TOKENS, HELD = 1 << 20, 300_000
+TOKENS, HELD = 1 << 19, 300_000
 #: Occurrences of a prefix in one task: half of a partition's mean, within these.
 SHARE = (1000, 1 << 20)
 #: A-Z to a-z, and what ends a piece to a byte that no UTF-8 text has.
