@@ -90,19 +90,22 @@ def summed(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-class Words:
-    """word -> 64-bit hash, 0 for END."""
+class Words(dict):
+    """word -> 64-bit hash, 0 for END; a new word's is made when it is looked up."""
 
     def __init__(self, seed: int):
+        super().__init__({END: 0})
         self.seed = seed
-        self.known: dict[bytes, int] = {END: 0}
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = hash_of(word, self.seed)
+        return h
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > HELD:
-            self.known = {END: 0}
-        for w in set(words).difference(self.known):
-            self.known[w] = hash_of(w, self.seed)
-        return np.fromiter(map(self.known.__getitem__, words), U, len(words))
+        if len(self) > HELD:
+            self.clear()
+            self[END] = 0
+        return np.fromiter(map(self.__getitem__, words), U, len(words))
 
 
 def hash_of(word: bytes, seed: int) -> int:
