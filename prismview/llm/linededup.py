@@ -10,8 +10,11 @@ stands earlier as a whole is cut as a whole. Where zones around one seed differ,
 each zone's first place are compared one by one.
 
 Places travel as arrays in blobs: a task sends of each content its first place only and cuts its own later ones,
-so a passage that a third of all documents hold gives one place for each task. The texts are shuffled once, by
-row, and the three passes over them share that shuffle.
+so a passage that a third of all documents hold gives one place for each task. Places meet by their seed. A seed that very
+many different zones share, such as a phrase that stands everywhere in other words, is found by a count over all places; its places meet by
+zone instead, and its zones are all compared window by window, as they'd be anyhow. Windows meet by their own hash. So no
+task gets more than its share by a seed, and what is deleted doesn't depend on which seeds are split. The texts are shuffled once, by
+row, and the three passes over them share that shuffle; the count reads them where they lie.
 
 Runs shorter than MIN_WORDS stay, so a common sentence does no harm. Null text: stays null. Empty text: stays.
 Null doc_id: counts as last. Rows of one doc_id with different texts are rows of their own, in the order of a hash; with the same
@@ -38,6 +41,8 @@ SEED = 12
 PIECE = 1 << 19
 #: Places that a task holds before it sends them.
 HELD = 1 << 19
+#: A seed with this part of a task's mean share of the places, or more, is split.
+HOT = 0.25
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 SEPARATOR = np.zeros(256, bool)
@@ -227,78 +232,118 @@ def _batches(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), BLOBS, strict=True)], schema=BLOBS)
 
 
-def first_places(cols: Columns, n: int) -> Iterator[tuple[int, int, bytes]]:
-    """The first place of each content, dealt by seed, as kind 0; the later ones, dealt by row, as kind 1."""
+def is_hot(seed: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which seeds are among hot, in order."""
+    if not len(hot):
+        return np.zeros(len(seed), bool)
+    return hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
+
+
+def meeting(cols: Columns, hot: np.ndarray | None) -> np.ndarray:
+    """What places are dealt by: their seed, or their zone where the seed is hot or, without hot, everywhere."""
+    by_zone = cols["zone"] ^ mixed(cols["seed"])
+    return by_zone if hot is None else np.where(is_hot(cols["seed"], hot), by_zone, cols["seed"])
+
+
+def first_places(cols: Columns, n: int, hot: np.ndarray | None) -> Iterator[tuple[int, int, bytes]]:
+    """The first place of each content, dealt by meeting(), as kind 0; the later ones, dealt by row, as kind 1."""
     order = np.lexsort((cols["first"], cols["lo"], cols["hi"], cols["zone"], cols["seed"]))
     cols = taken(cols, order)
     new = changes(cols["seed"], cols["zone"])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = ~new & ((cols["hi"] != cols["hi"][lead]) | (cols["lo"] != cols["lo"][lead]) | (cols["first"] != cols["first"][lead]))
-    yield from dealt(sent := taken(cols, new), sent["seed"], PLACE, n, 0)
+    yield from dealt(sent := taken(cols, new), meeting(sent, hot), PLACE, n, 0)
     gone = taken(cols, later)
     gone["open"] = np.zeros(len(gone["n"]), np.uint8)
     yield from dealt(gone, row_hash(gone), FOUND, n, 1)
 
 
-def places(rows: DataFrame, min_words: int, n: int, single: bool) -> DataFrame:
-    """Blobs of the places in rows (hi, lo, text): of all zones or, where single, of the windows of the zones in opened."""
-
-    def found(b: pa.RecordBatch) -> Iterator[Columns]:
-        col = lambda name: b.column(b.schema.get_field_index(name))
-        x, bound = texts_of(col("text"))
-        hi, lo = col("hi").to_numpy(), col("lo").to_numpy()
-        opened = col("opened") if single else None
-        for a, z in pieces(bound):
-            t = Texts(x[bound[a] : bound[z]], bound[a : z + 1] - bound[a])
-            least, starts = t.seeds(min_words)
-            if single:
-                # pairs of a zone's first window and its number of windows
-                zones = [np.frombuffer(o.as_buffer(), np.int32).reshape(-1, 2) for o in opened[a:z]]
-                row = np.repeat(np.arange(z - a), list(map(len, zones)))
-                first, windows = np.concatenate([np.zeros((0, 2), np.int32), *zones]).astype(np.int64).T
-                row, at = np.repeat(row, windows), np.cumsum(windows) - windows
-                first = np.repeat(first - at, windows) + np.arange(len(row))
-                start = t.first[row] + first
-                count, end = np.ones(len(row), np.int32), start + min_words
-            else:
-                starts &= (inside := t.inside(min_words))
-                start = np.flatnonzero(starts)
-                stop = starts.copy()
-                stop |= ~inside
-                edge = np.r_[np.flatnonzero(stop), len(stop)]
-                count = edge[np.searchsorted(edge, start) + 1] - start
-                end = start + count - 1 + min_words
-                row = np.searchsorted(t.first, start, "right") - 1
-                first = start - t.first[row]
-            zone = spans_hash(t.prefix, t.inverse, start, end)
-            yield {"seed": least[start], "zone": zone, "hi": hi[a:z][row], "lo": lo[a:z][row], "first": first.astype(np.int32), "n": count.astype(np.int32)}
+def found(b: pa.RecordBatch, min_words: int, single: bool) -> Iterator[Columns]:
+    """The places in rows (hi, lo, text): of all zones or, where single, of the windows of the zones in opened."""
+    col = lambda name: b.column(b.schema.get_field_index(name))
+    x, bound = texts_of(col("text"))
+    hi, lo = col("hi").to_numpy(), col("lo").to_numpy()
+    opened = col("opened") if single else None
+    for a, z in pieces(bound):
+        t = Texts(x[bound[a] : bound[z]], bound[a : z + 1] - bound[a])
+        least, starts = t.seeds(min_words)
+        if single:
+            # pairs of a zone's first window and its number of windows
+            zones = [np.frombuffer(o.as_buffer(), np.int32).reshape(-1, 2) for o in opened[a:z]]
+            row = np.repeat(np.arange(z - a), list(map(len, zones)))
+            first, windows = np.concatenate([np.zeros((0, 2), np.int32), *zones]).astype(np.int64).T
+            row, at = np.repeat(row, windows), np.cumsum(windows) - windows
+            first = np.repeat(first - at, windows) + np.arange(len(row))
+            start = t.first[row] + first
+            count, end = np.ones(len(row), np.int32), start + min_words
+        else:
+            starts &= (inside := t.inside(min_words))
+            start = np.flatnonzero(starts)
+            stop = starts.copy()
+            stop |= ~inside
+            edge = np.r_[np.flatnonzero(stop), len(stop)]
+            count = edge[np.searchsorted(edge, start) + 1] - start
+            end = start + count - 1 + min_words
+            row = np.searchsorted(t.first, start, "right") - 1
+            first = start - t.first[row]
+        zone = spans_hash(t.prefix, t.inverse, start, end)
+        yield {"seed": least[start], "zone": zone, "hi": hi[a:z][row], "lo": lo[a:z][row], "first": first.astype(np.int32), "n": count.astype(np.int32)}
+
+
+def collected(it: Iterator[pa.RecordBatch], min_words: int, single: bool) -> Iterator[Columns]:
+    """The places, about HELD together."""
+    held: list[Columns] = []
+    for b in it:
+        for cols in found(b, min_words, single):
+            held.append(cols)
+            if sum(len(x["n"]) for x in held) > HELD:
+                yield {name: np.concatenate([x[name] for x in held]) for name, _ in PLACE}
+                held.clear()
+    if held:
+        yield {name: np.concatenate([x[name] for x in held]) for name, _ in PLACE}
+
+
+def hot_seeds(documents: DataFrame, min_words: int, n: int, text_col: str = "text") -> np.ndarray:
+    """In order, the seeds with HOT / n of the places sent, or more; 2 * n / HOT at most.
+
+    A task names the seeds with half of that share of what it sends at once, so of a seed with the whole share at least half is counted.
+    """
+    share = HOT / n / 2
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Columns] = []
+        for cols in collected(it, min_words, False):
+            order = np.lexsort((cols["zone"], cols["seed"]))
+            new = changes(cols["seed"][order], cols["zone"][order])
+            seed, count = np.unique(cols["seed"][order][new], return_counts=True)
+            named = count >= share * count.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([*seed[named].view(np.int64).tolist(), None], pa.int64()), pa.array([*count[named].tolist(), int(count.sum())], pa.int64())], names=["seed", "n"])
 
-        def give() -> Iterator[pa.RecordBatch]:
-            yield from _batches(first_places({name: np.concatenate([x[name] for x in held]) for name, _ in PLACE}, n))
-            held.clear()
+    texts = documents.select(F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), documents[text_col].cast("string").alias("text"))
+    counts = common.checkpointed(texts.mapInArrow(work, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")))
+    total = counts.where("seed IS NULL").select("n").first()
+    named = counts.where(F.col("seed").isNotNull() & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(share * (total["n"] if total else 0))))).select("seed").collect()
+    return np.sort(np.array([r["seed"] for r in named], np.int64).view(np.uint64))
 
-        for b in it:
-            for cols in found(b):
-                held.append(cols)
-                if sum(len(x["n"]) for x in held) > HELD:
-                    yield from give()
-        if held:
-            yield from give()
+
+def places(rows: DataFrame, min_words: int, n: int, single: bool, hot: np.ndarray | None) -> DataFrame:
+    """Blobs of found()."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in collected(it, min_words, single):
+            yield from _batches(first_places(cols, n, hot))
 
     return rows.mapInArrow(work, BLOB_TYPES)
 
 
-def compared(blobs: DataFrame, n: int) -> DataFrame:
-    """Blobs of what is known of places, dealt by row: whatever has its content earlier; and the first places around a seed that has several contents, as open."""
+def compared(blobs: DataFrame, n: int, hot: np.ndarray | None) -> DataFrame:
+    """Blobs of what is known of places, dealt by row: whatever has its content earlier; and the first places around a seed that has several contents or is hot, as open."""
 
     def judged(cols: Columns) -> Columns:
         order = np.argsort(cols["seed"], kind="stable")
         seed = cols["seed"][order]
         new = np.r_[changes(seed), True]
-        cols = taken(cols, order[~(new[1:] & new[:-1])])  # what stands more than once
+        split = is_hot(seed, hot if hot is not None else seed[:0])
+        cols = taken(cols, order[~(new[1:] & new[:-1]) | split])  # what stands more than once
         order = np.lexsort((cols["first"], cols["lo"], cols["hi"], cols["zone"], cols["seed"]))
         cols = taken(cols, order)
         seed, zone = changes(cols["seed"]), changes(cols["seed"], cols["zone"])
@@ -306,6 +351,8 @@ def compared(blobs: DataFrame, n: int) -> DataFrame:
         later = (cols["hi"] != cols["hi"][lead]) | (cols["lo"] != cols["lo"][lead]) | (cols["first"] != cols["first"][lead])
         group = np.cumsum(seed) - 1
         several = np.bincount(group[zone], minlength=len(group[-1:]) and group[-1] + 1) > 1
+        if hot is not None:
+            several[group[is_hot(cols["seed"], hot)]] = True
         open_ = zone & several[group]
         out = taken(cols, later | open_)
         out["open"] = open_[later | open_].astype(np.uint8)
@@ -373,14 +420,15 @@ def _cut(documents: DataFrame, min_words: int, id_col: str, text_col: str, rest:
     common.small_batches(spark)
     n = common.partitions(spark)
     rows = keyed(documents, id_col, text_col, rest)
-    known = by_row(compared(places(rows, min_words, n, False), n), n, min_words)
+    hot = hot_seeds(documents, min_words, n, text_col)
+    known = by_row(compared(places(rows, min_words, n, False, hot), n, hot), n, min_words)
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         # the right side has one row at most for each of the left's, and is small against its text
         return left.join(right.hint("shuffle_hash"), (F.col("hi") == F.col("row_hi")) & (F.col("lo") == F.col("row_lo")), how).drop("row_hi", "row_lo")
 
     asked = joined(rows, known.where(F.octet_length("opened") > 0), "inner")
-    more = by_row(compared(places(asked, min_words, n, True), n), n, min_words)
+    more = by_row(compared(places(asked, min_words, n, True, None), n, None), n, min_words)
     out = joined(rows, known.drop("opened"), "left")
     return joined(out, more.select("row_hi", "row_lo", F.col("runs").alias("more")), "left")
 
