@@ -6,17 +6,23 @@ prefix does not begin with that for the shorter one rewrites history. Where the
 found by rendering the turn with other texts and comparing. The spans of assistant texts are the loss mask.
 
 Rendering every prefix costs a square of the turns, so a conversation longer than WINDOW turns is rendered in
-windows that overlap in OVERLAP turns, if the last of them renders in the new window as it did in the old one; what stands before a
+windows that overlap, if the last of their turns renders in the new window as it did in the old one; what stands before a
 window's first turn, such as a header, is shown once. A template for which it doesn't (one that numbers the turns, say) is
-rendered by whole prefixes however long the conversation is. Conversations stream through a task turn by turn; with a template that
-windows suit, what is kept of one is a window and its digests, also if one conversation has most rows.
+rendered by whole prefixes however long the conversation is. What windows show is held against the whole prefix: whenever
+the turns have grown by an eighth, and at the conversation's end, so joined spans equal the template's output or an error is raised:
+Rewrites with the turn that changes history, or LooksFar if the template only looks further back than a window, for which whole prefixes (window=inf) are right.
+The whole prefixes together cost about nine renderings of the conversation. For this a task keeps one conversation's turns.
+
+A template may be declared to look at most reach turns back. Of its conversations turns are kept up to CHECKED characters, and up
+to there they are held against whole prefixes too. Beyond, only windows and digests are kept, so that one conversation may have most rows; where windows
+meet a turn is still compared. The template of this module has reach 0.
 
 The template of this module marks turns as <|im_start|>role, line feed, text, <|im_end|>, line feed. A backslash goes into
 every <|, <\\|, ... of a role or text, and one comes out when it is read back, so no text can forge a mark. Roles also
 escape line feeds and backslashes.
 
 Null text or role: as empty. Null turn: first. Ties of a turn: by role, then text. Null conv_id: a conversation
-of its own. Repeated rows: turns of their own. Very long texts: rendered whole, one turn at a time. Extra columns, whatever their names, are not read. Empty table: no rows.
+of its own. Repeated rows: turns of their own. Very long texts: rendered whole, one turn at a time, and again for each check. Extra columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ Template = Callable[[list[Turn]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of a window, and of the old one's that the next one begins with.
 WINDOW, OVERLAP = 32, 4
+#: Characters of a conversation that is held against whole prefixes though the template's reach is known.
+CHECKED = 1 << 24
 
 
 def escape(text: str) -> str:
@@ -62,6 +70,10 @@ class Rewrites(ValueError):
     """The template's output for a longer prefix doesn't begin with that for a shorter one."""
 
 
+class LooksFar(ValueError):
+    """The template rewrites nothing, but a turn depends on more turns before it than windows show."""
+
+
 def common_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -86,27 +98,59 @@ def content_span(template: Template, before: list[Turn], role: str, text: str, s
 
 
 class Conversation:
-    """Renders turns as they come. Each yields (rendered characters, start and end of its text within them)."""
+    """Renders turns as they come. Each yields (rendered characters, start and end of its text within them); close() ends it.
 
-    def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, max(window, OVERLAP)
+    reach: how many turns back the template looks, if that is known.
+    """
+
+    def __init__(self, template: Template, window: float = WINDOW, reach: int | None = None):
+        self.template, self.reach, self.overlap = template, reach, max(OVERLAP, (reach or 0) + 2)
+        self.window: float = max(window, self.overlap)
         self.turns: list[Turn] = []
         self.shown = self.span = ""
-        self.whole = True  # turns are all that came
         self.frames: dict[tuple[str, bool], tuple[str, str]] = {}
+        # all turns so far, unless they are too many of a known reach, and the digest of what they showed
+        self.all: list[Turn] | None = []
+        self.count = self.chars = self.checked = 0
+        self.joined = sha256()
+
+    @property
+    def whole(self) -> bool:
+        """turns are all that came."""
+        return len(self.turns) == self.count
+
+    def check(self) -> None:
+        """Holds what was shown against the whole prefix."""
+        self.checked = self.count
+        if not self.whole and self.all is not None and sha256(self.template(self.all).encode("utf-8", "surrogatepass")).digest() != self.joined.digest():
+            if (k := rewrites(self.template, self.all)) is not None:
+                raise Rewrites(f"turn {k} changes what stands before it")
+            raise LooksFar(f"a turn up to {self.count - 1} depends on more turns before it than windows show; render by whole prefixes")
+
+    def close(self) -> None:
+        if self.checked < self.count:
+            self.check()
+
+    def shift(self) -> None:
+        """Begins the next window, if its last turn renders as it did in the old one."""
+        before, shown = self.template(self.turns[-self.overlap : -1]), self.template(self.turns[-self.overlap :])
+        if shown.startswith(before) and shown[len(before) :] == self.span:
+            self.turns, self.shown = self.turns[-self.overlap :], shown
+        elif self.whole:
+            self.window = float("inf")
+        elif self.all is None:
+            raise LooksFar("a turn depends on more turns before it than the template's reach")
+        else:  # from here on by whole prefixes
+            self.check()
+            self.turns, self.window = self.all[:], float("inf")
+            self.shown = self.template(self.turns)
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         if len(self.turns) >= self.window:
-            before, shown = self.template(self.turns[-OVERLAP:-1]), self.template(self.turns[-OVERLAP:])
-            if shown.startswith(before) and shown[len(before) :] == self.span:
-                self.turns, self.shown, self.whole = self.turns[-OVERLAP:], shown, False
-            elif not self.whole:
-                raise Rewrites("a turn depends on more than a window of turns before it")
-            else:
-                self.window = float("inf")
+            self.shift()
         whole = self.template([*self.turns, (role, text)])
         if not whole.startswith(self.shown):
-            raise Rewrites(f"turn {len(self.turns)} changes what stands before it")
+            raise Rewrites(f"turn {self.count} changes what stands before it")
         start = len(self.shown)
         key = (role, not self.turns)
         head, tail = self.frames.get(key, (None, None))
@@ -120,6 +164,15 @@ class Conversation:
                 self.frames[key] = (span[:a], span[b:])
         self.turns.append((role, text))
         self.shown, self.span = whole, span
+        self.count += 1
+        self.chars += len(span)
+        if self.all is not None:
+            self.all.append((role, text))
+            self.joined.update(span.encode("utf-8", "surrogatepass"))
+            if self.reach is not None and self.chars > CHECKED:
+                self.all = None
+            elif self.count >= max(WINDOW, self.checked + max(1, self.checked // 8)):
+                self.check()
         return span, a, b
 
 
@@ -153,17 +206,22 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(common.column(b, "conv_id"), common.column(b, "turn"), common.column(b, "role"), common.column(b, "text"), strict=True)
 
 
-def render(conversations: DataFrame, template: Template = chatml) -> DataFrame:
-    """One row per turn: conv_id, position, role, formatted (its part of the output), text_start and text_end within it, in_loss."""
+def render(conversations: DataFrame, template: Template = chatml, reach: int | None = None, window: float = WINDOW) -> DataFrame:
+    """One row per turn: conv_id, position, role, formatted (its part of the output), text_start and text_end within it, in_loss.
+
+    A template that rewrites history fails the job. reach, window: as in Conversation; the reach of chatml is known.
+    """
+    reach = 0 if template is chatml else reach
     common.small_batches(conversations.sparkSession)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("in_loss", pa.bool_())])
         out: list[tuple] = []
-        chars, current, now, position = 0, object(), Conversation(template), 0
+        chars, current, now, position = 0, object(), Conversation(template, window, reach), 0
         for conv_id, _, role, text in _rows(it):
             if conv_id != current:
-                current, now, position = conv_id, Conversation(template), 0
+                now.close()
+                current, now, position = conv_id, Conversation(template, window, reach), 0
             span, a, b = now.add(role, text)
             out.append((conv_id, position, role, span, a, b, role == "assistant"))
             position += 1
@@ -171,6 +229,7 @@ def render(conversations: DataFrame, template: Template = chatml) -> DataFrame:
             if len(out) >= 2000 or chars > 1 << 22:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out, chars = [], 0
+        now.close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
