@@ -14,8 +14,8 @@ at most k rows. A query's threshold is tightened after each first block of colum
 chunk of its task. A query that finds less than k in its lists probes all of them. Every vector is indexed.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
-part. Ties: the smaller vec_id first. Null vec_id: takes no part. Repeated rows: each is a candidate of other ids; a query whose id
-stands there more than once is answered once, for the least of its vectors. Fewer candidates than k: all of them. Empty table: no rows.
+part. Ties: the smaller vec_id first. Null vec_id: takes no part. Rows are told apart by a number, not by their ids: of rows with one id each is a
+candidate of all others, those with its id too, and each that asks is answered; query_row tells their answers apart. Fewer candidates than k: all of them. Empty table: no rows.
 Extra columns, whatever their names, are not read.
 """
 
@@ -103,8 +103,8 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Chunk:
     """Vectors of a list, rotated, in blocks of columns."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray, turn: np.ndarray):
-        self.ids, self.v, dims = ids, v, v.shape[1]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, v: np.ndarray, turn: np.ndarray):
+        self.ids, self.rows, self.v, dims = ids, rows, v, v.shape[1]
         rotated = np.ascontiguousarray((v @ turn.T).T)
         self.bounds = [*range(0, dims, BLOCK), dims]
         self.blocks = [rotated[a:b] for a, b in pairwise(self.bounds)]
@@ -135,10 +135,10 @@ class Chunk:
 
     def scan(self, q: np.ndarray, q_rot: np.ndarray, products: Callable[[int], np.ndarray], asker: int, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
         """The k best: their places and scores. products: of the dimensions up to a block's end with all vectors. known: a score that k vectors elsewhere reach."""
-        dims, n, ids = len(q), len(self.ids), self.ids
+        dims, n, ids, rows = len(q), len(self.ids), self.ids, self.rows
 
         def whole(at: np.ndarray | slice) -> np.ndarray:
-            return np.where(ids[at] == asker, -np.inf, self.v[at] @ q)
+            return np.where(rows[at] == asker, -np.inf, self.v[at] @ q)
 
         # the threshold: the k-th best of some vectors, by their whole products
         sure = np.arange(min(n, max(4 * k, 64)))
@@ -180,21 +180,24 @@ class Chunk:
                 part = part[live]
             else:
                 part = part + q_rot[self.bounds[-2] :] @ self.blocks[-1][:, live]
-            others = ids[live] != asker
+            others = rows[live] != asker
             live, part = live[others], part[others]
             if len(live) > k:  # part is the whole product, but for rounding
                 cut = np.partition(part, len(part) - k)[len(part) - k]
                 live = live[part >= cut - 1e-9 * (1 + abs(cut))]
-        live = np.union1d(live[ids[live] != asker], sure[np.isfinite(reached)])
+        live = np.union1d(live[rows[live] != asker], sure[np.isfinite(reached)])
         s = scores(q, self.v[live])
         best = np.lexsort((ids[live], -s))[:k]
         return live[best], s[best]
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector whose id is divisible by every, its k nearest others by inner product."""
+    """query_id, rank, vec_id, score, query_row: for each row whose id is divisible by every, its k nearest others by inner product.
+
+    query_row is the same in all answers of a row and in those of no other; it means nothing else.
+    """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, query_row long"
     rows = usable(vectors, id_col, vector_col)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
@@ -213,16 +216,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         for b in it:
             v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.argmax(unit @ centres.T, axis=1), pa.int32())], names=["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.argmax(unit @ centres.T, axis=1), pa.int32())], names=["vec_id", "v", "row", "list"])
 
     common.small_batches(spark, 2000)
     kind = rows.schema["v"].dataType.simpleString()
-    listed = common.checkpointed(rows.mapInArrow(assign, f"vec_id long, v {kind}, list int"))
+    # the numbers are made once and kept, so they stay whatever is computed again
+    listed = common.checkpointed(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(assign, f"vec_id long, v {kind}, row long, list int"))
     # at most as many lists as centres; a list's chunks grow with it
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     chunks = {i: -(-s // CHUNK) for i, s in sizes.items()}
     count_of = F.create_map(*(F.lit(z) for i, c in sorted(chunks.items()) for z in (i, c)))
-    members = listed.select("list", F.pmod(F.xxhash64("vec_id"), count_of[F.col("list")]).cast("int").alias("chunk"), F.lit(False).alias("asks"), "vec_id", "v")
+    members = listed.select("list", F.pmod(F.xxhash64("vec_id", "row"), count_of[F.col("list")]).cast("int").alias("chunk"), F.lit(False).alias("asks"), "vec_id", "row", "v")
 
     def probe(lists: int):
         def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,62 +235,63 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
                     continue
                 v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
                 near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :lists]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "row", "lists"])
 
         return work
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vs, chunk = None, [], [], None
+        now, ids, numbers, vs, chunk = None, [], [], [], None
         known: dict[int, float] = {}
         for b in it:
             key = np.stack([b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("list", "chunk")])
             asks = b.column(b.schema.get_field_index("asks")).to_numpy(zero_copy_only=False)
-            vec = b.column(b.schema.get_field_index("vec_id")).to_numpy()
+            vec, row = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("vec_id", "row"))
             v = np.stack(b.column(b.schema.get_field_index("v")).to_numpy(zero_copy_only=False)).astype(float)
             out: list[tuple] = []
             # rows that are alike in list, chunk and in whether they ask stand together
             edge = np.r_[0, np.flatnonzero((np.diff(key) != 0).any(axis=0) | (asks[1:] != asks[:-1])) + 1, len(vec)]
             for a, z in pairwise(edge.tolist()):
                 if (here := tuple(key[:, a].tolist())) != now:
-                    now, ids, vs, chunk = here, [], [], None
+                    now, ids, numbers, vs, chunk = here, [], [], [], None
                 if not asks[a]:
                     ids.append(vec[a:z])
+                    numbers.append(row[a:z])
                     vs.append(v[a:z])
                     continue
                 if not ids:
                     continue
                 if chunk is None:
-                    chunk = Chunk(np.concatenate(ids), np.concatenate(vs), turn)
+                    chunk = Chunk(np.concatenate(ids), np.concatenate(numbers), np.concatenate(vs), turn)
                 for at in range(a, z, TOGETHER):
-                    asking = vec[at : min(z, at + TOGETHER)]
+                    asking, names = row[at : min(z, at + TOGETHER)], vec[at : min(z, at + TOGETHER)]
                     told = chunk.answers(asking, v[at : at + len(asking)], turn, k, [known.get(x, -np.inf) for x in asking.tolist()])
-                    for asker, (place, s) in zip(asking.tolist(), told, strict=True):
+                    for asker, name, (place, s) in zip(asking.tolist(), names.tolist(), told, strict=True):
                         if len(s) == k:  # no vector below this is among the k best of all
                             if len(known) > REMEMBERED:
                                 known.clear()
                             known[asker] = max(known.get(asker, -np.inf), float(s[-1]))
-                        out += zip([asker] * len(s), chunk.ids[place].tolist(), s.tolist(), strict=True)
+                        out += zip([name] * len(s), chunk.ids[place].tolist(), s.tolist(), [asker] * len(s), strict=True)
             if out:
-                q, w, s = zip(*out, strict=True)
-                yield from common.batches({"query_id": q, "vec_id": w, "score": s}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+                q, w, s, r = zip(*out, strict=True)
+                yield from common.batches({"query_id": q, "vec_id": w, "score": s, "query_row": r}, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("query_row", pa.int64())]))
 
     def found(askers: DataFrame, lists: int) -> DataFrame:
-        asking = askers.mapInArrow(probe(lists), f"vec_id long, v {kind}, lists array<int>")
-        asking = asking.select("vec_id", "v", F.explode("lists").alias("list")).where(count_of[F.col("list")].isNotNull())
-        asking = asking.select("list", F.explode(F.sequence(F.lit(0), count_of[F.col("list")] - 1)).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "v")
-        both = members.unionByName(asking).repartition(common.partitions(spark), "list", "chunk").sortWithinPartitions("list", "chunk", "asks", "vec_id")
+        asking = askers.mapInArrow(probe(lists), f"vec_id long, v {kind}, row long, lists array<int>")
+        asking = asking.select("vec_id", "row", "v", F.explode("lists").alias("list")).where(count_of[F.col("list")].isNotNull())
+        asking = asking.select("list", F.explode(F.sequence(F.lit(0), count_of[F.col("list")] - 1)).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "row", "v")
+        both = members.unionByName(asking).repartition(common.partitions(spark), "list", "chunk").sortWithinPartitions("list", "chunk", "asks", "vec_id", "row")
         # at most k rows of each chunk; the window keeps k of each query before the shuffle too
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        rows = both.mapInArrow(answer, "query_id long, vec_id long, score double")
-        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        rows = both.mapInArrow(answer, "query_id long, vec_id long, score double, query_row long")
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
 
-    askers = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    askers = listed.where(F.col("vec_id") % every == 0).select("vec_id", "v", "row")
     near = found(askers, probes)
     if probes == len(centres):
         return near
     near = common.checkpointed(near)
-    full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    short = common.checkpointed(askers.join(full, "vec_id", "left_anti"))
+    full = near.where(F.col("rank") == k).select(F.col("query_row").alias("row"))
+    short = common.checkpointed(askers.join(full, "row", "left_anti").select("vec_id", "v", "row"))
     if short.isEmpty():
         return near
-    return near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found(short, len(centres)))
+    return near.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(found(short, len(centres)))
