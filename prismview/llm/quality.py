@@ -6,10 +6,13 @@ of junk below a half can bend them. A document is compared by Jensen-Shannon dis
 
 Common words are the ones in most documents of the language, by exact counts over all documents.
 
+A language with few documents says little, so its reference is drawn towards that of all documents: of n documents the language counts n / (n + PRIOR). Limits
+for common words, which have no counterpart in all documents, loosen in the same measure. So verdicts change by degrees as tables grow, and at no number of documents at once.
+
 Null text: no words, so base_failed. Null lang: a language of its own. What is sent to every worker is bounded by MAX_LANGS references; the
-character classes of documents of further languages, and of those with less than MIN_DOCS documents, are compared with those of all documents.
+character classes of documents of further languages are compared with those of all documents.
 Repeated rows: one result each. Ties: of words that equally many documents hold the lesser one, by bytes. Very long texts: counted whole, in pieces.
-Empty table: no rows; tables of less than MIN_DOCS documents: base rules only. Extra columns, whatever their names, are not read.
+Empty table: no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from . import common
 CLASSES = ("lower", "upper", "space", "sentence", "symbol", "control", "digit")
 SENTENCE = b".,;:!?'\"-()"
 N_COMMON = 48
-#: Languages that may have a reference of their own, those with the most documents, and the documents that one needs.
-MAX_LANGS, MIN_DOCS = 2000, 20
+#: Languages that may have a reference of their own, those with the most documents.
+MAX_LANGS = 2000
+#: Documents for which the reference of all documents counts in that of a language.
+PRIOR = 20
 #: Different words, or shares, that a task counts before it sends them on.
 HELD = 200_000
 #: Stands for the language of all documents; their reference has character classes only.
@@ -48,6 +53,7 @@ class Limits:
     #: the same with digits as a class of their own; in max_char they count as letters, since a number or an address is no sign of junk
     max_digit: float = 0.4
     min_chars: int = 150
+    #: at full weight of the language
     max_word: float = 0.45
     min_words: int = 40
     #: least share of common words in a text, as a part of the language's usual share
@@ -127,6 +133,8 @@ class Reference:
     chars: np.ndarray
     words: list[bytes]
     shares: np.ndarray
+    #: how far the language's documents count
+    weight: float = 1.0
     position: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -162,9 +170,7 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     rows = documents.select(documents[lang_col].cast("string").alias("lang"), documents[text_col].cast("string").alias("text"))
     counts = common.checkpointed(rows.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     known = counts.where("word IS NULL").select("lang", "n")
-    if (known.agg(F.sum("n")).first()[0] or 0) < MIN_DOCS:
-        return {}
-    langs = {r["lang"] for r in known.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    langs = {r["lang"] for r in known.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     chosen = spark.createDataFrame([(lang,) for lang in langs], "l string")
     # exact: each language's words stand once here, and a task keeps N_COMMON of each before they meet
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -209,13 +215,17 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     # from the greatest share down until half of the documents have as much
     middle = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("bin")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when(s["n"] * 2 <= F.col("documents"), -x["less"]).otherwise(s["bin"]).alias("bin")))
     found: dict[str | None, dict[int, float]] = {}
+    number: dict[str | None, int] = {}
     for r in by_feature.select("lang", "feature", "documents", middle.alias("m")).collect():
+        number[r["lang"]] = r["documents"]
         found.setdefault(r["lang"], {})[r["feature"]] = r["m"]["bin"] / BINS if r["m"]["n"] * 2 > r["documents"] else 0.0
     out = {}
+    all_chars = np.array([found.get(ANY, {}).get(i, 0.0) for i in range(len(CLASSES))])
     for lang, x in found.items():
         ws = common_words[lang]
+        weight = 1.0 if lang == ANY else number[lang] / (number[lang] + PRIOR)
         share = np.array([x.get(i, 0.0) for i in range(len(CLASSES), len(CLASSES) + len(ws))])
-        out[lang] = Reference(np.array([x.get(i, 0.0) for i in range(len(CLASSES))]), ws, np.r_[share, max(0.0, 1 - share.sum())])
+        out[lang] = Reference(weight * np.array([x.get(i, 0.0) for i in range(len(CLASSES))]) + (1 - weight) * all_chars, ws, np.r_[share, max(0.0, 1 - share.sum())], weight)
     return out
 
 
@@ -249,8 +259,8 @@ def judge(text: str | None, lang: str | None, refs: dict[str | None, Reference],
         if ref.words and counts[0] >= limits.min_words:
             # the distance alone cannot tell a text without any common word, as all other words are one bin
             word, share = w, common_share
-            lacking = share < limits.min_common * (1 - ref.shares[-1])
-    kept = not failed and not lacking and not (char is not None and (char > limits.max_char or digit > limits.max_digit)) and not (word is not None and word > limits.max_word)
+            lacking = share < ref.weight * limits.min_common * (1 - ref.shares[-1])
+    kept = not failed and not lacking and not (char is not None and (char > limits.max_char or digit > limits.max_digit)) and not (word is not None and word > 1 - ref.weight * (1 - limits.max_word))
     return (*counts, failed, bool(kept), char, digit, word, share)
 
 
