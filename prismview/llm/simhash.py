@@ -259,20 +259,31 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return verify(sigs, radius).distinct()
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least of u and all its v.
+
+    Rows of one u are dealt by v too, first for parts of the least, then for the join, so a node with very many links is no task's alone.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(4 * common.partitions(edges.sparkSession))))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    # a node has a row for each salt that it has, at most
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    least = least.select("u", F.least("m", "u").alias("m"), F.explode("salts").alias("salt"))
+    return salted.join(least.hint("merge"), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of links (a, b): alternating large and small stars.
 
-    Each round groups by node with a combine before the shuffle and joins back, so a node with very many
-    links is split by the join. Rounds grow with the logarithm of the longest path.
+    Rounds grow with the logarithm of the longest path.
     """
     edges = common.checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # what large holds of u is less than u, so m is the least of them
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = common.checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

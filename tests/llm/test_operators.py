@@ -114,6 +114,12 @@ def test_references_and_distances_by_brute_force(spark):
     def middle(shares):
         return sorted(shares)[(len(shares) - 1) // 2]
 
+    def letters(texts):
+        lower = [sum(97 <= b <= 122 or b >= 0xC0 for b in t) for t in texts]
+        whole = [sum(b < 0x80 or b >= 0xC0 for b in t) for t in texts]
+        return middle([(a * 1000 + n // 2) // n for a, n in zip(lower, whole, strict=True)]) / 1000
+
+    everything = letters([r["text"].encode() for r in rows])
     for lang in ("en", "de"):
         texts = [r["text"].encode() for r in rows if r["lang"] == lang]
         holding = Counter(w for t in texts for w in set(t.lower().split()))
@@ -121,9 +127,9 @@ def test_references_and_distances_by_brute_force(spark):
         assert refs[lang].words == words
         for i, w in enumerate(words):
             assert refs[lang].shares[i] == middle([-(-t.lower().split().count(w) * 1000 // len(t.split())) for t in texts]) / 1000
-        lower = [sum(97 <= b <= 122 or b >= 0xC0 for b in t) for t in texts]
-        whole = [sum(b < 0x80 or b >= 0xC0 for b in t) for t in texts]
-        assert refs[lang].chars[0] == middle([(a * 1000 + n // 2) // n for a, n in zip(lower, whole, strict=True)]) / 1000
+        weight = len(texts) / (len(texts) + quality.PRIOR)
+        assert refs[lang].weight == weight
+        assert refs[lang].chars[0] == pytest.approx(weight * letters(texts) + (1 - weight) * everything)
 
 
 def test_js_distance():
