@@ -18,6 +18,12 @@ def pearson(wide: DataFrame, views: tuple[str, ...]) -> DataFrame:
     cols = {v: F.col("d")[k] for k, v in enumerate(views)}
     aggs = {(a, b): F.corr(cols[a], cols[b]) for a, b in combinations(views, 2)}
     one = upper(wide).agg(*(c.alias(f"{a}|{b}") for (a, b), c in aggs.items()))
+    return by_two(one, views)
+
+
+def by_two(one: DataFrame, views: tuple[str, ...]) -> DataFrame:
+    """A row with a column a|b for each two views as rows for all ordered ones: a, b, r."""
+    aggs = set(combinations(views, 2))
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else F.col(f"`{a}|{b}`" if (a, b) in aggs else f"`{b}|{a}`")).alias("r")) for a in views for b in views]
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
@@ -45,7 +51,11 @@ def correlation_summary(corr: DataFrame) -> DataFrame:
 
 def neighbour_overlap(pairs: DataFrame, k: int) -> DataFrame:
     """a, b, i, jaccard: overlap of each point's k nearest (ties by position) in two views."""
-    sets = nearest(pairs, k).groupBy("view", "i").agg(F.collect_set("pj").alias("s"))  # k elements each
+    return overlaps(nearest(pairs, k))
+
+
+def overlaps(near: DataFrame) -> DataFrame:
+    sets = near.groupBy("view", "i").agg(F.collect_set("pj").alias("s"))  # k elements each
     x, y = sets.select(F.col("view").alias("a"), "i", F.col("s").alias("sa")), sets.select(F.col("view").alias("b"), "i", F.col("s").alias("sb"))
     return x.join(y, "i").select("a", "b", "i", (F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("jaccard"))
 
@@ -63,7 +73,11 @@ def thresholds(pairs: DataFrame, q: float = 0.10) -> DataFrame:
     """view, t: below it two points count as similar."""
     if not 0 < q < 1:
         raise ValueError("a quantile lies between 0 and 1")
-    return ranks.percentiles(ranks.value_counts(upper(pairs), "view", "d"), "view", "d", (q,)).select("view", F.col("q")[0].alias("t"))
+    return limits_of(ranks.value_counts(upper(pairs), "view", "d"), q)
+
+
+def limits_of(counts: DataFrame, q: float) -> DataFrame:
+    return ranks.percentiles(counts, "view", "d", (q,)).select("view", F.col("q")[0].alias("t"))
 
 
 def agreement(wide: DataFrame, pairs: DataFrame, views: tuple[str, ...], q: float = 0.10) -> DataFrame:
@@ -81,6 +95,11 @@ def agreement(wide: DataFrame, pairs: DataFrame, views: tuple[str, ...], q: floa
         for name, c in (("agree_similar", x & y), ("agree_dissimilar", ~x & ~y), ("a_only", x & ~y), ("b_only", ~x & y)):
             aggs.append(F.avg(c.cast("double")).alias(f"{a}|{b}|{name}"))
     out = u.select(subset, *(f"s_{v}" for v in views)).groupBy("subset").agg(F.count("*").alias("n_pairs"), *aggs)
+    return agreed(out, views)
+
+
+def agreed(out: DataFrame, views: tuple[str, ...]) -> DataFrame:
+    """agreement from one row for each subset."""
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.col(f"`{a}|{b}|{n}`").alias(n) for n in ("agree_similar", "agree_dissimilar", "a_only", "b_only"))) for a, b in combinations(views, 2)]
     return out.select("subset", "n_pairs", F.explode(F.array(*rows)).alias("x")).select("x.a", "x.b", "subset", "x.agree_similar", "x.agree_dissimilar", "x.a_only", "x.b_only", "n_pairs")
 

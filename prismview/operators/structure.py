@@ -5,7 +5,7 @@ Neighbourhood operators group by point before any window, so that views with man
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import describe, margin, ratio
@@ -21,6 +21,11 @@ def basic_checks(pairs: DataFrame) -> DataFrame:
     n = F.count_distinct("i").cast("long")
     sums = pairs.groupBy("view").agg(n.alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
     mirrored = pairs.select("view", F.least("pi", "pj").alias("a"), F.greatest("pi", "pj").alias("b"), "d").groupBy("view", "a", "b").agg((F.max("d") - F.min("d")).alias("gap")).groupBy("view").agg(F.max("gap").alias("sym_max_abs_diff"))
+    return checked(sums, mirrored)
+
+
+def checked(sums: DataFrame, mirrored: DataFrame) -> DataFrame:
+    """basic_checks from its parts: view, n, lo, hi, s and ss of all cells, and view, sym_max_abs_diff."""
     cells = F.col("n") * F.col("n")
     mean = F.col("s") / cells
     return sums.join(mirrored, "view").select("view", "n", "sym_max_abs_diff", F.least("lo", F.lit(0.0)).alias("d_min"), F.greatest("hi", F.lit(0.0)).alias("d_max"), mean.alias("d_mean"), F.sqrt(F.greatest(F.col("ss") / cells - mean * mean, F.lit(0.0))).alias("d_std"))
@@ -46,11 +51,19 @@ def row_means(pairs: DataFrame) -> DataFrame:
 
 
 def row_mean_summary(pairs: DataFrame) -> DataFrame:
-    return row_means(pairs).groupBy("view").agg(*describe("row_mean", "row_mean"))
+    return row_mean_description(row_means(pairs))
+
+
+def row_mean_description(means: DataFrame) -> DataFrame:
+    return means.groupBy("view").agg(*describe("row_mean", "row_mean"))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest others of each point, ties by position: rank from 1."""
+    return first_by_distance(pairs, k)
+
+
+def first_by_distance(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("view", "i").orderBy("d", "pj")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -94,21 +107,34 @@ def margins(pairs: DataFrame, skip_zero: bool = False) -> DataFrame:
 
 
 def margin_summary(pairs: DataFrame, skip_zero: bool = False) -> DataFrame:
+    return margin_description(margins(pairs, skip_zero))
+
+
+def margin_description(rows: DataFrame) -> DataFrame:
     mu = F.col("mu")
-    return margins(pairs, skip_zero).groupBy("view").agg(*describe("mu", "mu"), F.avg((mu < 0).cast("double")).alias("frac_negative"), F.avg((mu == 0).cast("double")).alias("frac_zero"))
+    return rows.groupBy("view").agg(*describe("mu", "mu"), F.avg((mu < 0).cast("double")).alias("frac_negative"), F.avg((mu == 0).cast("double")).alias("frac_zero"))
 
 
 def tie_groups(pairs: DataFrame, k: int) -> DataFrame:
     """For each point and distinct distance: how many others stand there (c), how many of them share its class (same),
     and the weight of each: 1 below the k-th distance, an equal share of what is left at it, 0 beyond."""
     g = pairs.groupBy("view", "i", "d").agg(F.count("*").alias("c"), F.sum((F.col("yi") == F.col("yj")).cast("int")).alias("same"))
+    return tie_weights(g, k)
+
+
+def tie_weights(g: DataFrame, k: int) -> DataFrame:
+    """g (view, i, d, c, same) with w; of groups beyond the k-th distance none need be there."""
     before = F.coalesce(F.sum("c").over(Window.partitionBy("view", "i").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return g.withColumn("w", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(k) - before) / F.col("c"))))
 
 
 def knn_purity(pairs: DataFrame, k: int) -> DataFrame:
     """Share of its own class among the k nearest of each point; ties at the k-th distance are shared."""
-    return tie_groups(pairs, k).groupBy("view", "i").agg((F.sum(F.col("same") * F.col("w")) / k).alias("knn_purity"))
+    return tie_groups(pairs, k).groupBy("view", "i").agg(purity_of(k))
+
+
+def purity_of(k: int) -> Column:
+    return (F.sum(F.col("same") * F.col("w")) / k).alias("knn_purity")
 
 
 def neighbour_weights(pairs: DataFrame, k: int) -> DataFrame:
