@@ -65,7 +65,11 @@ def overlap_means(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def overlap_summary(pairs: DataFrame, k: int) -> DataFrame:
-    o = overlap_means(pairs, k).where("a <> b")
+    return overlap_description(overlap_means(pairs, k))
+
+
+def overlap_description(means: DataFrame) -> DataFrame:
+    o = means.where("a <> b")
     return o.groupBy(F.col("a").alias("view")).agg(F.avg("overlap").alias("mean"), F.min("overlap").alias("least"), F.max("overlap").alias("greatest"))
 
 

@@ -40,7 +40,10 @@ def moments(counts: DataFrame) -> DataFrame:
 
 def distribution(pairs: DataFrame) -> DataFrame:
     """Quantiles, mean, population deviation and their ratio, over unordered pairs."""
-    counts = ranks.value_counts(upper(pairs), "view", "d")
+    return distribution_of(ranks.value_counts(upper(pairs), "view", "d"))
+
+
+def distribution_of(counts: DataFrame) -> DataFrame:
     out = moments(counts).join(ranks.percentiles(counts, "view", "d", QUANTILES), "view")
     return out.select("view", *(F.col("q")[k].alias(f"q{round(x * 1000):03d}") for k, x in enumerate(QUANTILES)), "mean", "std", ratio(F.col("std"), F.col("mean")).alias("cv"))
 
@@ -73,12 +76,20 @@ def knn_means(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def knn_mean_summary(pairs: DataFrame, k: int) -> DataFrame:
-    return knn_means(pairs, k).groupBy("view").agg(F.avg("knn_mean").alias("knn_mean"), F.stddev_pop("knn_mean").alias("knn_std"))
+    return knn_mean_description(knn_means(pairs, k))
+
+
+def knn_mean_description(means: DataFrame) -> DataFrame:
+    return means.groupBy("view").agg(F.avg("knn_mean").alias("knn_mean"), F.stddev_pop("knn_mean").alias("knn_std"))
 
 
 def intrinsic_dimension(pairs: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Two-nearest-neighbour estimate: one over the mean log ratio of the second to the first distance."""
-    two = nearest(pairs, 2).groupBy("view", "i").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("r2"))
+    return dimension_of(nearest(pairs, 2), eps)
+
+
+def dimension_of(near: DataFrame, eps: float = 1e-12) -> DataFrame:
+    two = near.groupBy("view", "i").agg(F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("r2"))
     kept = two.where((F.col("r1") > eps) & (F.col("r2") > F.col("r1")))
     return kept.groupBy("view").agg(F.count("*").alias("n_used"), (1 / F.avg(F.log(F.col("r2") / F.col("r1")))).alias("intrinsic_dim"))
 
@@ -200,7 +211,11 @@ def zero_distances(pairs: DataFrame) -> DataFrame:
 
 def distinct_values(pairs: DataFrame, show: int = 30) -> DataFrame:
     """The first and the last distinct distances: view, n_unique, side (head or tail), place (from 1, from that end) and d."""
-    v = ranks.row_numbers(upper(pairs).where("d is not null").select("view", "d").distinct(), "view", "d")
+    return value_ends(upper(pairs).where("d is not null").select("view", "d").distinct(), show)
+
+
+def value_ends(values: DataFrame, show: int = 30) -> DataFrame:
+    v = ranks.row_numbers(values.select("view", "d"), "view", "d")
     n = v.groupBy("view").agg(F.count("*").alias("n_unique"))
     v = v.join(F.broadcast(n), "view").withColumn("back", F.col("n_unique") - F.col("n") + 1)
     ends = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("n").alias("place")), F.struct(F.lit("tail").alias("side"), F.col("back").alias("place")))).alias("e")
@@ -214,7 +229,11 @@ def point_table(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def purity_summary(pairs: DataFrame, k: int) -> DataFrame:
-    return knn_purity(pairs, k).groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"), F.stddev_pop("knn_purity").alias("purity_std"))
+    return purity_description(knn_purity(pairs, k))
+
+
+def purity_description(purity: DataFrame) -> DataFrame:
+    return purity.groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"), F.stddev_pop("knn_purity").alias("purity_std"))
 
 
 def class_balance(pairs: DataFrame) -> DataFrame:
@@ -255,7 +274,10 @@ def structural_summary(pairs: DataFrame, k: int, n_perm: int = 50) -> DataFrame:
 
 def distribution_report(pairs: DataFrame) -> DataFrame:
     """Mean, population deviation, median, outer deciles and the share of distances at 1, of normalised views."""
-    counts = ranks.value_counts(upper(pairs), "view", "d")
+    return report_of(ranks.value_counts(upper(pairs), "view", "d"))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
     at_one = F.when(F.abs(F.col("d") - 1) <= 1e-12 + 1e-5, F.col("c")).otherwise(0)
     share = counts.groupBy("view").agg((F.sum(at_one) / F.sum("c")).alias("share_one"))
     out = moments(counts).join(ranks.percentiles(counts, "view", "d", (0.1, 0.5, 0.9)), "view").join(share, "view")
