@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, margin, ratio
 from ..session import checkpointed
 from ..sources.fixtures import cells_to
-from . import crossview, ranks, structure
-from .tiles import VIEWS, Agreed, Asymmetry, Combined, Counts, Least, Moments, Nearest, RankSums, RowSums, Ties, Tiles, view_name
+from . import crossview, normalize, ranks, structure
+from .tiles import VIEWS, Agreed, Asymmetry, Between, Combined, Counts, Hits, Least, Moments, Nearest, Normalised, RankSums, RowSums, Ties, Tiles, Zeros, view_name
 
 
 def row_sums(t: Tiles) -> DataFrame:
@@ -152,3 +153,79 @@ def medoids(t: Tiles, a_sq: list[float], per_class: int) -> DataFrame:
         nxt = far.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("s"), "pi"))).where("r = 1").select("y", "id", F.lit(n).alias("n"))
         chosen = checkpointed(chosen.unionByName(nxt))
     return chosen.select((F.row_number().over(Window.orderBy("y", "n")) - 1).cast("int").alias("k"), "id", "y")
+
+
+def limits(t: Tiles) -> list[tuple[float, float]]:
+    """lo and hi of each view, as normalize.bounds has them."""
+    known = {r["view"]: (r["lo"], r["hi"]) for r in normalize.limits_of(value_counts(t)).collect()}  # one row a view
+    return [known.get(v, (0.0, 0.0)) for v in VIEWS]
+
+
+def normalised_sums(t: Tiles) -> DataFrame:
+    """view, pi, total, at_one and at_zero of the normalised distances of each point."""
+    rows = t.fold(Normalised(limits(t))).groupBy(view_name().alias("view"), F.col("pos").alias("pi"))
+    return rows.agg(F.sum("s").alias("total"), F.sum("one").alias("at_one"), F.sum("zero").alias("at_zero"))
+
+
+def zero_distances(t: Tiles) -> DataFrame:
+    rows = t.named(t.fold(Zeros())).groupBy("view", "i").agg(F.sum("n").alias("n"), F.sum("zeros").alias("zeros"))
+    rate = rows.groupBy("view").agg((F.sum("zeros") / F.sum("n")).alias("zero_rate"))
+    return rate.join(structure.zeros_description(rows), "view")
+
+
+def problems(t: Tiles) -> DataFrame | None:
+    """As alignment.problems of v3: every cell is measured, and how often each is there follows from the points. None where there are no cells."""
+    ids = t.points.groupBy("id").agg(F.count("*").alias("c"))
+    m, once, n, squares = ids.agg(F.count("*"), F.count_if(F.col("c") == 1), F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
+    if m < 2:
+        return None
+    cells = m * (m - 1)
+    several = n * n - squares - cells  # rows beyond the first of a cell
+    sums = t.fold(Between()).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return sums.select((F.lit(cells + several).cast("long") - F.col("n")).alias("missing_cells"), F.lit(cells - once * (once - 1)).cast("long").alias("duplicate_cells"), F.col("bad").alias("bad_cells"))
+
+
+def fold_blocks(t: Tiles) -> DataFrame:
+    """fold, part, n and mean v3 of alignment.fold_blocks; t: tiles of points whose label is their fold."""
+    sums = t.fold(Between()).groupBy("ya", "yb").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    every = t.points.select(F.col("y").cast("int").alias("fold")).distinct()
+    rows = sums.join(F.broadcast(every), F.col("yb") != F.col("fold")).withColumn("part", F.when(F.col("ya") == F.col("fold"), "valid").otherwise("train"))
+    return rows.groupBy("fold", "part").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n") / 1e6).alias("mean")).where("n > 0")
+
+
+def purity_baseline(t: Tiles, k: int, n_perm: int, groups: DataFrame | None = None) -> DataFrame:
+    """As structure.purity_baseline: the first pass of tiles tells how far the neighbours of each point reach, the second adds up their weights by permutation.
+
+    Workers get what is known of each point, some 60 bytes for 50 permutations, which pass the driver once.
+    """
+    groups = tie_groups(t, k) if groups is None else groups
+    last = groups.groupBy("view", "i").agg(F.max(F.struct("d", "w")).alias("z")).groupBy("i").pivot("view", list(VIEWS)).agg(F.first("z"))
+    words, planes = structure.label_words(t.points.select("id", "pos", "y"), n_perm)
+    known = t.points.select("id", "pos").join(words, "id").join(last.withColumnRenamed("i", "id"), "id")
+    known = known.select("pos", *(F.col(f"{v}.{c}").alias(f"{v}{c}") for c in "dw" for v in VIEWS), *(F.col("words")[i].alias(f"x{i}") for i in range(planes * -(-n_perm // structure.WORD)))).orderBy("pos").toArrow()
+    col = {c: known.column(c).to_numpy() for c in known.column_names}
+    sent = t.spark.sparkContext.broadcast((col["pos"], np.stack([col[f"{v}d"] for v in VIEWS]), np.stack([col[f"{v}w"] for v in VIEWS]), np.stack([col[c] for c in known.column_names if c[0] == "x"], 1)))
+    runs = t.fold(Hits(sent, n_perm, structure.WORD, planes)).groupBy(view_name().alias("view"), "perm").agg((F.sum("w") / F.lit(float(k * t.n))).alias("p"))
+    return structure.baseline_of(groups.groupBy("view", "i").agg(structure.purity_of(k)), runs)
+
+
+def structural_summary(t: Tiles, k: int, n_perm: int = 50) -> DataFrame:
+    """As structure.structural_summary, its counts and tie groups made once."""
+    counts, groups = value_counts(t), tie_groups(t, k)
+    purity = groups.groupBy("view", "i").agg(structure.purity_of(k))
+    classes = t.points.select("id", "y").distinct().agg(*(F.count_if(F.col("y") == y).alias(f"n_class{y}") for y in (0, 1)))
+    return structure.summary_of(
+        basic_checks(t),
+        structure.distribution_of(counts),
+        structure.row_mean_description(row_means(t)),
+        structure.knn_mean_description(knn_means(groups, k)),
+        structure.dimension_of(nearest(t, 2)),
+        t.spark.createDataFrame([(v,) for v in VIEWS], "view string").crossJoin(F.broadcast(classes)),
+        intra_inter(t),
+        structure.margin_description(margins(t)),
+        structure.robust_named(structure.margin_description(margins(t, True))),
+        structure.purity_description(purity),
+        structure.baseline_named(purity_baseline(t, k, n_perm, groups)),
+        zero_distances(t),
+        counts.groupBy("view").agg(F.count("*").alias("n_unique")),
+    )

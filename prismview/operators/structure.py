@@ -197,16 +197,24 @@ def purity_baseline(pairs: DataFrame, points: DataFrame, k: int, n_perm: int, se
     rows = rows.select("view", "w", *(differ(x).alias(f"x{x}") for x in range(-(-n_perm // WORD))))
     hits = [F.sum(F.when(F.col(f"x{p // WORD}").bitwiseAND(F.lit(1 << p % WORD)) == 0, F.col("w")).otherwise(0.0)) / F.lit(float(k * n)) for p in range(n_perm)]
     runs = rows.groupBy("view").agg(F.array(*hits).alias("p")).select("view", F.explode("p").alias("p"))
+    return baseline_of(knn_purity(pairs, k), runs)
+
+
+def baseline_of(purity: DataFrame, runs: DataFrame) -> DataFrame:
+    """purity_baseline from its parts: view, i, knn_purity of the points, and view, p of each permutation."""
     base = runs.groupBy("view").agg(F.avg("p").alias("baseline_mean"), F.stddev_pop("p").alias("baseline_std"))
-    own = knn_purity(pairs, k).groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"))
+    own = purity.groupBy("view").agg(F.avg("knn_purity").alias("purity_mean"))
     return own.join(base, "view").withColumn("z", (F.col("purity_mean") - F.col("baseline_mean")) / (F.col("baseline_std") + 1e-12))
 
 
 def zero_distances(pairs: DataFrame) -> DataFrame:
     rate = upper(pairs).groupBy("view").agg(F.avg((F.col("d") == 0).cast("double")).alias("zero_rate"))
+    return rate.join(zeros_description(pairs.groupBy("view", "i").agg(F.sum((F.col("d") == 0).cast("long")).alias("zeros"))), "view")
+
+
+def zeros_description(zeros: DataFrame) -> DataFrame:
     z = F.col("zeros")
-    rows = pairs.groupBy("view", "i").agg(F.sum((F.col("d") == 0).cast("long")).alias("zeros")).groupBy("view").agg(F.avg("zeros").alias("zeros_mean"), F.stddev_samp("zeros").alias("zeros_std"), F.max("zeros").alias("zeros_max"), F.avg((z >= 1).cast("double")).alias("frac_any"), F.avg((z >= 10).cast("double")).alias("frac_ten"))
-    return rate.join(rows, "view")
+    return zeros.groupBy("view").agg(F.avg("zeros").alias("zeros_mean"), F.stddev_samp("zeros").alias("zeros_std"), F.max("zeros").alias("zeros_max"), F.avg((z >= 1).cast("double")).alias("frac_any"), F.avg((z >= 10).cast("double")).alias("frac_ten"))
 
 
 def distinct_values(pairs: DataFrame, show: int = 30) -> DataFrame:
@@ -248,10 +256,8 @@ def structural_summary(pairs: DataFrame, k: int, n_perm: int = 50) -> DataFrame:
 
     pairs are read once for each part, so they should be stored.
     """
-    robust = margin_summary(pairs, True)
     points = pairs.select(F.col("i").alias("id"), F.col("pi").alias("pos"), F.col("yi").alias("y")).distinct()
-    baseline = purity_baseline(pairs, points, k, n_perm).select("view", F.col("baseline_mean").alias("purity_baseline_mean"), F.col("baseline_std").alias("purity_baseline_std"), F.col("z").alias("purity_z"))
-    parts = [
+    return summary_of(
         basic_checks(pairs),
         distribution(pairs),
         row_mean_summary(pairs),
@@ -260,12 +266,24 @@ def structural_summary(pairs: DataFrame, k: int, n_perm: int = 50) -> DataFrame:
         class_balance(pairs),
         intra_inter(pairs),
         margin_summary(pairs),
-        robust.select("view", *(F.col(c).alias(f"robust_{c}") for c in robust.columns if c != "view")),
+        robust_named(margin_summary(pairs, True)),
         purity_summary(pairs, k),
-        baseline,
+        baseline_named(purity_baseline(pairs, points, k, n_perm)),
         zero_distances(pairs),
         upper(pairs).groupBy("view").agg(F.count_distinct("d").alias("n_unique")),
-    ]
+    )
+
+
+def robust_named(robust: DataFrame) -> DataFrame:
+    return robust.select("view", *(F.col(c).alias(f"robust_{c}") for c in robust.columns if c != "view"))
+
+
+def baseline_named(baseline: DataFrame) -> DataFrame:
+    return baseline.select("view", F.col("baseline_mean").alias("purity_baseline_mean"), F.col("baseline_std").alias("purity_baseline_std"), F.col("z").alias("purity_z"))
+
+
+def summary_of(*parts: DataFrame) -> DataFrame:
+    """structural_summary from its parts, each with one row per view."""
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "view", "left")
