@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import dot, margin, ratio
 from ..session import checkpointed
 from ..sources.fixtures import cells_to
-from . import crossview, normalize, ranks, structure
+from . import blocks, crossview, normalize, ranks, structure, trainer
 from .tiles import VIEWS, Agreed, Asymmetry, Between, Combined, Counts, Hits, Least, Moments, Nearest, Normalised, RankSums, RowSums, Ties, Tiles, Zeros, view_name
 
 
@@ -229,3 +229,30 @@ def structural_summary(t: Tiles, k: int, n_perm: int = 50) -> DataFrame:
         zero_distances(t),
         counts.groupBy("view").agg(F.count("*").alias("n_unique")),
     )
+
+
+def swap_scan(columns: blocks.Measured, points: DataFrame, protos: DataFrame, a_sq: list[float] | dict[int, list[float]], k: int) -> DataFrame:
+    """As prototypes.swap_scan, with columns of the candidates computed by tasks. a_sq: squared weights, or those of each label; every label must have two prototypes and another label one."""
+    known = points.select("id", "pos").orderBy("pos").toArrow()
+    ids, y = known.column("id").to_pylist(), columns.y
+    place = {i: n for n, i in enumerate(ids)}
+    rows = protos.orderBy("k").collect()
+    at, proto_y = np.array([place[r["id"]] for r in rows]), np.array([r["y"] for r in rows])
+    labels = np.unique(y)
+    w = np.array([a_sq[int(x)] for x in labels] if isinstance(a_sq, dict) else [a_sq])
+    group = np.searchsorted(labels, y) if isinstance(a_sq, dict) else np.zeros(len(y), int)
+    far = columns.columns(at)
+    d = np.stack([far[int(j)] for j in at], 2)  # (V, n, K)
+    dc = sum((w[group, v][:, None] * d[v] for v in range(len(d))), np.zeros(d.shape[1:]))
+    own = y[:, None] == proto_y
+    plus, minus = np.where(own, dc, np.inf), np.where(own, np.inf, dc)
+    kp = plus.argmin(1)
+    field = np.flatnonzero(kp == k)
+    field = field[field != at[k]]
+    dp, dm = plus.min(1), minus.min(1)
+    loss = float(((dp - dm) / (dp + dm + trainer.EPS)).sum())
+    rest = np.delete(np.arange(len(at)), k)
+    deltas = columns.deltas(trainer.Scan(field, plus[:, rest].min(1), minus[:, rest].min(1), y == proto_y[k], w, group, None, loss))
+    # numbers of points stand for them in the order of pos
+    sent = columns.spark.createDataFrame(known.add_column(0, "j", [np.arange(len(ids), dtype=np.int32)]))
+    return deltas.join(sent, "j").select(F.col("id").alias("candidate"), F.col("pos").alias("pc"), "delta")
